@@ -13,6 +13,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -29,6 +35,12 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark.read.parquet(path))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import round_trip
+
+    return round_trip(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items(), key=lambda x: len(x[0])) if k.startswith("op") and k[2].isdigit()}
 
