@@ -35,6 +35,12 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark.read.parquet(path))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
