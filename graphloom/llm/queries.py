@@ -25,6 +25,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_dedup
+
+    return exact_dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -52,4 +58,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import exact
+
+    return {"op3_exact_dedup": exact.ORACLE_SQL}
