@@ -47,6 +47,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
