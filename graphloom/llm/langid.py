@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_blocks
+from .common import ids_and_texts, remainder, ship, text_blocks
 
 DIM, SEED, GROUP = 1024, 20_011, 192
 
@@ -107,6 +107,7 @@ def vectors(texts: list[str], dim: int = DIM, n: int = 3) -> np.ndarray:
 def train(docs: DataFrame, per_lang: int = 4000, dim: int = DIM, n: int = 3) -> tuple[list[str], np.ndarray]:
     """(languages, unit prototypes) of the rows with text and lang. per_lang: about so many rows of each language are used, chosen by a hash
     of doc_id; the others only count."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
@@ -136,7 +137,7 @@ def train(docs: DataFrame, per_lang: int = 4000, dim: int = DIM, n: int = 3) ->
 def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, n: int = 3) -> DataFrame:
     """(doc_id, lang_pred, score): the language with the greatest cosine, and that cosine, 0 at least. `und` and 0 where the text is null or
     has no letter, or where nothing was learnt. Ties go to the first language by name. Only the text is looked at."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = ids_and_texts(docs)
     dim = prototypes.shape[1]
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes))  # languages x dim floats
 

@@ -47,12 +47,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import passage_digests
+
+    return passage_digests(read(spark, sf_dir, "documents"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import fingerprints
 
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import byte_digests
+
+    return byte_digests(read(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
