@@ -115,13 +115,18 @@ def tokenizers_coder(path: str, lower: bool) -> PieceCoder:
         tokenizer.encode_special_tokens = True
         model, letters = tokenizer.model, byte_letters()
 
-        def word(piece: str) -> list[int]:
+        def word(piece: str) -> list[int] | None:
+            bare = piece[1:] if piece[:1] == " " else piece
+            if not bare.isalpha() or max(bare) >= "\u0250":
+                return None
             if lower:
-                piece = unicodedata.normalize("NFC", piece.lstrip(" ")).lower()
+                piece = unicodedata.normalize("NFC", bare).lower()
+                if not piece.isalpha():  # a capital may lower to a letter and a mark
+                    return None
             return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
 
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            got = [word(p) if (p[1:] if p[:1] == " " else p).isalpha() and max(p) < "\u0250" else None for p in pieces]
+            got = [word(p) for p in pieces]
             other = [i for i, g in enumerate(got) if g is None]
             for n in range(0, len(other), 256):
                 some = other[n : n + 256]
