@@ -1,0 +1,407 @@
+"""The operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("graphloom.llm")
+import public_tokenizers
+from graphloom.llm import exact, imatch, jaccard, langid, packing, pieces, quality, substring, suffix, wavelet, windows, words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, bucket int, token long, doc long"
+FIXED = dict.fromkeys(["digest"], "clash") | dict.fromkeys(["bucket", "token", "doc"], 7)
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def frame(spark, texts):
+    rows = [(i, t, None if i % 5 == 0 else "en", None, None if t is None else len(t), *FIXED.values()) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def sample(seed=1, n=60):
+    """Texts with copies, near copies, shared passages, repeated lines, nulls, empty and long ones."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5)))
+    passage = " ".join(word() for _ in range(70))
+    texts: list[str | None] = [None, "", " \n\t", "One", "one", "ONE", "two words", "two  words", "ünïcode É ß 日本", "x" * 900, "a b " * 300]
+    base = [word() for _ in range(120)]
+    for k in range(n):
+        kind = k % 6
+        if kind == 0:
+            texts.append(" ".join(word() for _ in range(rng.randint(1, 150))))
+        elif kind == 1:
+            texts.append(" ".join(word() for _ in range(20)) + " " + passage + "\n" + " ".join(word() for _ in range(20)))
+        elif kind == 2:
+            near = list(base)
+            near[rng.randrange(120)] = word()
+            texts.append(" ".join(near))
+        elif kind == 3:
+            texts.append(texts[rng.randrange(len(texts))])
+        elif kind == 4:
+            texts.append("\n".join([" ".join(word() for _ in range(12))] * 9))
+        else:
+            texts.append((texts[-1] or "").upper())
+    ids = list(range(0, 3 * len(texts), 3))
+    rng.shuffle(ids)
+    return list(zip(ids, texts, strict=True))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return sample()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return frame(spark, texts)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+def rows(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+# -- tokens ----------------------------------------------------------------------------------------------------------------------------------
+
+ODD = ["", " ", "a  b", " x ", "it's  \n here", "\n\n a b", "é́ Σας ΣΑΣ x", "a\x1c b", "a  b", "tab\t c", "a\x1fb c", "don't. x'S'tt", "A.b,,c;d\n\ne", "|a|b| *** z$1 %2", "é.Ω,", "<|endoftext|> a", "İstanbul", "日本語 テキスト 😀"]
+
+
+@pytest.mark.parametrize(("name", "lower"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_pieces_give_the_library_s_ids(texts, name, lower):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    every = ODD + [t or "" for _, t in texts]
+    ids, cuts = words.tokenizers_coder(path, lower).texts(pa.array(every))
+    for k, t in enumerate(every):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_forgotten_pieces_are_encoded_again():
+    coder = words.PieceCoder(lambda ps: (np.array([len(p) for p in ps], np.int32), np.ones(len(ps), np.int64)), limit=4)
+    for k in range(20):
+        text = pa.array([f"a bb{'c' * k} ddd", "a"])
+        ids, cuts = coder.texts(text)
+        assert ids.tolist() == [1, 3 + k, 4, 1]
+        assert cuts.tolist() == [0, 3, 4]
+
+
+def test_op10_is_sentencepiece(spark, docs, texts, none):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    odd = [*ODD, "aaaaaaaaaaaaa", "abababababab  ababab", "<s> </s> <0x41>", "x" * 3001, "\x00a\x01", "    " * 20 + "z", "▁▁a ▁"]
+    odd += ["".join(rng.choice("abt hein ▁\n.é①") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    ids, cuts = pieces.piece_texts(path).texts(pa.array(odd))
+    for k, t in enumerate(odd):
+        got = ids[cuts[k] : cuts[k + 1]].tolist()
+        assert got == library.encode(t), t
+        assert pieces.PieceModel.get(path).decode(got) == library.decode(got)
+    got = rows(pieces.round_trip(docs, path), "n_tokens", "ids_sha256", "decoded_sha256")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for i, t in texts:
+        want = library.encode(t or "")
+        assert got[i] == (len(want), sha(",".join(map(str, want))), sha(library.decode(want)))
+    back = pieces.decode_pieces(pieces.encode_pieces(docs, path), path)
+    assert rows(back, "text") == {i: (library.decode(library.encode(t or "")),) for i, t in texts}
+    assert pieces.round_trip(none, path).count() == 0
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 511, 512, 513, 3000):
+        values = rng.integers(0, 50, n).astype(np.uint16)
+        m = wavelet.WaveletMatrix.build(values, 16)
+        assert (m.unpack() == values).all()
+        for v in (0, 7, 49, 60_000):
+            at = np.flatnonzero(values == v)
+            assert m.count(v) == len(at)
+            assert [m.select(v, k) for k in range(min(5, len(at)))] == at[:5].tolist()
+        assert all(m.access(i) == values[i] for i in range(0, n, 97))
+        if n:
+            assert m.count(7, n // 3, n // 2) == (values[n // 3 : n // 2] == 7).sum()
+
+
+def test_op5_files_hold_all_ids(spark, docs, texts, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    for name, table, block in (("a", docs, 1 << 20), ("b", docs, 500), ("c", none, 500)):
+        wavelet.write_ids(table, str(tmp_path / name), path, 2, block_tokens=block)
+        blocks = spark.read.parquet(str(tmp_path / name))
+        got = rows(wavelet.read_ids(blocks), "start", "n_tokens", "ids_crc32")
+        if name == "c":
+            assert not got
+            continue
+        start, twos = 0, []
+        for i, t in sorted(texts):
+            ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+            assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+            twos += [(i, k) for k in np.flatnonzero(ids == 2).tolist()]
+        assert wavelet.count_token(blocks, 2).agg(F.sum("n")).first()[0] == len(twos)
+        assert sorted(map(tuple, wavelet.occurrences(blocks, 2).collect())) == sorted(twos)
+
+
+def test_cuts_are_the_cheapest():
+    rng = random.Random(6)
+    for _ in range(40):
+        size = rng.choice([8, 16])
+        places = [0]
+        while len(places) < 14:
+            places.append(places[-1] + rng.randint(1, size // 2))
+        costs = [rng.choice([0.0, 4.0, 32.0]) for _ in places]
+        best = [0.0] + [1e9] * 13
+        pad = lambda n: 0 if n & (n - 1) == 0 and 4 * n >= size else size - n
+        for j in range(1, 14):
+            best[j] = min(best[i] + pad(places[j] - places[i]) + costs[j] for i in range(j) if places[j] - places[i] <= size)
+        cuts = packing.choose_cuts(np.array(places), np.array(costs), size).tolist()
+        assert cuts[0] == 0 and cuts[-1] == places[-1]
+        assert sum(pad(b - a) + costs[places.index(b)] for a, b in zip(cuts, cuts[1:], strict=False)) == best[-1]
+
+
+@pytest.mark.parametrize("buffer", [1 << 20, 3000])
+def test_op2_pieces_hold_each_id_once(docs, texts, none, buffer):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    out = [r.asDict() for r in packing.pack(docs, path, buffer_tokens=buffer).collect()]
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in texts}
+    at = Counter()
+    for r in sorted(out, key=lambda r: (r["doc_id"], r["start"])):
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at[r["doc_id"]], len(ids[r["doc_id"]]), zlib.crc32(part.tobytes()))
+        at[r["doc_id"]] += r["length"]
+    assert at == {i: len(x) for i, x in ids.items()}
+    fill = Counter()
+    stream = sorted(out, key=lambda r: (r["sequence_id"], r["offset"]))
+    for r in stream:
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048 and sorted(fill) == list(range(len(fill)))
+    assert [(r["doc_id"], r["start"]) for r in stream] == sorted((r["doc_id"], r["start"]) for r in out)
+    assert packing.pack(none, path).count() == 0
+
+
+# -- language and quality ----------------------------------------------------------------------------------------------------------------------
+
+
+def test_grams_by_hand():
+    some = ["Hello, World!", "", "  ", "Él está  aquí 12 ok", "a", "x--y", "ab\ncd "]
+    doc, gram, count, letters = langid.grams(some, 3)
+    got = [Counter() for _ in some]
+    for d, g, c in zip(doc, gram, count, strict=True):
+        got[d]["".join(chr(letters[x]) if letters[x] else " " for x in (g // len(letters) ** 2, g // len(letters) % len(letters), g % len(letters)))] += c
+    for t, g in zip(some, got, strict=True):
+        s = " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + " "
+        assert g == (Counter(s[i : i + 3] for i in range(len(s) - 2)) if t.strip() else Counter())
+
+
+def test_op1_learns_languages(spark, docs, none):
+    a, b = "the then there other weather mother", "der die das schon durch nicht"
+    rng = random.Random(8)
+    make = lambda s: " ".join(rng.choice(s.split()) for _ in range(12))
+    table = [(i, make(a if i % 2 else b), "en" if i % 2 else "de") for i in range(200)] + [(500, None, "en"), (501, "12 !", "de"), (502, "the", None)]
+    got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == 203
+    assert all(got[i].lang_pred == ("en" if i % 2 else "de") and 0 < got[i].score <= 1 for i in range(200))
+    assert (got[500].lang_pred, got[500].score) == (got[501].lang_pred, got[501].score) == ("und", 0.0)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    assert langid.language_id(none).count() == 0
+    assert set(rows(langid.language_id(docs), "lang_pred").values()) <= {("en",), ("und",)}
+
+
+def test_op6_separates_junk(spark, docs, none):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    good = lambda: " ".join(word() for _ in range(60)).capitalize() + "."
+    junk = lambda: "".join(word() + "### " for _ in range(40)) if rng.random() < 0.5 else (word() + " ") * 60
+    table = [(i, good() if i % 3 else junk()) for i in range(240)] + [(900, ""), (901, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(5000, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(table, "doc_id long, text string"), labels).collect()}
+    assert len(got) == 242
+    assert np.mean([got[i].predicted == int(i % 3 > 0) for i in range(240) if got[i].held_out]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert got[900].score == got[901].score
+    kept = quality.keep_good(docs, labels.limit(0))
+    assert kept.count() == docs.count() and kept.columns == docs.columns
+    assert quality.quality(none, labels).count() == 0
+
+
+# -- duplicates --------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_fuse_filter_has_no_false_negative():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 10, 1000, 40_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        made = exact.FuseFilter.build(keys)
+        assert made.has(keys).all()
+        assert made.has(rng.integers(1 << 63, (1 << 64) - 1, 20_000, dtype=np.uint64)).mean() < 0.001
+
+
+def test_op3_groups_equal_texts(docs, texts, none):
+    got = rows(exact.exact_dedup(docs), "keep_id", "group_size", "kept", "text_sha256")
+    norm = {i: (t or "").translate(LOWER) for i, t in texts}
+    for i, t in norm.items():
+        same = [j for j, u in norm.items() if u == t]
+        assert got[i] == (max(same), len(same), i == max(same), hashlib.sha256(t.encode()).hexdigest())
+    kept = exact.keep_distinct(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if g[2]}
+    assert exact.exact_dedup(none).count() == 0
+
+
+def brute_components(texts, n, num, den):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    label = {i: i for i in sets}
+    changed = True
+    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in linked:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return {i: (len(sets[i]), label[i]) for i in sets}
+
+
+@pytest.mark.parametrize("like", [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
+def test_op4_loses_no_link(docs, texts, none, like):
+    got = rows(jaccard.similar_groups(docs, jaccard.Likeness(*like)), "n_shingles", "component_id")
+    assert got == brute_components(texts, *like)
+    if like[0] == 5:
+        kept = jaccard.keep_one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if g[1] == i}
+        assert jaccard.similar_groups(none).count() == 0
+
+
+def test_op4_chains_of_groups(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(40)]
+    made = []
+    for k in range(45):  # each a little further from the first: no two distant ones link, all are one group
+        base = list(base)
+        base[rng.randrange(40)] = f"n{k}"
+        made.append((k, " ".join(base)))
+    like = jaccard.Likeness(1, 90, 100)
+    assert rows(jaccard.similar_groups(frame(spark, made), like), "n_shingles", "component_id") == brute_components(made, 1, 90, 100)
+
+
+def test_op7_removes_later_passages(docs, texts, none):
+    got = rows(substring.passage_digests(docs), "n_words", "n_removed", "kept_sha256")
+    first, total = {}, 0
+    for i, t in sorted(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                gone[k : k + 50] = True
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        assert got[i] == (len(w), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest())
+        total += int(gone.sum())
+    assert total > 500
+    assert substring.passage_digests(none).count() == 0
+
+
+def brute_bytes(texts, length):
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - length + 1):
+            w = raw[k : k + length]
+            if w in seen:
+                gone[k : k + length] = True
+            seen.add(w)
+        out[i] = (raw, gone)
+    return out
+
+
+@pytest.mark.parametrize("many", [6000, 1])
+def test_op9_removes_later_bytes(docs, texts, none, many, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.repeats.MANY", many)  # 1: all by hashes of windows
+    got = rows(suffix.byte_digests(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for i, (raw, gone) in brute_bytes(texts, 100).items():
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert got[i] == (len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
+    if many == 6000:
+        new = suffix.without_repeats(docs)
+        assert new.columns == docs.columns
+        want = {i: np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") for i, (raw, gone) in brute_bytes(texts, 100).items()}
+        null = {i for i, t in texts if t is None}
+        assert {r.doc_id: r.text for r in new.collect()} == {i: None if i in null else t for i, t in want.items()}
+        assert suffix.byte_digests(none).count() == 0
+
+
+def test_interval_expansion():
+    rng = random.Random(5)
+    for _ in range(60):
+        length = rng.choice([5, 8, 12, 20])
+        data = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 8))]
+        doc = np.array([rng.randint(0, 3) for _ in data])
+        at = np.arange(len(data)) * 1000
+        every = sorted((int(d), int(a) + k, x[k : k + length]) for x, d, a in zip(data, doc, at, strict=True) for k in range(len(x) - length + 1))
+        first: dict = {}
+        want = {(d, p) for d, p, s in every if first.setdefault(s, (d, p)) != (d, p)}
+        d, p, n = suffix.later_windows(data, doc, at, length)
+        assert {(int(x), int(y) + k) for x, y, m in zip(d, p, n, strict=True) for k in range(m)} == want
+
+
+def test_long_texts_go_in_parts(monkeypatch):
+    assert windows.parts(25, 5, size=10) == [(0, 14), (10, 24), (20, 25)]
+    raw = np.frombuffer(("ab cde " * 4000).encode(), np.uint8)
+    whole = windows.word_hashes(raw)
+    monkeypatch.setattr(windows, "PART", 1000)
+    assert (windows.word_hashes(raw) == whole).all()
+
+
+def test_op8_fingerprints(docs, texts, none):
+    got = rows(imatch.fingerprints(docs, low=0.0, high=0.5), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    order = sorted(texts)
+    prints: dict[str, set] = {}
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[i][:2] == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i][4] <= 1 and 0 <= got[i][5] <= 1
+        prints.setdefault(t, set()).add(got[i][2])
+        if edited == t:
+            assert got[i][4] == 1.0 and got[i][2] == got[i][3]
+        if after == t:
+            assert got[i][5] == 1.0
+    assert all(len(p) == 1 for p in prints.values())
+    assert len({min(p) for p in prints.values()}) > len(prints) * 0.6
+    assert imatch.fingerprints(none).count() == 0
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    table = frame(spark, [(1, "same text here"), (1, "same text here"), (2, "Same text here"), (None, "no id")])
+    assert sorted(r.doc_id for r in exact.keep_distinct(table).where("doc_id is not null").collect()) == [2]
+    for keep in (exact.keep_distinct, jaccard.keep_one_of_each, suffix.without_repeats):
+        assert keep(table).where("doc_id is null").count() == 1
+    assert jaccard.similar_groups(table).where("component_id = 1").count() == 3
+    assert {r.n_removed for r in suffix.byte_digests(frame(spark, [(1, "z" * 60 + "y" * 60)] * 2)).collect()} == {0}

@@ -1,0 +1,24 @@
+"""The pipeline's stages, one after the other, on the smallest tables."""
+
+from __future__ import annotations
+
+import pytest
+
+pytest.importorskip("graphloom.llm")
+pipeline = pytest.importorskip("corpus_pipeline")
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, stage in pipeline.STAGES[:-1]:
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == columns
+        counts.append(docs.count())
+    assert counts == sorted(counts, reverse=True) and counts[-1] < counts[0]
+    pieces = pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert pipeline.run(spark, FOLDER).count() == pieces.count()
