@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir, ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that a Python task handles as one numpy block.
@@ -23,23 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, where PYTHONPATH doesn't already lead to it."""
-    root = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted((root / "graphloom").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so that other columns of the caller can't clash; rows without an id can't be named in a result and are left out."""
     ship(docs.sparkSession)
@@ -59,20 +40,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests) is a local one made."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts the lineage and survives the loss of executors."""
+def saved(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+    """df, written once to the shared folder and read back: cuts the lineage and survives the loss of executors. free: asks the driver's JVM to
+    collect its garbage, upon which Spark removes the shuffle files of the steps that are over."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

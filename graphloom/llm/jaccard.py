@@ -4,11 +4,14 @@ A document's tokens are hashes of its distinct word n-grams. In any fixed order
 other's first n - ceil(t n) + 1 tokens; rare tokens come first, so that few documents meet by chance.
 
 1. Equal sets are one set from here on.
-2. Every token's documents are compared with the token's hub, its smallest set. Links found make groups of similar documents: as many
-   comparisons as prefix tokens, however large a group is.
-3. What may still link lies in different groups that share a token. Each group has the union of its members' tokens, its row of the
-   token-group matrix. A set that has fewer than t |set| tokens in common with a group's union links with none of its members; only groups
-   that pass are opened, and the query compared with the members that it shares a prefix token with."""
+2. Every token's documents are compared with the token's hub, the smallest set of about their size. Links found make groups of similar
+   documents: as many comparisons as prefix tokens, however large a group is.
+3. What may still link lies in different groups that share a token. Each group has the union of its members' heads, its row of the
+   token-group matrix. A query that has too few tokens in common with a group's union links with none of its members; only groups that pass
+   are opened, and the query compared with the members that it shares a prefix token with.
+
+A head is the prefix and n / 10 tokens more. Sets that link have heads with n / 10 tokens in common, n of the smaller (with fewer, the first
+common token of the rest would come too late for t n in all), so heads decide almost every candidate; whole sets are fetched for the others."""
 
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, look_up, saved, text_blocks
@@ -44,6 +47,10 @@ class Likeness:
         """ceil(t n): tokens of a set of n that any set linked with it has too."""
         return -(-self.num * n // self.den)
 
+    def more(self, n):
+        """Tokens that heads of linked sets have in common, at least; of numbers, arrays or columns of sizes."""
+        return F.floor((n + 9) / 10) if isinstance(n, Column) else (n + 9) // 10
+
     def sets(self, column: pa.Array) -> list[np.ndarray]:
         """The sorted distinct tokens of each text; a text of fewer words than a shingle has one token, one without words none."""
         text = pc.ascii_lower(pc.fill_null(column, ""))
@@ -99,7 +106,7 @@ def frequent_tokens(texts: DataFrame, like: Likeness) -> tuple[np.ndarray, np.nd
 
 
 def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
-    """(doc, n, sig, prefix): size and 128-bit signature of each text's set, and its first tokens in order."""
+    """(doc, n, sig, head): size and 128-bit signature of each text's set, and its first tokens in order."""
     hot = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, like))
 
     def emit(batches):
@@ -116,13 +123,13 @@ def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
                     if len(token):
                         at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                         rank = np.where(token[at] == s, place[at], 0)
-                    first = s[np.argsort(rank, kind="stable")][: n - int(like.least(n)) + 1]
+                    first = s[np.argsort(rank, kind="stable")][: n - int(like.least(n)) + int(like.more(n))]
                 heads.append(first)
             offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
             flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "n", "sig", "head"])
 
-    return texts.mapInArrow(emit, "doc long, n int, sig binary, prefix array<long>")
+    return texts.mapInArrow(emit, "doc long, n int, sig binary, head array<long>")
 
 
 def fetch_sets(texts: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
@@ -132,8 +139,15 @@ def fetch_sets(texts: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
         for batch in text_blocks(batches, limit=1_500_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in like.sets(batch.column(1))], pa.binary())], ["doc", "tokens"])
 
-    wanted = texts.join(ids, F.col("doc_id") == F.col("doc"), "left_semi")
-    return saved(wanted.mapInArrow(emit, "doc long, tokens binary").groupBy("doc").agg(F.first("tokens").alias("tokens")), "sets")
+    wanted = texts.join(ids, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])  # both by doc_id: one shuffle
+    return saved(wanted.mapInArrow(emit, "doc long, tokens binary"), "sets")
+
+
+def _tokens(column: pa.Array) -> list[np.ndarray]:
+    """The sorted tokens of each row of a binary column, or of a column of lists."""
+    if pa.types.is_binary(column.type):
+        return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+    return [np.sort(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in column]
 
 
 def overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -141,7 +155,7 @@ def overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            rows = [(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            rows = list(zip(_tokens(batch.column(2)), _tokens(batch.column(3)), strict=True))
             both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in rows]
             sizes = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(both, pa.int64())], ["a", "b", "n", "m", "both"])
@@ -151,9 +165,18 @@ def overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, n long, m long, both long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    return overlaps(pairs, sets, sets).where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+
+def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b, n, m) that link: those whose heads (doc, tokens) have enough in common are compared by their whole sets."""
+    mine = heads.join(_ids(pairs), "doc", "left_semi")
+    close = pairs.join(overlaps(pairs.select("a", "b"), mine, mine).select("a", "b", "both"), ["a", "b"])
+    close = saved(close.where(F.col("both") >= like.more(F.least("n", "m"))).select("a", "b"), "close")
+    sets = fetch_sets(texts, _ids(close), like)
+    found = overlaps(close, sets, sets).where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both")))
+    return saved(found.select("a", "b"), "links")
 
 
 def unions(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,14 +184,14 @@ def unions(members: DataFrame, sets: DataFrame) -> DataFrame:
     in steps of UNITE members, so that no task holds all members of one."""
 
     def unite(table: pa.Table) -> pa.Table:
-        tokens = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]))
+        tokens = np.unique(np.concatenate(_tokens(table["tokens"].combine_chunks())))
         return pa.table({"group": table["group"].slice(0, 1), "tokens": pa.array([tokens.tobytes()], pa.binary())})
 
     sizes = members.groupBy("group").count()
     part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("count") / UNITE)).alias("part")
     now = sets.join(look_up(members, "group", sizes, "count", how="inner"), "doc").select("group", part, "tokens")
     steps = max(1, math.ceil(math.log(max(2, sizes.agg(F.max("count")).first()[0] or 1), UNITE)))
-    for _ in range(steps):
+    for _ in range(steps):  # lists of tokens at first, then sorted bytes
         now = now.groupBy("group", "part").applyInArrow(unite, "group long, tokens binary").withColumn("part", F.lit(0).cast("long"))
     return saved(now.select(F.col("group").alias("doc"), "tokens"), "unions")
 
@@ -182,40 +205,46 @@ def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     rep_of = saved(look_up(found.where("n > 0").select("doc", "n", "sig"), "sig", equal, "copies", how="inner").select("doc", "n", "rep"), "reps")
     reps = rep_of.where("doc = rep").select("doc").distinct()
 
-    entries = found.join(reps, "doc", "left_semi").select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
-    hubs = entries.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("n", "doc", "pos")).alias("hub")).where("size > 1")
-    shared = saved(entries.join(hubs, "token"), "shared")
+    prefix = F.slice("head", 1, F.col("n") - F.ceil(F.lit(like.num) * F.col("n") / float(like.den) - 1e-9).cast("int") + 1)
+    entries = found.join(reps, "doc", "left_semi").select("doc", "n", F.posexplode(prefix).alias("pos", "token"))
+    counts = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    band = like.band(F.col("n"))
+    shared = saved(entries.join(counts, "token").withColumn("band", band), "shared")
     upper = lambda n, p, m, q: 1 + F.least(n - p - 1, m - q - 1)  # noqa: E731  tokens in common, if this is the first of them
-    n, p, m, q = F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")
+    n, p, m, q = (F.col(c) for c in ("n", "pos", "m", "q"))
     fit = like.sizes_fit(n, m) & (upper(n, p, m, q) >= like.needs(n, m))
-    first = saved(shared.where(F.col("doc") != F.col("hub.doc")).where(fit).select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), "pairs")
-    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = fetch_sets(texts, ids(first), like)
-    links = saved(verified(first, sets, like), "links")
+
+    hubs = shared.groupBy("token", "band").agg(F.min(F.struct("n", "doc", "pos")).alias("hub")).select("token", "band", F.col("hub.doc").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
+    first = saved(shared.withColumnRenamed("doc", "a").join(hubs, ["token", "band"]).where(F.col("a") != F.col("b")).where(fit).select("a", "b", "n", "m").distinct(), "pairs")
+    heads = saved(found.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.col("head").alias("tokens")), "heads")
+    links = verified(first, heads, texts, like)
 
     # groups so far; each document without a link is one of its own
     groups = saved(components(links), "groups")
-    there = shared.where("size > 2").join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("group"))
+    there = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", "band", F.coalesce("component", "doc").alias("group"))
     mixed = there.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
     there = saved(there.join(mixed, "token", "left_semi"), "mixed")
-    band = like.band(F.col("n"))
-    rows = there.groupBy("token", band.alias("band"), "group").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    asked = there.join(there.groupBy("token", "group").agg(F.count("*").alias("own")), ["token", "group"]).select("token", F.col("doc").alias("a"), F.col("n").alias("n"), F.col("pos").alias("pos"), F.col("group").alias("mine"), "own", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    total = rows.withColumn("size", F.sum("size").over(Window.partitionBy("token", "group")))
-    may = asked.join(total, ["token", "band"]).where((F.col("group") != F.col("mine")) & ((F.col("size") > F.col("own")) | ((F.col("size") == F.col("own")) & (F.col("group") > F.col("mine")))))
+    rows = there.groupBy("token", "band", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - p).alias("rest"))
+    sizes = there.groupBy("token", "group").agg(F.count("*").alias("own"))
+    asked = there.join(sizes, ["token", "group"]).select("token", F.col("doc").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    may = asked.join(rows.join(sizes.withColumnRenamed("own", "size"), ["token", "group"]), ["token", "band"])
+    # of two groups at a token the one with fewer members there asks
+    may = may.where((F.col("group") != F.col("mine")) & ((F.col("size") > F.col("own")) | ((F.col("size") == F.col("own")) & (F.col("group") > F.col("mine")))))
     fits = (like.den * F.col("most") >= like.num * n) & (like.num * F.col("least") <= like.den * n) & (F.least(n - p, F.col("rest")) >= like.needs(n, F.col("least")))
-    questions = saved(may.where(fits).select("a", F.col("group").alias("b")).distinct(), "questions")
+    questions = saved(may.where(fits).groupBy("a", F.col("group").alias("b")).agg(F.first("n").alias("n"), F.min("least").alias("least")), "questions")
     if questions.isEmpty():
         return rep_of, links
-    members = there.select("doc", "group").distinct()
-    sets2 = fetch_sets(texts, questions.select(F.col("a").alias("doc")).unionByName(members.join(questions.select(F.col("b").alias("group")), "group", "left_semi").select("doc")).distinct(), like)
-    matrix = unions(members.join(questions.select(F.col("b").alias("group")), "group", "left_semi"), sets2)
-    opened = saved(overlaps(questions, sets2, matrix).where(like.den * F.col("both") >= like.num * F.col("n")).select("a", "b"), "opened")
-    asks = there.join(opened.withColumnRenamed("a", "doc"), "doc").select("token", F.col("doc").alias("a"), F.col("n").alias("n"), F.col("pos").alias("pos"), F.col("b").alias("group"))
+    members = there.join(questions.select(F.col("b").alias("group")).distinct(), "group", "left_semi").select("doc", "group").distinct()
+    least = there.groupBy("group").agg(F.min("n").alias("least"))
+    matrix = unions(members, heads)
+    bound = overlaps(questions.select("a", "b"), heads.join(questions.select(F.col("a").alias("doc")), "doc", "left_semi"), matrix).select("a", "b", "both")
+    bound = bound.join(questions.select("a", "b", F.col("n").alias("size")), ["a", "b"]).join(least.select(F.col("group").alias("b"), "least"), "b")
+    opened = saved(bound.where(F.col("both") >= like.more(F.least("size", "least"))).select("a", "b"), "opened")
+    asks = there.join(opened.withColumnRenamed("a", "doc"), "doc").select("token", F.col("doc").alias("a"), "n", "pos", F.col("b").alias("group"))
     answers = there.select("token", "group", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    second = asks.join(answers, ["token", "group"]).where(like.sizes_fit(n, F.col("m")) & (upper(n, p, F.col("m"), F.col("q")) >= like.needs(n, F.col("m")))).select("a", "b").distinct()
-    second = second.join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return rep_of, links.unionByName(saved(verified(second, sets2, like), "links"))
+    second = asks.join(answers, ["token", "group"]).where(fit).select("a", "b", "n", "m").distinct()
+    second = second.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    return rep_of, links.unionByName(verified(saved(second, "second"), heads, texts, like))
 
 
 def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
