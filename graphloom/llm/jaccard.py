@@ -4,7 +4,7 @@ A document's tokens are hashes of its distinct word n-grams. In any fixed order
 other's first n - ceil(t n) + 1 tokens; rare tokens come first, so that few documents meet by chance.
 
 1. Equal sets are one set from here on.
-2. Every token's documents are compared with the token's hub, the smallest set of about their size. Links found make groups of similar
+2. Every token's documents are compared with the token's hub, one of those of about their size, drawn by hash and token. Links found make groups of similar
    documents: as many comparisons as prefix tokens, however large a group is.
 3. What may still link lies in different groups that share a token. Each group has the union of its members' heads, its row of the
    token-group matrix. A query that has too few tokens in common with a group's union links with none of its members; only groups that pass
@@ -33,6 +33,8 @@ from .windows import Sums, mix, parts, words_of
 HOT_SHARE, SAMPLE, FEWEST = 1 / 2000, 32, 4
 #: Members of a group whose union one task makes; larger groups are united in steps.
 UNITE = 200
+#: Different hubs that documents with the same prefixes are compared with.
+HUBS = 6
 
 
 @dataclass(frozen=True)
@@ -214,7 +216,8 @@ def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
     n, p, m, q = (F.col(c) for c in ("n", "pos", "m", "q"))
     fit = like.sizes_fit(n, m) & (upper(n, p, m, q) >= like.needs(n, m))
 
-    hubs = shared.groupBy("token", "band").agg(F.min(F.struct("n", "doc", "pos")).alias("hub")).select("token", "band", F.col("hub.doc").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
+    draw = F.xxhash64("doc", F.pmod("token", F.lit(HUBS)))
+    hubs = shared.groupBy("token", "band").agg(F.min(F.struct(draw.alias("draw"), "n", "doc", "pos")).alias("hub")).select("token", "band", F.col("hub.doc").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
     first = saved(shared.withColumnRenamed("doc", "a").join(hubs, ["token", "band"]).where(F.col("a") != F.col("b")).where(fit).select("a", "b", "n", "m").distinct(), "pairs")
     heads = saved(found.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.col("head").alias("tokens")), "heads")
     links = verified(first, heads, texts, like)
