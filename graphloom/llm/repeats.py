@@ -3,7 +3,8 @@
 1. Each task cuts its texts into runs of windows with one anchor (see windows.py); copies of a run within the task are settled there.
 2. Runs meet by anchor. Equal runs are settled at once: all but the first go. Runs that share an anchor but differ are wanted in full.
 3. The texts of wanted runs are fetched, and their windows compared: by whichever way the remover brings, or by hash where an anchor has very
-   many different runs, so that no task holds an unbounded group.
+   many different runs, so that no task holds an unbounded group. Hashes go down in two steps: blocks of up to BLOCK windows that are cut at fixed
+   distances from the anchor, so that equal stretches make equal blocks whatever surrounds them, and single windows of the blocks left.
 4. Removed windows go back to their documents, and the units that they cover are cut out."""
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ MANY = 1500
 #: the mean number of anchors of a document divided by it.
 HOT_SHARE, SAMPLE = 1 / 500, 64
 GONE, COMPARE, BY_HASH = 0, 1, 2
+BLOCK = 16
+#: A run's number of windows and the distance to its anchor travel as one number.
+SPAN = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -52,7 +57,7 @@ class Kind:
             low, high = base[i] + start[i], base[j - 1] + end[j - 1]
             found.append(runs(units[low:high], (base + start)[i:j] - low, (end - start)[i:j], self.window, self.gram))
             found[-1]["text"] += i
-        out = {k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k in ("anchor", "content") else np.int64) for k in ("text", "at", "n", "anchor", "content")}
+        out = {k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k in ("anchor", "content") else np.int64) for k in ("text", "at", "n", "off", "anchor", "content")}
         out["at"] = out["at"] + start[out["text"]]
         out["text"] = row[out["text"]]
         return out
@@ -83,16 +88,16 @@ def _later(doc: np.ndarray, at: np.ndarray, head: np.ndarray, within: bool) -> n
     return later | (at > at[lead]) if within else later
 
 
-RUN = "key long, content long, doc long, at long, n int, anchor long, gone boolean"
+RUN = "key long, content long, doc long, at long, span int, anchor long, gone boolean"
 
 
 def _run_rows(kind: Kind, hot: np.ndarray):
     names = [x.split()[0] for x in RUN.split(", ")]
 
     def flush(held):
-        anchor, content, doc, at, n = (np.concatenate([h[i] for h in held]) for i in range(5))
+        anchor, content, doc, at, span = (np.concatenate([h[i] for h in held]) for i in range(5))
         order = np.lexsort((at, doc, content, anchor))
-        anchor, content, doc, at, n = anchor[order], content[order], doc[order], at[order], n[order]
+        anchor, content, doc, at, span = anchor[order], content[order], doc[order], at[order], span[order]
         gone = _later(doc, at, _first_of(anchor, content), kind.within)
         key = anchor.copy()
         if len(hot):
@@ -100,7 +105,7 @@ def _run_rows(kind: Kind, hot: np.ndarray):
             is_hot = hot[spot] == anchor
             key[is_hot] = anchor[is_hot] ^ (content[is_hot] * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(1)
         key[gone] = doc[gone].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        cols = [key.view(np.int64), content.view(np.int64), doc, at, n.astype(np.int32), anchor.view(np.int64), gone]
+        cols = [key.view(np.int64), content.view(np.int64), doc, at, span.astype(np.int32), anchor.view(np.int64), gone]
         for a in range(0, len(key), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in cols], names)
 
@@ -109,7 +114,7 @@ def _run_rows(kind: Kind, hot: np.ndarray):
         for batch in text_blocks(batches, limit=1_500_000):
             r = kind.cut(batch.column(1))
             doc = batch.column(0).to_numpy()[r["text"]]
-            held.append((r["anchor"], r["content"], doc, r["at"], r["n"]))
+            held.append((r["anchor"], r["content"], doc, r["at"], r["n"] + SPAN * r["off"]))
             rows += len(doc)
             if rows > 500_000:
                 yield from flush(held)
@@ -135,7 +140,7 @@ def hot_anchors(texts: DataFrame, kind: Kind) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-WANT = "doc long, anchor long, at long, n int, how int"
+WANT = "doc long, anchor long, at long, n int, off int, how int"
 
 
 def _settle(kind: Kind, by_hash: bool):
@@ -155,7 +160,8 @@ def _settle(kind: Kind, by_hash: bool):
         how = np.where(later, GONE, np.where(hot | (contents > MANY) | by_hash | (not whole), BY_HASH, COMPARE))
         how[rows["gone"]] = GONE
         keep = later | want | rows["gone"]
-        cols = [rows["doc"], rows["anchor"], rows["at"], rows["n"].astype(np.int32), how.astype(np.int32)]
+        span = rows["span"].astype(np.int32)
+        cols = [rows["doc"], rows["anchor"], rows["at"], span % SPAN, span // SPAN, how.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
 
     def stream(batches):
@@ -191,41 +197,80 @@ def _settle(kind: Kind, by_hash: bool):
     return stream
 
 
-FETCHED = "how int, key long, doc long, at long, data binary"
+FETCHED = "how int, key long, doc long, at long, n int, data binary"
+
+
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of values from each start to the next."""
+    ends = np.concatenate([starts, [len(values)]]).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
 
 
 def _fetch(kind: Kind):
-    """The bytes of runs to compare, or a row with the hash of each window."""
+    """The bytes of runs to compare; blocks of the others, with the hash of each window."""
     names = [x.split()[0] for x in FETCHED.split(", ")]
 
+    def plain(doc: int, text: pa.Array, at, n, anchor):
+        raw, _ = text_bytes(text)
+        data = [raw[a : a + m + kind.window - 1].tobytes() for a, m in zip(at, n, strict=True)]
+        size = len(at)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, COMPARE, np.int32)), pa.array(anchor), pa.array(np.full(size, doc)), pa.array(at), pa.array(n), pa.array(data, pa.binary())], names)
+
+    def hashed(doc: int, units: np.ndarray, at, n, off):
+        from .words import ragged
+
+        low = int(at[0])
+        sums = Sums(units[low : int((at + n).max()) + kind.window - 1])
+        place = ragged(at, n.astype(np.int64))
+        run = np.repeat(np.arange(len(at)), n)
+        block = (off[run] - (place - at[run])) // BLOCK
+        first = np.flatnonzero(_first_of(run, block))
+        size = np.diff(np.concatenate([first, [len(place)]]))
+        window = sums.of(place - low, place - low + kind.window)
+        start = place[first] - low
+        key = sums.of(start, start + size + kind.window - 1) ^ (size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        count = len(first)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(count, BY_HASH, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(count, doc)), pa.array(place[first]), pa.array(size.astype(np.int32)), _packed(window, first)], names)
+
     def fetch(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, wants = batch.column(0)[i].as_py(), batch.column(2).slice(i, 1).flatten()
                 text = batch.column(1).slice(i, 1)
-                at, n, how, anchor = (wants.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "how", "anchor"))
-                plain = np.flatnonzero(how == COMPARE)
-                if len(plain):
-                    raw, _ = text_bytes(text)
-                    data = [raw[a : a + m + kind.window - 1].tobytes() for a, m in zip(at[plain], n[plain], strict=True)]
-                    size = len(plain)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, COMPARE, np.int32)), pa.array(anchor[plain]), pa.array(np.full(size, doc)), pa.array(at[plain]), pa.array(data, pa.binary())], names)
-                hashed = np.flatnonzero(how == BY_HASH)
-                if len(hashed):
-                    from .words import ragged
-
+                at, n, off, how, anchor = (wants.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "off", "how", "anchor"))
+                p = np.flatnonzero(how == COMPARE)
+                if len(p):
+                    yield plain(doc, text, at[p], n[p], anchor[p])
+                h = np.flatnonzero(how == BY_HASH)
+                if len(h):
                     units, _ = kind.units(text)
-                    every = ragged(at[hashed], n[hashed].astype(np.int64))
-                    every = every[every + kind.window <= len(units)]
-                    for a in range(0, len(every), 200_000):
-                        s = every[a : a + 200_000]
-                        low, high = int(s.min()), int(s.max()) + kind.window
-                        value = Sums(units[low:high]).of(s - low, s - low + kind.window).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), BY_HASH, np.int32)), pa.array(value), pa.array(np.full(len(s), doc)), pa.array(s), pa.nulls(len(s), pa.binary())], names)
+                    h = h[np.argsort(at[h], kind="stable")]
+                    h = h[at[h] + n[h] + kind.window - 1 <= len(units)]
+                    for a in range(0, len(h), 4000):
+                        yield hashed(doc, units, *(x[h[a : a + 4000]] for x in (at, n, off)))
 
     return fetch
 
 
+def _windows(batches):
+    """Blocks (doc, at, data) -> a row for each window."""
+    from .words import ragged
+
+    for batch in batches:
+        data = batch.column(2)
+        sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        value = np.frombuffer(b"".join(data.to_pylist()), np.int64)
+        doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.repeat(doc, sizes)), pa.array(ragged(at, sizes))], ["key", "doc", "at"])
+
+
+def _matched(rows: DataFrame, kind: Kind, name: str) -> DataFrame:
+    """rows (key, doc, at, ...) with later: whether a row with the same key counts as earlier. Groups are counted before the shuffle."""
+    firsts = saved(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at")).alias("first")).where("copies > 1"), name)
+    later = F.struct("doc", "at") > F.col("first") if kind.within else F.col("doc") > F.col("first.doc")
+    return look_up(rows, "key", firsts, "copies").withColumn("later", F.coalesce(later, F.lit(False))).drop("copies", "first")
+
+
 def repeated_windows(docs: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """(doc, at, n): runs of windows of each document that also start earlier: in a document with a smaller id, or (kind.within) before in the
     same one. compare: (key, doc, at, data) -> (doc, at, n) for runs of bytes that share an anchor; None: all by hashes of windows."""
@@ -234,13 +279,13 @@ def repeated_windows(docs: DataFrame, kind: Kind, compare: Callable[[DataFrame],
     hot = hot_anchors(texts, kind)
     cut = texts.mapInArrow(_run_rows(kind, hot), RUN)
     found = saved(cut.repartition(n, "key").sortWithinPartitions("key", "content", "doc", "at").mapInArrow(_settle(kind, compare is None), WANT), "runs")
-    wants = found.where(f"how != {GONE}").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "how", "anchor")).alias("wants"))
+    wants = found.where(f"how != {GONE}").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "off", "how", "anchor")).alias("wants"))
     fetched = saved(texts.join(wants, F.col("doc_id") == F.col("doc")).select("doc", "text", "wants").mapInArrow(_fetch(kind), FETCHED), "fetched")
 
-    hashed = fetched.where(f"how = {BY_HASH}").select("key", "doc", "at")
-    firsts = saved(hashed.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "at")).alias("first")).where("copies > 1"), "firsts")
-    later = F.struct("doc", "at") > F.col("first") if kind.within else F.col("doc") > F.col("first.doc")
-    gone = found.where(f"how = {GONE}").select("doc", "at", "n").unionByName(look_up(hashed, "key", firsts, "copies", how="inner").where(later).select("doc", "at", F.lit(1).alias("n")))
+    blocks = saved(_matched(fetched.where(f"how = {BY_HASH}").drop("how"), kind, "firsts"), "blocks")
+    windows = saved(blocks.where("not later").select("doc", "at", "data").mapInArrow(_windows, "key long, doc long, at long"), "windows")
+    gone = found.where(f"how = {GONE}").select("doc", "at", "n").unionByName(blocks.where("later").select("doc", "at", "n"))
+    gone = gone.unionByName(_matched(windows, kind, "firsts").where("later").select("doc", "at", F.lit(1).alias("n")))
     if compare is not None:
         gone = gone.unionByName(compare(fetched.where(f"how = {COMPARE}").select("key", "doc", "at", "data")))
     return gone

@@ -69,12 +69,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def runs(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, w: int, k: int) -> dict[str, np.ndarray]:
     """Runs of windows with one anchor, of texts that lie at these places among the units: text (its number), at (first window's place in the
-    text), n (windows), anchor, content (hashes)."""
+    text), n (windows), off (from there to the anchor), anchor, content (hashes)."""
     from .words import ragged
 
     windows = np.maximum(lengths - w + 1, 0)
     if not windows.sum():
-        return {x: np.zeros(0, t) for x, t in (("text", np.int64), ("at", np.int64), ("n", np.int64), ("anchor", np.uint64), ("content", np.uint64))}
+        return {x: np.zeros(0, t) for x, t in (("text", np.int64), ("at", np.int64), ("n", np.int64), ("off", np.int64), ("anchor", np.uint64), ("content", np.uint64))}
     sums = Sums(units)
     gram = sums.grams(k)
     low = np.uint64((1 << LOW_BITS) - 1)
@@ -86,7 +86,8 @@ def runs(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, w: int, k:
     n = np.diff(np.concatenate([first, [len(least)]]))
     s = place[first]
     content = sums.of(s, s + n + w - 1) ^ (n.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return {"text": text[first], "at": s - starts[text[first]], "n": n, "anchor": gram[(least[first] & low).astype(np.int64)], "content": content}
+    spot = (least[first] & low).astype(np.int64)
+    return {"text": text[first], "at": s - starts[text[first]], "n": n, "off": spot - s, "anchor": gram[spot], "content": content}
 
 
 def parts(n: int, w: int, size: int = PART) -> list[tuple[int, int]]:
