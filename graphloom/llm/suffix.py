@@ -3,7 +3,8 @@
 Runs of bytes that share an anchor (see repeats.py) are concatenated, with a symbol of its own between them, and sorted as suffixes. Rows of
 the sorted matrix whose suffixes have a common prefix P form an interval. Breadth first, level by level, every interval is extended backward by
 each character c that stands before its rows: the rows of cP are where the transform sends them, and a border between two intervals of level
-d becomes a border of level d + 1. So common prefix lengths come out in increasing order; the expansion stops at the threshold, and rows
+d becomes a border of level d + 1. (The first seven levels are read off the sorting
+keys.) So common prefix lengths come out in increasing order; the expansion stops at the threshold, and rows
 that no border separates by then share at least that many bytes."""
 
 from __future__ import annotations
@@ -22,42 +23,73 @@ from .windows import text_bytes
 BLOCK = 250_000
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of their suffixes' first `depth` symbols (0 to 256), at least: doubling from 7 symbols in one number."""
+def packed_symbols(symbols: np.ndarray) -> np.ndarray:
+    """The first 7 symbols (0 to 256) of each suffix as one number."""
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
     key = np.zeros(n, np.int64)
     for k in range(7):
         key = key << 9 | padded[k : n + k]
-    rank, known = np.unique(key, return_inverse=True)[1], 7
+    return key
+
+
+def suffix_order(key: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of their suffixes' first `depth` symbols, at least: doubling from packed_symbols. Places whose order is settled keep
+    their rank; only groups of equals are sorted again."""
+    n = len(key)
+    order = np.argsort(key, kind="stable")
+    head = np.ones(n, bool)
+    head[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    known = 7
     while known < depth:
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - known)] = rank[known:] + 1
-        rank = np.unique(rank * np.int64(n + 1) + ahead, return_inverse=True)[1]
+        tied = np.flatnonzero(~(head & np.concatenate([head[1:], [True]])))  # rows of groups of more than one
+        if not len(tied):
+            break
+        place = order[tied]
+        ahead = np.where(place + known < n, rank[np.minimum(place + known, n - 1)] + 1, 0)
+        by = rank[place] * np.int64(n + 1) + ahead
+        again = np.argsort(by, kind="stable")
+        order[tied] = place[again]
+        by = by[again]
+        first = np.ones(len(by), bool)
+        first[1:] = by[1:] != by[:-1]
+        head[tied] = first
+        rank[order[tied]] = tied[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
         known *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
-def borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+def borders(symbols: np.ndarray, key: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """True for each row of the sorted matrix whose suffix shares fewer than `length` symbols with the row before."""
     n = len(symbols)
-    first = symbols[order]
     transform = symbols[order - 1]  # the symbol before each suffix; before the whole text its last
-    sent = np.argsort(transform, kind="stable")  # the row without its first symbol: the k-th c here is the k-th row that begins with c
+    sent = np.argsort(transform, kind="stable").astype(np.int32)  # the row without its first symbol: the k-th c here is the k-th row that begins with c
+    if length <= 7:
+        short = key[order] >> (9 * (7 - length))
+        return np.concatenate([[True], short[1:] != short[:-1]])
+    packed = key[order]
     found = np.ones(n, bool)
-    found[1:] = first[1:] != first[:-1]
+    found[1:] = packed[1:] != packed[:-1]  # levels 0 to 6
     new = found.copy()
-    row = np.flatnonzero(~found)
+    new[1:] &= (packed[1:] >> 9) == (packed[:-1] >> 9)  # level 6 alone
+    row = np.flatnonzero(~found).astype(np.int32)
     low, high = sent[row - 1], sent[row]
-    for _ in range(1, length):
+    settled = 0
+    for _ in range(7, length):
         if not len(row) or not new.any():
             break
         count = np.cumsum(new, dtype=np.int32)
-        hit = count[high] > count[low]
+        hit = row[count[high] != count[low]]
+        hit = hit[~found[hit]]
         new = np.zeros(n, bool)
-        new[row[hit]] = True
-        found[row[hit]] = True
-        row, low, high = row[~hit], low[~hit], high[~hit]
+        new[hit] = True
+        found[hit] = True
+        settled += len(hit)
+        if settled * 8 > len(row):  # drop the rows that are settled
+            left = ~found[row]
+            row, low, high, settled = row[left], low[left], high[left], 0
     return found
 
 
@@ -68,8 +100,9 @@ def later_windows(data: list[bytes], doc: np.ndarray, at: np.ndarray, length: in
     ends = np.cumsum(sizes + 1) - 1
     symbols[ends] = 0
     starts = ends - sizes
-    order = suffix_order(symbols, length + 12)
-    group = np.cumsum(borders(symbols, order, length))
+    key = packed_symbols(symbols)
+    order = suffix_order(key, length + 12)
+    group = np.cumsum(borders(symbols, key, order, length))
     owner = np.repeat(np.arange(len(data)), sizes + 1)[order]
     offset = order - starts[owner]
     real = offset + length <= sizes[owner]
