@@ -22,10 +22,10 @@ from .common import ids_and_texts, look_up, saved, shuffle_parts, text_blocks
 from .windows import BYTE_VALUES, Sums, parts, runs, text_bytes, words_of
 
 #: Anchors with more different runs than this are compared by hashes of windows.
-MANY = 1500
+MANY = 6000
 #: An anchor in more than this share of a sample of documents is dealt out by run instead of by anchor; there are fewer such anchors than
 #: the mean number of anchors of a document divided by it.
-HOT_SHARE, SAMPLE = 1 / 500, 64
+HOT_SHARE, SAMPLE = 1 / 50, 64
 GONE, COMPARE, BY_HASH = 0, 1, 2
 BLOCK = 16
 #: A run's number of windows and the distance to its anchor travel as one number.
