@@ -269,3 +269,18 @@ def keep_one_of_each(docs: DataFrame, like: Likeness = Likeness(5, 80, 100)) ->
     """The rows of docs, with all their columns, whose doc_id is the least of its group. Rows without an id stay."""
     gone = similar_groups(docs, like).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+
+
+ORACLE_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') as words from documents where doc_id is not null
+), s as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')] else list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) end as shingles from w
+), e as (select doc_id, len(shingles) as n, unnest(shingles) as g from s),
+pairs as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), sym as (select a, b from pairs union all select b, a from pairs),
+reach as (select doc_id as node, doc_id as seen from s union select node, b from reach join sym on a = seen)
+select s.doc_id, cast(len(shingles) as bigint) as n_shingles, min(seen) as component_id from s join reach on node = s.doc_id group by s.doc_id, shingles
+"""

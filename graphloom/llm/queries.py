@@ -82,6 +82,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact
+    from . import exact, jaccard, substring, suffix
 
-    return {"op3_exact_dedup": exact.ORACLE_SQL}
+    return {"op3_exact_dedup": exact.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_suffix_dedup": suffix.ORACLE_SQL}

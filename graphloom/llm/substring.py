@@ -48,3 +48,19 @@ def passage_digests(docs: DataFrame, window: int = 50) -> DataFrame:
     return remove_passages(docs, window).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLE_SQL = r"""
+with w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '') as words from documents where doc_id is not null
+), win as (
+  select doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 48)) as i from w)
+), hit as (
+  select doc_id, i from win join (select h, min(doc_id) as first_id from win group by h) using (h) where first_id < doc_id
+), gone as (
+  select distinct doc_id, i + k as i from hit, (select unnest(range(50)) as k)
+), kept as (
+  select p.doc_id, string_agg(p.word, ' ' order by p.i) as kept from (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from w) p
+  left join gone g on g.doc_id = p.doc_id and g.i = p.i where g.i is null group by 1
+)
+select w.doc_id, cast(len(words) as bigint) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join (select doc_id, count(*) as n from gone group by 1) g using (doc_id) left join kept using (doc_id)
+"""

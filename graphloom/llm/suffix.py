@@ -201,3 +201,26 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     text = F.coalesce("__text", "text")
     changes = {"text": text} | ({"n_chars": F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*[changes[c].alias(c) if c in changes else docs[c] for c in docs.columns])
+
+
+ORACLE_SQL = r"""
+with w as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents where doc_id is not null
+), win as (
+  select doc_id, i, md5(substring(h, 2 * i + 1, 200)) as k from (select doc_id, h, unnest(range(0, n - 99)) as i from w)
+), hit as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from win) where r > 1
+), edge as (
+  select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 100, -1) as opens from hit
+), span as (
+  select doc_id, min(i) as a, max(i) + 100 as b from (select *, sum(opens::int) over (partition by doc_id order by i) as s from edge) group by doc_id, s
+), cut as (
+  select w.doc_id, string_agg(substring(h, 2 * f + 1, 2 * (t - f)), '' order by f) as kept from w join (
+    select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as f, a as t from span union all
+    select doc_id, max(b), null from span group by 1
+  ) s using (doc_id), (select 1) where t is not null group by 1
+), tail as (select doc_id, max(b) as b from span group by 1)
+select w.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(m, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+  sha256(unhex(case when tail.b is null then h else coalesce(kept, '') || substring(h, 2 * tail.b + 1) end)) as kept_sha256
+from w left join (select doc_id, sum(b - a) as m, count(*) as spans from span group by 1) using (doc_id) left join cut using (doc_id) left join tail using (doc_id)
+"""
