@@ -2,6 +2,7 @@
 
 Terms whose document frequency lies in a band make the lexicon. Many random subsets of the lexicon are fixed by hashing, at four rates. For each
 subset the document's distinct terms in it are sorted and hashed together; the hashes of all subsets that are not empty are the fingerprint.
+A document without a term in any subset has hashes of all its terms instead.
 Whole-lexicon hashes change with any term, sparse subsets survive edits of the others, so the share of equal hashes tells how alike two texts
 are, whatever their length."""
 
@@ -14,7 +15,9 @@ from .common import ids_and_texts, saved, shuffle_parts
 
 #: A subset at rate r holds each term with probability 1/r; there are SUBSETS disjoint ones of each rate.
 RATES, SUBSETS = (64, 256, 1024, 4096), 32
-#: Band of document frequencies, as shares of all documents, and the most terms that a lexicon has: it has no more than the mean number of
+#: Subset numbers for the hashes of all terms: three of 24 bits, as they stand alone for a whole text.
+WHOLE = tuple(range(SUBSETS * len(RATES), SUBSETS * len(RATES) + 3))
+#: Band of document frequencies, as shares of all distinct texts, and the most terms that a lexicon has: it has no more than the mean number of
 #: terms of a document divided by LOW, whatever the corpus, and is broadcast.
 LOW, HIGH, MOST = 0.001, 0.1, 200_000
 
@@ -25,12 +28,13 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = MOST) -> DataFrame:
-    """(term, subset): hashes of the terms whose document frequency lies within [low, high] of all documents, each with the subsets that it
-    is in; of more than `most` terms the most frequent stay. The empty term stands in subset -1, so that every document has one."""
-    rows = ids_and_texts(docs)
-    n = rows.count()
-    counts = rows.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("word")).where("word != ''").groupBy(F.xxhash64("word").alias("term")).count()
-    kept = counts.where(F.col("count").between(max(1, int(low * n)), max(2, int(high * n)))).orderBy(F.desc("count"), "term").limit(most).select("term")
+    """(term, subset): hashes of the terms whose document frequency lies within [low, high] of all distinct texts, each with the subsets that
+    it is in; of more than `most` terms the most frequent stay. The empty term stands in subset -1, so that every document has one. Copies
+    count once: else a text with many would have no term in the band."""
+    rows = ids_and_texts(docs).select(F.coalesce("text", F.lit("")).alias("text"))
+    n = rows.select(F.xxhash64("text")).distinct().count()
+    counts = rows.distinct().select(F.explode(terms(F.col("text"))).alias("word")).where("word != ''").groupBy(F.xxhash64("word").alias("term")).count()
+    kept = saved(counts.where(F.col("count").between(max(1, int(low * n)), max(2, int(high * n)))).orderBy(F.desc("count"), "term").limit(most).select("term"), "terms")  # its shuffle files go with the next table that is saved
     drawn = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(r)) for k, r in enumerate(RATES)]
     places = F.array(*[F.when(d < SUBSETS, (d + SUBSETS * k).cast("int")) for k, d in enumerate(drawn)])
     found = kept.select("term", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("subset"))
@@ -68,33 +72,44 @@ def with_next(docs: DataFrame) -> DataFrame:
     return copies.select("x.part", "x.ghost", "doc_id", "text").select("part", F.row_number().over(order).alias("pos"), "ghost", "doc_id", "text", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Equal hashes, as a share of the subsets that are not empty in either; 1 for equal fingerprints."""
+def code(subset: Column, hashed: Column) -> Column:
+    return subset.cast("long") * (1 << 24) + F.pmod(hashed, F.lit(1 << 24))
+
+
+def likeness(a: Column, b: Column, same: Column) -> Column:
+    """Equal hashes, as a share of the subsets that are not empty in either; 1 for equal fingerprints, if empty only for the `same` text."""
     places = lambda x: F.transform(x, lambda c: F.shiftright(c, 24))
     either = F.size(F.array_union(places(a), places(b)))
-    return F.when(a == b, F.lit(1.0)).when(either == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    return F.when(either == 0, same.cast("double")).when(a == b, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row with an id.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many, or all, of the next document. A null text
-    counts as empty. Equal texts have equal fingerprints; a text without terms of the lexicon has an empty one, alike only to another such.
+    counts as empty. Equal texts have equal fingerprints; a text without letters and digits has an empty one, alike only to an equal text.
     Rows that repeat a doc_id follow each other, by text. A single document is its own next; an empty table gives no rows."""
     if ids_and_texts(docs).isEmpty():
         names = ("doc_id", "long"), ("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")
         return docs.select(*[F.lit(None).cast(t).alias(n) for n, t in names]).limit(0)
     half = (F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
-    base = with_next(docs).select("part", "pos", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("sha", F.sha2("edited", 256))
+    base = with_next(docs).select("part", "pos", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("sha", F.sha2("edited", 256)).withColumn("key", F.xxhash64("text")).withColumn("edited_key", F.xxhash64("edited"))
     kinds = F.when(F.col("ghost"), F.array(F.struct(F.lit(0).alias("kind"), F.col("text")))).otherwise(F.array(F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text"))))
-    both = base.select("part", "pos", F.struct("ghost", "doc_id", "n_chars", "sha").alias("about"), F.explode(kinds).alias("x"))
-    words = both.select("part", "pos", "x.kind", "about", F.explode(terms(F.col("x.text"))).alias("word")).select("part", "pos", "kind", F.when(F.col("word") == "", F.col("about")).alias("about"), F.xxhash64("word").alias("term"))
+    both = base.select("part", "pos", F.struct("ghost", "doc_id", "n_chars", "sha", "key", "edited_key").alias("about"), F.explode(kinds).alias("x"))
+    split = both.select("part", "pos", "x.kind", "about", terms(F.col("x.text")).alias("words"))
+    whole = F.when(F.size("words") > 1, F.xxhash64(F.sort_array("words")))
+    at_empty = lambda c: F.when(F.col("word") == "", F.col(c)).alias(c)
+    words = split.select("part", "pos", "kind", "about", whole.alias("whole"), F.explode("words").alias("word")).select("part", "pos", "kind", at_empty("about"), at_empty("whole"), F.xxhash64("word").alias("term"))
     found = words.join(F.broadcast(lexicon(docs, low, high)), "term")
-    sets = found.groupBy("part", "pos", "kind", "subset").agg(F.xxhash64(F.sort_array(F.collect_list("term"))).alias("hash"), F.first("about", True).alias("about"))
-    code = F.when(F.col("subset") >= 0, F.col("subset").cast("long") * (1 << 24) + F.pmod("hash", F.lit(1 << 24)))
-    prints = sets.groupBy("part", "pos").agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, code))).alias(f"print{k}") for k in (0, 1)], F.first("about", True).alias("about"))
-    after = F.lead("print0").over(Window.partitionBy("part").orderBy("pos"))
+    sets = found.groupBy("part", "pos", "kind", "subset").agg(F.xxhash64(F.sort_array(F.collect_list("term"))).alias("hash"), F.first("about", True).alias("about"), F.first("whole", True).alias("whole"))
+    hashes = F.when(F.col("subset") >= 0, code(F.col("subset"), F.col("hash")))
+    of_kind = lambda k, c: F.when(F.col("kind") == k, c)
+    found = [x for k in (0, 1) for x in (F.sort_array(F.collect_list(of_kind(k, hashes))).alias(f"found{k}"), F.first(of_kind(k, F.col("whole")), True).alias(f"whole{k}"))]
+    alone = lambda k: F.array(*[code(F.lit(w), F.xxhash64(f"whole{k}", F.lit(w))) for w in WHOLE])
+    prints = sets.groupBy("part", "pos").agg(*found, F.first("about", True).alias("about"))
+    prints = prints.select("part", "pos", "about", *[F.when((F.size(f"found{k}") == 0) & F.col(f"whole{k}").isNotNull(), alone(k)).otherwise(F.col(f"found{k}")).alias(f"print{k}") for k in (0, 1)])
+    order = Window.partitionBy("part").orderBy("pos")
     as_text = lambda x: F.array_join(F.transform(x, lambda c: F.lpad(F.hex(c), 8, "0")), "")
-    out = prints.select("about.*", "print0", "print1", after.alias("after")).where("not ghost")
-    return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text("print0").alias("fingerprint"), as_text("print1").alias("edited_fingerprint"), likeness(F.col("print0"), F.col("print1")).alias("near_edited"), likeness(F.col("print0"), F.col("after")).alias("near_next"))
+    out = prints.select("about.*", "print0", "print1", F.lead("print0").over(order).alias("after"), F.lead("about.key").over(order).alias("next_key")).where("not ghost")
+    return out.select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), as_text("print0").alias("fingerprint"), as_text("print1").alias("edited_fingerprint"), likeness(F.col("print0"), F.col("print1"), F.col("key") == F.col("edited_key")).alias("near_edited"), likeness(F.col("print0"), F.col("after"), F.col("key") == F.col("next_key")).alias("near_next"))

@@ -398,6 +398,24 @@ def test_op8_fingerprints(docs, texts, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_op8_tells_hot_groups_apart(spark):
+    common = [f"common{k}" for k in range(9)]
+    hot = " ".join(f"hot{k}" for k in range(40))
+    turned = lambda k, words: " ".join(words[k % len(words) :] + words[: k % len(words)]) + "." * (k // len(words))
+    texts = [hot] * 100
+    texts += [turned(k, common[:8]) for k in range(40)] + [turned(k, common[1:]) for k in range(40)]
+    texts += ["...", "!!!", "", None, ""]
+    texts += [" ".join(f"own{k}x{w}" for w in range(30)) for k in range(115)]
+    got = rows(imatch.fingerprints(frame(spark, list(enumerate(texts)))), "fingerprint", "near_edited", "near_next")
+    assert len(texts) == 300 and {len(got[i][0]) > 0 for i in range(180)} == {True}
+    assert len({got[i][0] for i in range(100)}) == 1 and {got[i][2] for i in range(99)} == {1.0}
+    assert all(0 < got[i][1] < 1 for i in range(100)) and got[99][2] == 0
+    assert len({got[i][0] for i in range(100, 140)}) == 1 and len({got[i][0] for i in range(140, 180)}) == 1
+    assert got[138][2] == 1 and got[139][2] == 0 and got[179][2] == 0
+    assert [got[i][0] for i in range(180, 185)] == [""] * 5
+    assert [got[i][2] for i in range(180, 184)] == [0, 0, 1, 1]
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     table = frame(spark, [(1, "same text here"), (1, "same text here"), (2, "Same text here"), (None, "no id")])
     assert sorted(r.doc_id for r in exact.keep_distinct(table).where("doc_id is not null").collect()) == [2]
