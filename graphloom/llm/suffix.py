@@ -160,7 +160,7 @@ def repeats(docs: DataFrame, length: int = 100, gram: int = 16) -> DataFrame:
 
 
 def cut_bytes(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
-    """finish(bytes kept, n_bytes, n_removed, n_spans) -> dict for each document."""
+    """finish(bytes, bytes kept, n_removed, n_spans) -> dict for each document."""
     names = [x.split()[0] for x in schema.split(", ")][1:]
     kinds = {"long": pa.int64(), "string": pa.string()}
     fields = [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
@@ -172,11 +172,11 @@ def cut_bytes(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
                 raw, _ = text_bytes(batch.column(1).slice(i, 1))
                 lists = batch.column(2).slice(i, 1)
                 if lists.null_count:
-                    out.append(finish(raw.tobytes(), len(raw), 0, 0))
+                    out.append(finish(raw.tobytes(), raw.tobytes(), 0, 0))
                     continue
                 gone = covered(lists.flatten(), len(raw), length)
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append(finish(raw[~gone].tobytes(), len(raw), int(gone.sum()), spans))
+                out.append(finish(raw.tobytes(), raw[~gone].tobytes(), int(gone.sum()), spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[k] for o in out], t) for k, t in fields[1:]]], ["doc_id", *names])
 
     return with_removals(docs, repeats(docs, length)).mapInArrow(cut, schema)
@@ -186,18 +186,19 @@ def byte_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each byte that a repeated string of `length` bytes covers is removed; n_spans counts
     the maximal removed runs. A null text is empty; texts shorter than `length` lose nothing. Rows that repeat a doc_id are one document. An
     empty table gives no rows."""
-    finish = lambda kept, n, m, s: {"n_bytes": n, "n_removed": m, "n_spans": s, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+    finish = lambda raw, kept, m, s: {"n_bytes": len(raw), "n_removed": m, "n_spans": s, "kept_sha256": hashlib.sha256(kept).hexdigest()}
     return cut_bytes(docs, length, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs, all columns, with the repeated bytes cut out of text (the rest of a character that is cut in two goes too) and n_chars, if there is
-    such a column, counted anew. Rows without an id, and null texts, stay as they are."""
+    such a column, counted anew. Rows without an id, and null texts, stay as they are. Each row gets its own text back, also where an id repeats."""
     from pyspark.sql import functions as F
 
-    finish = lambda kept, n, m, s: {"text": kept.decode("utf-8", "ignore"), "removed": m}
-    new = cut_bytes(docs, length, finish, "doc_id long, text string, removed long").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.col("removed").alias("__gone")).where("__gone > 0").dropDuplicates(["__id"])
-    joined = docs.join(new, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    finish = lambda raw, kept, m, s: {"sha": hashlib.sha256(raw).hexdigest(), "text": kept.decode("utf-8", "ignore"), "removed": m}
+    new = cut_bytes(docs, length, finish, "doc_id long, sha string, text string, removed long").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), F.col("text").alias("__text"), F.col("removed").alias("__gone")).where("__gone > 0").dropDuplicates(["__id", "__sha"])
+    here = F.sha2(docs["text"].cast("string"), 256)
+    joined = docs.join(new, (F.col("doc_id").cast("long") == F.col("__id")) & (here == F.col("__sha")), "left")
     text = F.coalesce("__text", "text")
     changes = {"text": text} | ({"n_chars": F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*[changes[c].alias(c) if c in changes else docs[c] for c in docs.columns])

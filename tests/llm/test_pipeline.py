@@ -10,6 +10,21 @@ pipeline = pytest.importorskip("corpus_pipeline")
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_stages_with_repeated_ids(spark):
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda df: sorted((r.doc_id, r.text or "", r.n_chars) for r in df.collect())
+    exact = [(1, "x"), (1, "y"), (2, "X"), (2, "z"), (3, "x"), (3, "x"), (4, ""), (5, None)]
+    last = {}
+    for i, t in exact:
+        last[(t or "").lower()] = max(i, last.get((t or "").lower(), 0))
+    assert kept(pipeline.exact_dedup(spark, table(exact), FOLDER)) == sorted((i, t or "", len(t or "")) for i, t in exact if last[(t or "").lower()] == i)
+    own = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    passage = own("p")[:120]
+    texts = [(1, passage + own("a")), (2, passage + own("b")), (2, own("c")), (3, own("d")), (3, own("e")), (4, None)]
+    want = [(i, t[120:] if i == 2 else t or "") for i, t in texts]  # rows of an id are one document: bytes removed from one go from all
+    assert kept(pipeline.repeat_dedup(spark, table(texts), FOLDER)) == sorted((i, t, len(t)) for i, t in want)
+
+
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
