@@ -83,19 +83,36 @@ def render_heatmap(kp: DataFrame, sigma: DataFrame, width: int = 256) -> DataFra
     return cells.where(inside).groupBy("image_id", "y", "x").agg(F.round(F.max("v"), 6).alias("v"))
 
 
-def heatmap_peaks(cells: DataFrame, threshold: float = 0.1, n: int = 5) -> DataFrame:
-    """(image_id, y, x, v): cells above the threshold with no greater cell in their n x n neighbourhood nor beside any cell of their plateau, which
-    is the set of equal cells linked by such neighbourhoods. All cells of a plateau that is a maximum count."""
+def _maxima(cells: DataFrame, n: int) -> DataFrame:
+    """The open cells of (image_id, y, x, v, cell, open) with no greater cell in their n x n neighbourhood nor beside any cell of their plateau,
+    which is the set of equal cells linked by such neighbourhoods; cells that aren't open are known to be none."""
     from .components import components
 
     r = n // 2
-    high = cells.where(F.col("v") > threshold).withColumn("cell", F.col("y").cast("long") * (1 << 20) + F.col("x"))
+    high = cells.where("open")
     offsets = F.explode(F.sequence(F.lit(-r), F.lit(r)))
     around = high.withColumn("dy", offsets).withColumn("dx", offsets).where("dx != 0 or dy != 0")
     around = around.select("image_id", "cell", "v", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-    pairs = around.join(high.select("image_id", "y", "x", F.col("v").alias("w"), F.col("cell").alias("other")), ["image_id", "y", "x"])
-    below = pairs.where("w > v").select("image_id", "cell").distinct()
-    flat = components(pairs.where("w = v").select("image_id", F.col("cell").alias("a"), F.col("other").alias("b")))
+    pairs = around.join(cells.select("image_id", "y", "x", F.col("v").alias("w"), F.col("cell").alias("other"), F.col("open").alias("other_open")), ["image_id", "y", "x"])
+    below = pairs.where("w > v or (w = v and not other_open)").select("image_id", "cell").distinct()
+    flat = components(pairs.where("w = v and other_open").select("image_id", F.col("cell").alias("a"), F.col("other").alias("b")))
     named = high.join(flat.select("image_id", F.col("node").alias("cell"), "component"), ["image_id", "cell"], "left").withColumn("plateau", F.coalesce("component", "cell"))
     lower = named.join(below, ["image_id", "cell"], "left_semi").select("image_id", "plateau").distinct()
-    return named.join(lower, ["image_id", "plateau"], "left_anti").select("image_id", "y", "x", "v")
+    return named.join(lower, ["image_id", "plateau"], "left_anti").select("image_id", "y", "x", "v", "cell")
+
+
+def heatmap_peaks(cells: DataFrame, threshold: float = 0.1, n: int = 5, long_bond: float = 35.0, wide: int = 15, most: int = 300) -> DataFrame:
+    """(image_id, y, x, v): cells above the threshold that are regional maxima under n x n neighbourhoods; all cells of a plateau count. Images
+    of 2 to `most` peaks whose bond size is over long_bond are done again with `wide`; their peaks are among the first ones, so only these
+    are tried."""
+    from ..scratch import saved
+    from .geometry import bond_size
+
+    high = cells.where(F.col("v") > threshold).select("image_id", "y", "x", "v", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("cell"))
+    first = saved(_maxima(high.withColumn("open", F.lit(True)), n), "peaks")
+    few = first.groupBy("image_id").count().where(F.col("count").between(2, most)).select("image_id")
+    sizes = bond_size(first.join(few, "image_id", "left_semi").select("image_id", F.col("cell").alias("idx"), "x", "y"))
+    again = saved(sizes.where(F.col("bond_size") > long_bond).select("image_id"), "long-bonds")
+    tried = first.select("image_id", "cell", F.lit(True).alias("open"))
+    rest = high.join(again, "image_id", "left_semi").join(tried, ["image_id", "cell"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    return first.join(again, "image_id", "left_anti").unionByName(_maxima(rest, wide)).drop("cell")

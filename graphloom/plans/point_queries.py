@@ -142,7 +142,9 @@ def heatmap(t):
 
 @query()
 def peaks(t):
-    return raster.heatmap_peaks(_heat(t))
+    image = F.concat_ws("/", "image_id", F.floor(F.col("vec_id") / 200).cast("string"))  # about 20 keypoints an image, however many rows
+    kp = t.kp.select(image.alias("image_id"), "idx", F.pmod("x", F.lit(256)).alias("x"), F.pmod("y", F.lit(256)).alias("y"))
+    return raster.heatmap_peaks(raster.render_heatmap(kp, kp.select("image_id").distinct().withColumn("sigma", F.lit(2.0))))
 
 
 @query("select image_id, b, e, dist from {edges}")

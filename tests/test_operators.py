@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.distance import DELETE_COSTS, INSERT_COSTS, SUBSTITUTE_COSTS, edit_distance
 from graphloom.functions.text import caption_flag, clean_label, has_exotic_atom, stem
-from graphloom.operators import components, geometry, graph, metrics
+from graphloom.operators import components, geometry, graph, metrics, raster
 
 
 def test_costs():
@@ -103,3 +103,18 @@ def test_compact_ids_have_no_gaps(spark):
     n, e = graph.apply_predictions(nodes, edges)
     assert sorted(r.idx for r in n.collect()) == list(range(6))
     assert sorted((r.b, r.e) for r in e.collect()) == [(0, 1), (2, 3), (4, 5)]
+
+
+def test_peaks_of_long_bonds_are_found_again(spark):
+    cells = [("long", 10, x, v) for x, v in ((10, 1.0), (15, 0.5), (60, 1.0), (66, 1.0), (110, 0.9))] + [("long", 60, 10, 0.7), ("long", 110, 110, 0.7), ("long", 10, 160, 0.05)]
+    cells += [("short", 10, x, v) for x, v in ((10, 1.0), (15, 0.5), (20, 0.9), (22, 0.95))] + [("one", 5, 5, 0.4)]
+    got = sorted((r.image_id, r.y, r.x) for r in raster.heatmap_peaks(spark.createDataFrame(cells, "image_id string, y int, x int, v double")).collect())
+    long = [(10, 10), (10, 60), (10, 66), (10, 110), (60, 10), (110, 110)]
+    assert got == [("long", *p) for p in long] + [("one", 5, 5)] + [("short", 10, x) for x in (10, 15, 22)]
+
+
+def test_peaks_use_all_rows(spark):
+    from graphloom.plans import catalog
+
+    peaks = catalog.queries()["peaks"](spark, "/root/testdata/sf0.001")
+    assert peaks.select("image_id").distinct().count() > 10 and peaks.agg(F.max("x")).first()[0] > 63
