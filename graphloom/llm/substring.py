@@ -1,9 +1,9 @@
 """Removal of passages that an earlier document has too: seed and extend over words.
 
-Seeds are winnowed anchors: of each window's 10-word grams the one with the least hash. Documents are joined on them. From a shared anchor the
-match is extended to the left and to the right, window by window up to the furthest that still holds the anchor, against all partners at once:
-equal stretches by one hash, the others by the hash of each window. Adjacent windows that match make up the maximal repeats; they are at least
-`window` words long by construction, and cut out of every document but the first that has them."""
+Seeds are winnowed anchors: of each window's 10-word grams the one with the least hash. Pairs of documents are not joined on them and no match is
+extended from one. The run of windows around an anchor is compared with all others of that anchor by hashes: equal runs by one hash, the others
+by hashes of blocks and then of single windows. Adjacent windows that match make up what is cut, at least `window` words long, out of every
+document but the first that has them. The words behind equal 64-bit hashes are not compared."""
 
 from __future__ import annotations
 
