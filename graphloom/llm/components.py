@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import look_up, saved
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours in v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    """(u, v, m): m is the least of u and its neighbours in v. Nodes with very many neighbours are looked up apart."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+    return look_up(edges, "u", least, "degree", how="inner")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of links (a, b); component is the least node that links reach.
+    """(node, component) of every node of links (a, b), of any type that has an order; component is the least node that links reach.
 
     Alternates large-star and small-star steps: each node hands its larger neighbours, then its smaller ones, to the least node it sees, until
-    nothing changes. Links stay as many as they were at most; a node with very many neighbours is only a large key of a plain join."""
+    nothing changes. Links stay as many as they were at most."""
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     state = None
     for _ in range(rounds):

@@ -3,12 +3,14 @@
 A document's tokens are hashes of its distinct word n-grams. In any fixed order of tokens, two sets with Jaccard similarity t share one of each
 other's first n - ceil(t n) + 1 tokens; rare tokens come first, so that few documents meet by chance.
 
-1. Equal sets are one set from here on.
-2. Every token's documents are compared with the token's hub, one of those of about their size, drawn by hash and token. Links found make groups of similar
-   documents: as many comparisons as prefix tokens, however large a group is.
-3. What may still link lies in different groups that share a token. Each group has the union of its members' heads, its row of the
-   token-group matrix. A query that has too few tokens in common with a group's union links with none of its members; only groups that pass
-   are opened, and the query compared with the members that it shares a prefix token with.
+1. Equal sets are one set from here on, named by a 128-bit signature.
+2. Partition: of all sets with a token in their prefix and about the same size, the one with the fewest rarer tokens before it is the token's hub: of
+   a family of near copies, the one with the fewest words of its own. The others are compared with it. Links found make groups of similar documents: as
+   many comparisons as prefix tokens, however large a group is.
+3. What may still link lies in different groups that share a prefix token. The token-group matrix has a row for each group and token of its
+   members' heads: the groups' unions, never held in one place. A query has a row for each token of its head; the rows that meet are counted for each
+   query and group, and a group with too few has no member that links with the query. A group of one document is its own union.
+4. Only groups that pass are opened: the query is compared with the members that it shares a prefix token with.
 
 A head is the prefix and n / 10 tokens more. Sets that link have heads with n / 10 tokens in common, n of the smaller (with fewer, the first
 common token of the rest would come too late for t n in all), so heads decide almost every candidate; whole sets are fetched for the others."""
@@ -31,10 +33,6 @@ from .windows import Sums, mix, parts, words_of
 #: Tokens in at least this share of a sample of documents (1 of SAMPLE, FEWEST at least) come after all others, by frequency. There are fewer of
 #: them than the mean number of tokens divided by the share. They decide the order only, so any sample gives right results.
 HOT_SHARE, SAMPLE, FEWEST = 1 / 2000, 32, 4
-#: Members of a group whose union one task makes; larger groups are united in steps.
-UNITE = 200
-#: Different hubs that documents with the same prefixes are compared with.
-HUBS = 6
 
 
 @dataclass(frozen=True)
@@ -107,167 +105,144 @@ def frequent_tokens(texts: DataFrame, like: Likeness) -> tuple[np.ndarray, np.nd
     return token[order], place[order]
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    return np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes()
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
 def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
-    """(doc, n, sig, head): size and 128-bit signature of each text's set, and its first tokens in order."""
+    """(doc, n, sig, head): size and signature of each text's set, and its first tokens in order."""
     hot = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, like))
 
-    def emit(batches):
+    def first(s: np.ndarray) -> np.ndarray:
         token, place = hot.value
+        n = len(s)
+        if not n:
+            return s
+        rank = np.zeros(n, np.int64)
+        if len(token):
+            at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+            rank = np.where(token[at] == s, place[at], 0)
+        return s[np.argsort(rank, kind="stable")][: n - int(like.least(n)) + int(like.more(n))]
+
+    def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
-            sizes, sigs, heads = [], [], []
-            for s in like.sets(batch.column(1)):
-                n = len(s)
-                sizes.append(n)
-                sigs.append(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes())
-                first = s
-                if n:
-                    rank = np.zeros(n, np.int64)
-                    if len(token):
-                        at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                        rank = np.where(token[at] == s, place[at], 0)
-                    first = s[np.argsort(rank, kind="stable")][: n - int(like.least(n)) + int(like.more(n))]
-                heads.append(first)
-            offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
-            flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc", "n", "sig", "head"])
+            sets = like.sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), _lists([first(s) for s in sets])], ["doc", "n", "sig", "head"])
 
     return texts.mapInArrow(emit, "doc long, n int, sig binary, head array<long>")
 
 
-def fetch_sets(texts: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
-    """(doc, tokens) of these ids (doc), each once; tokens as sorted 64-bit numbers."""
+def fetch_sets(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
+    """(sig, tokens) of the wanted sets (sig, doc), each once; doc is the id of a text that has the set."""
 
     def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in like.sets(batch.column(1))], pa.binary())], ["doc", "tokens"])
+            sets = like.sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), _lists(sets)], ["sig", "tokens"])
 
-    wanted = texts.join(ids, F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id"])  # both by doc_id: one shuffle
-    return saved(wanted.mapInArrow(emit, "doc long, tokens binary"), "sets")
+    found = texts.join(wanted.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return saved(found.mapInArrow(emit, "sig binary, tokens array<long>").join(wanted, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
 
 
-def _tokens(column: pa.Array) -> list[np.ndarray]:
-    """The sorted tokens of each row of a binary column, or of a column of lists."""
-    if pa.types.is_binary(column.type):
-        return [np.frombuffer(x.as_py(), np.uint64) for x in column]
-    return [np.sort(x.values.to_numpy(zero_copy_only=False).view(np.uint64)) for x in column]
+def with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with x, y: what sets (sig, tokens) has for a and for b."""
+    return pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
 
 
-def overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """pairs (a, b) with n, m, both: sizes of left's tokens of a and right's tokens of b, and how many they share."""
+def _names(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
 
-    def count(batches):
-        for batch in batches:
-            rows = list(zip(_tokens(batch.column(2)), _tokens(batch.column(3)), strict=True))
-            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in rows]
-            sizes = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, pa.array(both, pa.int64())], ["a", "b", "n", "m", "both"])
 
-    with_left = pairs.join(left.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
-    with_both = with_left.join(right.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return with_both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, n long, m long, both long")
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b, n, m) that link: those whose heads have enough in common are compared by their whole sets."""
+    both = F.size(F.array_intersect("x", "y"))
+    heads = sets.join(_names(pairs), "sig", "left_semi").select("sig", F.col("head").alias("tokens"))
+    close = saved(with_both(pairs, heads).where(both >= like.more(F.least("n", "m"))).select("a", "b"), "close")
+    whole = fetch_sets(texts, sets.join(_names(close), "sig", "left_semi").select("sig", F.col("first").alias("doc")), like)
+    found = with_both(close, whole).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("both"))
+    return saved(found.where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "links")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def qualifying(questions: DataFrame, members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
+    """(a, group) of the questions (a, group, n, least) whose query has enough tokens of its head in the group's union to link with a member.
+    members: (sig, group). Every row is a number: no task and no cell holds a union."""
+    asked = sets.join(questions.select(F.col("a").alias("sig")).distinct(), "sig", "left_semi").select(F.col("sig").alias("a"), "head")
+    open_groups = questions.select("group").distinct()
+    matrix = members.join(open_groups, "group", "left_semi").join(sets.select("sig", "head"), "sig").select("group", F.explode("head").alias("token")).distinct()
+    rows = questions.join(asked, "a").select("a", "group", F.least("n", "least").alias("size"), F.explode("head").alias("token"))
+    counted = rows.join(matrix, ["group", "token"]).groupBy("a", "group").agg(F.count("*").alias("both"), F.first("size").alias("size"))
+    return counted.where(F.col("both") >= like.more(F.col("size"))).select("a", "group")
 
 
-def verified(pairs: DataFrame, heads: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b, n, m) that link: those whose heads (doc, tokens) have enough in common are compared by their whole sets."""
-    mine = heads.join(_ids(pairs), "doc", "left_semi")
-    close = pairs.join(overlaps(pairs.select("a", "b"), mine, mine).select("a", "b", "both"), ["a", "b"])
-    close = saved(close.where(F.col("both") >= like.more(F.least("n", "m"))).select("a", "b"), "close")
-    sets = fetch_sets(texts, _ids(close), like)
-    found = overlaps(close, sets, sets).where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both")))
-    return saved(found.select("a", "b"), "links")
-
-
-def unions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc, tokens): for each group (members: doc, group) the union of its members' tokens, under the group's name. Large groups are united
-    in steps of UNITE members, so that no task holds all members of one."""
-
-    def unite(table: pa.Table) -> pa.Table:
-        tokens = np.unique(np.concatenate(_tokens(table["tokens"].combine_chunks())))
-        return pa.table({"group": table["group"].slice(0, 1), "tokens": pa.array([tokens.tobytes()], pa.binary())})
-
-    sizes = members.groupBy("group").count()
-    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("count") / UNITE)).alias("part")
-    now = sets.join(look_up(members, "group", sizes, "count", how="inner"), "doc").select("group", part, "tokens")
-    steps = max(1, math.ceil(math.log(max(2, sizes.agg(F.max("count")).first()[0] or 1), UNITE)))
-    for _ in range(steps):  # lists of tokens at first, then sorted bytes
-        now = now.groupBy("group", "part").applyInArrow(unite, "group long, tokens binary").withColumn("part", F.lit(0).cast("long"))
-    return saved(now.select(F.col("group").alias("doc"), "tokens"), "unions")
-
-
-def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): (doc, n, rep) of every document, where rep is the least id with an equal set, and links (a, b) between representatives
-    that join all documents whose sets link, directly or through others."""
+def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, sets, links): (doc, n, sig) of every row; (sig, n, first, copies, head) of every set that isn't empty, where first is the least id
+    that has it; links (a, b) between sets that join all sets that link, directly or through others."""
     texts = ids_and_texts(docs)
     found = saved(prefixes(texts, like), "prefixes")
-    equal = saved(found.where("n > 0").groupBy("sig", "n").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")).drop("n"), "equal")
-    rep_of = saved(look_up(found.where("n > 0").select("doc", "n", "sig"), "sig", equal, "copies", how="inner").select("doc", "n", "rep"), "reps")
-    reps = rep_of.where("doc = rep").select("doc").distinct()
+    # copies are counted before the shuffle
+    sets = saved(found.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("head").alias("head")), "distinct")
+    rows = found.select("doc", "n", "sig")
 
     prefix = F.slice("head", 1, F.col("n") - F.ceil(F.lit(like.num) * F.col("n") / float(like.den) - 1e-9).cast("int") + 1)
-    entries = found.join(reps, "doc", "left_semi").select("doc", "n", F.posexplode(prefix).alias("pos", "token"))
-    counts = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    band = like.band(F.col("n"))
-    shared = saved(entries.join(counts, "token").withColumn("band", band), "shared")
+    entries = sets.select("sig", "n", F.posexplode(prefix).alias("pos", "token"))
+    counts = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    shared = saved(entries.join(counts, "token").withColumn("band", like.band(F.col("n"))), "shared")
     upper = lambda n, p, m, q: 1 + F.least(n - p - 1, m - q - 1)  # noqa: E731  tokens in common, if this is the first of them
     n, p, m, q = (F.col(c) for c in ("n", "pos", "m", "q"))
     fit = like.sizes_fit(n, m) & (upper(n, p, m, q) >= like.needs(n, m))
 
-    draw = F.xxhash64("doc", F.pmod("token", F.lit(HUBS)))
-    hubs = shared.groupBy("token", "band").agg(F.min(F.struct(draw.alias("draw"), "n", "doc", "pos")).alias("hub")).select("token", "band", F.col("hub.doc").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
-    first = saved(shared.withColumnRenamed("doc", "a").join(hubs, ["token", "band"]).where(F.col("a") != F.col("b")).where(fit).select("a", "b", "n", "m").distinct(), "pairs")
-    heads = saved(found.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", F.col("head").alias("tokens")), "heads")
-    links = verified(first, heads, texts, like)
+    hubs = shared.groupBy("token", "band").agg(F.min(F.struct("pos", F.xxhash64("sig").alias("draw"), "n", "sig")).alias("hub")).select("token", "band", F.col("hub.sig").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
+    with_hub = shared.withColumnRenamed("sig", "a").join(hubs, ["token", "band"])
+    first = saved(with_hub.where(F.col("a") != F.col("b")).where(fit).select("a", "b", "n", "m").distinct(), "pairs")
+    links = verified(first, sets, texts, like)
 
-    # groups so far; each document without a link is one of its own
+    # groups so far; each set without a link is one of its own
     groups = saved(components(links), "groups")
-    there = shared.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", "band", F.coalesce("component", "doc").alias("group"))
+    there = shared.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "pos", "band", F.coalesce("component", "sig").alias("group"), F.col("component").isNotNull().alias("many"))
     mixed = there.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
     there = saved(there.join(mixed, "token", "left_semi"), "mixed")
-    rows = there.groupBy("token", "band", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - p).alias("rest"))
+    stats = there.groupBy("token", "band", "group", "many").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - p).alias("rest"))
     sizes = there.groupBy("token", "group").agg(F.count("*").alias("own"))
-    asked = there.join(sizes, ["token", "group"]).select("token", F.col("doc").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    may = asked.join(rows.join(sizes.withColumnRenamed("own", "size"), ["token", "group"]), ["token", "band"])
+    asked = there.join(sizes, ["token", "group"]).select("token", F.col("sig").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    may = asked.join(stats.join(sizes.withColumnRenamed("own", "size"), ["token", "group"]), ["token", "band"])
     # of two groups at a token the one with fewer members there asks
     may = may.where((F.col("group") != F.col("mine")) & ((F.col("size") > F.col("own")) | ((F.col("size") == F.col("own")) & (F.col("group") > F.col("mine")))))
     fits = (like.den * F.col("most") >= like.num * n) & (like.num * F.col("least") <= like.den * n) & (F.least(n - p, F.col("rest")) >= like.needs(n, F.col("least")))
-    questions = saved(may.where(fits).groupBy("a", F.col("group").alias("b")).agg(F.first("n").alias("n"), F.min("least").alias("least")), "questions")
-    if questions.isEmpty():
-        return rep_of, links
-    members = there.join(questions.select(F.col("b").alias("group")).distinct(), "group", "left_semi").select("doc", "group").distinct()
-    least = there.groupBy("group").agg(F.min("n").alias("least"))
-    matrix = unions(members, heads)
-    bound = overlaps(questions.select("a", "b"), heads.join(questions.select(F.col("a").alias("doc")), "doc", "left_semi"), matrix).select("a", "b", "both")
-    bound = bound.join(questions.select("a", "b", F.col("n").alias("size")), ["a", "b"]).join(least.select(F.col("group").alias("b"), "least"), "b")
-    opened = saved(bound.where(F.col("both") >= like.more(F.least("size", "least"))).select("a", "b"), "opened")
-    asks = there.join(opened.withColumnRenamed("a", "doc"), "doc").select("token", F.col("doc").alias("a"), "n", "pos", F.col("b").alias("group"))
-    answers = there.select("token", "group", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    questions = saved(may.where(fits).groupBy("a", "group", "many").agg(F.first("n").alias("n"), F.min("least").alias("least")), "questions")
+    members = groups.select(F.col("node").alias("sig"), F.col("component").alias("group"))
+    opened = saved(questions.where("not many").select("a", "group").unionByName(qualifying(questions.where("many"), members, sets, like)), "opened")
+    asks = there.join(opened.withColumnRenamed("a", "sig").withColumnRenamed("group", "other"), "sig").select("token", F.col("sig").alias("a"), "n", "pos", F.col("other").alias("group"))
+    answers = there.select("token", "group", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
     second = asks.join(answers, ["token", "group"]).where(fit).select("a", "b", "n", "m").distinct()
     second = second.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return rep_of, links.unionByName(verified(saved(second, "second"), heads, texts, like))
+    return rows, sets, links.unionByName(verified(saved(second, "second"), sets, texts, like))
 
 
 def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the least doc_id that links reach, a document's own where it has none.
 
-    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A null text, or one without words, has the empty set and links with nothing. Rows
-    that repeat a doc_id are one document; each gives a row. An empty table gives no rows. Tokens are 64-bit hashes: within a pair of sets,
-    two different shingles are taken for one with a probability of about |a| |b| / 2^64."""
-    texts = ids_and_texts(docs)
-    sets, links = similar(docs, like)
-    groups = saved(components(links), "components")
-    sizes = groups.select(F.col("node").alias("rep"), "component")
-    named = look_up(sets, "rep", sets.groupBy("rep").agg(F.count("*").alias("copies")).join(sizes, "rep", "left"), "copies")
-    named = named.select("doc", "n", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    return texts.select("doc_id").join(named, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A null text, or one without words, has the empty set and links with nothing. Each
+    row is a document of its own: rows that repeat a doc_id have each their own text's set and group. An empty table gives no rows. Tokens are
+    64-bit hashes: within a pair of sets, two different shingles are taken for one with a probability of about |a| |b| / 2^64."""
+    rows, sets, links = similar(docs, like)
+    groups = saved(components(links), "components").withColumnRenamed("node", "sig")
+    named = sets.join(groups, "sig", "left").select("sig", "first", "copies", F.coalesce("component", "sig").alias("group"))
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
+    table = look_up(named, "group", least, "sets", how="inner").select("sig", "copies", "component_id")
+    out = look_up(rows, "sig", saved(table, "named"), "copies")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, like: Likeness = Likeness(5, 80, 100)) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the least of its group. Rows without an id stay."""
-    gone = similar_groups(docs, like).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
+    """The rows of docs, with all their columns, that have the least doc_id of their group. Rows without an id stay. Where an id repeats, its rows
+    stay as long as one of them does: which one went couldn't be told by the id."""
+    found = similar_groups(docs, like).select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("component_id")).alias("__stays"))
+    gone = found.groupBy("__id").agg(F.max("__stays").alias("__stays")).where("not __stays").select("__id")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
 
 
