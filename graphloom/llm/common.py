@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_dir, ship
+from ..scratch import forget, saved, shared_dir, ship  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,17 +38,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def saved(df: DataFrame, name: str, free: bool = True) -> DataFrame:
-    """df, written once to the shared folder and read back: cuts the lineage and survives the loss of executors. free: asks the driver's JVM to
-    collect its garbage, upon which Spark removes the shuffle files of the steps that are over."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def look_up(rows: DataFrame, key: str, table: DataFrame, weight: str, share: int = 200, how: str = "left") -> DataFrame:
     """rows joined with table, which has one row for each key and in weight the number of rows with that key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, saved
+from .common import forget, look_up, saved
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = saved(large, "large", free=False)
+        large = saved(large, "large")
         with_m = _with_least(large)
         small = with_m.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(with_m.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = saved(small, "small", free=False)
+        before, edges = edges, saved(small, "small")
+        forget(before, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, look_up, saved, text_blocks
+from .common import forget, ids_and_texts, look_up, saved, text_blocks
 from .components import components
 from .windows import Sums, mix, parts, words_of
 
@@ -138,7 +138,7 @@ def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
-    """(sig, tokens) of the wanted sets (sig, doc), each once; doc is the id of a text that has the set."""
+    """(id, tokens) of the wanted sets (id, sig, doc), each once; doc is the id of a text that has the set."""
 
     def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
@@ -146,81 +146,86 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), _lists(sets)], ["sig", "tokens"])
 
     found = texts.join(wanted.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return saved(found.mapInArrow(emit, "sig binary, tokens array<long>").join(wanted, "sig", "left_semi").dropDuplicates(["sig"]), "sets")
+    return saved(found.mapInArrow(emit, "sig binary, tokens array<long>").join(wanted, "sig").dropDuplicates(["sig"]).select("id", "tokens"), "sets")
 
 
 def with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with x, y: what sets (sig, tokens) has for a and for b."""
-    return pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
+    """pairs (a, b, ...) with x, y: what sets (id, tokens) has for a and for b."""
+    return pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
 
 
 def _names(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b, n, m) that link: those whose heads have enough in common are compared by their whole sets."""
     both = F.size(F.array_intersect("x", "y"))
-    heads = sets.join(_names(pairs), "sig", "left_semi").select("sig", F.col("head").alias("tokens"))
+    heads = sets.join(_names(pairs), "id", "left_semi").select("id", F.col("head").alias("tokens"))
     close = saved(with_both(pairs, heads).where(both >= like.more(F.least("n", "m"))).select("a", "b"), "close")
-    whole = fetch_sets(texts, sets.join(_names(close), "sig", "left_semi").select("sig", F.col("first").alias("doc")), like)
+    whole = fetch_sets(texts, sets.join(_names(close), "id", "left_semi").select("id", "sig", F.col("first").alias("doc")), like)
     found = with_both(close, whole).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("both"))
-    return saved(found.where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "links")
+    links = saved(found.where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "links")
+    forget(close, whole)
+    return links
 
 
 def qualifying(questions: DataFrame, members: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     """(a, group) of the questions (a, group, n, least) whose query has enough tokens of its head in the group's union to link with a member.
-    members: (sig, group). Every row is a number: no task and no cell holds a union."""
-    asked = sets.join(questions.select(F.col("a").alias("sig")).distinct(), "sig", "left_semi").select(F.col("sig").alias("a"), "head")
+    members: (id, group). Every row is a number: no task and no cell holds a union."""
+    asked = sets.join(questions.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), "head")
     open_groups = questions.select("group").distinct()
-    matrix = members.join(open_groups, "group", "left_semi").join(sets.select("sig", "head"), "sig").select("group", F.explode("head").alias("token")).distinct()
+    matrix = members.join(open_groups, "group", "left_semi").join(sets.select("id", "head"), "id").select("group", F.explode("head").alias("token")).distinct()
     rows = questions.join(asked, "a").select("a", "group", F.least("n", "least").alias("size"), F.explode("head").alias("token"))
     counted = rows.join(matrix, ["group", "token"]).groupBy("a", "group").agg(F.count("*").alias("both"), F.first("size").alias("size"))
     return counted.where(F.col("both") >= like.more(F.col("size"))).select("a", "group")
 
 
 def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, sets, links): (doc, n, sig) of every row; (sig, n, first, copies, head) of every set that isn't empty, where first is the least id
-    that has it; links (a, b) between sets that join all sets that link, directly or through others."""
+    """(rows, sets, links): (doc, n, sig) of every row; (id, sig, n, first, copies, head) of every set that isn't empty, where first is the least
+    doc_id that has it and id a number that is given when the table is written; links (a, b) between sets that join all sets that link, directly or through others."""
     texts = ids_and_texts(docs)
     found = saved(prefixes(texts, like), "prefixes")
+    rows = saved(found.select("doc", "n", "sig"), "rows")
     # copies are counted before the shuffle
-    sets = saved(found.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("head").alias("head")), "distinct")
-    rows = found.select("doc", "n", "sig")
+    sets = saved(found.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    forget(found)
 
     prefix = F.slice("head", 1, F.col("n") - F.ceil(F.lit(like.num) * F.col("n") / float(like.den) - 1e-9).cast("int") + 1)
-    entries = sets.select("sig", "n", F.posexplode(prefix).alias("pos", "token"))
+    entries = sets.select("id", "n", F.posexplode(prefix).alias("pos", "token"))
     counts = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
     shared = saved(entries.join(counts, "token").withColumn("band", like.band(F.col("n"))), "shared")
     upper = lambda n, p, m, q: 1 + F.least(n - p - 1, m - q - 1)  # noqa: E731  tokens in common, if this is the first of them
     n, p, m, q = (F.col(c) for c in ("n", "pos", "m", "q"))
     fit = like.sizes_fit(n, m) & (upper(n, p, m, q) >= like.needs(n, m))
 
-    hubs = shared.groupBy("token", "band").agg(F.min(F.struct("pos", F.xxhash64("sig").alias("draw"), "n", "sig")).alias("hub")).select("token", "band", F.col("hub.sig").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
-    with_hub = shared.withColumnRenamed("sig", "a").join(hubs, ["token", "band"])
+    hubs = shared.groupBy("token", "band").agg(F.min(F.struct("pos", F.xxhash64("id").alias("draw"), "n", "id")).alias("hub")).select("token", "band", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("q"))
+    with_hub = shared.withColumnRenamed("id", "a").join(hubs, ["token", "band"])
     first = saved(with_hub.where(F.col("a") != F.col("b")).where(fit).select("a", "b", "n", "m").distinct(), "pairs")
     links = verified(first, sets, texts, like)
 
     # groups so far; each set without a link is one of its own
     groups = saved(components(links), "groups")
-    there = shared.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", "pos", "band", F.coalesce("component", "sig").alias("group"), F.col("component").isNotNull().alias("many"))
+    there = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", "band", F.coalesce("component", "id").alias("group"), F.col("component").isNotNull().alias("many"))
     mixed = there.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
     there = saved(there.join(mixed, "token", "left_semi"), "mixed")
     stats = there.groupBy("token", "band", "group", "many").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - p).alias("rest"))
     sizes = there.groupBy("token", "group").agg(F.count("*").alias("own"))
-    asked = there.join(sizes, ["token", "group"]).select("token", F.col("sig").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    asked = there.join(sizes, ["token", "group"]).select("token", F.col("id").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     may = asked.join(stats.join(sizes.withColumnRenamed("own", "size"), ["token", "group"]), ["token", "band"])
     # of two groups at a token the one with fewer members there asks
     may = may.where((F.col("group") != F.col("mine")) & ((F.col("size") > F.col("own")) | ((F.col("size") == F.col("own")) & (F.col("group") > F.col("mine")))))
     fits = (like.den * F.col("most") >= like.num * n) & (like.num * F.col("least") <= like.den * n) & (F.least(n - p, F.col("rest")) >= like.needs(n, F.col("least")))
     questions = saved(may.where(fits).groupBy("a", "group", "many").agg(F.first("n").alias("n"), F.min("least").alias("least")), "questions")
-    members = groups.select(F.col("node").alias("sig"), F.col("component").alias("group"))
+    members = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
     opened = saved(questions.where("not many").select("a", "group").unionByName(qualifying(questions.where("many"), members, sets, like)), "opened")
-    asks = there.join(opened.withColumnRenamed("a", "sig").withColumnRenamed("group", "other"), "sig").select("token", F.col("sig").alias("a"), "n", "pos", F.col("other").alias("group"))
-    answers = there.select("token", "group", F.col("sig").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    asks = there.join(opened.withColumnRenamed("a", "id").withColumnRenamed("group", "other"), "id").select("token", F.col("id").alias("a"), "n", "pos", F.col("other").alias("group"))
+    answers = there.select("token", "group", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
     second = asks.join(answers, ["token", "group"]).where(fit).select("a", "b", "n", "m").distinct()
     second = second.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    return rows, sets, links.unionByName(verified(saved(second, "second"), sets, texts, like))
+    more = saved(second, "second")
+    forget(shared, there, questions)
+    return rows, sets, links.unionByName(verified(more, sets, texts, like))
 
 
 def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
@@ -230,11 +235,13 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     row is a document of its own: rows that repeat a doc_id have each their own text's set and group. An empty table gives no rows. Tokens are
     64-bit hashes: within a pair of sets, two different shingles are taken for one with a probability of about |a| |b| / 2^64."""
     rows, sets, links = similar(docs, like)
-    groups = saved(components(links), "components").withColumnRenamed("node", "sig")
-    named = sets.join(groups, "sig", "left").select("sig", "first", "copies", F.coalesce("component", "sig").alias("group"))
+    groups = saved(components(links), "components").withColumnRenamed("node", "id")
+    named = sets.join(groups, "id", "left").select("sig", "first", "copies", F.coalesce("component", "id").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
     table = look_up(named, "group", least, "sets", how="inner").select("sig", "copies", "component_id")
-    out = look_up(rows, "sig", saved(table, "named"), "copies")
+    names = saved(table, "named")
+    forget(sets)
+    out = look_up(rows, "sig", names, "copies")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
