@@ -2,10 +2,14 @@
 
 1. Each task cuts its texts into runs of windows with one anchor (see windows.py); copies of a run within the task are settled there.
 2. Runs meet by anchor. Equal runs are settled at once: all but the first go. Runs that share an anchor but differ are wanted in full.
-3. The texts of wanted runs are fetched, and their windows compared: by whichever way the remover brings, or by hash where an anchor has very
-   many different runs, so that no task holds an unbounded group. Hashes go down in two steps: blocks of up to BLOCK windows that are cut at fixed
-   distances from the anchor, so that equal stretches make equal blocks whatever surrounds them, and single windows of the blocks left.
-4. Removed windows go back to their documents, and the units that they cover are cut out."""
+3. The texts of wanted runs are fetched, and their windows compared by the remover's own method.
+4. The different runs of a very popular anchor could fill a task. They are cut into blocks of up to BLOCK windows, at fixed distances from the anchor,
+   so that equal stretches make equal blocks whatever surrounds them. Equal blocks are settled, then the blocks that are left meet by their core, the
+   units that all windows of a full block share: a block whose core no other has can't repeat. The others go to the remover's method, by core. Only cores
+   with more than MANY different blocks are compared window by window, by hash.
+5. Removed windows go back to their documents, and the units that they cover are cut out.
+
+Texts of rows that repeat a doc_id are parts of one document: each has a base, where its units begin in the document."""
 
 from __future__ import annotations
 
@@ -15,21 +19,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids_and_texts, look_up, saved, shuffle_parts, text_blocks
 from .windows import BYTE_VALUES, Sums, parts, runs, text_bytes, words_of
 
-#: Anchors with more different runs than this are compared by hashes of windows.
+#: Anchors with more different runs than this are compared by blocks, cores with more different blocks by windows.
 MANY = 6000
 #: An anchor in more than this share of a sample of documents is dealt out by run instead of by anchor; there are fewer such anchors than
 #: the mean number of anchors of a document divided by it.
 HOT_SHARE, SAMPLE = 1 / 50, 64
-GONE, COMPARE, BY_HASH = 0, 1, 2
+GONE, COMPARE, BY_BLOCK = 0, 1, 2
 BLOCK = 16
 #: A run's number of windows and the distance to its anchor travel as one number.
 SPAN = 1 << 12
+#: Rows of one key that a task settles at once.
+LONGEST = 400_000
 
 
 @dataclass(frozen=True)
@@ -47,6 +53,16 @@ class Kind:
         raw, offsets = text_bytes(column)
         return BYTE_VALUES[raw], offsets
 
+    def content(self, text: pa.Array) -> bytes | list[bytes]:
+        """The units of one text as they are."""
+        raw = text_bytes(text)[0].tobytes()
+        return raw.split() if self.words else raw
+
+    def joined(self, content: bytes | list[bytes], start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The units from each start to its end; words with a space between them."""
+        cut = [content[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return [b" ".join(x) for x in cut] if self.words else cut
+
     def cut(self, column: pa.Array) -> dict[str, np.ndarray]:
         """runs() of a block of texts; text is the row's number."""
         units, offsets = self.units(column)
@@ -113,8 +129,8 @@ def _run_rows(kind: Kind, hot: np.ndarray):
         held, rows = [], 0
         for batch in text_blocks(batches, limit=1_500_000):
             r = kind.cut(batch.column(1))
-            doc = batch.column(0).to_numpy()[r["text"]]
-            held.append((r["anchor"], r["content"], doc, r["at"], r["n"] + SPAN * r["off"]))
+            doc, base = (batch.column(k).to_numpy()[r["text"]] for k in (0, 2))
+            held.append((r["anchor"], r["content"], doc, r["at"] + base, r["n"] + SPAN * r["off"]))
             rows += len(doc)
             if rows > 500_000:
                 yield from flush(held)
@@ -143,12 +159,12 @@ def hot_anchors(texts: DataFrame, kind: Kind) -> np.ndarray:
 WANT = "doc long, anchor long, at long, n int, off int, how int"
 
 
-def _settle(kind: Kind, by_hash: bool):
+def _settle(kind: Kind):
     """Rows sorted by key, content, doc, at -> what is gone, and what is wanted."""
     names = [x.split()[0] for x in WANT.split(", ")]
 
-    def settle(rows: dict[str, np.ndarray], whole: bool) -> pa.RecordBatch:
-        """rows: of whole keys, or (not whole) some of one key's."""
+    def settle(rows: dict[str, np.ndarray], whole: bool, told: int = 0) -> pa.RecordBatch:
+        """rows: of whole keys, or (not whole) some of one key's, of which the first `told` stand for rows that have been settled."""
         head_key, head = _first_of(rows["key"]), _first_of(rows["key"], rows["content"])
         later = _later(rows["doc"], rows["at"], head, kind.within)
         number = np.cumsum(head_key) - 1
@@ -157,16 +173,17 @@ def _settle(kind: Kind, by_hash: bool):
         want = ~later & ((contents > 1) | hot | (not whole))
         if kind.within:
             want &= head  # equal runs hold equal windows: the first stands for them
-        how = np.where(later, GONE, np.where(hot | (contents > MANY) | by_hash | (not whole), BY_HASH, COMPARE))
+        how = np.where(later, GONE, np.where(hot | (contents > MANY) | (not whole), BY_BLOCK, COMPARE))
         how[rows["gone"]] = GONE
         keep = later | want | rows["gone"]
+        keep[:told] = False
         span = rows["span"].astype(np.int32)
         cols = [rows["doc"], rows["anchor"], rows["at"], span % SPAN, span // SPAN, how.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
 
     def stream(batches):
         held: dict[str, np.ndarray] | None = None
-        split = None  # a key of which rows have been settled already
+        split, told = None, 0  # a key of which rows have been settled already; whether the first row held is one of them
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -178,8 +195,11 @@ def _settle(kind: Kind, by_hash: bool):
                 last = int(np.flatnonzero(_first_of(held["content"][:end]))[-1]) if end else 0
                 cut = last if same else end
                 if cut:
-                    yield settle({k: v[:cut] for k, v in held.items()}, False)
-                    held = {k: v[cut:] for k, v in held.items()}
+                    yield settle({k: v[:cut] for k, v in held.items()}, False, told)
+                    held, told = {k: v[cut:] for k, v in held.items()}, 0
+                elif len(held["key"]) > LONGEST:  # one content all along: its first row stands for it
+                    yield settle(held, False, told)
+                    held, told = {k: v[:1] for k, v in held.items()}, 1
                 if same:
                     continue
                 split = None
@@ -189,34 +209,30 @@ def _settle(kind: Kind, by_hash: bool):
             if last:
                 yield settle({k: v[:last] for k, v in held.items()}, True)
                 held = {k: v[last:] for k, v in held.items()}
-            if len(held["key"]) > 400_000:
+            if len(held["key"]) > LONGEST:
                 split = held["key"][0]
         if held is not None and len(held["key"]):
-            yield settle(held, split is None)
+            yield settle(held, split is None, told)
 
     return stream
 
 
-FETCHED = "how int, key long, doc long, at long, n int, data binary"
-
-
-def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Binary values: the bytes of values from each start to the next."""
-    ends = np.concatenate([starts, [len(values)]]).astype(np.int32) * 8
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+FETCHED = "how int, key long, core long, doc long, at long, n int, off int, data binary"
 
 
 def _fetch(kind: Kind):
-    """The bytes of runs to compare; blocks of the others, with the hash of each window."""
+    """Runs to compare, or blocks of runs: n windows from `at` on; the seed that they meet by begins off units later; data has the units."""
     names = [x.split()[0] for x in FETCHED.split(", ")]
+    length = kind.window - BLOCK + 1  # of a core
 
-    def plain(doc: int, text: pa.Array, at, n, anchor):
-        raw, _ = text_bytes(text)
-        data = [raw[a : a + m + kind.window - 1].tobytes() for a, m in zip(at, n, strict=True)]
+    def rows(how: int, doc: int, key, core, at, n, off, base: int, content):
+        data = kind.joined(content, at, at + n + kind.window - 1)
         size = len(at)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, COMPARE, np.int32)), pa.array(anchor), pa.array(np.full(size, doc)), pa.array(at), pa.array(n), pa.array(data, pa.binary())], names)
+        cols = [pa.array(np.full(size, how, np.int32)), pa.array(key), pa.array(core), pa.array(np.full(size, doc)), pa.array(at + base), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names)
 
-    def hashed(doc: int, units: np.ndarray, at, n, off):
+    def blocks(units: np.ndarray, at, n, off):
+        """(key, core, at, n, off) of the blocks of these runs."""
         from .words import ragged
 
         low = int(at[0])
@@ -226,42 +242,53 @@ def _fetch(kind: Kind):
         block = (off[run] - (place - at[run])) // BLOCK
         first = np.flatnonzero(_first_of(run, block))
         size = np.diff(np.concatenate([first, [len(place)]]))
-        window = sums.of(place - low, place - low + kind.window)
-        start = place[first] - low
-        key = sums.of(start, start + size + kind.window - 1) ^ (size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        count = len(first)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(count, BY_HASH, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(count, doc)), pa.array(place[first]), pa.array(size.astype(np.int32)), _packed(window, first)], names)
+        start = place[first]
+        key = sums.of(start - low, start - low + size + kind.window - 1) ^ (size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        seed = (at + off)[run[first]] - block[first] * BLOCK
+        core = sums.of(seed - low, seed - low + length)
+        return key.view(np.int64), core.view(np.int64), start, size, seed - start
 
     def fetch(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                doc, wants = batch.column(0)[i].as_py(), batch.column(2).slice(i, 1).flatten()
-                text = batch.column(1).slice(i, 1)
+                doc, base, wants = batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3).slice(i, 1).flatten()
+                content = kind.content(batch.column(1).slice(i, 1))
                 at, n, off, how, anchor = (wants.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "off", "how", "anchor"))
-                p = np.flatnonzero(how == COMPARE)
+                at = at - base
+                mine = (at >= 0) & (at + n + kind.window - 1 <= len(content))  # of this part of the document
+                p = np.flatnonzero(mine & (how == COMPARE))
                 if len(p):
-                    yield plain(doc, text, at[p], n[p], anchor[p])
-                h = np.flatnonzero(how == BY_HASH)
+                    yield rows(COMPARE, doc, anchor[p], np.zeros(len(p), np.int64), at[p], n[p], off[p], base, content)
+                h = np.flatnonzero(mine & (how == BY_BLOCK))
                 if len(h):
-                    units, _ = kind.units(text)
+                    units, _ = kind.units(batch.column(1).slice(i, 1))
                     h = h[np.argsort(at[h], kind="stable")]
-                    h = h[at[h] + n[h] + kind.window - 1 <= len(units)]
                     for a in range(0, len(h), 4000):
-                        yield hashed(doc, units, *(x[h[a : a + 4000]] for x in (at, n, off)))
+                        some = h[a : a + 4000]
+                        key, core, start, size, seed = blocks(units, at[some].astype(np.int64), n[some], off[some].astype(np.int64))
+                        yield rows(BY_BLOCK, doc, key, core, start, size, seed, base, content)
 
     return fetch
 
 
-def _windows(batches):
-    """Blocks (doc, at, data) -> a row for each window."""
+def _windows(kind: Kind):
+    """Blocks (doc, at, n, data) -> a row for each window."""
     from .words import ragged
 
-    for batch in batches:
-        data = batch.column(2)
-        sizes = pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-        value = np.frombuffer(b"".join(data.to_pylist()), np.int64)
-        doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.repeat(doc, sizes)), pa.array(ragged(at, sizes))], ["key", "doc", "at"])
+    def rows(batches):
+        for batch in batches:
+            data, n = batch.column(3), batch.column(2).to_numpy().astype(np.int64)
+            if kind.words:
+                units, offsets = kind.units(data.cast(pa.string()))
+            else:
+                units = BYTE_VALUES[np.frombuffer(b"".join(data.to_pylist()), np.uint8)]
+                offsets = np.concatenate([[0], np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64))])
+            start = ragged(offsets[:-1], n)
+            key = Sums(units).of(start, start + kind.window).view(np.int64)
+            doc, at = (batch.column(k).to_numpy() for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(doc, n)), pa.array(ragged(at, n))], ["key", "doc", "at"])
+
+    return rows
 
 
 def _matched(rows: DataFrame, kind: Kind, name: str) -> DataFrame:
@@ -271,38 +298,52 @@ def _matched(rows: DataFrame, kind: Kind, name: str) -> DataFrame:
     return look_up(rows, "key", firsts, "copies").withColumn("later", F.coalesce(later, F.lit(False))).drop("copies", "first")
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+def with_bases(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, base): base is 0, but for rows that repeat a doc_id with other texts: these are the parts of one document, in the order of a hash
+    of their text. Rows that repeat both are one part."""
+    texts = ids_and_texts(docs)
+    twice = texts.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return texts.withColumn("base", F.lit(0).cast("long"))
+    mark, size = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    parts_of = texts.join(twice, "doc_id", "left_semi").groupBy("doc_id", mark).agg(F.max(size).alias("size"))
+    before = Window.partitionBy("doc_id").orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)
+    bases = saved(parts_of.select("doc_id", "mark", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("base")), "bases")
+    return texts.withColumn("mark", mark).join(bases, ["doc_id", "mark"], "left").select("doc_id", "text", F.coalesce("base", F.lit(0).cast("long")).alias("base"))
+
+
+def repeated_windows(texts: DataFrame, kind: Kind, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(doc, at, n): runs of windows of each document that also start earlier: in a document with a smaller id, or (kind.within) before in the
-    same one. compare: (key, doc, at, data) -> (doc, at, n) for runs of bytes that share an anchor; None: all by hashes of windows."""
-    spark, texts = docs.sparkSession, ids_and_texts(docs)
-    n = shuffle_parts(spark)
+    same one. texts: with_bases(). compare: (key, doc, at, n, off, data) -> (doc, at, n), for rows that share the seed that key names."""
     hot = hot_anchors(texts, kind)
     cut = texts.mapInArrow(_run_rows(kind, hot), RUN)
-    found = saved(cut.repartition(n, "key").sortWithinPartitions("key", "content", "doc", "at").mapInArrow(_settle(kind, compare is None), WANT), "runs")
-    wants = found.where(f"how != {GONE}").groupBy("doc").agg(F.collect_list(F.struct("at", "n", "off", "how", "anchor")).alias("wants"))
-    fetched = saved(texts.join(wants, F.col("doc_id") == F.col("doc")).select("doc", "text", "wants").mapInArrow(_fetch(kind), FETCHED), "fetched")
-
-    blocks = saved(_matched(fetched.where(f"how = {BY_HASH}").drop("how"), kind, "firsts"), "blocks")
-    windows = saved(blocks.where("not later").select("doc", "at", "data").mapInArrow(_windows, "key long, doc long, at long"), "windows")
+    found = saved(cut.repartition(shuffle_parts(texts.sparkSession), "key").sortWithinPartitions("key", "content", "doc", "at").mapInArrow(_settle(kind), WANT), "runs")
+    wants = found.where(f"how != {GONE}").groupBy("doc").agg(F.collect_set(F.struct("at", "n", "off", "how", "anchor")).alias("wants"))
+    fetched = saved(texts.join(wants, F.col("doc_id") == F.col("doc")).select("doc", "text", "base", "wants").mapInArrow(_fetch(kind), FETCHED), "fetched")
+
+    blocks = saved(_matched(fetched.where(f"how = {BY_BLOCK}").drop("how"), kind, "firsts"), "blocks")
+    firsts = blocks.where("not later")
+    cores = saved(firsts.groupBy("core").agg(F.count("*").alias("copies")).where("copies > 1"), "cores")
+    near = saved(look_up(firsts, "core", cores, "copies", how="inner"), "near")
+    windows = near.where(f"copies > {MANY}").select("doc", "at", "n", "data").mapInArrow(_windows(kind), "key long, doc long, at long")
     gone = found.where(f"how = {GONE}").select("doc", "at", "n").unionByName(blocks.where("later").select("doc", "at", "n"))
-    gone = gone.unionByName(_matched(windows, kind, "firsts").where("later").select("doc", "at", F.lit(1).alias("n")))
-    if compare is not None:
-        gone = gone.unionByName(compare(fetched.where(f"how = {COMPARE}").select("key", "doc", "at", "data")))
-    return gone
+    gone = gone.unionByName(_matched(saved(windows, "windows"), kind, "firsts").where("later").select("doc", "at", F.lit(1).alias("n")))
+    seeded = fetched.where(f"how = {COMPARE}").select("key", "doc", "at", "n", "off", "data").unionByName(near.where(f"copies <= {MANY}").select(F.col("core").alias("key"), "doc", "at", "n", "off", "data"))
+    return gone.unionByName(compare(seeded))
 
 
-def covered(rows: pa.Array, size: int, window: int) -> np.ndarray:
-    """Which of size units the windows of one document's list of (at, n) cover."""
+def covered(rows: pa.Array, size: int, window: int, base: int = 0) -> np.ndarray:
+    """Which of the size units of a text, the first at base, the windows of its document's list of (at, n) cover."""
     edge = np.zeros(size + 1, np.int64)
     if len(rows):
-        at, n = rows.field("at").to_numpy(zero_copy_only=False), rows.field("n").to_numpy(zero_copy_only=False)
-        good = at + n + window - 1 <= size
+        at, n = rows.field("at").to_numpy(zero_copy_only=False) - base, rows.field("n").to_numpy(zero_copy_only=False)
+        good = (at >= 0) & (at + n + window - 1 <= size)
         np.add.at(edge, at[good], 1)
         np.add.at(edge, at[good] + n[good] + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def with_removals(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(doc_id, text, gone): each text and its removed runs, null where there are none. A document's runs are no more than its windows."""
+def with_removals(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, text, base, gone): each text and its document's removed runs, null where there are none. They are no more than its windows."""
     each = gone.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    return ids_and_texts(docs).join(each, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "gone")
+    return texts.join(each, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "base", "gone")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import shuffle_parts
-from .repeats import Kind, covered, repeated_windows, with_removals
+from .repeats import Kind, covered, repeated_windows, with_bases, with_removals
 from .windows import text_bytes
 
 #: Bytes of runs that are sorted at once; the runs of one anchor stay together, of which there are MANY at most.
@@ -123,7 +123,7 @@ def later_windows(data: list[bytes], doc: np.ndarray, at: np.ndarray, length: in
 
 
 def compare_runs(length: int):
-    """fetched runs (key, doc, at, data) -> (doc, at, n) of repeated windows, block by block of whole keys."""
+    """rows (key, doc, at, n, off, data) -> (doc, at, n) of repeated windows, block by block of whole keys."""
 
     def of(rows: DataFrame) -> DataFrame:
         def work(batches):
@@ -138,8 +138,8 @@ def compare_runs(length: int):
                     keys += part.column(0).to_pylist()
                     docs += part.column(1).to_pylist()
                     ats += part.column(2).to_pylist()
-                    data += part.column(3).to_pylist()
-                    size += part.column(3).nbytes
+                    data += part.column(5).to_pylist()
+                    size += part.column(5).nbytes
                     if size > BLOCK:
                         cut = keys.index(keys[-1])
                         if cut:
@@ -154,9 +154,9 @@ def compare_runs(length: int):
     return of
 
 
-def repeats(docs: DataFrame, length: int = 100, gram: int = 16) -> DataFrame:
-    """(doc, at, n): runs of n strings of `length` bytes, the first at byte `at`, that also start earlier."""
-    return repeated_windows(docs, Kind(length, gram, within=True, words=False), compare_runs(length))
+def repeats(texts: DataFrame, length: int = 100, gram: int = 16) -> DataFrame:
+    """(doc, at, n): runs of n strings of `length` bytes, the first at byte `at` of the document, that also start earlier. texts: with_bases()."""
+    return repeated_windows(texts, Kind(length, gram, within=True, words=False), compare_runs(length))
 
 
 def cut_bytes(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
@@ -170,22 +170,23 @@ def cut_bytes(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 raw, _ = text_bytes(batch.column(1).slice(i, 1))
-                lists = batch.column(2).slice(i, 1)
+                lists, base = batch.column(3).slice(i, 1), batch.column(2)[i].as_py()
                 if lists.null_count:
                     out.append(finish(raw.tobytes(), raw.tobytes(), 0, 0))
                     continue
-                gone = covered(lists.flatten(), len(raw), length)
+                gone = covered(lists.flatten(), len(raw), length, base)
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 out.append(finish(raw.tobytes(), raw[~gone].tobytes(), int(gone.sum()), spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[k] for o in out], t) for k, t in fields[1:]]], ["doc_id", *names])
 
-    return with_removals(docs, repeats(docs, length)).mapInArrow(cut, schema)
+    texts = with_bases(docs)
+    return with_removals(texts, repeats(texts, length)).mapInArrow(cut, schema)
 
 
 def byte_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each byte that a repeated string of `length` bytes covers is removed; n_spans counts
-    the maximal removed runs. A null text is empty; texts shorter than `length` lose nothing. Rows that repeat a doc_id are one document. An
-    empty table gives no rows."""
+    the maximal removed runs. A null text is empty; texts shorter than `length` lose nothing. Rows that repeat a doc_id with other texts are
+    parts of one document, in the order of a hash; no string crosses them; rows that repeat both are alike. An empty table gives no rows."""
     finish = lambda raw, kept, m, s: {"n_bytes": len(raw), "n_removed": m, "n_spans": s, "kept_sha256": hashlib.sha256(kept).hexdigest()}
     return cut_bytes(docs, length, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
