@@ -17,9 +17,12 @@ from .common import ids_and_texts, saved, shuffle_parts
 RATES, SUBSETS = (64, 256, 1024, 4096), 32
 #: Subset numbers for the hashes of all terms: three of 24 bits, as they stand alone for a whole text.
 WHOLE = tuple(range(SUBSETS * len(RATES), SUBSETS * len(RATES) + 3))
-#: Band of document frequencies, as shares of all distinct texts, and the most terms that a lexicon has: it has no more than the mean number of
-#: terms of a document divided by LOW, whatever the corpus, and is broadcast.
-LOW, HIGH, MOST = 0.001, 0.1, 200_000
+#: Band of document frequencies, as shares of all distinct texts. It alone bounds the lexicon, to the mean number of terms of a document divided by LOW.
+LOW, HIGH = 0.001, 0.1
+#: Rows of a lexicon that is broadcast; a larger one is joined by a shuffle.
+BROADCAST = 200_000
+#: Ranges of doc_id for each shuffle partition: where some meet in one task, it is by little.
+RANGES = 4
 
 
 def terms(text: Column) -> Column:
@@ -27,14 +30,14 @@ def terms(text: Column) -> Column:
     return F.array_union(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(F.lit("")))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = MOST) -> DataFrame:
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """(term, subset): hashes of the terms whose document frequency lies within [low, high] of all distinct texts, each with the subsets that
-    it is in; of more than `most` terms the most frequent stay. The empty term stands in subset -1, so that every document has one. Copies
+    it is in. The empty term stands in subset -1, so that every document has one. Copies
     count once: else a text with many would have no term in the band."""
     rows = ids_and_texts(docs).select(F.coalesce("text", F.lit("")).alias("text"))
     n = rows.select(F.xxhash64("text")).distinct().count()
     counts = rows.distinct().select(F.explode(terms(F.col("text"))).alias("word")).where("word != ''").groupBy(F.xxhash64("word").alias("term")).count()
-    kept = saved(counts.where(F.col("count").between(max(1, int(low * n)), max(2, int(high * n)))).orderBy(F.desc("count"), "term").limit(most).select("term"), "terms")  # its shuffle files go with the next table that is saved
+    kept = saved(counts.where(F.col("count").between(max(1, int(low * n)), max(2, int(high * n)))).select("term"), "terms")
     drawn = [F.pmod(F.xxhash64("term", F.lit(k)), F.lit(r)) for k, r in enumerate(RATES)]
     places = F.array(*[F.when(d < SUBSETS, (d + SUBSETS * k).cast("int")) for k, d in enumerate(drawn)])
     found = kept.select("term", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("subset"))
@@ -61,7 +64,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     Rows are dealt by ranges of doc_id; each range also gets the first row of the range after it, as a ghost, so one shuffle does."""
     spark = docs.sparkSession
     rows = ids_and_texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("part", ranges(rows, shuffle_parts(spark)))
+    rows = rows.withColumn("part", ranges(rows, RANGES * shuffle_parts(spark)))
     firsts = sorted(tuple(r) for r in rows.groupBy("part").agg(F.min("doc_id")).collect())  # a row for each range
     pairs = [F.struct(F.lit(firsts[(k + 1) % len(firsts)][1]).cast("long").alias("doc_id"), F.lit(p).cast("int").alias("ghost_of")) for k, (p, _) in enumerate(firsts)]
     ghosts = spark.range(1).select(F.inline(F.array(*pairs)))
@@ -101,7 +104,8 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     whole = F.when(F.size("words") > 1, F.xxhash64(F.sort_array("words")))
     at_empty = lambda c: F.when(F.col("word") == "", F.col(c)).alias(c)
     words = split.select("part", "pos", "kind", "about", whole.alias("whole"), F.explode("words").alias("word")).select("part", "pos", "kind", at_empty("about"), at_empty("whole"), F.xxhash64("word").alias("term"))
-    found = words.join(F.broadcast(lexicon(docs, low, high)), "term")
+    known = lexicon(docs, low, high)
+    found = words.join(F.broadcast(known) if known.count() <= BROADCAST else known.hint("shuffle_merge"), "term")
     sets = found.groupBy("part", "pos", "kind", "subset").agg(F.xxhash64(F.sort_array(F.collect_list("term"))).alias("hash"), F.first("about", True).alias("about"), F.first("whole", True).alias("whole"))
     hashes = F.when(F.col("subset") >= 0, code(F.col("subset"), F.col("hash")))
     of_kind = lambda k, c: F.when(F.col("kind") == k, c)

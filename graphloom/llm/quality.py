@@ -100,7 +100,8 @@ class Space:
         return space
 
     def vote(self, counts: np.ndarray, neighbours: int) -> np.ndarray:
-        """Share of label 1 among the nearest labelled rows, weighted by cosine; 0.5 where nothing was learnt."""
+        """Share of label 1 among the nearest labelled rows, weighted by cosine; 0.5 where nothing was learnt. Of rows that tie
+        for the last place any may be taken, but always the same."""
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         cosine = self.project(counts) @ self.vectors.T
@@ -112,19 +113,19 @@ class Space:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, dims: int = 48) -> Space:
     """labels: (doc_id, quality). Learns from at most `sample` labelled rows, those with the least hash of doc_id; rows whose quality is
-    neither 0 nor 1 teach nothing; a null text counts as empty."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
+    neither 0 nor 1 teach nothing; equal labels of a doc_id count once, different ones both; a null text counts as empty."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").distinct()
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = ids_and_texts(docs).join(F.broadcast(chosen), "doc_id")  # at most sample rows
 
     def count(batches):
         for batch in text_blocks(batches):
             got = terms([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g.astype(np.float16).tobytes() for g in got], pa.binary())], ["doc_id", "quality", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g.astype(np.float32).tobytes() for g in got], pa.binary())], ["doc_id", "quality", "terms"])
 
     got = rows.mapInArrow(count, "doc_id long, quality int, terms binary").toArrow().sort_by([("doc_id", "ascending")])
-    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    return Space.fit(np.minimum(counts, 60000), got["quality"].to_numpy().astype(np.float64), dims)
+    counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
+    return Space.fit(counts, got["quality"].to_numpy().astype(np.float64), dims)
 
 
 def score(docs: DataFrame, space: Space, neighbours: int = 15) -> DataFrame:

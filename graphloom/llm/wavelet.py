@@ -27,6 +27,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, width: int) -> WaveletMatrix:
+        if len(values) and int(np.max(values)) >> width:
+            raise ValueError(f"an id of {int(np.max(values))} does not fit into {width} bits")
         now = np.ascontiguousarray(values, np.uint16 if width <= 16 else np.uint32)
         zeros, planes, ranks = np.zeros(width, np.int64), [], []
         for level in range(width):

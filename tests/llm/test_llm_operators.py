@@ -11,6 +11,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("graphloom.llm")
@@ -19,11 +21,12 @@ from graphloom.llm import exact, imatch, jaccard, langid, packing, pieces, quali
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, bucket int, token long, doc long"
 FIXED = dict.fromkeys(["digest"], "clash") | dict.fromkeys(["bucket", "token", "doc"], 7)
+WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def frame(spark, texts):
-    rows = [(i, t, None if i % 5 == 0 else "en", None, None if t is None else len(t), *FIXED.values()) for i, t in texts]
+    rows = [(i, t, None if i is None or i % 5 == 0 else "en", None, None if t is None else len(t), *FIXED.values()) for i, t in texts]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -230,6 +233,54 @@ def test_op1_learns_languages(spark, docs, none):
     assert set(rows(langid.language_id(docs), "lang_pred").values()) <= {("en",), ("und",)}
 
 
+def brute_profile(text, dim, n=3):
+    """The sum over all n-grams of the products of the letters' vectors, each turned by its place."""
+    fold, signs = langid.Letters.get().fold, [0]
+    for c in text:
+        if fold[ord(c)] or signs[-1]:
+            signs.append(int(fold[ord(c)]))
+    if signs[-1]:
+        signs.append(0)
+    total = np.zeros(dim)
+    for k in range(len(signs) - n + 1):
+        product = np.ones(dim)
+        for j in range(n):
+            product *= np.roll(langid.Letters.get().rows(np.array([signs[k + j]]), dim)[0], n - 1 - j)
+        total += product
+    return total / max(np.linalg.norm(total), 1e-9) if any(signs) else np.zeros(dim)
+
+
+def test_op1_brute_force(spark, texts, docs):
+    brute = {i: brute_profile(t or "", 256) for i, t in texts}
+    got = langid.vectors([t or "" for _, t in texts], 256)
+    assert all(np.allclose(g, brute[i], atol=1e-5) for g, (i, _) in zip(got, texts, strict=True))
+    langs = {i: "x" if k % 3 else "y" for k, (i, _) in enumerate(texts)}
+    table = spark.createDataFrame([(i, t, langs[i]) for i, t in texts], "doc_id long, text string, lang string")
+    names, prototypes = langid.train(table, dim=256)
+    assert names == ["x", "y"]
+    for name, row in zip(names, prototypes, strict=True):
+        total = sum(brute[i] for i, t in texts if langs[i] == name)
+        assert np.allclose(row, total / np.linalg.norm(total), atol=1e-4)
+    for r in langid.identify(docs, names, prototypes).collect():
+        cosine = prototypes @ brute[r.doc_id]
+        assert r.lang_pred == ("und" if not brute[r.doc_id].any() else r.lang_pred)
+        if r.lang_pred != "und":
+            assert cosine[names.index(r.lang_pred)] >= cosine.max() - 1e-5 and abs(r.score - max(0, cosine.max())) < 1e-4
+
+
+def test_op6_brute_force(spark, texts, docs):
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(texts)], "doc_id long, quality int")
+    space = quality.train(docs, labels)
+    given = {i: k % 2 for k, (i, _) in enumerate(texts)}
+    vectors = {i: space.project(quality.terms([t or ""]))[0] for i, t in texts}
+    assert np.allclose(space.vectors, [vectors[i] for i in sorted(vectors)], atol=1e-5)
+    for r in quality.score(docs, space).collect():
+        near = sorted(((float(vectors[r.doc_id] @ v), given[i]) for i, v in vectors.items()), reverse=True)
+        if near[14][0] - near[15][0] > 1e-6:  # else the last places may be taken by others
+            weight = [max(c, 1e-6) ** 8 for c, _ in near[:15]]
+            assert abs(r.score - sum(w * y for w, (_, y) in zip(weight, near, strict=False)) / sum(weight)) < 1e-4
+
+
 def test_op6_separates_junk(spark, docs, none):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
@@ -311,7 +362,28 @@ def test_op4_chains_of_groups(spark):
     assert rows(jaccard.similar_groups(frame(spark, made), like), "n_shingles", "component_id") == brute_components(made, 1, 90, 100)
 
 
-def test_op7_removes_later_passages(docs, texts, none):
+def every_anchor_is_hot(monkeypatch):
+    from graphloom.llm import repeats as ground
+
+    def anchors(texts, kind):
+        got = [kind.cut(pa.array([r.text], pa.string()))["anchor"] for r in texts.collect() if r.text]
+        return np.unique(np.concatenate([*got, np.zeros(0, np.uint64)]))
+
+    monkeypatch.setattr(ground, "hot_anchors", anchors)
+
+
+#: All runs to the remover's method; blocks that share a core; windows by hash; keys that are settled in slices.
+WAYS = {"runs": {}, "blocks": {"hot": True}, "windows": {"hot": True, "MANY": 0}, "slices": {"LONGEST": 3}}
+
+
+@pytest.fixture(params=WAYS)
+def way(request, monkeypatch):
+    for name, value in WAYS[request.param].items():
+        every_anchor_is_hot(monkeypatch) if name == "hot" else monkeypatch.setattr(f"graphloom.llm.repeats.{name}", value)
+    return request.param
+
+
+def test_op7_removes_later_passages(docs, texts, none, way):
     got = rows(substring.passage_digests(docs), "n_words", "n_removed", "kept_sha256")
     first, total = {}, 0
     for i, t in sorted(texts):
@@ -341,14 +413,12 @@ def brute_bytes(texts, length):
     return out
 
 
-@pytest.mark.parametrize("many", [6000, 1])
-def test_op9_removes_later_bytes(docs, texts, none, many, monkeypatch):
-    monkeypatch.setattr("graphloom.llm.repeats.MANY", many)  # 1: all by hashes of windows
+def test_op9_removes_later_bytes(docs, texts, none, way):
     got = rows(suffix.byte_digests(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     for i, (raw, gone) in brute_bytes(texts, 100).items():
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         assert got[i] == (len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest())
-    if many == 6000:
+    if way == "runs":
         new = suffix.without_repeats(docs)
         assert new.columns == docs.columns
         want = {i: np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") for i, (raw, gone) in brute_bytes(texts, 100).items()}
@@ -398,6 +468,60 @@ def test_op8_fingerprints(docs, texts, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def chained(values, seed=42):
+    """Spark's xxhash64 of these columns: strings, longs (int) and ints (one-element tuples)."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64(raw, seed=seed & (1 << 64) - 1).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_prints(texts, low, high):
+    terms = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    distinct = {t or "" for t in texts}
+    frequency = Counter(w for t in distinct for w in terms(t))
+    known = {chained([w]) for w, n in frequency.items() if max(1, int(low * len(distinct))) <= n <= max(2, int(high * len(distinct)))}
+    subsets = {h: [d + imatch.SUBSETS * k for k, r in enumerate(imatch.RATES) if (d := chained([h, (k,)]) % r) < imatch.SUBSETS] for h in known}
+
+    def fingerprint(t):
+        words, found = terms(t), {}
+        for h in sorted(chained([w]) for w in words):
+            for s in subsets.get(h, []):
+                found.setdefault(s, []).append(h)
+        codes = sorted((s << 24) + chained(hs) % (1 << 24) for s, hs in found.items())
+        if not codes and words:
+            whole = chained(sorted(words | {""}, key=str.encode))
+            codes = [(w << 24) + chained([whole, (w,)]) % (1 << 24) for w in imatch.WHOLE]
+        return codes
+
+    return fingerprint
+
+
+@pytest.mark.parametrize("band", [(0.0, 0.5), (0.001, 0.1)])
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_op8_brute_force(spark, band, limit, monkeypatch):
+    monkeypatch.setattr(imatch, "BROADCAST", limit)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = [None, "", "...", "only"] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    texts += texts[10:20]
+    fingerprint = brute_prints(texts, *band)
+    code = lambda x: "".join(f"{c:08X}" for c in x)
+    got = {r.doc_id: r for r in imatch.fingerprints(frame(spark, list(enumerate(texts))), *band).collect()}
+    whole = [t or "" for t in texts]
+    for i, t in enumerate(whole):
+        after = whole[(i + 1) % len(whole)]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        a, b, c = (fingerprint(x) for x in (t, edited, after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (code(a), code(b))
+
+        def alike(x, y, same):
+            either = {k >> 24 for k in x} | {k >> 24 for k in y}
+            return float(same) if not either else 1.0 if x == y else len(set(x) & set(y)) / len(either)
+
+        assert abs(got[i].near_edited - alike(a, b, t == edited)) < 1e-9 and abs(got[i].near_next - alike(a, c, t == after)) < 1e-9
+
+
 def test_op8_tells_hot_groups_apart(spark):
     common = [f"common{k}" for k in range(9)]
     hot = " ".join(f"hot{k}" for k in range(40))
@@ -423,3 +547,46 @@ def test_rows_without_id_and_repeated_rows(spark):
         assert keep(table).where("doc_id is null").count() == 1
     assert jaccard.similar_groups(table).where("component_id = 1").count() == 3
     assert {r.n_removed for r in suffix.byte_digests(frame(spark, [(1, "z" * 60 + "y" * 60)] * 2)).collect()} == {0}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(n))
+    x, y, z = text(80), text(80), text(80)
+    table = frame(spark, [(1, x + " " + x), (1, y), (2, x), (2, z), (3, y + " tail"), (3, None), (3, "")])
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    many = lambda df, *c: sorted(tuple(r[k] for k in c) for r in df.collect())
+    # parts of one document: x repeats within the first row of id 1 and in id 2, y in id 3
+    got = many(suffix.byte_digests(table), "doc_id", "n_bytes", "n_removed")
+    assert got == sorted([(1, 2 * len(x) + 1, len(x)), (1, len(y), 0), (2, len(x), len(x)), (2, len(z), 0), (3, len(y) + 5, len(y)), (3, 0, 0), (3, 0, 0)])
+    words = many(substring.passage_digests(table), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert words == sorted([(1, 160, 0, sha(f"{x} {x}".encode())), (1, 80, 0, sha(y.encode())), (2, 80, 80, sha(b"")), (2, 80, 0, sha(z.encode())), (3, 81, 80, sha(b"tail")), (3, 0, 0, sha(b"")), (3, 0, 0, sha(b""))])
+    # documents of their own
+    like = jaccard.Likeness(3, 90, 100)
+    assert many(jaccard.similar_groups(table, like), "doc_id", "n_shingles", "component_id") == [(1, 78, 1), (1, 80, 1), (2, 78, 1), (2, 78, 2), (3, 0, 3), (3, 0, 3), (3, 79, 1)]
+    assert exact.exact_dedup(table).count() == 7 and imatch.fingerprints(table).count() == 7
+    assert pieces.round_trip(table, PIECES).count() == 7 and langid.language_id(table).count() == 7
+    assert sum(r.length for r in packing.pack(table, WORDS).collect()) == sum(r.doc_tokens for r in packing.pack(table, WORDS).where("start = 0").collect())
+
+
+def test_texts_of_some_megabytes_and_clashing_columns(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(400_000))
+    passage = " ".join(rng.choice(vocabulary) for _ in range(120))
+    table = [(1, long), (2, long[:1_500_000] + " " + passage), (3, passage), (4, "q" * 300_000), (5, None)]
+    clash = {c: F.lit(7) for c in ("gone", "key", "n", "text2", "__x", "part", "at", "base", "sig", "head", "group", "component", "old", "found")}
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns(clash)
+    got = rows(suffix.byte_digests(docs), "n_bytes", "n_removed")
+    assert got[1] == (len(long), 0) and got[3] == (len(passage), len(passage)) and got[2][1] >= 1_500_000 and got[4] == (300_000, 299_999)
+    words = rows(substring.passage_digests(docs), "n_words", "n_removed")
+    assert words[1] == (400_000, 0) and words[3] == (120, 120) and words[4] == (1, 0)
+    groups = rows(jaccard.similar_groups(docs), "component_id")
+    assert groups == {i: (i,) for i in range(1, 6)}
+    assert {r.kept for r in exact.exact_dedup(docs).collect()} == {True}
+    assert len(rows(langid.language_id(docs.withColumn("lang", F.lit("en"))), "lang_pred")) == 5
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert len(rows(quality.quality(docs, labels), "score")) == 5
+    assert rows(imatch.fingerprints(docs), "n_chars")[1] == (len(long),)
+    for keep in (exact.keep_distinct, jaccard.keep_one_of_each, suffix.without_repeats):
+        assert keep(docs).columns == docs.columns and keep(docs).count() == 5
