@@ -21,14 +21,14 @@ SUBSTITUTE_COSTS = {
 
 def edit_distance(a: str, b: str, insert: dict, delete: dict, substitute: dict) -> float:
     """Least cost of turning a into b."""
-    row = np.concatenate([[0.0], np.cumsum([insert.get(c, 1.0) for c in b])])
+    added = np.concatenate([[0.0], np.cumsum([insert.get(c, 1.0) for c in b])])
+    row = added
     for x in a:
         gone, swaps = delete.get(x, 1.0), substitute.get(x, {})
-        new = [row[0] + gone]
-        for j, y in enumerate(b):
-            swap = row[j] + (0.0 if x == y else swaps.get(y, 1.0))
-            new.append(min(swap, row[j + 1] + gone, new[-1] + insert.get(y, 1.0)))
-        row = new
+        swap = np.fromiter((0.0 if x == y else swaps.get(y, 1.0) for y in b), np.float64, len(b))
+        new = row + gone
+        new[1:] = np.minimum(new[1:], row[:-1] + swap)
+        row = np.minimum.accumulate(new - added) + added  # insertions: the cheapest place to the left, and what is added since
     return float(row[-1])
 
 
@@ -43,19 +43,53 @@ def weighted_levenshtein(a: Column, b: Column, weighted: bool = True) -> Column:
     return distance(a, b)
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence: one bit for each character of the shorter text, one step of big integers for each of the longer."""
+    short, long = sorted((a, b), key=len)
+    places: dict[str, int] = {}
+    for i, c in enumerate(short):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(short)) - 1
+    open_bits = full
+    for c in long:
+        hit = open_bits & places.get(c, 0)
+        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
+    return len(short) - open_bits.bit_count()
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays of strings."""
+    """Length of the longest common subsequence of two texts; 0 for nulls."""
 
     @F.pandas_udf("long")
     def length(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            row = [0] * (len(q) + 1)
-            for c in p:
-                last = 0
-                for j, d in enumerate(q):
-                    last, row[j + 1] = row[j + 1], last + 1 if c == d else max(row[j + 1], row[j])
-            out.append(row[-1])
-        return pd.Series(out, dtype="int64")
+        return pd.Series([common_subsequence(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="int64")
 
     return length(a, b)
+
+
+def gram_matches(a: str, b: str, most: int) -> list[int]:
+    """Size of the multiset intersection of the character n-grams of two texts, for n from 1 to most: grams are counted once by sorting."""
+    raw = np.frombuffer((a + b).encode("utf-32-le", "replace"), np.uint32)
+    alphabet, code = np.unique(raw, return_inverse=True)
+    code, cut = code.astype(np.int64), len(a)
+    x, y, out = code[:cut], code[cut:], []
+    for n in range(1, most + 1):
+        if n > 1:
+            x, y = x[:-1] * len(alphabet) + code[n - 1 : cut], y[:-1] * len(alphabet) + code[cut + n - 1 :]
+        if not len(x) or not len(y):
+            return out + [0] * (most - len(out))
+        gram, count = np.unique(x, return_counts=True)
+        other, times = np.unique(y, return_counts=True)
+        at = np.minimum(np.searchsorted(gram, other), len(gram) - 1)
+        out.append(int(np.minimum(count[at], times)[gram[at] == other].sum()))
+    return out
+
+
+def clipped_matches(a: Column, b: Column, most: int = 4) -> Column:
+    """A list of gram_matches of two texts; nulls count as empty. `most` symbols of a pair's alphabet make a 64-bit number."""
+
+    @F.pandas_udf("array<long>")
+    def matches(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([gram_matches(p or "", q or "", most) for p, q in zip(x, y, strict=True)])
+
+    return matches(a, b)

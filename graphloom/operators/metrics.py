@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import lcs_length
+from ..functions.distance import clipped_matches, lcs_length
 
 
 # -- classes ---------------------------------------------------------------------------------------------------------------------------------
@@ -156,43 +156,28 @@ def nested_totals(rows: DataFrame, outer: str, inner: str) -> DataFrame:
 # -- texts -----------------------------------------------------------------------------------------------------------------------------------
 
 
-def _grams(chars: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
-
-
-def _chars(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
-def _clipped(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    times = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(times(a, g), times(b, g)))
-
-
-def _gram_match(gt: Column, pred: Column, n: int) -> Column:
-    return F.when((F.size(gt) >= n) & (F.size(pred) >= n), _clipped(_grams(gt, n), _grams(pred, n))).otherwise(0)
+def _with_matches(rows: DataFrame, gt: Column, pred: Column) -> DataFrame:
+    """rows with the texts to compare (__g, __p) and __m, the clipped matches of their character 1- to 4-grams: one pass over each pair."""
+    rows = rows.withColumn("__g", F.coalesce(gt, F.lit(""))).withColumn("__p", F.coalesce(pred, F.lit("")))
+    return rows.withColumn("__m", clipped_matches(F.col("__g"), F.col("__p")))
 
 
 def bleu(rows: DataFrame) -> DataFrame:
     """rows (gt, pred) with bleu_1 to bleu_4, each alone, and bleu_average, over characters; a zero match counts as 0.1; no common character at all, or an
     empty prediction, gives 0."""
-    rows = rows.withColumn("__g", _chars(F.col("gt"))).withColumn("__p", _chars(F.col("pred")))
-    g, p = F.size("__g"), F.size("__p")
-    for n in (1, 2, 3, 4):
-        rows = rows.withColumn(f"__m{n}", _gram_match(F.col("__g"), F.col("__p"), n))
-    precision = {n: F.when(F.col(f"__m{n}") > 0, F.col(f"__m{n}")).otherwise(0.1) / F.greatest(p - n + 1, F.lit(1)) for n in (1, 2, 3, 4)}
+    columns, rows = rows.columns, _with_matches(rows, F.col("gt"), F.col("pred"))
+    g, p = F.length("__g"), F.length("__p")
+    match = {n: F.element_at("__m", n) for n in (1, 2, 3, 4)}
+    precision = {n: F.when(match[n] > 0, match[n]).otherwise(0.1) / F.greatest(p - n + 1, F.lit(1)) for n in match}
     brevity = F.when(p > g, 1.0).otherwise(F.exp(1 - g / F.greatest(p, F.lit(1))))
-    some = (F.col("__m1") > 0) & (p > 0)
-    for n in (1, 2, 3, 4):
-        rows = rows.withColumn(f"bleu_{n}", F.when(some, F.round(brevity * precision[n], 6)).otherwise(0.0))
-    logs = reduce(lambda a, b: a + b, [F.log(precision[n]) for n in (1, 2, 3, 4)]) / 4
-    rows = rows.withColumn("bleu_average", F.when(some, F.round(brevity * F.exp(logs), 6)).otherwise(0.0))
-    return rows.drop("__g", "__p", *[f"__m{n}" for n in (1, 2, 3, 4)])
+    some = (match[1] > 0) & (p > 0)
+    each = [F.when(some, F.round(brevity * precision[n], 6)).otherwise(0.0).alias(f"bleu_{n}") for n in match]
+    logs = reduce(lambda a, b: a + b, [F.log(precision[n]) for n in match]) / 4
+    return rows.select(*columns, *each, F.when(some, F.round(brevity * F.exp(logs), 6)).otherwise(0.0).alias("bleu_average"))
 
 
-def _word_chars(text: Column) -> Column:
-    return _chars(F.regexp_replace(F.lower(text), "[^a-z0-9]", ""))
+def _letters(text: str) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
 def _f_measure(match: Column, g: Column, p: Column) -> Column:
@@ -201,16 +186,19 @@ def _f_measure(match: Column, g: Column, p: Column) -> Column:
 
 def rouge_n(rows: DataFrame) -> DataFrame:
     """rows (gt, pred) with rouge_1 to rouge_4: F-measures of character n-grams; only letters and digits count, case doesn't."""
-    rows = rows.withColumn("__g", _word_chars(F.col("gt"))).withColumn("__p", _word_chars(F.col("pred")))
-    for n in (1, 2, 3, 4):
-        rows = rows.withColumn(f"rouge_{n}", _f_measure(_gram_match(F.col("__g"), F.col("__p"), n), F.size("__g") - n + 1, F.size("__p") - n + 1))
-    return rows.drop("__g", "__p")
+    columns, rows = rows.columns, _with_matches(rows, _letters("gt"), _letters("pred"))
+    return rows.select(*columns, *[_f_measure(F.element_at("__m", n), F.length("__g") - n + 1, F.length("__p") - n + 1).alias(f"rouge_{n}") for n in (1, 2, 3, 4)])
 
 
 def rouge_l(rows: DataFrame) -> DataFrame:
     """rows (gt, pred) with rouge_l: F-measure of the longest common subsequence."""
-    g, p = _word_chars(F.col("gt")), _word_chars(F.col("pred"))
-    return rows.withColumn("rouge_l", _f_measure(lcs_length(g, p), F.size(g), F.size(p)))
+    g, p = _letters("gt"), _letters("pred")
+    return rows.withColumn("rouge_l", _f_measure(lcs_length(g, p), F.length(g), F.length(p)))
+
+
+def exact_match(rows: DataFrame) -> DataFrame:
+    """rows (gt, pred) with exact: whether they are equal; false where one is null."""
+    return rows.withColumn("exact", F.coalesce(F.col("gt") == F.col("pred"), F.lit(False)))
 
 
 def levenshtein_score(rows: DataFrame) -> DataFrame:
@@ -233,5 +221,10 @@ def select_for_report(scores: DataFrame, info: DataFrame, charged: DataFrame, ke
     return scores.join(info, key).where((F.col("nb_atoms") < most) & ~F.col("stereochemistry") & F.col("valid")).join(charged.select(key).distinct(), key, "left_anti")
 
 
+def common_ids(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of two score sets whose key is in both."""
+    return a.join(b.select(key).distinct(), key, "left_semi"), b.join(a.select(key).distinct(), key, "left_semi")
+
+
 def outliers(scores: DataFrame) -> DataFrame:
     return scores.where(~F.col("correct"))

@@ -18,7 +18,7 @@ VIEWS = {
     "links": "select cast(floor(((year(l_shipdate) - 1990) * 366 + dayofyear(l_shipdate)) / 7) as int) as week, o_custkey as b, 1000000000 + l_suppkey as e, l_quantity, l_orderkey * 10 + l_linenumber as edge_id from {lineitem} join {orders} on l_orderkey = o_orderkey",
     "runs": "select cast(user_id as string) as image_id, event_id as step, value as conf, event_type as pred from {events}",
     "truth": "select d.doc_id, l.quality as gt, case when d.n_chars > 500 then 1 else 0 end as pred, d.source as batch, d.lang as kind from {documents} d join {labels} l on d.doc_id = l.doc_id where l.quality is not null",
-    "pairs": "select d.doc_id as id, substring(b.text, 1, 80) as gt, substring(coalesce(d.text, ''), 1, 80) as pred from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40",
+    "pairs": "select d.doc_id as id, b.text as gt, coalesce(d.text, '') as pred from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40",
     "dictionary": "select entry, population, cast(row_number() over (order by entry) as int) as position, smiles from (select p_brand as entry, count(*) as population, min(p_name) as smiles from {part} group by p_brand union all select p_type, count(*), min(p_name) from {part} group by p_type union all select n_name, count(*), min(n_name) from {nation} group by n_name) x",
     "noisy": "select distinct substring(p_brand, 1, cast(p_partkey % 7 as int)) || substring('abc1xyz', cast(p_partkey % 5 + 1 as int), 1) || substring(p_brand, cast(p_partkey % 7 + 2 as int)) as text from {part}",
     "graph": "select cast(o_orderkey as string) as image_id, cast(row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as int) as idx, l_returnflag as flag, l_linestatus as status, cast(l_quantity as int) as q, l_partkey, l_suppkey from {lineitem} join {orders} on l_orderkey = o_orderkey",

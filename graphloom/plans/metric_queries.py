@@ -150,7 +150,9 @@ def nested_totals(t):
 def _grams_sql(clean: str) -> str:
     """CTEs g1 to g4 of clipped n-gram matches of {pairs}, on characters of the texts as `clean` makes them."""
     base = f"c as (select id, {clean.format(c='gt')} as g, {clean.format(c='pred')} as p from {{pairs}})"
-    side = lambda x: f"select n, id, gram, count(*) as k from (select n, id, substring({x}, i, n) as gram from (select n, id, {x}, unnest(range(1, length({x}) - n + 2)) as i from c, (select unnest([1, 2, 3, 4]) as n) where length({x}) >= n)) group by all"
+    signs = lambda x: f"(select id, unnest(string_split({x}, '')) as c, unnest(range(1, len(string_split({x}, '')) + 1)) as i from c where {x} != '')"
+    ahead = lambda k: f"lead(c, {k}) over (partition by id order by i)"
+    side = lambda x: f"select n, id, gram, count(*) as k from (select id, unnest([1, 2, 3, 4]) as n, unnest([c, c || {ahead(1)}, c || {ahead(1)} || {ahead(2)}, c || {ahead(1)} || {ahead(2)} || {ahead(3)}]) as gram from {signs(x)}) where gram is not null group by all"
     return f"{base}, gg as ({side('g')}), pp as ({side('p')}), m as (select gg.id, gg.n, sum(least(gg.k, pp.k)) as m from gg join pp using (id, n, gram) group by 1, 2)"
 
 
@@ -185,10 +187,13 @@ def levenshtein_score(t):
     return metrics.levenshtein_score(t.pairs.withColumns(plain)).drop("gt", "pred")
 
 
-@query("""with s as (select id, list_distinct(list_transform(range(1, length(gt) - 1), lambda i: substring(gt, i, 3))) as a, list_distinct(list_transform(range(1, length(pred) - 1), lambda i: substring(pred, i, 3))) as b, gt = pred as exact from {pairs} where id % 3 != 0)
-select p.id, coalesce(round(case when a is null then null when len(list_distinct(list_concat(a, b))) > 0 then len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) else 0 end, 6), 0) as tanimoto, coalesce(exact, false) as exact from (select id from {pairs}) p left join s using (id)""")
+@query("""with g as (select id, kind, c || lead(c, 1) over w || lead(c, 2) over w as gram from (select id, kind, unnest(string_split(x, '')) as c, unnest(range(1, len(string_split(x, '')) + 1)) as i from (select id, 'a' as kind, gt as x from {pairs} union all select id, 'b', pred from {pairs}) where x != '') window w as (partition by id, kind order by i)),
+u as (select id, gram, count(distinct kind) as n from g where gram is not null group by 1, 2), t as (select id, count(*) as either, count(*) filter (where n = 2) as both from u group by 1)
+select p.id, case when pred = '' then 0 else coalesce(round(t.both / t.either, 6), 0) end as tanimoto, pred != '' and gt = pred as exact from {pairs} p left join t using (id)""")
 def similarity(t):
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
-    safe = lambda c: F.when(F.length(c) >= 3, grams(c)).otherwise(F.array().cast("array<string>"))
-    scores = t.pairs.where("id % 3 != 0").select("id", metrics.tanimoto(safe("gt"), safe("pred")).alias("tanimoto"), (F.col("gt") == F.col("pred")).alias("exact"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat(c[i - 1], c[i], c[i + 1])))
+    signs = lambda c: F.split(F.col(c), "(?!^)(?!$)")
+    scored = t.pairs.where("pred != ''").withColumn("__g", signs("gt")).withColumn("__p", signs("pred"))
+    safe = lambda c: F.when(F.size(c) >= 3, grams(F.col(c))).otherwise(F.array().cast("array<string>"))
+    scores = metrics.exact_match(scored).select("id", metrics.tanimoto(safe("__g"), safe("__p")).alias("tanimoto"), "exact")
     return metrics.with_default_scores(t.pairs.select("id"), scores, "id", {"tanimoto": 0.0, "exact": False})
