@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +93,16 @@ def position_slice(rows: DataFrame, order: str, low: int, high: int, by: str | N
     return rows.withColumn("position", F.row_number().over(w) - 1).where((F.col("position") > low) & (F.col("position") < high))
 
 
+def head_n(rows: DataFrame, order: str, n: int, by: str | None = None) -> DataFrame:
+    """The first n rows by position, within each value of `by`: without it a top-n of each task first, then of all."""
+    return position_slice(rows, order, -1, n, by).drop("position") if by else rows.orderBy(order).limit(n)
+
+
+def concat_shards(shards: list[DataFrame]) -> DataFrame:
+    """The rows of all shards; columns that a shard lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
+
+
 def drop_ids(rows: DataFrame, bad: DataFrame, key: str) -> DataFrame:
     return rows.join(bad.select(key).distinct(), key, "left_anti")
 
@@ -121,9 +132,18 @@ def add_decoys(nodes: DataFrame, edges: DataFrame, chance: Column, pick: Column,
     return nodes.unionByName(copies), edges.select("image_id", "b", "e", "class").unionByName(links)
 
 
-def batch_score(rows: DataFrame, scorer: Callable, schema: str) -> DataFrame:
-    """rows with what scorer (an iterator of pandas frames to one) makes of them, in Arrow batches; the model is loaded once a task."""
-    return rows.mapInPandas(scorer, schema)
+def batch_score(rows: DataFrame, scorer: Callable, schema: str, chunk: int = 200) -> DataFrame:
+    """rows with what scorer (an iterator of pandas frames to one) makes of them, at most `chunk` rows at a time; the model is loaded once a task."""
+
+    def chunked(frames):
+        def pieces():
+            for frame in frames:
+                for a in range(0, len(frame), chunk):
+                    yield frame.iloc[a : a + chunk]
+
+        return scorer(pieces())
+
+    return rows.mapInPandas(chunked, schema)
 
 
 def drop_short_batches(rows: DataFrame, batch: str, n: int) -> DataFrame:

@@ -8,13 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Side of the grid squares by which points and boxes meet.
+SQUARE = 64
+
+
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Euclidean, rounded to 6 places, so that ties are ties on every engine."""
     return F.round(F.sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)), 6)
 
 
+def squares(x0: Column, y0: Column, x1: Column, y1: Column, cell: int = SQUARE) -> Column:
+    """The grid squares that a box touches, for F.inline: (gx, gy)."""
+    span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
+    return F.flatten(F.transform(span(x0, x1), lambda gx: F.transform(span(y0, y1), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
+
+
+def points_in_boxes(boxes: DataFrame, points: DataFrame, cell: int = SQUARE) -> DataFrame:
+    """boxes (image_id, x0, y0, x1, y1, ...) joined with the points (image_id, x, y, ...) in them, borders included: an equi join on image and square."""
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    spread = boxes.select("*", F.inline(squares(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)))
+    placed = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    return spread.join(placed, ["image_id", "gx", "gy"]).where(inside).drop("gx", "gy")
+
+
 def lower_pairs(kp: DataFrame) -> DataFrame:
-    """(image_id, b, e, bx, by, ex, ey, dist) of each keypoint b with every lower-index keypoint e of its image: an equi join on the image."""
+    """(image_id, b, e, bx, by, ex, ey, dist) of each keypoint b with every lower-index keypoint e of its image. Images hold no more than a few
+    hundred keypoints (cap_keypoints), so pairs grow with the number of images only."""
     b = kp.select("image_id", F.col("idx").alias("b"), F.col("x").cast("double").alias("bx"), F.col("y").cast("double").alias("by"))
     e = kp.select("image_id", F.col("idx").alias("e"), F.col("x").cast("double").alias("ex"), F.col("y").cast("double").alias("ey"))
     return b.join(e, "image_id").where("b > e").withColumn("dist", distance(F.col("bx"), F.col("by"), F.col("ex"), F.col("ey")))
@@ -52,8 +71,11 @@ def in_turned_box(px: Column, py: Column, edges_have: str = "", along: float = 0
 
 def unobstructed(edges: DataFrame, kp: DataFrame) -> DataFrame:
     """Edges without a keypoint in the turned rectangle between their ends. Edges of no length have no rectangle and stay."""
-    points = kp.select("image_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
-    hit = edges.where("dist > 0").join(points, "image_id").where(in_turned_box(F.col("px"), F.col("py"))).select("image_id", "b", "e").distinct()
+    half = F.ceil(F.col("dist") / 2) + 1  # the turned rectangle lies in this square around the middle
+    middle = {c: (F.col(f"b{c}") + F.col(f"e{c}")) / 2 for c in "xy"}
+    around = edges.where("dist > 0").select("image_id", "b", "e", "bx", "by", "ex", "ey", "dist", *[(middle[c] + k * half).alias(f"{c}{i}") for c in "xy" for i, k in ((0, -1), (1, 1))])
+    points = kp.select("image_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    hit = points_in_boxes(around, points).where(in_turned_box(F.col("x"), F.col("y"))).select("image_id", "b", "e").distinct()
     return edges.join(hit, ["image_id", "b", "e"], "left_anti")
 
 
@@ -77,16 +99,20 @@ def missing_edges(proposed: DataFrame, truth: DataFrame) -> DataFrame:
 
 def crowded_images(gt: DataFrame, w: int = 10) -> DataFrame:
     """(image_id) of images in which two true boxes of half width w overlap."""
-    a, b = gt.select("image_id", F.col("idx").alias("i"), F.col("x").alias("x0"), F.col("y").alias("y0")), gt
-    near = (F.abs(F.col("x0") - F.col("x")) < 2 * w) & (F.abs(F.col("y0") - F.col("y")) < 2 * w) & (F.col("i") < F.col("idx"))
-    return a.join(b, "image_id").where(near).select("image_id").distinct()
+    boxes = gt.select("image_id", F.col("idx").alias("i"), *_box(w))
+    return points_in_boxes(boxes, gt.select("image_id", "idx", "x", "y"), 2 * w).where("i < idx").select("image_id").distinct()
+
+
+def _box(w: int) -> list[Column]:
+    """The square around a point of whole numbers in which other points are nearer than 2 w in x and in y."""
+    return [(F.col(c) + k * (2 * w - 1)).alias(f"{c}{i}") for c in "xy" for i, k in ((0, -1), (1, 1))]
 
 
 def matched_truth(gt: DataFrame, pred: DataFrame, w: int = 10) -> DataFrame:
-    """True keypoints with a predicted box that overlaps theirs."""
-    p = pred.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    near = (F.abs(F.col("px") - F.col("x")) < 2 * w) & (F.abs(F.col("py") - F.col("y")) < 2 * w)
-    return gt.join(p, "image_id").where(near).select(*gt.columns).distinct()
+    """True keypoints with a predicted box that overlaps theirs; places are whole numbers."""
+    boxes = gt.select("image_id", "idx", *_box(w))
+    hit = points_in_boxes(boxes, pred.select("image_id", "x", "y"), 2 * w).select("image_id", "idx").distinct()
+    return gt.join(hit, ["image_id", "idx"], "left_semi")
 
 
 def keypoint_scores(gt: DataFrame, pred: DataFrame, w: int = 10) -> DataFrame:
@@ -98,19 +124,27 @@ def keypoint_scores(gt: DataFrame, pred: DataFrame, w: int = 10) -> DataFrame:
     return rows.withColumn("precision", share("matched", "n_pred")).withColumn("recall", share("matched", "n_gt"))
 
 
+def keypoint_summary(scores: DataFrame) -> DataFrame:
+    """(images, both_one, precision, recall) of keypoint_scores: the share of images with both scores 1, and the means; an image without a score has 0."""
+    of = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    both = F.when((of("precision") == 1) & (of("recall") == 1), 1.0).otherwise(0.0)
+    return scores.agg(F.count("*").alias("images"), F.round(F.avg(both), 6).alias("both_one"), F.round(F.avg(of("precision")), 6).alias("precision"), F.round(F.avg(of("recall")), 6).alias("recall"))
+
+
 def overlapping_boxes(boxes: DataFrame, margin: int = 30) -> DataFrame:
     """(image_id, a, b), a < b: pairs whose gap in x is below the margin and whose extents in y overlap."""
-    a = boxes.select("image_id", F.col("box_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
-    b = boxes.select("image_id", F.col("box_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    sides = ("x0", "y0", "x1", "y1")
+    wide = squares(F.col("x0") - margin, F.col("y0"), F.col("x1") + margin, F.col("y1"))
+    a = boxes.select("image_id", F.col("box_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in sides], F.inline(wide))
+    b = boxes.select("image_id", F.col("box_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in sides], F.inline(squares(*map(F.col, sides))))
     apart = F.greatest(F.col("a_x0") - F.col("b_x1"), F.col("b_x0") - F.col("a_x1"))
     level = (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
-    return a.join(b, "image_id").where((F.col("a") < F.col("b")) & (apart < margin) & level).select("image_id", "a", "b")
+    return a.join(b, ["image_id", "gx", "gy"]).where((F.col("a") < F.col("b")) & (apart < margin) & level).select("image_id", "a", "b").distinct()
 
 
 def nodes_in_boxes(nodes: DataFrame, boxes: DataFrame, least: int = 2) -> DataFrame:
     """(image_id, box_id, idx) of the boxes that hold at least `least` nodes, borders included."""
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    held = nodes.select("image_id", "idx", "x", "y").join(boxes, "image_id").where(inside)
+    held = points_in_boxes(boxes, nodes.select("image_id", "idx", "x", "y"))
     w = Window.partitionBy("image_id", "box_id")
     return held.withColumn("__n", F.count("*").over(w)).where(F.col("__n") >= least).select("image_id", "box_id", "idx")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import ship
+from .geometry import distance, points_in_boxes
 
 #: Classes that mean "nothing here".
 EMPTY_CLASSES = ["None", "Decoy"]
@@ -36,6 +37,12 @@ def neighbors(edges: DataFrame) -> DataFrame:
     return both_directions(edges).groupBy("image_id", F.col("b").alias("idx")).agg(F.array_sort(F.collect_set("e")).alias("neighbors"))
 
 
+def incident_edges(edges: DataFrame) -> DataFrame:
+    """(image_id, idx, edges): sorted ids of the edges (image_id, edge_id, b, e) at every node that one touches."""
+    ends = edges.select("image_id", "edge_id", F.explode(F.array("b", "e")).alias("idx"))
+    return ends.groupBy("image_id", "idx").agg(F.array_sort(F.collect_set("edge_id")).alias("edges"))
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """(image_id, idx, degree): edges at each node."""
     return both_directions(edges).groupBy("image_id", F.col("b").alias("idx")).agg(F.count("*").alias("degree"))
@@ -66,13 +73,20 @@ def remove_isolated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return compact_ids(nodes.join(isolated_nodes(nodes, edges).select("image_id", "idx"), ["image_id", "idx"], "left_anti"), edges)
 
 
-def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes of each box (held: image_id, box_id, idx) become the first of them: its class stays if all agree, else R. Edges follow; loops and
+def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes of each box (held: image_id, box_id, idx) become the first of them: R if the box's text is in the dictionary (named: image_id,
+    box_id of such boxes), else the class that all have, else R. Edges follow; loops and
     repeats in either direction go; ids are renumbered. A node in two boxes belongs to the first."""
     one = held.groupBy("image_id", "idx").agg(F.min("box_id").alias("box_id"))
     heads = one.groupBy("image_id", "box_id").agg(F.min("idx").alias("into"))
     into = one.join(heads, ["image_id", "box_id"]).select("image_id", "idx", "into")
+    if named is not None:
+        heads = heads.join(named.select("image_id", "box_id", F.lit(True).alias("named")).distinct(), ["image_id", "box_id"], "left")
+    else:
+        heads = heads.withColumn("named", F.lit(False))
+    known = heads.where("named").select("image_id", F.col("into").alias("idx"), "named")
     same = nodes.join(into, ["image_id", "idx"]).groupBy("image_id", F.col("into").alias("idx")).agg(F.when(F.min("class") == F.max("class"), F.min("class")).otherwise("R").alias("merged"))
+    same = same.join(known, ["image_id", "idx"], "left").select("image_id", "idx", F.when(F.col("named"), "R").otherwise(F.col("merged")).alias("merged"))
     gone = into.where("idx != into").select("image_id", "idx")
     left = nodes.join(gone, ["image_id", "idx"], "left_anti").join(same, ["image_id", "idx"], "left").withColumn("class", F.coalesce("merged", "class")).select(*nodes.columns)
     moved = edges
@@ -117,6 +131,14 @@ def graph_from_bond_table(atoms: DataFrame, bonds: DataFrame) -> tuple[DataFrame
     return atoms.select("image_id", "idx", symbol.alias("class")), bonds.select("image_id", "b", "e", kind.alias("class"))
 
 
+def first_bond_size(atoms: DataFrame, bonds: DataFrame, order: str) -> DataFrame:
+    """(image_id, bond_size): the length of each image's first bond by `order`; atoms (image_id, idx, x, y), bonds (image_id, b, e)."""
+    first = bonds.groupBy("image_id").agg(F.min(F.struct(order, "b", "e")).alias("bond")).select("image_id", F.col("bond.b").alias("b"), F.col("bond.e").alias("e"))
+    for end in ("b", "e"):
+        first = first.join(atoms.select("image_id", F.col("idx").alias(end), F.col("x").cast("double").alias(f"{end}x"), F.col("y").cast("double").alias(f"{end}y")), ["image_id", end])
+    return first.select("image_id", distance(F.col("bx"), F.col("by"), F.col("ex"), F.col("ey")).alias("bond_size"))
+
+
 def orient_wedges(edges: DataFrame) -> DataFrame:
     """edges with class and direction: DOWN swaps the ends; type SINGLE for wedges; stereo 1 for SOLID, 6 for DASHED, else 0."""
     wedge, down = F.col("class").isin("SOLID", "DASHED"), F.col("class").isin("SOLID", "DASHED") & (F.col("direction") == "DOWN")
@@ -144,8 +166,7 @@ def neutralise(atoms: DataFrame) -> DataFrame:
 def labels_on_nodes(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     """(image_id, idx, box_id): each R node, in order, takes the first box (by box_id, borders included) that contains it, if no node before has
     taken that box: so the first node of each box gets it."""
-    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    first = nodes.where("class = 'R'").select("image_id", "idx", "x", "y").join(boxes, "image_id").where(inside).groupBy("image_id", "idx").agg(F.min("box_id").alias("box_id"))
+    first = points_in_boxes(boxes, nodes.where("class = 'R'").select("image_id", "idx", "x", "y")).groupBy("image_id", "idx").agg(F.min("box_id").alias("box_id"))
     return first.groupBy("image_id", "box_id").agg(F.min("idx").alias("idx")).select("image_id", "idx", "box_id")
 
 

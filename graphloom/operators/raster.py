@@ -70,6 +70,11 @@ def wedge_direction(edges: DataFrame, ink: DataFrame, share: float = 0.3, cell:
     return rows.withColumn("direction", F.when(F.col("ink_b") < F.col("ink_e"), "UP").otherwise("DOWN"))
 
 
+def heat_sigma(sizes: DataFrame) -> DataFrame:
+    """(image_id, sigma) of (image_id, bond_size): max(round(bond_size / 40), 2)."""
+    return sizes.select("image_id", F.greatest(F.round(F.col("bond_size") / 40), F.lit(2.0)).alias("sigma"))
+
+
 def render_heatmap(kp: DataFrame, sigma: DataFrame, width: int = 256) -> DataFrame:
     """(image_id, y, x, v): the greatest of Gaussian patches around the keypoints, of radius 3 sigma (image_id, sigma); images with a patch
     that lies outside altogether are left out."""

@@ -50,9 +50,9 @@ def rescale(t):
 
 
 @query("""select image_id, idx, cast(trunc(round(0.5 * (x + 10) + 0.25 * (y + 10) + label, 6) - 10) as bigint) as x, cast(trunc(round(-0.25 * (x + 10) + 0.5 * (y + 10) + 2 * label, 6) - 10) as bigint) as y
-from (select *, cast(image_id as int) as label from {kp})""")
+from (select *, cast(split_part(image_id, '-', 1) as int) as label from {kp})""")
 def affine(t):
-    label = F.col("image_id").cast("int")
+    label = F.split_part("image_id", F.lit("-"), F.lit(1)).cast("int")
     matrices = t.kp.select("image_id").distinct().select("image_id", F.lit(0.5).alias("a"), F.lit(0.25).alias("b"), label.alias("c"), F.lit(-0.25).alias("d"), F.lit(0.5).alias("e"), (2 * label).alias("f"))
     return curate.affine_keypoints(t.kp, matrices, 10)
 
@@ -130,3 +130,13 @@ def short_batches(t):
 def hub_rows(t):
     rows = readers.read_hub_parquet(t.documents.select(F.col("doc_id").alias("id"), "source"))
     return readers.rename_paths(rows, ["source"], "src", "set-")
+
+
+@query("select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as r from {documents}) where r <= 5")
+def head_rows(t):
+    return curate.head_n(t.documents.select("doc_id", "lang"), "doc_id", 5, by="lang")
+
+
+@query("select doc_id as id, text, lang from {documents} union all select item_id, text, null from {benchmark} union all select conv_id * 1000 + turn, text, null from {conversations}")
+def shards(t):
+    return curate.concat_shards([t.documents.select(F.col("doc_id").alias("id"), "text", "lang"), t.benchmark.select(F.col("item_id").alias("id"), "text"), t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components as loops
-from ..operators import graph
+from ..operators import geometry, graph
+from ..operators.geometry import nodes_in_boxes
+from .point_queries import INKED, LOWER, NEAR, PROPOSED, SIZE
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -87,14 +89,41 @@ def fragments(t):
     return loops.fragment_counts(_nodes(t), _edges(t))  # the lines of an order make paths: fragments are nodes less edges
 
 
-@query()
-def merge_nodes(t):
+def _merged(t):
     nodes = t.kp.select("image_id", "idx", "x", "y", F.when(F.col("vec_id") % 3 == 0, "R").otherwise("C").alias("class"))
-    from ..operators.geometry import nodes_in_boxes
+    edges = t.edges.select("image_id", (F.col("b") * 1000 + F.col("e")).alias("edge_id"), "b", "e")
+    held, named = nodes_in_boxes(t.kp, t.boxes), t.boxes.where("x0 % 2 = 0").select("image_id", "box_id")
+    return graph.merge_nodes(nodes, edges, held, named)
+
+
+#: A node in several boxes belongs to the first; the first node of a box stands for all that belong to it.
+MERGED = """h as (select image_id, box_id, idx from (select b.image_id, b.box_id, k.idx, count(*) over (partition by b.image_id, b.box_id) as n from {boxes} b join {kp} k on k.image_id = b.image_id and k.x between b.x0 and b.x1 and k.y between b.y0 and b.y1) where n >= 2),
+o as (select image_id, idx, min(box_id) as box_id from h group by 1, 2), f as (select image_id, idx, box_id, min(idx) over (partition by image_id, box_id) as head from o),
+c as (select k.image_id, k.idx, coalesce(head, k.idx) as head, box_id, case when vec_id % 3 = 0 then 'R' else 'C' end as class from {kp} k left join f on f.image_id = k.image_id and f.idx = k.idx),
+n as (select image_id, head, case when bool_or(x0 % 2 = 0) then 'R' when min(class) = max(class) then min(class) else 'R' end as class from c left join (select image_id as bi, box_id as bb, x0 from {boxes}) b on bi = image_id and bb = box_id group by 1, 2),
+z as (select image_id, head, class, row_number() over (partition by image_id order by head) - 1 as idx from n)"""
+
+
+@query(f"with {MERGED} select image_id, idx, class from z")
+def merged_nodes(t):
+    return _merged(t)[0].select("image_id", F.col("idx").cast("long").alias("idx"), "class")
+
+
+@query(f"""with {MERGED}, e as (select x.image_id, x.b * 1000 + x.e as edge_id, p.head as b, q.head as e from {{edges}} x join c p on p.image_id = x.image_id and p.idx = x.b join c q on q.image_id = x.image_id and q.idx = x.e),
+k as (select *, row_number() over (partition by image_id, least(b, e), greatest(b, e) order by edge_id) as r from e where b != e)
+select k.image_id, edge_id, p.idx as b, q.idx as e from k join z p on p.image_id = k.image_id and p.head = k.b join z q on q.image_id = k.image_id and q.head = k.e where r = 1""")
+def merge_nodes(t):
+    return _merged(t)[1].select("image_id", "edge_id", F.col("b").cast("long").alias("b"), F.col("e").cast("long").alias("e"))
+
+
+@query("select image_id, idx, list_sort(list(distinct edge_id)) as edges from (select image_id, b * 1000 + e as edge_id, unnest([b, e]) as idx from {edges}) group by 1, 2")
+def incident_edges(t):
+    return graph.incident_edges(t.edges.select("image_id", (F.col("b") * 1000 + F.col("e")).alias("edge_id"), "b", "e"))
 
-    edges = t.edges.where("dist < 300").select("image_id", (F.col("b") * 1000 + F.col("e")).alias("edge_id"), "b", "e")
-    merged = graph.merge_nodes(nodes, edges, nodes_in_boxes(t.kp, t.boxes))
-    return merged[1].select("image_id", "edge_id", F.col("b").cast("long").alias("b"), F.col("e").cast("long").alias("e"))
+
+@query("select image_id, dist as bond_size from (select *, row_number() over (partition by image_id order by b * 1000 + e) as r from {edges}) where r = 1")
+def first_bond(t):
+    return graph.first_bond_size(t.kp, t.edges.select("image_id", (F.col("b") * 1000 + F.col("e")).alias("edge_id"), "b", "e"), "edge_id")
 
 
 @query("""with f as (select k.image_id, k.idx, min(b.box_id) as box_id from {kp} k join {boxes} b on b.image_id = k.image_id and k.x between b.x0 and b.x1 and k.y between b.y0 and b.y1 where k.vec_id % 3 = 0 group by 1, 2)
@@ -204,3 +233,25 @@ def molecule_status(t):
     edges = t.edges.where("floor(b / 4) = floor(e / 4) and dist < 300").select(cell("b").alias("image_id"), (F.col("b") * 1000 + F.col("e")).alias("edge_id"), "b", "e")
     boxes = t.boxes.select(cell("box_id").alias("image_id"), "box_id", (F.col("x0") - 150).alias("x0"), (F.col("y0") - 150).alias("y0"), (F.col("x1") + 150).alias("x1"), (F.col("y1") + 150).alias("y1"))
     return graph.molecule_status(nodes, edges, boxes)
+
+
+@query(f"""with recursive {LOWER}, {SIZE}, {NEAR}, {PROPOSED}, {INKED},
+drawn as (select image_id, b, e from side s where exists (select 1 from {{ink}} i where i.image_id = s.image_id and i.x >= cx - floor(side / 2) and i.x < cx + side - floor(side / 2) and i.y >= cy - floor(side / 2) and i.y < cy + side - floor(side / 2))),
+kept as (select image_id, idx, x, y, ((idx * 7 + x) % 5 + 5) % 5 = 1 as r, row_number() over (partition by image_id order by idx) - 1 as node from {{kp}} where ((idx * 7 + x) % 5 + 5) % 5 != 0),
+bond as (select d.image_id, p.node as b, q.node as e from drawn d join kept p on p.image_id = d.image_id and p.idx = d.b join kept q on q.image_id = d.image_id and q.idx = d.e where (d.b + d.e) % 4 != 0),
+taken as (select k.image_id, node, min(box_id) as box_id from kept k join {{boxes}} x on x.image_id = k.image_id and k.x between x0 and x1 and k.y between y0 and y1 where r group by 1, 2),
+ways as (select image_id, b, e from bond union all select image_id, e, b from bond),
+reach as (select image_id, node, node as seen from kept union select reach.image_id, node, e from reach join ways on ways.image_id = reach.image_id and b = seen)
+select n.image_id, atoms, coalesce(bonds, 0) as bonds, coalesce(labelled, 0) as labelled, fragments from (select image_id, count(*) as atoms from kept group by 1) n
+left join (select image_id, count(*) as bonds from bond group by 1) using (image_id) left join (select image_id, count(distinct box_id) as labelled from taken group by 1) using (image_id)
+left join (select image_id, count(distinct least_seen) as fragments from (select image_id, node, min(seen) as least_seen from reach group by 1, 2) group by 1) using (image_id)""")
+def annotate(t):
+    """From keypoints to a summary of each image's graph: candidate edges with ink, predicted classes, empty ones dropped, labels on nodes, fragments."""
+    nodes, edges = graph.graph_from_keypoints(t.kp, geometry.propose_edges(t.kp, ink=t.ink))
+    kind = F.pmod(F.col("idx") * 7 + F.col("x"), F.lit(5))
+    nodes = nodes.withColumn("class", F.when(kind == 0, "None").when(kind == 1, "R").otherwise("C"))
+    edges = edges.withColumn("class", F.when((F.col("b") + F.col("e")) % 4 == 0, "None").otherwise("SINGLE"))
+    nodes, edges = graph.apply_predictions(nodes, edges)
+    count = lambda df, name: df.groupBy("image_id").agg(F.count("*").alias(name))
+    out = count(nodes, "atoms").join(count(edges, "bonds"), "image_id", "left").join(count(graph.labels_on_nodes(nodes, t.boxes), "labelled"), "image_id", "left")
+    return out.join(loops.fragment_counts(nodes, edges), "image_id", "left").na.fill(0, ["bonds", "labelled"])

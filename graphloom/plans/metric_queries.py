@@ -160,8 +160,11 @@ _BLEU = """, j as (select c.id, c.g, c.p, length(g) as lg, length(p) as lp, coal
 left join m m1 on m1.id = c.id and m1.n = 1 left join m m2 on m2.id = c.id and m2.n = 2 left join m m3 on m3.id = c.id and m3.n = 3 left join m m4 on m4.id = c.id and m4.n = 4)"""
 
 
-@query("with " + _grams_sql("{c}") + _BLEU + """, b as (select id, m1 > 0 and lp > 0 as hit, case when lp > lg then 1.0 else exp(1 - lg / greatest(lp, 1)) end as bp,
-(case when m1 > 0 then m1 else 0.1 end) / greatest(lp, 1)::double as q1, (case when m2 > 0 then m2 else 0.1 end) / greatest(lp - 1, 1)::double as q2, (case when m3 > 0 then m3 else 0.1 end) / greatest(lp - 2, 1)::double as q3, (case when m4 > 0 then m4 else 0.1 end) / greatest(lp - 3, 1)::double as q4 from j)
+_PRECISIONS = """, b as (select id, m1 > 0 and lp > 0 as hit, case when lp > lg then 1.0 else exp(1 - lg / greatest(lp, 1)) end as bp,
+(case when m1 > 0 then m1 else 0.1 end) / greatest(lp, 1)::double as q1, (case when m2 > 0 then m2 else 0.1 end) / greatest(lp - 1, 1)::double as q2, (case when m3 > 0 then m3 else 0.1 end) / greatest(lp - 2, 1)::double as q3, (case when m4 > 0 then m4 else 0.1 end) / greatest(lp - 3, 1)::double as q4 from j)"""
+
+
+@query("with " + _grams_sql("{c}") + _BLEU + _PRECISIONS + """
 select id, case when hit then round(bp * q1, 6) else 0 end as bleu_1, case when hit then round(bp * q2, 6) else 0 end as bleu_2, case when hit then round(bp * q3, 6) else 0 end as bleu_3, case when hit then round(bp * q4, 6) else 0 end as bleu_4,
 case when hit then round(bp * exp((ln(q1) + ln(q2) + ln(q3) + ln(q4)) / 4), 6) else 0 end as bleu_average from b""")
 def bleu(t):
@@ -197,3 +200,23 @@ def similarity(t):
     safe = lambda c: F.when(F.size(c) >= 3, grams(F.col(c))).otherwise(F.array().cast("array<string>"))
     scores = metrics.exact_match(scored).select("id", metrics.tanimoto(safe("__g"), safe("__p")).alias("tanimoto"), "exact")
     return metrics.with_default_scores(t.pairs.select("id"), scores, "id", {"tanimoto": 0.0, "exact": False})
+
+
+@query("""select 'documents' as side, doc_id, n_chars as score from {documents} where doc_id in (select doc_id from {labels}) union all
+select 'labels', doc_id, quality from {labels} where doc_id in (select doc_id from {documents})""")
+def common_ids(t):
+    a, b = metrics.common_ids(t.documents.select("doc_id", F.col("n_chars").alias("score")), t.labels.select("doc_id", F.col("quality").alias("score")), "doc_id")
+    return a.withColumn("side", F.lit("documents")).unionByName(b.withColumn("side", F.lit("labels")), allowMissingColumns=True)
+
+
+@query("with " + _grams_sql("{c}") + _BLEU + _PRECISIONS + """, s as (select b.id, case when hit then round(bp * exp((ln(q1) + ln(q2) + ln(q3) + ln(q4)) / 4), 6) else 0 end as bleu, g = p and p != '' as exact from b join j using (id))
+select lang, count(*) as molecules, count(*) filter (where exact) as exact, round(avg(bleu), 4) as bleu, count(*) filter (where quality = 1 and not exact) as outliers
+from s join {documents} on doc_id = id left join {labels} using (doc_id) group by 1""")
+def evaluate(t):
+    """From predictions to a report for each language: scores of what was predicted, defaults for the rest, means, and labelled rows that went wrong."""
+    scores = metrics.bleu(metrics.exact_match(t.pairs.where("pred != ''"))).select("id", "exact", F.col("bleu_average").alias("bleu"))
+    truth = t.documents.select(F.col("doc_id").alias("id"), "lang").join(t.labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("valid")), "id", "left")
+    rows = metrics.with_default_scores(truth, scores, "id", {"exact": False, "bleu": 0.0})
+    bad = metrics.outliers(rows.where("valid").withColumnRenamed("exact", "correct")).groupBy("lang").agg(F.count("*").alias("outliers"))
+    report = rows.groupBy("lang").agg(F.count("*").alias("molecules"), F.count_if(F.col("exact")).alias("exact"), F.round(F.avg("bleu"), 4).alias("bleu"))
+    return report.join(bad.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang").na.fill(0, ["outliers"])

@@ -34,6 +34,14 @@ def proposed_edges(t):
     return geometry.propose_edges(t.kp).select("image_id", "b", "e", "dist")
 
 
+INKED = "side as (select p.*, floor((bx + ex) / 2) as cx, floor((by + ey) / 2) as cy, greatest(floor(0.3 * bond_size), 15) as side from prop p join size using (image_id))"
+
+
+@query(f"with {LOWER}, {SIZE}, {NEAR}, {PROPOSED}, {INKED} select image_id, b, e from side s where exists (select 1 from {{ink}} i where i.image_id = s.image_id and i.x >= cx - floor(side / 2) and i.x < cx + side - floor(side / 2) and i.y >= cy - floor(side / 2) and i.y < cy + side - floor(side / 2))")
+def proposed_inked_edges(t):
+    return geometry.propose_edges(t.kp, ink=t.ink).select("image_id", "b", "e")
+
+
 @query(f"with {LOWER}, {SIZE}, {NEAR}, {PROPOSED}, truth as (select image_id, e as b, b as e from prop where (b + e) % 3 = 0) select image_id, b, e from prop p where not exists (select 1 from truth t where t.image_id = p.image_id and least(t.b, t.e) = least(p.b, p.e) and greatest(t.b, t.e) = greatest(p.b, p.e))")
 def missing_edges(t):
     prop = geometry.propose_edges(t.kp).select("image_id", "b", "e")
@@ -45,16 +53,28 @@ def cap_points(t):
     return geometry.cap_keypoints(t.kp, 30).select("image_id", "idx", "x", "y")
 
 
-@query("""with crowd as (select distinct a.image_id, a.idx // 2 as cell from {kp} a join {kp} b on a.image_id = b.image_id and a.idx // 2 = b.idx // 2 and a.idx < b.idx and abs(a.x - b.x) < 20 and abs(a.y - b.y) < 20),
-g as (select image_id || '/' || (idx // 2) as image_id, idx, x, y from {kp}), p as (select image_id || '/' || (idx // 2) as image_id, idx, x, y from {pred} where idx % 5 != 0),
-m as (select image_id, count(*) as matched from g where exists (select 1 from p where p.image_id = g.image_id and abs(p.x - g.x) < 20 and abs(p.y - g.y) < 20) group by 1)
-select a.image_id, n_gt, coalesce(n_pred, 0) as n_pred, coalesce(matched, 0) as matched, round(coalesce(matched, 0) / nullif(n_pred, 0), 6) as precision, round(coalesce(matched, 0) / n_gt, 6) as recall
+SCORES = """g as (select image_id, idx, 40 * x as x, 40 * y as y from {kp}), p as (select image_id, 40 * x + (vec_id * 7919) % 41 - 20 as x, 40 * y + (vec_id * 104729) % 41 - 20 as y from {kp} where x % 5 != 0),
+crowd as (select distinct a.image_id from g a join g b on a.image_id = b.image_id and a.idx < b.idx and abs(a.x - b.x) < 20 and abs(a.y - b.y) < 20),
+m as (select image_id, count(*) as matched from g where exists (select 1 from p where p.image_id = g.image_id and abs(p.x - g.x) < 20 and abs(p.y - g.y) < 20) group by 1),
+s as (select a.image_id, n_gt, coalesce(n_pred, 0) as n_pred, coalesce(matched, 0) as matched, round(coalesce(matched, 0) / nullif(n_pred, 0), 6) as precision, round(coalesce(matched, 0) / n_gt, 6) as recall
 from (select image_id, count(*) as n_gt from g group by 1) a left join (select image_id, count(*) as n_pred from p group by 1) b using (image_id) left join m using (image_id)
-where a.image_id not in (select image_id || '/' || cell from crowd)""")
+where a.image_id not in (select image_id from crowd))"""
+
+
+def _scores(t):
+    gt = t.kp.selectExpr("image_id", "idx", "40 * x as x", "40 * y as y")
+    pred = t.kp.where("x % 5 != 0").selectExpr("image_id", "40 * x + (vec_id * 7919) % 41 - 20 as x", "40 * y + (vec_id * 104729) % 41 - 20 as y")
+    return geometry.keypoint_scores(gt, pred)
+
+
+@query(f"with {SCORES} select * from s")
 def keypoint_pr(t):
-    cell = F.concat_ws("/", "image_id", F.floor(F.col("idx") / 2).cast("string"))
-    gt = t.kp.select(cell.alias("image_id"), "idx", "x", "y")
-    return geometry.keypoint_scores(gt, t.pred.where("idx % 5 != 0").select(cell.alias("image_id"), "idx", "x", "y"))
+    return _scores(t)
+
+
+@query(f"with {SCORES} select count(*) as images, round(avg(case when precision = 1 and recall = 1 then 1.0 else 0.0 end), 6) as both_one, round(avg(coalesce(precision, 0)), 6) as precision, round(avg(coalesce(recall, 0)), 6) as recall from s")
+def keypoint_totals(t):
+    return geometry.keypoint_summary(_scores(t))
 
 
 @query("""select a.image_id, a.box_id as a, b.box_id as b from {boxes} a join {boxes} b on a.image_id = b.image_id and a.box_id < b.box_id
@@ -129,15 +149,13 @@ def tight_bbox(t):
     return raster.tight_bbox(ink.where("y > 0 and y < 150"), ink.select("image_id").distinct(), 1024)
 
 
-def _heat(t):
-    kp = t.kp.where("idx < 10").select("image_id", "idx", F.pmod("x", F.lit(64)).alias("x"), F.pmod("y", F.lit(64)).alias("y"))
-    return raster.render_heatmap(kp, kp.select("image_id").distinct().withColumn("sigma", F.lit(2.0)), 64)
-
-
-@query("""with k as (select image_id, ((x % 64) + 64) % 64 as x, ((y % 64) + 64) % 64 as y from {kp} where idx < 10), o as (select unnest(range(-6, 7)) as d)
-select image_id, cast(y + b.d as int) as y, cast(x + a.d as int) as x, round(max(exp(-(a.d * a.d + b.d * b.d) / 8.0)), 6) as v from k, o a, o b where x + a.d between 0 and 63 and y + b.d between 0 and 63 group by 1, 2, 3""")
+@query(f"""with {LOWER}, {SIZE}, sigma as (select k.image_id, greatest(round(coalesce(bond_size, 100) / 40), 2) as sigma from (select distinct image_id from {{kp}}) k left join size using (image_id)),
+k as (select image_id, ((x % 256) + 256) % 256 as x, ((y % 256) + 256) % 256 as y, sigma, cast(floor(3 * sigma) as int) as r from {{kp}} join sigma using (image_id)),
+o as (select image_id, sigma, x, y, unnest(range(-r, r + 1)) as dx, r from k), c as (select *, unnest(range(-r, r + 1)) as dy from o)
+select image_id, cast(y + dy as int) as y, cast(x + dx as int) as x, round(max(exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))), 6) as v from c where x + dx between 0 and 255 and y + dy between 0 and 255 group by 1, 2, 3""")
 def heatmap(t):
-    return _heat(t)
+    kp = t.kp.select("image_id", "idx", F.pmod("x", F.lit(256)).alias("x"), F.pmod("y", F.lit(256)).alias("y"))
+    return raster.render_heatmap(kp, raster.heat_sigma(geometry.bond_size(t.kp)))
 
 
 @query()

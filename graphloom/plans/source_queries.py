@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import labels, metrics
+from ..operators.curate import concat_shards
 from ..scratch import new_path
 from ..sources import readers, sinks
 from ..streaming.annotations import stream_summary as summarise_stream
@@ -16,23 +17,41 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query("select unnest(['" + "', '".join(sorted(f"{t}.parquet" for t in TABLES)) + "']) as name")
+#: The pages' images, of which each fifth has a preprocessed copy beside it.
+PAGE_IMAGES = "select regexp_extract(url, '([^/]*)$', 1) as name, regexp_replace(url, '/$', '') || '.png' as path, page_id from {pages}"
+
+
+@query(f"with i as ({PAGE_IMAGES}) select regexp_extract(path, '([^/]*)$', 1) as name from i")
 def manifest_roundtrip(t):
-    files = readers.drop_preprocessed(readers.list_images(t.spark, t.sf_dir, "*.parquet"))
-    name = F.regexp_extract("path", r"([^/]+\.parquet)(/.*)?$", 1)  # a table may be a folder of files
+    images = t.pages.select(F.concat(F.regexp_replace("url", "/$", ""), F.lit(".png")).alias("path"), "page_id")
+    copies = images.where("page_id % 5 = 0").select(text.preprocessed_name(F.col("path")).alias("path"))
     path = new_path(t.spark, "manifest")
-    sinks.write_manifest(files.select(name.alias("path")).distinct(), path)
+    sinks.write_manifest(readers.drop_preprocessed(images.select("path").unionByName(copies)), path)
     return readers.read_manifest(t.spark, path).select(text.basename(F.col("path")).alias("name"))
 
 
+@query(f"with i as ({PAGE_IMAGES}) select path, left(regexp_extract(path, '([^/]*)$', 1), length(regexp_extract(path, '([^/]*)$', 1)) - 4) || '_preprocessed.png' as name from i")
+def preprocessed_names(t):
+    images = t.pages.select(F.concat(F.regexp_replace("url", "/$", ""), F.lit(".png")).alias("path"))
+    return images.select("path", text.preprocessed_name(F.col("path")).alias("name"))
+
+
+@query(" union all ".join(f"select '{x}.parquet' as name, count(*) as n from {{{x}}}" for x in TABLES))
+def table_files(t):
+    files = readers.list_images(t.spark, t.sf_dir, "*.parquet")
+    names = files.select(F.regexp_extract("path", r"([^/]+\.parquet)(/.*)?$", 1).alias("name")).distinct()  # a table may be a folder of files
+    counts = concat_shards([getattr(t, x).agg(F.count("*").alias("n")).select(F.lit(f"{x}.parquet").alias("name"), "n") for x in TABLES])
+    return names.join(counts, "name")
+
+
 STEM = "substring(regexp_extract(url, '([^/]*)$', 1), 1, greatest(length(regexp_extract(url, '([^/]*)$', 1)) - 4, 0))"
 
 
-@query(f"""with i as (select {STEM} as stem, url from {{pages}}), l as (select 'page' || (doc_id % 400) as stem, doc_id from {{documents}} where doc_id % 7 = 0)
+@query(f"""with i as (select {STEM} as stem, url from {{pages}}), l as (select 'page' || (doc_id % 400) as stem, doc_id from {{documents}})
 select l.doc_id, i.url, i.url is not null as paired from l left join i on i.stem = l.stem""")
 def pair_by_stem(t):
     images = t.pages.select(F.col("url").alias("path"))
-    files = t.documents.where("doc_id % 7 = 0").select(F.concat(F.lit("page"), (F.col("doc_id") % 400).cast("string"), F.lit(".mol")).alias("path"), "doc_id")
+    files = t.documents.select(F.concat(F.lit("page"), (F.col("doc_id") % 400).cast("string"), F.lit(".mol")).alias("path"), "doc_id")
     pairs, alone = readers.pair_images_labels(images, files.select("path").distinct())
     named = files.join(pairs.select(F.col("label").alias("path"), F.col("image").alias("url")), "path").select("doc_id", "url", F.lit(True).alias("paired"))
     return named.unionByName(files.join(alone.select(F.col("label").alias("path")), "path").select("doc_id", F.lit(None).cast("string").alias("url"), F.lit(False).alias("paired")))
