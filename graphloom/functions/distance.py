@@ -29,7 +29,7 @@ def edit_distance(a: str, b: str, insert: dict, delete: dict, substitute: dict)
         new = row + gone
         new[1:] = np.minimum(new[1:], row[:-1] + swap)
         row = np.minimum.accumulate(new - added) + added  # insertions: the cheapest place to the left, and what is added since
-    return float(row[-1])
+    return round(float(row[-1]), 9)
 
 
 def weighted_levenshtein(a: Column, b: Column, weighted: bool = True) -> Column:

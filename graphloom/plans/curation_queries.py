@@ -99,15 +99,26 @@ def jitter(t):
     return curate.jitter_keypoints(t.kp, F.expr(U).cast("double"), F.expr(V).cast("double"), 8.0, -400, 400)
 
 
-@query("""with chosen as (select * from (select *, row_number() over (partition by image_id order by (idx * 7919) % 31, idx) as n from {kp} where cast(image_id as int) % 2 = 0) where n = 1),
-size as (select image_id, max(idx) + 1 as fresh from {kp} group by 1), made as (select image_id, idx, fresh from chosen join size using (image_id))
-select image_id, b, e, 'None' as class from {edges} where dist < 300 union all
-select e.image_id, case when e.b = m.idx then e.e else e.b end, m.fresh, 'Decoy' from {edges} e join made m on e.image_id = m.image_id and (e.b = m.idx or e.e = m.idx) where dist < 300 union all
+CHOSEN = """chosen as (select * from (select *, row_number() over (partition by image_id order by (idx * 7919) % 31, idx) as n from {kp} where cast(split_part(image_id, '-', 1) as int) % 2 = 0) where n = 1),
+size as (select image_id, max(idx) + 1 as fresh from {kp} group by 1), made as (select image_id, idx, x, y, fresh from chosen join size using (image_id))"""
+
+
+def _decoys(t):
+    nodes = t.kp.select("image_id", "idx", "x", "y", F.lit("C").alias("class"))
+    even = F.split_part("image_id", F.lit("-"), F.lit(1)).cast("int") % 2 == 0
+    return curate.add_decoys(nodes, t.edges.withColumn("class", F.lit("None")), even, (F.col("idx") * 7919) % 31, 15, -10)
+
+
+@query(f"""with {CHOSEN} select image_id, b, e, 'None' as class from {{edges}} union all
+select e.image_id, case when e.b = m.idx then e.e else e.b end, m.fresh, 'Decoy' from {{edges}} e join made m on e.image_id = m.image_id and (e.b = m.idx or e.e = m.idx) union all
 select image_id, idx, fresh, 'Decoy' from made""")
 def decoys(t):
-    nodes = t.kp.select("image_id", "idx", "x", "y", F.lit("C").alias("class"))
-    edges = t.edges.where("dist < 300").withColumn("class", F.lit("None"))
-    return curate.add_decoys(nodes, edges, F.col("image_id").cast("int") % 2 == 0, (F.col("idx") * 7919) % 31, 15, -10)[1]
+    return _decoys(t)[1]
+
+
+@query(f"with {CHOSEN} select image_id, idx, x, y, 'C' as class from {{kp}} union all select image_id, fresh, x + 15, y - 10, 'Decoy' from made")
+def decoy_nodes(t):
+    return _decoys(t)[0]
 
 
 @query("select vec_id, label, round(list_sum(list_transform(range(1, 65), lambda i: cast(embedding[i] as double) * i)), 4) as score from {embeddings}")

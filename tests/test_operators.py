@@ -118,3 +118,59 @@ def test_peaks_use_all_rows(spark):
 
     peaks = catalog.queries()["peaks"](spark, "/root/testdata/sf0.001")
     assert peaks.select("image_id").distinct().count() > 10 and peaks.agg(F.max("x")).first()[0] > 63
+
+
+def test_text_metrics_against_brute_force(spark):
+    import random
+    from collections import Counter
+
+    from graphloom.functions.distance import common_subsequence, edit_distance, gram_matches
+
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 30))) for _ in range(2))
+        grams = lambda t, n: Counter(t[i : i + n] for i in range(len(t) - n + 1))
+        assert gram_matches(a, b, 4) == [(grams(a, n) & grams(b, n)).total() for n in (1, 2, 3, 4)]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        cost = [[j for j in range(len(b) + 1)] if not i else [i] + [0] * len(b) for i in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+                cost[i + 1][j + 1] = min(cost[i][j] + (x != y), cost[i][j + 1] + 1, cost[i + 1][j] + 1)
+        assert common_subsequence(a, b) == table[-1][-1]
+        assert edit_distance(a, b, {}, {}, {}) == cost[-1][-1]
+
+
+def test_grid_joins_against_brute_force(spark):
+    import random
+
+    from graphloom.operators import geometry
+    from graphloom.operators.components import merge_boxes
+
+    rng = random.Random(6)
+    points = [(f"i{k % 2}", k, rng.randint(-150, 150), rng.randint(-150, 150)) for k in range(80)]
+    boxes = [(f"i{k % 2}", k, x, y, x + rng.randint(0, 90), y + rng.randint(0, 90)) for k, (x, y) in enumerate((rng.randint(-150, 150), rng.randint(-150, 150)) for _ in range(14))]
+    kp = spark.createDataFrame(points, "image_id string, idx int, x int, y int")
+    frame = spark.createDataFrame(boxes, "image_id string, box_id int, x0 int, y0 int, x1 int, y1 int")
+    held = {(i, b, k) for i, b, x0, y0, x1, y1 in boxes for j, k, x, y in points if i == j and x0 <= x <= x1 and y0 <= y <= y1}
+    assert {tuple(r) for r in geometry.nodes_in_boxes(kp, frame, 1).collect()} == held
+    meet = lambda p, q, m: max(p[0] - q[2], q[0] - p[2]) < m and p[1] < q[3] and q[1] < p[3]
+    for margin in (0, 30):
+        want = {(i, a, b) for i, a, *p in boxes for j, b, *q in boxes if i == j and a < b and meet(p, q, margin)}
+        assert {tuple(r) for r in geometry.overlapping_boxes(frame, margin).collect()} == want
+    merged = {}
+    for i, b, *p in boxes:
+        merged.setdefault(i, []).append((b, p))
+    want = set()
+    for i, left in merged.items():
+        changed = True
+        while changed:
+            changed = False
+            for p in left:
+                hit = next((q for q in left if q is not p and meet(p[1], q[1], 10)), None)
+                if hit:
+                    left = [x for x in left if x is not p and x is not hit] + [(min(p[0], hit[0]), [min(p[1][0], hit[1][0]), min(p[1][1], hit[1][1]), max(p[1][2], hit[1][2]), max(p[1][3], hit[1][3])])]
+                    changed = True
+                    break
+        want |= {(i, b, *p) for b, p in left}
+    assert {tuple(r) for r in merge_boxes(frame, 10).collect()} == want
