@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import ship
+from ..scratch import saved, ship
 from .geometry import distance, points_in_boxes
+from .small import small
 
 #: Classes that mean "nothing here".
 EMPTY_CLASSES = ["None", "Decoy"]
+#: Most atoms, and most bonds, that the fragments of a dictionary may have together: they go to every task.
+MOST_FRAGMENT_ROWS = 1_000_000
 #: Symbols of drawn bonds, by bond type.
 BOND_SYMBOLS = {"-": "SINGLE", "up": "SINGLE", "down": "SINGLE", "/": "SINGLE", "\\": "SINGLE", "=": "DOUBLE", "either": "DOUBLE", "#": "TRIPLE"}
 
@@ -148,9 +151,9 @@ def orient_wedges(edges: DataFrame) -> DataFrame:
 
 
 def class_lookup(rows: DataFrame, vocabulary: DataFrame, column: str = "class") -> DataFrame:
-    """rows with class_id of the vocabulary (symbol, class_id), a dictionary of fixed size; unknown symbols get that of None."""
+    """rows with class_id of the vocabulary (symbol, class_id), whose size is checked; unknown symbols get that of None."""
     none = vocabulary.where("symbol = 'None'").agg(F.min("class_id").alias("__none"))
-    named = rows.join(F.broadcast(vocabulary.withColumnRenamed("symbol", column)), column, "left")
+    named = rows.join(small(vocabulary.withColumnRenamed("symbol", column)), column, "left")
     return named.join(F.broadcast(none), how="cross").withColumn("class_id", F.coalesce("class_id", "__none")).drop("__none")
 
 
@@ -175,7 +178,8 @@ def expand_superatoms(nodes: DataFrame, edges: DataFrame, frag_nodes: DataFrame,
 
     nodes (image_id, idx, class, text), edges (image_id, edge_id, b, e, class), frag_nodes (text, pos, symbol, attach): attach is the ordinal of the
     attachment at that atom, null elsewhere; frag_edges (text, p, q, class). A node's edges, by edge_id, meet the fragment's attachments
-    by ordinal; where their numbers differ the node stays. New ids follow the old; the replaced node goes; nothing is renumbered."""
+    by ordinal; where their numbers differ the node stays. The fragments' size is checked. New ids follow the old; the replaced node goes; nothing is renumbered."""
+    parts, bonds = small(frag_nodes, MOST_FRAGMENT_ROWS), small(frag_edges, MOST_FRAGMENT_ROWS)
     ends = edges.select("image_id", "edge_id", "b", "e", F.inline(F.array(F.struct(F.col("b").alias("idx"), F.lit("b").alias("end")), F.struct(F.col("e").alias("idx"), F.lit("e").alias("end")))))
     r = nodes.where("class = 'R' and text is not null").select("image_id", "idx", "text")
     at = ends.join(r, ["image_id", "idx"]).withColumn("attach", F.row_number().over(Window.partitionBy("image_id", "idx").orderBy("edge_id")) - 1)
@@ -185,14 +189,14 @@ def expand_superatoms(nodes: DataFrame, edges: DataFrame, frag_nodes: DataFrame,
     last = nodes.groupBy("image_id").agg(F.max("idx").alias("last"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("image_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = fit.withColumn("before", before).join(last, "image_id").select("image_id", F.col("idx").alias("old"), "text", (F.col("last") + 1 + F.col("before")).alias("base"))
-    grown = base.join(F.broadcast(frag_nodes), "text").select("image_id", "old", (F.col("base") + F.col("pos")).alias("idx"), F.col("symbol").alias("class"), "attach")
+    grown = base.join(parts, "text").select("image_id", "old", (F.col("base") + F.col("pos")).alias("idx"), F.col("symbol").alias("class"), "attach")
     kept = nodes.join(base.select("image_id", F.col("old").alias("idx")), ["image_id", "idx"], "left_anti").select("image_id", F.col("idx").cast("long").alias("idx"), "class")
     new_nodes = kept.unionByName(grown.select("image_id", F.col("idx").cast("long").alias("idx"), "class"))
     joint = at.select("image_id", "edge_id", "end", F.col("idx").alias("old"), "attach").join(grown.where("attach is not null").select("image_id", "old", "attach", "idx"), ["image_id", "old", "attach"])
     out = edges
     for end in ("b", "e"):
         out = out.join(joint.where(F.col("end") == end).select("image_id", "edge_id", F.col("idx").alias("__to")), ["image_id", "edge_id"], "left").withColumn(end, F.coalesce("__to", end).cast("long")).drop("__to")
-    inner = base.join(F.broadcast(frag_edges), "text").select("image_id", (F.col("base") + F.col("p")).cast("long").alias("b"), (F.col("base") + F.col("q")).cast("long").alias("e"), "class")
+    inner = base.join(bonds, "text").select("image_id", (F.col("base") + F.col("p")).cast("long").alias("b"), (F.col("base") + F.col("q")).cast("long").alias("e"), "class")
     return new_nodes, out.select("image_id", "b", "e", "class").unionByName(inner)
 
 
@@ -289,22 +293,43 @@ def ring_profile(images: DataFrame, rings: DataFrame) -> DataFrame:
     return images.select("image_id").join(size, "image_id", "left").select("image_id", F.coalesce("largest", F.lit(0)).cast("long").alias("largest_ring_size"))
 
 
-def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame) -> DataFrame:
+def _fragments(nodes: DataFrame, edges: DataFrame, labels: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    """(image_id, raw, solved, needed): connected parts of each image's graph as it is and with its labels expanded (the same where it has no R
+    node or nothing to expand it by). Both graphs go through one run, told apart by the first letter of their name."""
+    from .components import fragment_counts
+
+    needed = needs_label_reading(nodes)
+    graphs = [("0", nodes, edges)]
+    if labels is not None:
+        with_r = needed.where("needed").select("image_id")
+        graphs.append(("1", *expand_superatoms(*(d.join(with_r, "image_id", "left_semi") for d in (nodes, edges)), *labels)))
+    named = lambda d, kind, *ids: d.select(F.concat(F.lit(kind), "image_id").alias("image_id"), *[F.col(c).cast("long").alias(c) for c in ids])
+    n, e = named(nodes, "0", "idx"), named(edges, "0", "b", "e")
+    for kind, more_nodes, more_edges in graphs[1:]:
+        n, e = n.unionByName(named(more_nodes, kind, "idx")), e.unionByName(named(more_edges, kind, "b", "e"))
+    count = lambda kind: F.max(F.when(F.substring("image_id", 1, 1) == kind, F.col("fragments")))
+    both = fragment_counts(n, e).groupBy(F.expr("substring(image_id, 2)").alias("image_id")).agg(count("0").alias("raw"), count("1").alias("solved"))
+    return saved(both.withColumn("solved", F.coalesce("solved", "raw")).join(needed, "image_id"), "fragments")
+
+
+def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(image_id, status): how each image's graph is accepted.
 
-    as_is: no R node and one fragment; resolved: one fragment once labels are read; merged: boxes exist, and one fragment once the nodes in
-    them are merged; pruned: one fragment once lone nodes are dropped; else sentinel. Each step runs on the images that are left."""
+    as_is: no R node and one fragment; resolved: one fragment once labels are expanded; merged: either of these once the nodes in boxes are merged;
+    unresolved: one fragment if labels stay as they are; pruned: one fragment once lone nodes are dropped; else sentinel. Each step runs on the
+    images that are left. labels: the frag_nodes and frag_edges of expand_superatoms, for nodes with a column text; without them
+    an R node stays one node."""
     from .components import fragment_counts
     from .geometry import nodes_in_boxes
 
-    labels = needs_label_reading(nodes)
-    one = fragment_counts(nodes, edges).withColumn("one", F.col("fragments") == 1).join(labels, "image_id")
-    first = one.where("one").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
-    rest = one.where("not one").select("image_id")
+    one = _fragments(nodes, edges, labels)
+    first = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
+    rest = one.where("solved != 1").select("image_id")
     n, e = (d.join(rest, "image_id", "left_semi") for d in (nodes, edges))
-    merged_nodes, merged_edges = merge_nodes(n, e, nodes_in_boxes(n, boxes))
-    second = fragment_counts(merged_nodes, merged_edges).where("fragments = 1").join(boxes.select("image_id").distinct(), "image_id", "left_semi").select("image_id", F.lit("merged").alias("status"))
-    left = rest.join(second, "image_id", "left_anti")
+    merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, nodes_in_boxes(n, boxes)))
+    two = _fragments(merged_nodes, merged_edges, labels)
+    second = two.where("solved = 1 or raw = 1").select("image_id", F.when(F.col("solved") == 1, "merged").otherwise("unresolved").alias("status"))
+    left = two.where("solved != 1 and raw != 1").select("image_id")
     pn, pe = remove_isolated(*(d.join(left, "image_id", "left_semi") for d in (merged_nodes, merged_edges)))
     third = fragment_counts(pn, pe).where("fragments = 1").select("image_id", F.lit("pruned").alias("status"))
     done = first.unionByName(second).unionByName(third)

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import weighted_levenshtein
-
-#: A dictionary larger than this is not a dictionary: it would be compared with every unknown text.
-MOST_ENTRIES = 100_000
+from .small import small
 
 
 def dictionary_from_labels(groups: DataFrame) -> DataFrame:
@@ -49,11 +47,8 @@ def edit_candidates(texts: DataFrame, dictionary: DataFrame, limit: float = 150.
     """(text, entry, population, position, dist) of each distinct text that the dictionary lacks with the entries closer than limit.
 
     Texts are made distinct first; the dictionary (entry, population, position) is small, which is checked, and goes to every task."""
-    entries = dictionary.count()
-    if entries > MOST_ENTRIES:
-        raise ValueError(f"{entries} entries are too many for a dictionary")
     unknown = texts.select("text").distinct().join(dictionary.withColumnRenamed("entry", "text").select("text"), "text", "left_anti")
-    pairs = unknown.join(F.broadcast(dictionary), how="cross")
+    pairs = unknown.join(small(dictionary), how="cross")
     dist = weighted_levenshtein(F.col("text"), F.col("entry")) if weighted else F.levenshtein("text", "entry").cast("double")
     return pairs.withColumn("dist", dist).where(F.col("dist") < limit)
 
@@ -68,8 +63,8 @@ def correct_spelling(texts: DataFrame, dictionary: DataFrame, weighted: bool = T
 
 def label_to_node(labels: DataFrame, atoms: DataFrame, dictionary: DataFrame) -> DataFrame:
     """labels (text) with kind and value: atom and its symbol if the reader's map (text, symbol) has it; fragment and its smiles if the dictionary
-    (text, smiles) has it; else alias and [text]. Both tables are dictionaries."""
-    named = labels.join(F.broadcast(atoms.select("text", "symbol")), "text", "left").join(F.broadcast(dictionary.select("text", "smiles")), "text", "left")
+    (text, smiles) has it; else alias and [text]. Both tables are dictionaries, whose size is checked."""
+    named = labels.join(small(atoms.select("text", "symbol")), "text", "left").join(small(dictionary.select("text", "smiles")), "text", "left")
     kind = F.when(F.col("symbol").isNotNull(), "atom").when(F.col("smiles").isNotNull(), "fragment").otherwise("alias")
     value = F.coalesce("symbol", "smiles", F.concat(F.lit("["), F.col("text"), F.lit("]")))
     return named.withColumn("kind", kind).withColumn("value", value).drop("symbol", "smiles")

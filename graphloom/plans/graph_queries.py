@@ -200,9 +200,13 @@ def expand_superatoms(t):
     return graph.expand_superatoms(nodes, _edges(t), *_fragments(t))[1]
 
 
-@query(f"with {EDGES} select image_id, cast(b as bigint) as b, cast(e as bigint) as e, case when class = 'AROMATIC' then 'SINGLE' else class end as class from edges")
+@query(f"""with {EDGES}, size as (select image_id, max(idx) as n from {{graph}} group by 1), closed as (select image_id from size join (select image_id, count(*) as m from edges group by 1) using (image_id) where n >= 3 and m = n - 1),
+every as (select image_id, b, e, class from edges union all select image_id, 1, n, 'AROMATIC' from size where n >= 3)
+select image_id, cast(b as bigint) as b, cast(e as bigint) as e, case when class = 'AROMATIC' and image_id not in (select image_id from closed) then 'SINGLE' else class end as class from every""")
 def non_ring(t):
-    return graph.aromatic_outside_rings(_edges(t))  # paths have no ring, so no edge stays aromatic
+    """Orders of three or more lines with a link from the first to the last: a ring if no link between is missing."""
+    ends = t.graph.groupBy("image_id").agg(F.max("idx").alias("e")).where("e >= 3").select("image_id", F.lit(1).alias("b"), "e", F.lit("AROMATIC").alias("class"))
+    return graph.aromatic_outside_rings(_edges(t).select("image_id", "b", "e", "class").unionByName(ends))
 
 
 def _rings(t):
@@ -225,14 +229,29 @@ def ring_profile(t):
     return graph.ring_profile(t.graph.select("image_id").distinct(), _rings(t))
 
 
-@query()
+def _counted(k: int, rows: str) -> str:
+    """SQL: degrees and parts of the paths in rows (image_id, idx, r, split, nx), nx being 1 where a node is linked with the next."""
+    return f"""d{k} as (select *, nx + coalesce(lag(nx) over (partition by image_id order by idx), 0) as degree from {rows}),
+c{k} as (select image_id, count(*) - sum(nx) as raw, count(*) - sum(nx) + count(*) filter (r and split and degree = 2) as solved, bool_or(r) as r from d{k} group by 1)"""
+
+
+@query(f"""with g as (select image_id, idx, flag = 'R' as r, l_partkey % 3 = 0 as split, idx % 3 = 1 and l_suppkey % 2 = 0 as boxed, case when q % 5 != 0 and lead(idx) over (partition by image_id order by idx) is not null then 1 else 0 end as nx from {{graph}}),
+{_counted(1, "g")},
+h as (select *, case when coalesce(lag(boxed) over (partition by image_id order by idx), false) then idx - 1 else idx end as head from g),
+m as (select image_id, head as idx, bool_or(r) as r, arg_min(split, idx) as split, arg_max(nx, idx) as nx from h group by 1, 2),
+{_counted(2, "m")},
+p as (select image_id, count(*) - sum(nx) as raw from d2 where degree > 0 group by 1)
+select c1.image_id, case when c1.solved = 1 then case when c1.r then 'resolved' else 'as_is' end when c2.solved = 1 then 'merged' when c2.raw = 1 then 'unresolved' when p.raw = 1 then 'pruned' else 'sentinel' end as status
+from c1 join c2 on c2.image_id = c1.image_id left join p on p.image_id = c1.image_id""")
 def molecule_status(t):
-    """Points of images in cells of four, linked to close neighbours; boxes as in the views."""
-    cell = lambda c: F.concat_ws("/", "image_id", F.floor(F.col(c) / 4).cast("string"))
-    nodes = t.kp.select(cell("idx").alias("image_id"), "idx", "x", "y", F.when(F.col("vec_id") % 5 == 0, "R").otherwise("C").alias("class"))
-    edges = t.edges.where("floor(b / 4) = floor(e / 4) and dist < 300").select(cell("b").alias("image_id"), (F.col("b") * 1000 + F.col("e")).alias("edge_id"), "b", "e")
-    boxes = t.boxes.select(cell("box_id").alias("image_id"), "box_id", (F.col("x0") - 150).alias("x0"), (F.col("y0") - 150).alias("y0"), (F.col("x1") + 150).alias("x1"), (F.col("y1") + 150).alias("y1"))
-    return graph.molecule_status(nodes, edges, boxes)
+    """The lines of an order in a row, boxes around some pairs of neighbours; a label is two atoms apart, two linked atoms, or one atom."""
+    kinds = [F.lit(k) for k in ("split", "pair", "one")]
+    at = (F.col("idx") * 100).alias("x")
+    nodes = t.graph.select("image_id", "idx", at, F.lit(0).alias("y"), F.when(F.col("flag") == "R", "R").otherwise("C").alias("class"), F.get(F.array(*kinds), (F.col("l_partkey") % 3).cast("int")).alias("text"))
+    boxes = t.graph.where("idx % 3 = 1 and l_suppkey % 2 = 0").selectExpr("image_id", "idx as box_id", "idx * 100 - 10 as x0", "-10 as y0", "idx * 100 + 110 as x1", "10 as y1")
+    frag_nodes = t.spark.createDataFrame([("split", 0, "C", 0), ("split", 1, "C", 1), ("pair", 0, "C", 0), ("pair", 1, "C", 1), ("one", 0, "C", 0)], "text string, pos int, symbol string, attach int")
+    frag_edges = t.spark.createDataFrame([("pair", 0, 1, "SINGLE")], "text string, p int, q int, class string")
+    return graph.molecule_status(nodes, _edges(t), boxes, (frag_nodes, frag_edges))
 
 
 @query(f"""with recursive {LOWER}, {SIZE}, {NEAR}, {PROPOSED}, {INKED},

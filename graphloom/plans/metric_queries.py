@@ -81,13 +81,14 @@ def multiset_accuracy(t):
     return metrics.multiset_accuracy(_flags(t), "key", "priority")
 
 
-@query("""with g as (select cast(user_id as string) as image_id, list_sort(list(distinct event_type)) as v from {events} where event_id % 2 = 0 and event_type != 'view' and value > 60 group by 1),
-p as (select cast(user_id as string) as image_id, list_sort(list(distinct event_type)) as v from {events} where event_id % 2 = 1 and event_type != 'view' and value > 60 group by 1)
+@query("""with g as (select event_id // 4 as image_id, list_sort(list(distinct event_type)) as v from {events} where event_id % 2 = 0 and event_type != 'view' group by 1),
+p as (select event_id // 4 as image_id, list_sort(list(distinct event_type)) as v from {events} where event_id % 2 = 1 and event_type != 'view' group by 1)
 select round(avg(case when g.v is null then 0.0 else 1.0 end), 6) as with_labels, round(avg(case when g.v is not null then case when coalesce(g.v = p.v, false) then 1.0 else 0.0 end end), 6) as accuracy
-from (select distinct cast(user_id as string) as image_id from {events}) i left join g using (image_id) left join p using (image_id)""")
+from (select distinct event_id // 4 as image_id from {events}) i left join g using (image_id) left join p using (image_id)""")
 def superatom_accuracy(t):
-    rows = t.events.select(F.col("user_id").cast("string").alias("image_id"), F.col("event_type").alias("label"), "event_id", "value")
-    kept = rows.where("label != 'view' and value > 60")
+    """Four events an image, two of the truth and two predicted; a view is no label."""
+    rows = t.events.select(F.floor(F.col("event_id") / 4).alias("image_id"), F.col("event_type").alias("label"), "event_id")
+    kept = rows.where("label != 'view'")
     return metrics.superatom_accuracy(kept.where("event_id % 2 = 0"), kept.where("event_id % 2 = 1"), rows)
 
 
@@ -109,11 +110,11 @@ def model_compare(t):
     return metrics.compare_models(t.lineitem, "l_orderkey", "l_returnflag", ["A", "N", "R"], F.max("l_quantity"))
 
 
-LOGITS = "l as (select cast(label as string) as image_id, list_transform(embedding[1:8], lambda x: cast(x as double) * 10) as v, vec_id from {embeddings})"
+LOGITS = "l as (select cast(label as string) as image_id, list_transform(embedding, lambda x: cast(x as double) * 10) as v, vec_id from {embeddings})"
 
 
 def _logits(t):
-    return t.embeddings.select(F.col("label").cast("string").alias("image_id"), "vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 10).alias("logits"))
+    return t.embeddings.select(F.col("label").cast("string").alias("image_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"))
 
 
 @query(f"with {LOGITS} select image_id, round(min(1 / list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 3) as conf from l group by 1")

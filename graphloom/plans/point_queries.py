@@ -104,12 +104,12 @@ def grid(t):
     return geometry.grid_edges(geometry.grid_points(t.kp.select("image_id").distinct(), 1024, 64))
 
 
-SIZED = "sized as (select *, 60.0 as bond_size from {edges} where dist < 250)"
+SIZED = "sized as (select *, 60.0 as bond_size from {edges})"
 MID = "floor((bx + ex) / 2) as cx, floor((by + ey) / 2) as cy"
 
 
 def _sized(t):
-    return t.edges.where("dist < 250").withColumn("bond_size", F.lit(60.0))
+    return t.edges.withColumn("bond_size", F.lit(60.0))
 
 
 @query(f"with {SIZED}, c as (select *, {MID} from sized) select image_id, b, e from c where exists (select 1 from {{ink}} i where i.image_id = c.image_id and i.x >= cx - 9 and i.x < cx + 9 and i.y >= cy - 9 and i.y < cy + 9)")

@@ -57,12 +57,12 @@ def pair_by_stem(t):
     return named.unionByName(files.join(alone.select(F.col("label").alias("path")), "path").select("doc_id", F.lit(None).cast("string").alias("url"), F.lit(False).alias("paired")))
 
 
-@query("select doc_id as image_id, 'images/' || doc_id || '.png' as image_filename, [cast(n_chars as int), cast(n_chars + 7 as int), 2, cast(doc_id as int), 5, 2] as keypoints from {documents} where doc_id % 3 != 0")
+@query("select doc_id as image_id, 'images/' || doc_id || '.png' as image_filename, [cast(n_chars as int), cast(n_chars + 7 as int), 2, cast(doc_id as int), 5, 2] as keypoints from {documents} where text is not null")
 def coco_roundtrip(t):
-    docs = readers.read_hub_parquet(t.documents.select(F.col("doc_id").alias("id"), "n_chars"))
+    docs = readers.read_hub_parquet(t.documents.select(F.col("doc_id").alias("id"), "n_chars", F.col("text").isNotNull().alias("read")))
     images = docs.select("id", "image_filename", "molfile_filename", F.lit("C").alias("smiles"), F.lit(1024).alias("width"), F.lit(1024).alias("height"))
     two = F.lit(2).cast("long")
-    keypoints = docs.where("id % 3 != 0").select(F.col("id").alias("image_id"), F.array("n_chars", F.col("n_chars") + 7, two, F.col("id"), F.lit(5).cast("long"), two).alias("keypoints"))
+    keypoints = docs.where("read").select(F.col("id").alias("image_id"), F.array("n_chars", F.col("n_chars") + 7, two, F.col("id"), F.lit(5).cast("long"), two).alias("keypoints"))
     path = new_path(t.spark, "coco")
     sinks.write_coco(images, keypoints, path, shards=16)
     return readers.read_coco(t.spark, path, lines=True).select(F.col("image_id").cast("long").alias("image_id"), "image_filename", "keypoints")

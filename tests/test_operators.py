@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.distance import DELETE_COSTS, INSERT_COSTS, SUBSTITUTE_COSTS, edit_distance
 from graphloom.functions.text import caption_flag, clean_label, has_exotic_atom, stem
 from graphloom.operators import components, geometry, graph, metrics, raster
+from graphloom.operators.small import small
 
 
 def test_costs():
@@ -83,6 +85,23 @@ def test_molecule_status_by_hand(spark):
     assert {r.image_id: r.status for r in got.collect()} == {"ok": "as_is", "label": "resolved", "box": "merged", "lone": "pruned", "bad": "sentinel"}
 
 
+def test_molecule_status_resolves_labels(spark):
+    nodes = [(image, i, i * 100, 0, "R" if i == 1 else "C", text if i == 1 else None) for image, text in (("pair", "pair"), ("split", "split"), ("none", "?")) for i in range(3)]
+    edges = [(image, k, k, k + 1, "SINGLE") for image in ("pair", "split", "none") for k in range(2)]
+    frag_nodes = [("pair", 0, "C", 0), ("pair", 1, "C", 1), ("split", 0, "C", 0), ("split", 1, "C", 1)]
+    labels = spark.createDataFrame(frag_nodes, "text string, pos int, symbol string, attach int"), spark.createDataFrame([("pair", 0, 1, "SINGLE")], "text string, p int, q int, class string")
+    graphs = spark.createDataFrame(nodes, "image_id string, idx int, x int, y int, class string, text string"), spark.createDataFrame(edges, "image_id string, edge_id int, b int, e int, class string")
+    boxes = spark.createDataFrame([], "image_id string, box_id int, x0 int, y0 int, x1 int, y1 int")
+    got = graph.molecule_status(*graphs, boxes, labels)
+    assert {r.image_id: r.status for r in got.collect()} == {"pair": "resolved", "split": "unresolved", "none": "resolved"}
+
+
+def test_dictionaries_are_counted_before_they_are_broadcast(spark):
+    with pytest.raises(ValueError):
+        small(spark.range(11), 10)
+    assert small(spark.range(10), 10).count() == 10
+
+
 def test_results_do_not_depend_on_partitions(spark):
     points = spark.createDataFrame([(str(i % 4), i // 4, (i * 37) % 101, (i * 53) % 97) for i in range(80)], "image_id string, idx int, x int, y int")
     rows = [sorted(map(tuple, geometry.propose_edges(points.repartition(n)).select("image_id", "b", "e", "dist").collect())) for n in (1, 8)]
