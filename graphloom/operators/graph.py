@@ -322,6 +322,7 @@ def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels
     from .components import fragment_counts
     from .geometry import nodes_in_boxes
 
+    nodes, edges = saved(nodes, "nodes"), saved(edges, "edges")
     one = _fragments(nodes, edges, labels)
     first = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
     rest = one.where("solved != 1").select("image_id")

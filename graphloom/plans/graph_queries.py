@@ -249,8 +249,8 @@ def molecule_status(t):
     at = (F.col("idx") * 100).alias("x")
     nodes = t.graph.select("image_id", "idx", at, F.lit(0).alias("y"), F.when(F.col("flag") == "R", "R").otherwise("C").alias("class"), F.get(F.array(*kinds), (F.col("l_partkey") % 3).cast("int")).alias("text"))
     boxes = t.graph.where("idx % 3 = 1 and l_suppkey % 2 = 0").selectExpr("image_id", "idx as box_id", "idx * 100 - 10 as x0", "-10 as y0", "idx * 100 + 110 as x1", "10 as y1")
-    frag_nodes = t.spark.createDataFrame([("split", 0, "C", 0), ("split", 1, "C", 1), ("pair", 0, "C", 0), ("pair", 1, "C", 1), ("one", 0, "C", 0)], "text string, pos int, symbol string, attach int")
-    frag_edges = t.spark.createDataFrame([("pair", 0, 1, "SINGLE")], "text string, p int, q int, class string")
+    frag_nodes = t.spark.sql("select * from values ('split', 0, 'C', 0), ('split', 1, 'C', 1), ('pair', 0, 'C', 0), ('pair', 1, 'C', 1), ('one', 0, 'C', 0) as f(text, pos, symbol, attach)")
+    frag_edges = t.spark.sql("select 'pair' as text, 0 as p, 1 as q, 'SINGLE' as class")
     return graph.molecule_status(nodes, _edges(t), boxes, (frag_nodes, frag_edges))
 
 

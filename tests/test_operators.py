@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,51 @@ def test_peaks_of_long_bonds_are_found_again(spark):
     assert got == [("long", *p) for p in long] + [("one", 5, 5)] + [("short", 10, x) for x in (10, 15, 22)]
 
 
+def brute_maxima(cells, n):
+    """Cells of plateaus, linked under n x n neighbourhoods, that touch no greater cell."""
+    r, found, seen = n // 2, set(), set()
+    for start in cells:
+        if start in seen:
+            continue
+        plateau, stack, top = {start}, [start], True
+        while stack:
+            y, x = stack.pop()
+            for near in ((y + dy, x + dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)):
+                if cells.get(near, 0.0) > cells[start]:
+                    top = False
+                elif cells.get(near) == cells[start] and near not in plateau:
+                    plateau.add(near)
+                    stack.append(near)
+        seen |= plateau
+        found |= plateau if top else set()
+    return found
+
+
+def test_peaks_against_brute_force(spark):
+    rng = random.Random(11)
+    images = {}
+    for k in range(12):
+        side, blobs = ((30, 12), (400, 25))[k % 2]
+        cells = {}
+        for j in range(blobs):
+            y, x = rng.randrange(side), rng.randrange(side)
+            for _ in range(6 if side == 30 else 1 + (j % 5 == 0)):
+                cells[(y + rng.randint(0, 9), x + rng.randint(0, 9))] = rng.choice([0.05, 0.3, 0.6, 0.6, 0.9])
+        images[f"i{k}"] = cells
+    rows = [(image, y, x, v) for image, cells in images.items() for (y, x), v in cells.items()]
+    got = {(r.image_id, r.y, r.x) for r in raster.heatmap_peaks(spark.createDataFrame(rows, "image_id string, y int, x int, v double")).collect()}
+    want, wide = set(), 0
+    for image, cells in images.items():
+        high = {c: v for c, v in cells.items() if v > 0.1}
+        peaks = sorted(brute_maxima(high, 5))
+        if 2 <= len(peaks) <= 300:
+            nearest = [min(math.dist(a, b) for b in peaks[:i]) for i, a in enumerate(peaks) if i]
+            if np.quantile(nearest, 0.75) > 35:
+                peaks, wide = brute_maxima(high, 15), wide + 1
+        want |= {(image, y, x) for y, x in peaks}
+    assert got == want and 0 < wide < len(images)
+
+
 def test_peaks_use_all_rows(spark):
     from graphloom.plans import catalog
 
