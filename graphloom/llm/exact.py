@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, look_up, lower_ascii, saved, shuffle_parts
+from .common import forget, ids_and_texts, look_up, lower_ascii, saved, shuffle_parts
 
-#: Keys of one filter, about, where a snapshot has more of them than eight for each shuffle partition need.
+#: Keys of one bucket, about, of the snapshot or of the batch, whichever is larger, where eight buckets for each shuffle partition would get more.
 FILTER_KEYS = 100_000
 
 
@@ -137,10 +137,11 @@ def exact_groups(incoming: DataFrame, snapshot: DataFrame) -> DataFrame:
     """(digest, keep_id, group_size) of the equal texts of two sets of digests (doc_id, digest)."""
     spark = incoming.sparkSession
     by_digest = lambda d: d.groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))  # noqa: E731  counted before the shuffle
-    old = saved(by_digest(snapshot), "snapshot")
-    buckets = max(8 * shuffle_parts(spark), old.count() // FILTER_KEYS + 1)
+    old, batch = saved(by_digest(snapshot), "snapshot"), saved(by_digest(incoming), "batch")
+    buckets = max(8 * shuffle_parts(spark), max(old.count(), batch.count()) // FILTER_KEYS + 1)
     filters = saved(snapshot_filters(old, buckets), "filters")
-    new = saved(screen(by_digest(incoming), filters, buckets), "screened")
+    new = saved(screen(batch, filters, buckets), "screened")
+    forget(batch, filters)
     seen = new.where("maybe").select("digest", F.col("n").alias("n2"), F.col("last").alias("last2"))
     both = saved(old.join(seen, "digest").select("digest", F.greatest("last", "last2").alias("keep_id"), (F.col("n") + F.col("n2")).alias("group_size")), "both")
     alone = lambda d: d.select("digest", F.col("last").alias("keep_id"), F.col("n").alias("group_size"))
