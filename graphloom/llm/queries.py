@@ -77,6 +77,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import tamper_check
+
+    return tamper_check(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items(), key=lambda x: len(x[0])) if k.startswith("op") and k[2].isdigit()}
 
