@@ -150,8 +150,9 @@ def manifest(docs: DataFrame, tampered: tuple[Column, Column] | None = None) ->
     sources = saved(rows.groupBy("source").agg(F.count("*").alias("rows")), "sources")
     numbered = ranked(sources, [], ["source"], "trees")
     # the rows of one source meet their source's number by way of look_up, which splits hot ones
-    keyed = numbered.select(F.struct("source").alias("key"), F.col("place").alias("tree"), "rows")
-    leaves = saved(look_up(rows.withColumn("key", F.struct("source")), "key", keyed, "rows", how="inner").drop("key", "rows"), "numbered")
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("key")
+    keyed = numbered.select(key, F.col("place").alias("tree"), "rows")
+    leaves = saved(look_up(rows.select("*", key), "key", keyed, "rows", how="inner").drop("key", "rows"), "numbered")
     most = leaves.agg(F.max("size")).first()[0]
     if most is None:
         return leaves.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], F.lit(None).cast("boolean").alias("verified"))
