@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Escapes that label files put around text.
@@ -12,9 +12,13 @@ PLAIN_LABELS = ["a", "s", "q", "g", "e", "h", "j", "i", "I", "j2"]
 #: Characters that drawn labels are mostly made of.
 LABEL_CHARACTERS = "CcNHOohn"
 #: Elements that count as exotic.
-EXOTIC_ATOMS = """He Be B Ne Na Al Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te Xe Cs Ba La
-Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh
-Hs Mt Ds Rg Cn Uut Fl Uup Lv Uus Uuo""".split()
+EXOTIC_ATOMS = [
+    "He", "Be", "B", "Ne", "Na", "Al", "Ar", "K", "Ca", "Sc", "Ti", "V", "Cr", "Mn", "Fe", "Co", "Ni", "Cu", "Zn", "Ga", "Ge", "As", "Se", "Kr", "Rb",
+    "Sr", "Y", "Zr", "Nb", "Mo", "Tc", "Ru", "Rh", "Pd", "Ag", "Cd", "In", "Sn", "Sb", "Te", "Xe", "Cs", "Ba", "La", "Ce", "Pr", "Nd", "Pm", "Sm",
+    "Eu", "Gd", "Tb", "Dy", "Ho", "Er", "Tm", "Yb", "Lu", "Hf", "Ta", "W", "Re", "Os", "Ir", "Pt", "Au", "Hg", "Tl", "Pb", "Bi", "Po", "At", "Rn",
+    "Fr", "Ra", "Ac", "Th", "Pa", "U", "Np", "Pu", "Am", "Cm", "Bk", "Cf", "Es", "Fm", "Md", "No", "Lr", "Rf", "Db", "Sg", "Bh", "Hs", "Mt", "Ds",
+    "Rg", "Cn", "Uut", "Fl", "Uup", "Lv", "Uus", "Uuo",
+]
 #: Fixed value: the published pattern of SMILES tokens.
 SMILES_TOKEN = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])"
 
@@ -42,6 +46,15 @@ def caption_flag(text: Column, score: Column) -> Column:
     return rules.when((n == 2) & text.rlike("[():]"), "filter")
 
 
+def caption_decision(rows: DataFrame, image: str, order: str) -> DataFrame:
+    """(image, filter_masks, removed) of the texts (order, word, score) found in each drawing: whether its small masks are to be filtered, and the places,
+    in order, of the texts to remove."""
+    flag = caption_flag(F.col("word"), F.col("score"))
+    flagged = rows.select(image, order, flag.alias("flag"))
+    removed = F.array_sort(F.collect_list(F.when(F.col("flag") == "remove", F.col(order))))
+    return flagged.groupBy(image).agg(F.bool_or(F.col("flag").isNotNull()).alias("filter_masks"), removed.alias("removed"))
+
+
 def fused_label(parts: Column) -> Column:
     """The one label that the parts of a crop make: SO2 or CF2, else null."""
     has = lambda x, ys: F.array_contains(parts, x) & F.arrays_overlap(parts, F.array(*[F.lit(y) for y in ys]))

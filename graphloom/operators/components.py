@@ -2,29 +2,96 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import saved
+from ..scratch import forget, saved
+from .blocks import by_image, image_numbers, large_images, least_linked, numbers
 from .geometry import overlapping_boxes
 
+LABELS = "image_id string, node long, component long"
 
-def components(links: DataFrame, rounds: int = 100) -> DataFrame:
+
+def _labelled(table: pa.Table) -> pa.Table:
+    """(image_id, node, component) of the links (image_id, a, b) of some images."""
+    image, names = image_numbers(table)
+    a, b = numbers(table, "a", "b")
+    value, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    # nodes in the order of (image, node), so the least number of a part is its least node
+    key, place = np.unique(np.concatenate([image, image]) * len(value) + code, return_inverse=True)
+    least = least_linked(len(key), place[: len(a)], place[len(a) :])
+    return pa.table({"image_id": names.take(pa.array(key // len(value))), "node": value[key % len(value)], "component": value[key[least] % len(value)]}, pa.schema([("image_id", pa.string()), ("node", pa.int64()), ("component", pa.int64())]))
+
+
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(image_id, node, component) of every node of links (image_id, a, b); component is the least node that links reach within the image.
 
-    Each round every node takes the least label among its neighbours, then its label's label, so long paths shorten by jumps; ends when no
-    label changes. Shuffles go by (image_id, node)."""
-    both = saved(links.select("image_id", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select("image_id", F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), "links")
-    labels = saved(both.groupBy("image_id", "node").agg(F.least("node", F.min("other")).alias("component")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.select("image_id", F.col("node").alias("other"), F.col("component").alias("c")), ["image_id", "other"]).groupBy("image_id", "node").agg(F.min("c").alias("c"))
-        step = labels.join(seen, ["image_id", "node"]).select("image_id", "node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        jump = step.select("image_id", F.col("node").alias("component"), F.col("component").alias("far"))
-        new = saved(step.join(jump, ["image_id", "component"], "left").select("image_id", "node", F.least("component", F.coalesce("far", "component")).alias("component"), "old"), "labels")
-        labels = new.drop("old")
-        if new.where("component != old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    Images of up to `most` links (blocks.IMAGE_ROWS) are settled in one task each, many a block. What is left, the links of larger ones, is first
+    thinned task by task to a forest of the links there, then contracted: every node joins the neighbour, or itself, that a hash ranks first. That
+    takes several nodes to one, so images soon are small enough; what each node became is looked up at the end."""
+    columns = links.select(F.col("image_id").cast("string").alias("image_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    left = saved(columns, "links")
+    large = large_images(left, most)
+    if large.isEmpty():
+        out = saved(by_image(left, _labelled, LABELS), "components")
+        forget(left)
+        return out
+    done, became, spent = [], [], [left]
+    small = lambda rows, large: by_image(rows.join(large, "image_id", "left_anti"), _labelled, LABELS)
+    while True:
+        done.append(saved(small(left, large), "components"))
+        here = left.join(large, "image_id", "left_semi")
+        forest = saved(_forest(here), "forest")
+        both = forest.unionByName(forest.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        ranked = lambda c, turn=len(became): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))
+        first = both.groupBy("image_id", F.col("a").alias("node")).agg(F.min(ranked("b")).alias("x"))
+        leaders = saved(first.select("image_id", "node", F.least("x", ranked("node"))["n"].alias("leader")), "leaders")
+        to = lambda rows, end: rows.join(leaders.withColumnRenamed("node", end), ["image_id", end]).drop(end).withColumnRenamed("leader", end)
+        left = saved(to(to(forest, "a"), "b").where("a != b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        became.append(leaders)
+        spent += [forest, left, leaders, done[-1]]
+        large = large_images(left, most)
+        if large.isEmpty():
+            break
+    last = saved(small(left, large), "components")
+    for leaders in reversed(became):
+        known = last.select("image_id", F.col("node").alias("leader"), "component")
+        last = leaders.join(known, ["image_id", "leader"], "left").select("image_id", "node", F.coalesce("component", "leader").alias("component"))
+        last = saved(last, "contracted")
+        spent.append(last)
+    least = last.groupBy("image_id", "component").agg(F.min("node").alias("least"))
+    named = last.join(least, ["image_id", "component"]).select("image_id", "node", F.col("least").alias("component"))
+    for part in done:
+        named = named.unionByName(part)
+    # nodes of large images that are linked with themselves alone have no place in a forest
+    loops = spent[0].where("a = b").select("image_id", F.col("a").alias("node")).distinct().join(named, ["image_id", "node"], "left_anti")
+    out = saved(named.unionByName(loops.withColumn("component", F.col("node"))), "components")
+    forget(*spent)
+    return out
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """The links that some links of large images, wherever they lie, leave: one for each node that isn't the least of its part of a block."""
+
+    def thin(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1_000_000:
+                yield from stars(held)
+                held, size = [], 0
+        if size:
+            yield from stars(held)
+
+    def stars(held):
+        found = _labelled(pa.Table.from_batches(held).combine_chunks())
+        kept = found.filter(pa.compute.not_equal(found["node"], found["component"]))
+        yield from pa.table({"image_id": kept["image_id"], "a": kept["component"], "b": kept["node"]}).to_batches()
+
+    return links.mapInArrow(thin, "image_id string, a long, b long").distinct()
 
 
 def fragment_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,15 +101,71 @@ def fragment_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.groupBy("image_id").agg(F.countDistinct(F.coalesce("component", "node")).alias("fragments"))
 
 
-def merge_boxes(boxes: DataFrame, margin: int = 30, rounds: int = 50) -> DataFrame:
+SIDES = ("x0", "y0", "x1", "y1")
+BOXES = "image_id string, box_id long, x0 double, y0 double, x1 double, y1 double"
+#: Pairs of boxes that a sweep looks at in one go.
+SWEPT = 2_000_000
+
+
+def _touching(image: np.ndarray, sides: list[np.ndarray], margin: float):
+    """(a, b) of overlapping boxes: along x, each box meets those that begin before it ends."""
+    x0, y0, x1, y1 = sides
+    order = np.lexsort((x0, image))
+    # the end of each box's reach among the sorted beginnings of its image
+    begin = np.unique(x0)
+    place = image[order] * (len(begin) + 1) + np.searchsorted(begin, x0[order])
+    reach = np.searchsorted(place, image[order] * (len(begin) + 1) + np.searchsorted(begin, x1[order] + margin, "left"), "left")
+    reach = np.maximum(reach, np.arange(len(order)) + 1)
+    count = reach - np.arange(len(order)) - 1
+    ends, at = np.cumsum(count), 0
+    while at < len(order):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SWEPT, "right")))
+        n = count[at:upto]
+        i = np.repeat(np.arange(at, upto), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = order[i], order[j]
+        apart = np.maximum(x0[i] - x1[j], x0[j] - x1[i])
+        hit = (apart < margin) & (y0[i] < y1[j]) & (y0[j] < y1[i])
+        yield i[hit], j[hit]
+        at = upto
+
+
+def _merged(table: pa.Table, margin: float) -> pa.Table:
+    """The boxes of some images, merged until none overlap."""
+    image, names = image_numbers(table)
+    box, *sides = numbers(table, "box_id", *SIDES)
+    order = np.lexsort((box, image))
+    image, box, sides = image[order], box[order], [s[order] for s in sides]
+    while True:
+        pairs = [(i, j) for i, j in _touching(image, sides, margin) if len(i)]
+        if not pairs:
+            break
+        head = least_linked(len(box), np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs]))
+        for k, side in enumerate(sides):
+            (np.minimum if k < 2 else np.maximum).at(side, head, side.copy())
+        kept = head == np.arange(len(box))
+        image, box, sides = image[kept], box[kept], [s[kept] for s in sides]
+    return pa.table([names.take(pa.array(image)).cast(pa.string()), pa.array(box), *[pa.array(s) for s in sides]], names=["image_id", "box_id", *SIDES])
+
+
+def merge_boxes(boxes: DataFrame, margin: int = 30, most: int | None = None) -> DataFrame:
     """(image_id, box_id, x0, y0, x1, y1): overlapping boxes replaced by the box around them, again and again until none overlap; box_id is the
-    least of those merged."""
-    now = boxes.select("image_id", F.col("box_id").cast("long").alias("box_id"), "x0", "y0", "x1", "y1")
-    for _ in range(rounds):
+    least of those merged. An image of up to `most` boxes is swept in one task; larger ones go by grid squares and components."""
+    kind = boxes.schema["x0"].dataType
+    now = saved(boxes.select("image_id", F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in SIDES]), "boxes")
+    large = large_images(now, most)
+    small = by_image(now.join(large, "image_id", "left_anti") if not large.isEmpty() else now, lambda table: _merged(table, margin), BOXES)
+    out = small if large.isEmpty() else small.unionByName(_merged_by_rounds(now.join(large, "image_id", "left_semi"), margin))
+    return out.select("image_id", "box_id", *[F.col(c).cast(kind).alias(c) for c in SIDES])
+
+
+def _merged_by_rounds(now: DataFrame, margin: int) -> DataFrame:
+    while True:
         pairs = saved(overlapping_boxes(now, margin), "pairs")
         if pairs.isEmpty():
             return now
-        named = now.join(components(pairs).withColumnRenamed("node", "box_id"), ["image_id", "box_id"], "left")
+        found = components(pairs)
+        named = now.join(found.withColumnRenamed("node", "box_id"), ["image_id", "box_id"], "left")
         sides = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
         now = saved(named.groupBy("image_id", F.coalesce("component", "box_id").alias("box_id")).agg(*sides), "boxes")
-    raise RuntimeError("boxes did not settle")
+        forget(pairs, found)

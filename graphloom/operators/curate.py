@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+from .places import ranked
+
 
 def draw(key: str, seed: int = 0) -> Column:
     """A number from 0 to 999 982 from an integer key by plain arithmetic, the same on every engine."""
@@ -88,9 +91,13 @@ def benchmark_filter(flags: DataFrame, clean: bool) -> DataFrame:
 
 
 def position_slice(rows: DataFrame, order: str, low: int, high: int, by: str | None = None) -> DataFrame:
-    """Rows at positions strictly between low and high, from 0, within each value of `by`."""
-    w = Window.partitionBy(by).orderBy(order) if by else Window.orderBy(order)
-    return rows.withColumn("position", F.row_number().over(w) - 1).where((F.col("position") > low) & (F.col("position") < high))
+    """Rows at positions strictly between low and high, from 0, within each value of `by`: of each value, a task passes on no more than its first `high`
+    rows. Without `by`, positions are given range by range of order, so the whole table is no task's work; rows that are equal in order come as they stand."""
+    if by:
+        placed = rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("__n") <= high).withColumn("position", F.col("__n") - 1).drop("__n")
+    else:
+        placed = ranked(saved(rows, "rows"), [], [order], "positions").withColumnRenamed("place", "position").drop("size")
+    return placed.where((F.col("position") > low) & (F.col("position") < high))
 
 
 def head_n(rows: DataFrame, order: str, n: int, by: str | None = None) -> DataFrame:

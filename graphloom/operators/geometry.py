@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import forget, saved
 
 #: Side of the grid squares by which points and boxes meet.
 SQUARE = 64
@@ -17,7 +18,7 @@ def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.round(F.sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1)), 6)
 
 
-def squares(x0: Column, y0: Column, x1: Column, y1: Column, cell: int = SQUARE) -> Column:
+def squares(x0: Column, y0: Column, x1: Column, y1: Column, cell: int | Column = SQUARE) -> Column:
     """The grid squares that a box touches, for F.inline: (gx, gy)."""
     span = lambda a, b: F.sequence(F.floor(a / cell), F.floor(b / cell))
     return F.flatten(F.transform(span(x0, x1), lambda gx: F.transform(span(y0, y1), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
@@ -31,24 +32,59 @@ def points_in_boxes(boxes: DataFrame, points: DataFrame, cell: int = SQUARE) ->
     return spread.join(placed, ["image_id", "gx", "gy"]).where(inside).drop("gx", "gy")
 
 
-def lower_pairs(kp: DataFrame) -> DataFrame:
-    """(image_id, b, e, bx, by, ex, ey, dist) of each keypoint b with every lower-index keypoint e of its image. Images hold no more than a few
-    hundred keypoints (cap_keypoints), so pairs grow with the number of images only."""
-    b = kp.select("image_id", F.col("idx").alias("b"), F.col("x").cast("double").alias("bx"), F.col("y").cast("double").alias("by"))
-    e = kp.select("image_id", F.col("idx").alias("e"), F.col("x").cast("double").alias("ex"), F.col("y").cast("double").alias("ey"))
-    return b.join(e, "image_id").where("b > e").withColumn("dist", distance(F.col("bx"), F.col("by"), F.col("ex"), F.col("ey")))
-
-
-def nearest_lower(kp: DataFrame, k: int = 6) -> DataFrame:
-    """The k nearest lower-index keypoints of each keypoint; ties go to the lower index. Adds rank from 1."""
-    w = Window.partitionBy("image_id", "b").orderBy("dist", "e")
-    return lower_pairs(kp).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def bond_size(kp: DataFrame, default: float = 100.0) -> DataFrame:
+#: Keypoints of an image that are compared pair by pair: as many as cap_keypoints keeps. Larger images go by widening squares.
+MOST_PAIRED = 300
+PAIRS = ["image_id", "b", "e", "bx", "by", "ex", "ey", "dist"]
+
+
+def _ends(kp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The keypoints as upper ends (image_id, b, bx, by) and as lower ends (image_id, e, ex, ey)."""
+    return tuple(kp.select("image_id", F.col("idx").alias(end), F.col("x").cast("double").alias(f"{end}x"), F.col("y").cast("double").alias(f"{end}y")) for end in "be")
+
+
+def _with_distance(pairs: DataFrame) -> DataFrame:
+    return pairs.where("b > e").withColumn("dist", distance(F.col("bx"), F.col("by"), F.col("ex"), F.col("ey"))).select(*PAIRS)
+
+
+def nearest_lower(kp: DataFrame, k: int = 6, most: int = MOST_PAIRED) -> DataFrame:
+    """(image_id, b, e, bx, by, ex, ey, dist, rank): the k nearest lower-index keypoints of each keypoint; ties go to the lower index.
+
+    Images of up to `most` keypoints are compared pair by pair. In a larger image keypoints meet those in their grid square and the eight around it. All
+    keypoints nearer than a square's side are among these, so a keypoint whose k-th neighbour is nearer is settled; the others go on with squares of twice
+    the side. Squares begin with about two keypoints each, and after a round with squares of n keypoints only about one in n / k of the keypoints is
+    open, so each round looks at about as many pairs as the first."""
+    sizes = kp.groupBy("image_id").agg(F.count("*").alias("n"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("extent"))
+    large = sizes.where(F.col("n") > most).select("image_id", F.greatest(F.col("extent") * F.sqrt(2 / F.col("n")), F.lit(1.0)).alias("side"), "extent")
+    nearest = Window.partitionBy("image_id", "b").orderBy("dist", "e")
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    if large.isEmpty():
+        b, e = _ends(kp)
+        return ranked(_with_distance(b.join(e, "image_id")))
+    large = saved(large, "large-images")
+    b, e = _ends(kp.join(large, "image_id", "left_anti"))
+    out = ranked(_with_distance(b.join(e, "image_id")))
+    b, e = _ends(kp)
+    open_ends, e = saved(b.join(large, "image_id"), "open"), e.join(large.select("image_id"), "image_id", "left_semi")
+    while not open_ends.isEmpty():
+        square = lambda c: F.floor(F.col(c) / F.col("side"))
+        sides = open_ends.select("image_id", "side").distinct()
+        around = open_ends.select("*", F.inline(squares(F.col("bx") - F.col("side"), F.col("by") - F.col("side"), F.col("bx") + F.col("side"), F.col("by") + F.col("side"), F.col("side"))))
+        placed = e.join(sides, "image_id").select("image_id", "e", "ex", "ey", square("ex").alias("gx"), square("ey").alias("gy"))
+        found = ranked(_with_distance(around.join(placed, ["image_id", "gx", "gy"])))
+        far = found.groupBy("image_id", "b").agg(F.max("dist").alias("far"), F.count("*").alias("found"))
+        near = F.coalesce((F.col("found") == k) & (F.col("far") < F.col("side")), F.lit(False)) | (F.col("side") > F.col("extent"))
+        judged = saved(open_ends.join(far, ["image_id", "b"], "left").withColumn("settled", near).drop("far", "found"), "judged")
+        out = out.unionByName(saved(found.join(judged.where("settled").select("image_id", "b"), ["image_id", "b"], "left_semi"), "nearest"))
+        rest = saved(judged.where("not settled").drop("settled").withColumn("side", F.col("side") * 2), "open")
+        forget(open_ends, judged)
+        open_ends = rest
+    forget(open_ends)
+    return out
+
+
+def bond_size(kp: DataFrame, default: float = 100.0, most: int = MOST_PAIRED) -> DataFrame:
     """(image_id, bond_size): linear 75th percentile of each keypoint's distance to its nearest lower-index one; default where there is no pair."""
-    least = lower_pairs(kp).groupBy("image_id", "b").agg(F.min("dist").alias("least"))
-    sizes = least.groupBy("image_id").agg(F.percentile("least", F.lit(0.75)).alias("size"))
+    sizes = nearest_lower(kp, 1, most).groupBy("image_id").agg(F.percentile("dist", F.lit(0.75)).alias("size"))
     return kp.select("image_id").distinct().join(sizes, "image_id", "left").select("image_id", F.coalesce("size", F.lit(default)).alias("bond_size"))
 
 

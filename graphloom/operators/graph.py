@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import saved, ship
+from ..scratch import forget, saved, ship
 from .geometry import distance, points_in_boxes
 from .small import small
 
@@ -76,10 +76,10 @@ def remove_isolated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return compact_ids(nodes.join(isolated_nodes(nodes, edges).select("image_id", "idx"), ["image_id", "idx"], "left_anti"), edges)
 
 
-def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The nodes of each box (held: image_id, box_id, idx) become the first of them: R if the box's text is in the dictionary (named: image_id,
-    box_id of such boxes), else the class that all have, else R. Edges follow; loops and
-    repeats in either direction go; ids are renumbered. A node in two boxes belongs to the first."""
+    box_id of such boxes), else the class that all have, else R. Where nodes have a text, that of a merged node is its box's (texts: image_id, box_id,
+    text). Edges follow; loops and repeats in either direction go; ids are renumbered. A node in two boxes belongs to the first."""
     one = held.groupBy("image_id", "idx").agg(F.min("box_id").alias("box_id"))
     heads = one.groupBy("image_id", "box_id").agg(F.min("idx").alias("into"))
     into = one.join(heads, ["image_id", "box_id"]).select("image_id", "idx", "into")
@@ -87,6 +87,9 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: Data
         heads = heads.join(named.select("image_id", "box_id", F.lit(True).alias("named")).distinct(), ["image_id", "box_id"], "left")
     else:
         heads = heads.withColumn("named", F.lit(False))
+    if texts is not None:
+        written = heads.join(texts.select("image_id", "box_id", F.struct("text").alias("__written")), ["image_id", "box_id"], "left").select("image_id", F.col("into").alias("idx"), "__written")
+        nodes = nodes.join(written, ["image_id", "idx"], "left").withColumn("text", F.when(F.col("__written").isNotNull(), F.col("__written.text")).otherwise(F.col("text"))).drop("__written")
     known = heads.where("named").select("image_id", F.col("into").alias("idx"), "named")
     same = nodes.join(into, ["image_id", "idx"]).groupBy("image_id", F.col("into").alias("idx")).agg(F.when(F.min("class") == F.max("class"), F.min("class")).otherwise("R").alias("merged"))
     same = same.join(known, ["image_id", "idx"], "left").select("image_id", "idx", F.when(F.col("named"), "R").otherwise(F.col("merged")).alias("merged"))
@@ -316,22 +319,25 @@ def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels
     """(image_id, status): how each image's graph is accepted.
 
     as_is: no R node and one fragment; resolved: one fragment once labels are expanded; merged: either of these once the nodes in boxes are merged;
-    unresolved: one fragment if labels stay as they are; pruned: one fragment once lone nodes are dropped; else sentinel. Each step runs on the
-    images that are left. labels: the frag_nodes and frag_edges of expand_superatoms, for nodes with a column text; without them
-    an R node stays one node."""
-    from .components import fragment_counts
+    unresolved: one fragment if labels stay as they are; pruned: one fragment, expanded or not, once lone nodes are dropped; else sentinel. Each step starts over
+    with the images that are left. labels: the frag_nodes and frag_edges of expand_superatoms, for nodes with a column text; without them
+    an R node stays one node. The nodes in a box become R if its text (boxes may have a column text) names a fragment, and take that text."""
     from .geometry import nodes_in_boxes
 
     nodes, edges = saved(nodes, "nodes"), saved(edges, "edges")
     one = _fragments(nodes, edges, labels)
-    first = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
-    rest = one.where("solved != 1").select("image_id")
-    n, e = (d.join(rest, "image_id", "left_semi") for d in (nodes, edges))
-    merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, nodes_in_boxes(n, boxes)))
+    done = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
+    open_images = one.where("solved != 1").select("image_id")
+    n, e = (d.join(open_images, "image_id", "left_semi") for d in (nodes, edges))
+    texts = boxes.select("image_id", "box_id", "text") if labels is not None and "text" in boxes.columns and "text" in nodes.columns else None
+    named = texts.join(F.broadcast(small(labels[0], MOST_FRAGMENT_ROWS).select("text").distinct()), "text", "left_semi") if texts is not None else None
+    merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, nodes_in_boxes(n, boxes), named, texts))
     two = _fragments(merged_nodes, merged_edges, labels)
-    second = two.where("solved = 1 or raw = 1").select("image_id", F.when(F.col("solved") == 1, "merged").otherwise("unresolved").alias("status"))
-    left = two.where("solved != 1 and raw != 1").select("image_id")
-    pn, pe = remove_isolated(*(d.join(left, "image_id", "left_semi") for d in (merged_nodes, merged_edges)))
-    third = fragment_counts(pn, pe).where("fragments = 1").select("image_id", F.lit("pruned").alias("status"))
-    done = first.unionByName(second).unionByName(third)
-    return one.select("image_id").join(done, "image_id", "left").select("image_id", F.coalesce("status", F.lit("sentinel")).alias("status"))
+    done = done.unionByName(two.where("solved = 1 or raw = 1").select("image_id", F.when(F.col("solved") == 1, "merged").otherwise("unresolved").alias("status")))
+    open_images = two.where("solved != 1 and raw != 1").select("image_id")
+    pruned = tuple(saved(d, "pruned") for d in remove_isolated(*(d.join(open_images, "image_id", "left_semi") for d in (merged_nodes, merged_edges))))
+    three = _fragments(*pruned, labels)
+    done = done.unionByName(three.where("solved = 1 or raw = 1").select("image_id", F.lit("pruned").alias("status")))
+    out = saved(one.select("image_id").join(done, "image_id", "left").select("image_id", F.coalesce("status", F.lit("sentinel")).alias("status")), "status")
+    forget(nodes, edges, merged_nodes, merged_edges, *pruned, one, two, three)
+    return out

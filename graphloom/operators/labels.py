@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import weighted_levenshtein
+from ..functions.distance import READER_COSTS, UNIT_COSTS
+from .nearest import compared, nearest_entries
 from .small import small
 
 
@@ -44,20 +45,22 @@ def coincident_atoms(atoms: DataFrame) -> DataFrame:
 
 
 def edit_candidates(texts: DataFrame, dictionary: DataFrame, limit: float = 150.0, weighted: bool = True) -> DataFrame:
-    """(text, entry, population, position, dist) of each distinct text that the dictionary lacks with the entries closer than limit.
+    """(text, entry, population, position, dist) of each distinct text that the dictionary (entry, population, position) lacks with all entries closer
+    than limit."""
+    unknown = _unknown(texts, dictionary)
+    return compared(unknown, dictionary, limit, READER_COSTS if weighted else UNIT_COSTS, closest=False).join(dictionary, "entry").select("text", "entry", "population", "position", "dist")
 
-    Texts are made distinct first; the dictionary (entry, population, position) is small, which is checked, and goes to every task."""
-    unknown = texts.select("text").distinct().join(dictionary.withColumnRenamed("entry", "text").select("text"), "text", "left_anti")
-    pairs = unknown.join(small(dictionary), how="cross")
-    dist = weighted_levenshtein(F.col("text"), F.col("entry")) if weighted else F.levenshtein("text", "entry").cast("double")
-    return pairs.withColumn("dist", dist).where(F.col("dist") < limit)
 
+def _unknown(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    return texts.where("text is not null").select("text").distinct().join(dictionary.select(F.col("entry").alias("text")), "text", "left_anti")
 
-def correct_spelling(texts: DataFrame, dictionary: DataFrame, weighted: bool = True) -> DataFrame:
-    """texts with column corrected: known texts as they are, others the closest entry, of equals the most populous, then the first; with no candidate
-    the text itself."""
-    best = Window.partitionBy("text").orderBy("dist", F.desc("population"), "position")
-    found = edit_candidates(texts, dictionary, weighted=weighted).withColumn("__n", F.row_number().over(best)).where("__n = 1").select("text", F.col("entry").alias("corrected"), "dist")
+
+def correct_spelling(texts: DataFrame, dictionary: DataFrame, weighted: bool = True, limit: float = 150.0) -> DataFrame:
+    """texts with column corrected: known texts as they are, others the closest entry of the dictionary (entry, population, position), of equals the most
+    populous, then the first; with none closer than limit the text itself. A null stays null."""
+    best = Window.partitionBy("text").orderBy(F.desc("population"), "position")
+    near = nearest_entries(_unknown(texts, dictionary), dictionary, limit, weighted).join(dictionary, "entry")
+    found = near.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("text", F.col("entry").alias("corrected"), "dist")
     return texts.join(found, "text", "left").withColumn("corrected", F.coalesce("corrected", "text"))
 
 

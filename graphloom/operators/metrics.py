@@ -93,10 +93,14 @@ def best_candidate(runs: DataFrame) -> DataFrame:
 def benchmark_summary(scores: DataFrame) -> DataFrame:
     """scores (benchmark, processed, correct, sentinel) -> inputs, processed, precision, detected error rate (sentinels among errors; 0 if none)."""
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    done, good = one(F.col("processed")), one(F.col("processed") & F.col("correct"))
-    wrong, caught = one(F.col("processed") & ~F.col("correct")), one(F.col("processed") & ~F.col("correct") & F.col("sentinel"))
-    rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
-    return scores.groupBy("benchmark").agg(F.count("*").alias("inputs"), done.alias("processed"), rate(good, done).alias("precision"), rate(caught, wrong).alias("detected_error_rate"))
+    done, good = F.col("processed"), F.col("correct")
+    return summary_rates(scores.groupBy("benchmark").agg(F.count("*").alias("inputs"), one(done).alias("processed"), one(done & good).alias("correct"), one(done & ~good).alias("wrong"), one(done & ~good & F.col("sentinel")).alias("caught")))
+
+
+def summary_rates(counters: DataFrame) -> DataFrame:
+    """benchmark_summary of its counters (benchmark, inputs, processed, correct, wrong, caught)."""
+    rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 4)
+    return counters.select("benchmark", "inputs", "processed", rate("correct", "processed").alias("precision"), rate("caught", "wrong").alias("detected_error_rate"))
 
 
 def compare_models(scores: DataFrame, key: str, model: str, models: list[str], value: Column) -> DataFrame:
@@ -148,9 +152,12 @@ def size_class(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(ends), how="cross").withColumn("size", name).drop("lo", "hi")
 
 
-def nested_totals(rows: DataFrame, outer: str, inner: str) -> DataFrame:
-    """(outer, inner, n): counts by outer and inner, and under null inner by outer."""
-    return rows.rollup(outer, inner).agg(F.count("*").alias("n")).where(F.col(outer).isNotNull())
+def nested_totals(rows: DataFrame, outer: str, inner: str, values: list[str] | None = None) -> DataFrame:
+    """(outer, inner, n, sums of values): counts and sums by outer and inner, and under null inner by outer. A null inner of the rows counts in the
+    outer's row alone."""
+    sums = [F.sum(c).alias(c) for c in values or []]
+    found = rows.rollup(outer, inner).agg(F.grouping_id().alias("__level"), F.count("*").alias("n"), *sums)
+    return found.where(F.col(outer).isNotNull() & ((F.col("__level") == 1) | F.col(inner).isNotNull())).drop("__level")
 
 
 # -- texts -----------------------------------------------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, saved, shuffle_parts
+from ..scratch import forget, saved
 
 
 def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> Da
     rows in its range, plus the number of the group's rows in earlier ranges. Rows that are equal in all of group and order are split by where they stood."""
     spark = rows.sparkSession
     keys = [F.col(c).asc_nulls_first() for c in (*group, *order, "__stood")]
-    dealt = rows.withColumn("__stood", F.monotonically_increasing_id()).repartitionByRange(shuffle_parts(spark), *keys).sortWithinPartitions(*keys)
+    dealt = rows.withColumn("__stood", F.monotonically_increasing_id()).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     placed = saved(dealt.drop("__stood").withColumn("__at", F.monotonically_increasing_id()), name)
     # monotonically_increasing_id counts from partition * 2^33 on
     placed_in = placed.withColumn("__range", F.shiftright("__at", 33))

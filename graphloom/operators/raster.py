@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import forget, saved
+from .blocks import by_image, image_numbers, large_images, least_linked, numbers
+
 
 def binarise(cells: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Cells that are ink: not above the threshold."""
@@ -88,9 +93,53 @@ def render_heatmap(kp: DataFrame, sigma: DataFrame, width: int = 256) -> DataFra
     return cells.where(inside).groupBy("image_id", "y", "x").agg(F.round(F.max("v"), 6).alias("v"))
 
 
-def _maxima(cells: DataFrame, n: int) -> DataFrame:
+def _block_maxima(table: pa.Table, n: int) -> pa.Table:
+    """As _maxima, for the cells of some images: each offset of the neighbourhood is one search for all cells among the sorted cells."""
+    image, names = image_numbers(table)
+    y, x, v, is_open = numbers(table, "y", "x", "v") + [table.column("open").to_numpy(zero_copy_only=False)]
+    r = n // 2
+    x0, y0 = x.min() - r, y.min() - r
+    wide = int(x.max() - x0) + r + 1
+    tall = int(y.max() - y0) + r + 1
+    key = (image * tall + (y - y0)) * wide + (x - x0)
+    order = np.argsort(key, kind="stable")
+    sorted_key, tried = key[order], np.flatnonzero(is_open)
+    low = np.zeros(len(key), bool)
+    links = []
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            if not dy and not dx:
+                continue
+            ask = key[tried] + dy * wide + dx
+            at = np.minimum(np.searchsorted(sorted_key, ask), len(key) - 1)
+            there = sorted_key[at] == ask
+            mine, other = tried[there], order[at[there]]
+            low[mine] |= (v[other] > v[mine]) | ((v[other] == v[mine]) & ~is_open[other])
+            same = (v[other] == v[mine]) & is_open[other] & (mine < other)
+            links.append(np.stack([mine[same], other[same]]))
+    pairs = np.concatenate([*links, np.zeros((2, 0), np.int64)], axis=1)
+    head = least_linked(len(key), pairs[0], pairs[1])
+    sunk = np.zeros(len(key), bool)
+    sunk[head[low]] = True
+    return table.filter(pa.array(is_open & ~sunk[head])).select(["image_id", "y", "x", "v", "cell"])
+
+
+def _maxima(cells: DataFrame, n: int, most: int | None = None) -> DataFrame:
     """The open cells of (image_id, y, x, v, cell, open) with no greater cell in their n x n neighbourhood nor beside any cell of their plateau,
-    which is the set of equal cells linked by such neighbourhoods; cells that aren't open are known to be none."""
+    which is the set of equal cells linked by such neighbourhoods; cells that aren't open are known to be none. A task works on whole images; those of
+    more than `most` cells go by joins."""
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("image_id", "y", "x", "v", "cell"))
+    rows = saved(cells.select("image_id", "y", "x", "v", "cell", "open"), "cells")
+    large = large_images(rows, most)
+    if large.isEmpty():
+        out = saved(by_image(rows, lambda table: _block_maxima(table, n), schema), "maxima")
+        forget(rows)
+        return out
+    return by_image(rows.join(large, "image_id", "left_anti"), lambda table: _block_maxima(table, n), schema).unionByName(_joined_maxima(rows.join(large, "image_id", "left_semi"), n))
+
+
+def _joined_maxima(cells: DataFrame, n: int) -> DataFrame:
     from .components import components
 
     r = n // 2
@@ -110,11 +159,10 @@ def heatmap_peaks(cells: DataFrame, threshold: float = 0.1, n: int = 5, long_bon
     """(image_id, y, x, v): cells above the threshold that are regional maxima under n x n neighbourhoods; all cells of a plateau count. Images
     of 2 to `most` peaks whose bond size is over long_bond are done again with `wide`; their peaks are among the first ones, so only these
     are tried."""
-    from ..scratch import saved
     from .geometry import bond_size
 
     high = cells.where(F.col("v") > threshold).select("image_id", "y", "x", "v", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("cell"))
-    first = saved(_maxima(high.withColumn("open", F.lit(True)), n), "peaks")
+    first = _maxima(high.withColumn("open", F.lit(True)), n)
     few = first.groupBy("image_id").count().where(F.col("count").between(2, most)).select("image_id")
     sizes = bond_size(first.join(few, "image_id", "left_semi").select("image_id", F.col("cell").alias("idx"), "x", "y"))
     again = saved(sizes.where(F.col("bond_size") > long_bond).select("image_id"), "long-bonds")

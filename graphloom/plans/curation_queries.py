@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -73,11 +74,21 @@ def clean_only(t):
     return curate.clean_only(t.orders.withColumnRenamed("o_orderkey", "image_id"), atoms, F.col("l_returnflag") == "R").select(F.col("image_id").alias("o_orderkey"), "o_orderpriority")
 
 
-@query("""select l_orderkey, nb_structures from (select l_orderkey, bool_or(l_returnflag = 'R') as markush, bool_or(l_linestatus = 'O') as molecule, bool_or(l_quantity > 45) as short, count(*) as nb_structures from {lineitem} group by 1)
-where not markush and molecule and not short and nb_structures = 1""")
+FLAGS = "select l_orderkey, bool_or(l_returnflag = 'R') as markush, bool_or(l_linestatus = 'O') as molecule, bool_or(l_quantity > 45) as short, count(*) as nb_structures from {lineitem} group by 1"
+
+
+def _flags(t):
+    return t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.col("l_returnflag") == "R").alias("are_markush"), F.collect_list(F.col("l_linestatus") == "O").alias("are_molecules"), F.collect_list(F.col("l_quantity") > 45).alias("are_abbreviated"), F.count("*").alias("nb_structures"))
+
+
+@query(f"select l_orderkey, nb_structures from ({FLAGS}) where not markush and molecule and not short and nb_structures = 1")
 def benchmark_filter(t):
-    flags = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.col("l_returnflag") == "R").alias("are_markush"), F.collect_list(F.col("l_linestatus") == "O").alias("are_molecules"), F.collect_list(F.col("l_quantity") > 45).alias("are_abbreviated"), F.count("*").alias("nb_structures"))
-    return curate.benchmark_filter(flags, clean=True).select("l_orderkey", "nb_structures")
+    return curate.benchmark_filter(_flags(t), clean=True).select("l_orderkey", "nb_structures")
+
+
+@query(f"select l_orderkey, short from ({FLAGS}) where not markush and molecule and nb_structures = 1")
+def benchmark_filter_all(t):
+    return curate.benchmark_filter(_flags(t), clean=False).select("l_orderkey", F.exists("are_abbreviated", lambda x: x).alias("short"))
 
 
 @query("select o_orderpriority, o_orderkey, position from (select *, row_number() over (partition by o_orderpriority order by o_orderkey) - 1 as position from {orders}) where position > 0 and position < 50")
@@ -85,6 +96,17 @@ def slices(t):
     return curate.position_slice(t.orders, "o_orderkey", 0, 50, by="o_orderpriority").select("o_orderpriority", "o_orderkey", F.col("position").cast("long").alias("position"))
 
 
+@query("select o_orderkey, position from (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as position from {orders}) where position > 100 and position < 900")
+def slices_all(t):
+    rows = t.orders.select("o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return curate.position_slice(rows, "at", 100, 900).select("o_orderkey", F.col("position").cast("long").alias("position"))
+
+
+@query("select doc_id, n_chars from (select doc_id, n_chars, row_number() over (order by n_chars, doc_id) as r from {documents}) where r <= 40")
+def head_all(t):
+    return curate.head_n(t.documents.select("doc_id", "n_chars", F.struct("n_chars", "doc_id").alias("at")), "at", 40).drop("at")
+
+
 @query("select o_orderpriority, round(1 - cast(sum(case when o_orderkey in (select l_orderkey from {lineitem} where l_quantity > 49) then 0 else 1 end) as double) / count(*), 4) as dropped from {orders} group by 1")
 def dropped_rows(t):
     left = curate.drop_ids(t.orders.withColumnRenamed("o_orderkey", "image_id"), t.lineitem.where("l_quantity > 49").select(F.col("l_orderkey").alias("image_id")), "image_id")
@@ -124,8 +146,9 @@ def decoy_nodes(t):
 @query("select vec_id, label, round(list_sum(list_transform(range(1, 65), lambda i: cast(embedding[i] as double) * i)), 4) as score from {embeddings}")
 def batch_score(t):
     def scorer(frames):
+        weights = np.arange(1.0, 65.0)
         for pdf in frames:
-            scores = [round(float(sum(float(v) * (i + 1) for i, v in enumerate(e))), 4) for e in pdf["embedding"]]
+            scores = np.round(np.stack(pdf["embedding"]).astype(np.float64) @ weights, 4) if len(pdf) else []
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "score": scores})
 
     return curate.batch_score(t.embeddings, scorer, "vec_id long, label int, score double")

@@ -15,7 +15,7 @@ VIEWS = {
     "ink": "select cast(label as string) || '-' || cast(cast(floor(vec_id / 1000) as int) as string) as image_id, cast(floor(1000 * cast(embedding#2 as double)) as int) as x, cast(floor(1000 * cast(embedding#3 as double)) as int) as y from {embeddings} union all select cast(label as string) || '-' || cast(cast(floor(vec_id / 1000) as int) as string) as image_id, cast(floor(1000 * cast(embedding#4 as double)) as int) as x, cast(floor(1000 * cast(embedding#5 as double)) as int) as y from {embeddings}",
     "boxes": "select image_id, idx as box_id, x - 20 - idx % 7 as x0, y - 15 - idx % 5 as y0, x + 20 + idx % 3 as x1, y + 15 + idx % 4 as y1 from {kp}",
     "edges": "select a.image_id, a.idx as b, b.idx as e, cast(a.x as double) as bx, cast(a.y as double) as by, cast(b.x as double) as ex, cast(b.y as double) as ey, round(sqrt((cast(a.x as double) - b.x) * (cast(a.x as double) - b.x) + (cast(a.y as double) - b.y) * (cast(a.y as double) - b.y)), 6) as dist from {kp} a join {kp} b on a.image_id = b.image_id and a.idx > b.idx and a.idx - b.idx <= 3",
-    "links": "select cast(floor(((year(l_shipdate) - 1990) * 366 + dayofyear(l_shipdate)) / 7) as int) as week, o_custkey as b, 1000000000 + l_suppkey as e, l_quantity, l_orderkey * 10 + l_linenumber as edge_id from {lineitem} join {orders} on l_orderkey = o_orderkey",
+    "links": "select cast(floor(((year(l_shipdate) - 1990) * 366 + dayofyear(l_shipdate)) / 7) as int) as week, year(l_shipdate) * 1000 + dayofyear(l_shipdate) as day, o_custkey as b, 1000000000 + l_suppkey as e, l_quantity, l_orderkey * 10 + l_linenumber as edge_id from {lineitem} join {orders} on l_orderkey = o_orderkey",
     "runs": "select cast(user_id as string) as image_id, event_id as step, value as conf, event_type as pred from {events}",
     "truth": "select d.doc_id, l.quality as gt, case when d.n_chars > 500 then 1 else 0 end as pred, d.source as batch, d.lang as kind from {documents} d join {labels} l on d.doc_id = l.doc_id where l.quality is not null",
     "pairs": "select d.doc_id as id, b.text as gt, coalesce(d.text, '') as pred from {documents} d join {benchmark} b on b.item_id = d.doc_id % 40",

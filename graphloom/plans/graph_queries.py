@@ -76,12 +76,11 @@ def remove_isolated(t):
     return graph.remove_isolated(_nodes(t), _edges(t))[0].select("image_id", F.col("idx").cast("long").alias("idx"), "class")
 
 
-@query("""with recursive p as (select distinct cast(week as varchar) as image_id, b, e from {links} where l_quantity >= 25), s as (select image_id, b as x, e as y from p union all select image_id, e, b from p),
-r as (select distinct image_id, x as node, x as seen from s union select r.image_id, r.node, s.y from r join s on s.image_id = r.image_id and s.x = r.seen where s.y < r.node or true)
-select image_id, node, min(seen) as component from r group by 1, 2""".replace(" where s.y < r.node or true", ""))
+@query("""with recursive p as (select distinct cast(day as varchar) as image_id, b, e from {links}), s as (select image_id, b as x, e as y from p union all select image_id, e, b from p),
+r as (select distinct image_id, x as node, x as seen from s union select r.image_id, r.node, s.y from r join s on s.image_id = r.image_id and s.x = r.seen)
+select image_id, node, min(seen) as component from r group by 1, 2""")
 def components(t):
-    links = t.links.where("l_quantity >= 25").select(F.col("week").cast("string").alias("image_id"), F.col("b").alias("a"), F.col("e").alias("b"))
-    return loops.components(links)
+    return loops.components(t.links.select(F.col("day").cast("string").alias("image_id"), F.col("b").alias("a"), F.col("e").alias("b")))
 
 
 @query(f"with {NODES}, {EDGES} select image_id, count(*) - (select count(*) from edges e where e.image_id = n.image_id) as fragments from nodes n group by 1")
@@ -179,9 +178,12 @@ def graph_edges(t):
     return graph.graph_from_keypoints(t.kp, t.edges)[1]
 
 
-@query("select image_id, idx, 0 as charge from {graph}")
+@query("select image_id, flag as symbol, cast(sum(case when q % 3 = 0 then 0 else q % 3 end) as bigint) as charged, cast(0 as bigint) as left_over, count(*) as atoms from {graph} group by 1, 2")
 def neutralise(t):
-    return graph.neutralise(t.graph.select("image_id", "idx", (F.col("q") % 3).alias("charge")))
+    """What charge each image's elements had, and what is left of it."""
+    before = t.graph.select("image_id", "idx", F.col("flag").alias("symbol"), (F.col("q") % 3).alias("charge"))
+    both = graph.neutralise(before.withColumn("was", F.col("charge")))
+    return both.groupBy("image_id", "symbol").agg(F.sum("was").alias("charged"), F.sum("charge").alias("left_over"), F.count("*").alias("atoms"))
 
 
 def _fragments(t):
@@ -235,20 +237,21 @@ def _counted(k: int, rows: str) -> str:
 c{k} as (select image_id, count(*) - sum(nx) as raw, count(*) - sum(nx) + count(*) filter (r and split and degree = 2) as solved, bool_or(r) as r from d{k} group by 1)"""
 
 
-@query(f"""with g as (select image_id, idx, flag = 'R' as r, l_partkey % 3 = 0 as split, idx % 3 = 1 and l_suppkey % 2 = 0 as boxed, case when q % 5 != 0 and lead(idx) over (partition by image_id order by idx) is not null then 1 else 0 end as nx from {{graph}}),
+@query(f"""with g as (select image_id, idx, flag = 'R' as r, l_partkey % 3 = 0 as split, idx % 3 = 1 and l_suppkey % 2 = 0 as boxed, l_suppkey // 2 % 4 as label, case when q % 5 != 0 and lead(idx) over (partition by image_id order by idx) is not null then 1 else 0 end as nx from {{graph}}),
 {_counted(1, "g")},
 h as (select *, case when coalesce(lag(boxed) over (partition by image_id order by idx), false) then idx - 1 else idx end as head from g),
-m as (select image_id, head as idx, bool_or(r) as r, arg_min(split, idx) as split, arg_max(nx, idx) as nx from h group by 1, 2),
+m as (select image_id, head as idx, bool_or(r) or (count(*) = 2 and arg_min(label, idx) < 3) as r, case when count(*) = 2 then arg_min(label, idx) = 0 else bool_or(split) end as split, arg_max(nx, idx) as nx from h group by 1, 2),
 {_counted(2, "m")},
 p as (select image_id, count(*) - sum(nx) as raw from d2 where degree > 0 group by 1)
 select c1.image_id, case when c1.solved = 1 then case when c1.r then 'resolved' else 'as_is' end when c2.solved = 1 then 'merged' when c2.raw = 1 then 'unresolved' when p.raw = 1 then 'pruned' else 'sentinel' end as status
 from c1 join c2 on c2.image_id = c1.image_id left join p on p.image_id = c1.image_id""")
 def molecule_status(t):
-    """The lines of an order in a row, boxes around some pairs of neighbours; a label is two atoms apart, two linked atoms, or one atom."""
+    """The lines of an order in a row, boxes around some pairs of neighbours; a label is two atoms apart, two linked atoms, one atom, or, of boxes, none that
+    the dictionary has."""
     kinds = [F.lit(k) for k in ("split", "pair", "one")]
     at = (F.col("idx") * 100).alias("x")
     nodes = t.graph.select("image_id", "idx", at, F.lit(0).alias("y"), F.when(F.col("flag") == "R", "R").otherwise("C").alias("class"), F.get(F.array(*kinds), (F.col("l_partkey") % 3).cast("int")).alias("text"))
-    boxes = t.graph.where("idx % 3 = 1 and l_suppkey % 2 = 0").selectExpr("image_id", "idx as box_id", "idx * 100 - 10 as x0", "-10 as y0", "idx * 100 + 110 as x1", "10 as y1")
+    boxes = t.graph.where("idx % 3 = 1 and l_suppkey % 2 = 0").selectExpr("image_id", "idx as box_id", "idx * 100 - 10 as x0", "-10 as y0", "idx * 100 + 110 as x1", "10 as y1", "element_at(array('split', 'pair', 'one', 'unheard of'), cast(l_suppkey div 2 % 4 + 1 as int)) as text")
     frag_nodes = t.spark.sql("select * from values ('split', 0, 'C', 0), ('split', 1, 'C', 1), ('pair', 0, 'C', 0), ('pair', 1, 'C', 1), ('one', 0, 'C', 0) as f(text, pos, symbol, attach)")
     frag_edges = t.spark.sql("select 'pair' as text, 0 as p, 1 as q, 'SINGLE' as class")
     return graph.molecule_status(nodes, _edges(t), boxes, (frag_nodes, frag_edges))

@@ -44,10 +44,25 @@ CAPTION = """case when n > 10 and kept < n / 3 then 'remove' when n > 10 then 'f
 when regexp_matches(word, '^[0-9]+$') and regexp_matches(word, '[1-9]') and score >= 0.85 then 'filter' when n > 2 and commas > 2 then 'filter' when n = 2 and regexp_matches(word, '[():]') then 'filter' end"""
 
 
-@query(f"select doc_id, flag from (select doc_id, {CAPTION} as flag from (select *, length(word) as n, length(regexp_replace(word, '[^CcNHOohn]', '', 'g')) as kept, length(word) - length(replace(word, ',', '')) as commas from (select doc_id, substring(text, 1, cast(doc_id % 14 as int)) as word, (doc_id % 10) / 10 as score from {{documents}})))")
+#: Every word of every document as a text found in a drawing; its score by where it stands.
+WORDS = "words as (select doc_id, at, word, (at % 10) / 10.0 as score from (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as at from {documents}))"
+FLAGGED = f"{WORDS}, flagged as (select doc_id, at, {CAPTION} as flag from (select *, length(word) as n, length(regexp_replace(word, '[^CcNHOohn]', '', 'g')) as kept, length(word) - length(replace(word, ',', '')) as commas from words))"
+
+
+def _words(t):
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    return rows.withColumn("score", (F.col("at") % 10) / 10)
+
+
+@query(f"with {FLAGGED} select doc_id, flag, count(*) as words, sum(at) as places from flagged where flag is not null group by 1, 2")
 def caption_flags(t):
-    rows = t.documents.select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 14).cast("int")).alias("word"), ((F.col("doc_id") % 10) / 10).alias("score"))
-    return rows.select("doc_id", text.caption_flag(F.col("word"), F.col("score")).alias("flag"))
+    flags = _words(t).select("doc_id", "at", text.caption_flag(F.col("word"), F.col("score")).alias("flag")).where("flag is not null")
+    return flags.groupBy("doc_id", "flag").agg(F.count("*").alias("words"), F.sum("at").alias("places"))
+
+
+@query(f"with {FLAGGED} select doc_id, bool_or(flag is not null) as filter_masks, coalesce(list_sort(list(at) filter (flag = 'remove')), []) as removed from flagged group by 1")
+def caption_decision(t):
+    return text.caption_decision(_words(t), "doc_id", "at").select("doc_id", "filter_masks", F.col("removed").cast("array<long>").alias("removed"))
 
 
 PARTS = "['C', 'S', 'F2', 'O2', 'Oz', 'N', 'Fz']"
@@ -62,31 +77,46 @@ def fuse_parts(t):
     return rows.select("conv_id", "turn", text.fused_label(F.col("parts")).alias("label"))
 
 
-SMILES = ["CCO", "C[C@H](N)C(=O)O", "[Na+].[Cl-]", "c1ccccc1Br", "[Se]CC", "CC(=O)[O-]", "F/C=C/F", "[13C]C", "B(O)O", "[Pt](Cl)Cl", "C[Si](C)C", "[nH]1cccc1"]
-_SMILES_LIST = "['" + "', '".join(SMILES) + "']"
 _ATOMS = "['" + "', '".join(text.EXOTIC_ATOMS) + "']"
 _TOKEN = text.SMILES_TOKEN
 
 
-@query(f"select doc_id, contains(s, '@') as stereo, list_has_any(list_transform(regexp_extract_all(s, '{_TOKEN}', 1), lambda x: regexp_replace(x, '[\\[\\]H@]', '', 'g')), {_ATOMS}) as exotic from (select doc_id, {_SMILES_LIST}[doc_id % 12 + 1] as s from {{documents}})".replace("{2}", "{{2}}").replace("{{2}}", "{2}"))
+#: A string like SMILES for every word: an atom of its first two characters between carbons, chiral where it stands at every fifth place.
+@query(f"""with w as (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as at from {{documents}}),
+s as (select doc_id, 'CC[' || upper(left(word, 1)) || lower(substring(word, 2, 1)) || case when at % 5 = 0 then '@H' else '' end || ']Br' as s from w where regexp_matches(word, '^[A-Za-z]{{2}}'))
+select doc_id, count(*) as strings, count(*) filter (contains(s, '@')) as stereo, count(*) filter (list_has_any(list_transform(regexp_extract_all(s, '{_TOKEN}', 1), lambda x: regexp_replace(x, '[\\[\\]H@]', '', 'g')), {_ATOMS})) as exotic from s group by 1""".replace("{2}", "{{2}}").replace("{{2}}", "{2}"))
 def smiles_flags(t):
-    names = F.array(*[F.lit(x) for x in SMILES])
-    s = F.element_at(names, (F.col("doc_id") % 12 + 1).cast("int"))
-    return t.documents.select("doc_id", s.alias("s")).select("doc_id", text.has_stereo(F.col("s")).alias("stereo"), text.has_exotic_atom(F.col("s")).alias("exotic"))
+    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word")).where(F.col("word").rlike("^[A-Za-z]{2}"))
+    chiral = F.when(F.col("at") % 5 == 0, "@H").otherwise("")
+    s = F.concat(F.lit("CC["), F.upper(F.left("word", F.lit(1))), F.lower(F.substring("word", 2, 1)), chiral, F.lit("]Br"))
+    one = lambda c: F.count(F.when(c, 1))
+    return words.select("doc_id", s.alias("s")).groupBy("doc_id").agg(F.count("*").alias("strings"), one(text.has_stereo(F.col("s"))).alias("stereo"), one(text.has_exotic_atom(F.col("s"))).alias("exotic"))
 
 
-@query("""with b as (select l_orderkey as file, l_partkey as b, l_suppkey + 1000000 as e, case when l_returnflag = 'N' then 'DOUBLE' else 'SINGLE' end as type from {lineitem}),
-g as (select distinct l_orderkey as file, l_linestatus as group_id, l_partkey as atom from {lineitem} where l_linenumber % 2 = 1), ends as (select file, b as atom, e as other from b where type = 'SINGLE' union all select file, e, b from b where type = 'SINGLE')
-select distinct g.file, g.group_id, other as atom from g join ends using (file, atom) where not exists (select 1 from g x where x.file = g.file and x.group_id = g.group_id and x.atom = other)""")
-def attachments(t):
+BONDED = """b as (select l_orderkey as file, l_partkey as b, l_suppkey + 1000000 as e, case when l_returnflag = 'N' then 'DOUBLE' else 'SINGLE' end as type from {lineitem}),
+g as (select distinct l_orderkey as file, l_linestatus as group_id, l_partkey as atom from {lineitem} where l_linenumber % 2 = 1)"""
+_OUTSIDE = "select distinct g.file, g.group_id, other as atom from g join ends using (file, atom) where not exists (select 1 from g x where x.file = g.file and x.group_id = g.group_id and x.atom = other)"
+
+
+def _attachments(t, exactly_one):
     bonds = t.lineitem.select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("b"), (F.col("l_suppkey") + 1_000_000).alias("e"), F.when(F.col("l_returnflag") == "N", "DOUBLE").otherwise("SINGLE").alias("type"))
     atoms = t.lineitem.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("file"), F.col("l_linestatus").alias("group_id"), F.col("l_partkey").alias("atom")).distinct()
-    return labels.label_attachments(atoms, bonds)
+    return labels.label_attachments(atoms, bonds, exactly_one)
+
+
+@query(f"with {BONDED}, ends as (select file, b as atom, e as other from b where type = 'SINGLE' union all select file, e, b from b where type = 'SINGLE') {_OUTSIDE}")
+def attachments(t):
+    return _attachments(t, False)
+
+
+@query(f"with {BONDED}, ends as (select file, b as atom, e as other from b union all select file, e, b from b) select file, group_id, min(atom) as atom from ({_OUTSIDE}) group by 1, 2 having count(*) = 1")
+def single_attachments(t):
+    return _attachments(t, True)
 
 
-@query("select image_id, x, y, list_sort(list(idx)) as atoms from (select image_id, idx, x // 50 as x, y // 50 as y from {kp} where x >= 0 and y >= 0) group by 1, 2, 3 having count(*) > 1")
+@query("select image_id, x, y, list_sort(list(idx)) as atoms from (select image_id, idx, cast(floor(x / 50.0) as int) as x, cast(floor(y / 50.0) as int) as y from {kp}) group by 1, 2, 3 having count(*) > 1")
 def coincident(t):
-    kp = t.kp.where("x >= 0 and y >= 0").select("image_id", "idx", F.floor(F.col("x") / 50).cast("int").alias("x"), F.floor(F.col("y") / 50).cast("int").alias("y"))
+    kp = t.kp.select("image_id", "idx", F.floor(F.col("x") / 50).cast("int").alias("x"), F.floor(F.col("y") / 50).cast("int").alias("y"))
     return labels.coincident_atoms(kp)
 
 

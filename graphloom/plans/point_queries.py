@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import components, geometry, raster
@@ -24,6 +25,18 @@ def bond_size_by_image(t):
     return geometry.bond_size(t.kp).select("image_id", F.round("bond_size", 6).alias("bond_size"))
 
 
+WHOLE = "kpl as (select cast(label as string) as image_id, cast(row_number() over (partition by label order by vec_id) - 1 as int) as idx, cast(floor(1000 * cast(embedding#0 as double)) as int) as x, cast(floor(1000 * cast(embedding#1 as double)) as int) as y from {embeddings})"
+
+
+@query(f"with {WHOLE}, {LOWER.replace('{kp}', 'kpl')}, {NEAR} select image_id, b, e, dist, rank from near")
+def candidate_edges_large(t):
+    """One image for each label, which grows with the table: by widening squares."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    at = lambda k: F.floor(F.col("embedding")[k].cast("double") * 1000).cast("int")
+    kp = t.embeddings.select(F.col("label").cast("string").alias("image_id"), (F.row_number().over(order) - 1).alias("idx"), at(0).alias("x"), at(1).alias("y"))
+    return geometry.nearest_lower(kp, most=0).select("image_id", "b", "e", "dist", "rank")
+
+
 @query(f"with {LOWER}, {NEAR} select image_id, b, e, dist, rank from near")
 def candidate_edges(t):
     return geometry.nearest_lower(t.kp).select("image_id", "b", "e", "dist", F.col("rank").cast("long").alias("rank"))
@@ -140,13 +153,14 @@ def binarise(t):
     return raster.binarise(cells, 0.1).withColumn("v", F.round("v", 6)).withColumn("at", F.col("at").cast("long"))
 
 
-@query("""with box as (select image_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from (select image_id || '/' || (x // 100) as image_id, x, y from {ink} where x > 0 and y > 0 and y < 150) group by 1),
-w as (select *, x1 - x0 <= 60 and y1 - y0 <= 60 as small from box), im as (select distinct image_id || '/' || (x // 100) as image_id from {ink} where x > 0)
+@query("""with box as (select image_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from (select image_id || '/' || cast(floor(x / 100.0) as int) as image_id, x, y from {ink}) group by 1),
+w as (select *, x1 - x0 <= 60 and y1 - y0 <= 60 as small from box), im as (select distinct image_id || '/' || cast(floor(x / 100.0) as int) as image_id from {ink} union select distinct image_id || '/blank' from {ink})
 select image_id, cast(coalesce(case when small then x0 - floor((60 - (x1 - x0)) / 2) else x0 end, 0) as bigint) as x0, cast(coalesce(case when small then y0 - floor((60 - (y1 - y0)) / 2) else y0 end, 0) as bigint) as y0,
 cast(coalesce(case when small then x1 + floor((60 - (x1 - x0)) / 2) else x1 end, 1024) as bigint) as x1, cast(coalesce(case when small then y1 + floor((60 - (y1 - y0)) / 2) else y1 end, 1024) as bigint) as y1 from im left join w using (image_id)""")
 def tight_bbox(t):
-    ink = t.ink.where("x > 0").withColumn("image_id", F.concat_ws("/", "image_id", F.floor(F.col("x") / 100).cast("string")))
-    return raster.tight_bbox(ink.where("y > 0 and y < 150"), ink.select("image_id").distinct(), 1024)
+    ink = t.ink.withColumn("image_id", F.concat_ws("/", "image_id", F.floor(F.col("x") / 100).cast("string")))
+    blank = t.ink.select(F.concat("image_id", F.lit("/blank")).alias("image_id"))  # images without ink
+    return raster.tight_bbox(ink, ink.select("image_id").union(blank).distinct(), 1024)
 
 
 @query(f"""with {LOWER}, {SIZE}, sigma as (select k.image_id, greatest(round(coalesce(bond_size, 100) / 40), 2) as sigma from (select distinct image_id from {{kp}}) k left join size using (image_id)),

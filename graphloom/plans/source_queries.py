@@ -9,6 +9,7 @@ from ..operators import labels, metrics
 from ..operators.curate import concat_shards
 from ..scratch import new_path
 from ..sources import readers, sinks
+from ..streaming.annotations import benchmarks_so_far, stream_benchmarks
 from ..streaming.annotations import stream_summary as summarise_stream
 from .fixtures import TABLES
 from .registry import Registry
@@ -64,10 +65,30 @@ def coco_roundtrip(t):
     two = F.lit(2).cast("long")
     keypoints = docs.where("read").select(F.col("id").alias("image_id"), F.array("n_chars", F.col("n_chars") + 7, two, F.col("id"), F.lit(5).cast("long"), two).alias("keypoints"))
     path = new_path(t.spark, "coco")
-    sinks.write_coco(images, keypoints, path, shards=16)
+    sinks.write_coco(images, keypoints, path, document_bytes=100_000)
+    return readers.read_coco(t.spark, path).select(F.col("image_id").cast("long").alias("image_id"), "image_filename", "keypoints")
+
+
+@query("select doc_id as image_id, 'images/' || doc_id || '.png' as image_filename, [cast(n_chars as int), 2, 2] as keypoints from {documents}")
+def coco_lines(t):
+    """A document on each line, for every hundred images."""
+    image = F.struct(F.col("doc_id").cast("int").alias("id"), F.concat(F.lit("images/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("image_filename"))
+    note = F.struct(F.col("doc_id").cast("int").alias("image_id"), F.array(F.col("n_chars").cast("int"), F.lit(2), F.lit(2)).alias("keypoints"))
+    docs = t.documents.groupBy(F.floor(F.col("doc_id") / 100).alias("n")).agg(F.collect_list(image).alias("images"), F.collect_list(note).alias("annotations"))
+    path = new_path(t.spark, "coco-lines")
+    docs.drop("n").write.json(path)
     return readers.read_coco(t.spark, path, lines=True).select(F.col("image_id").cast("long").alias("image_id"), "image_filename", "keypoints")
 
 
+@query("select text as image_id, min(doc_id) as doc_id, max(n_chars) as n_chars, [min(lang), 'a}{\"b\\'] as langs from {documents} group by 1")
+def score_map_texts(t):
+    """A map whose keys are whole texts, and whose values hold braces, quotes and backslashes."""
+    rows = t.documents.groupBy(F.col("text").alias("image_id")).agg(F.min("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.array(F.min("lang"), F.lit('a}{"b\\')).alias("langs"))
+    path = new_path(t.spark, "texts")
+    sinks.write_score_map(rows, path, document_bytes=300_000)
+    return readers.read_score_map(t.spark, path, "doc_id:bigint,n_chars:bigint,langs:array<string>")
+
+
 @query("select entry as label, population, [smiles] as smiles, rank() over (order by population desc) as rank from {dictionary}")
 def dictionary_read(t):
     rows = t.dictionary.select(F.col("entry").alias("label"), F.col("population").cast("int").alias("population"), "smiles", "position")
@@ -110,10 +131,10 @@ def prediction_csv(t):
 def scores_read(t):
     rows = t.documents.join(t.labels, "doc_id").withColumn("image_id", F.col("doc_id").cast("string"))
     a, b = new_path(t.spark, "scores"), new_path(t.spark, "information")
-    sinks.write_score_map(rows.select("image_id", (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 0).alias("valid")), a, 4)
-    sinks.write_score_map(rows.select("image_id", (F.col("lang") == "es").alias("stereochemistry"), F.col("n_chars").alias("nb_atoms")), b, 4)
-    scores = readers.read_score_map(t.spark, a, "correct:boolean,valid:boolean", lines=True)
-    info = readers.read_score_map(t.spark, b, "stereochemistry:boolean,nb_atoms:bigint", lines=True)
+    sinks.write_score_map(rows.select("image_id", (F.col("quality") == 1).alias("correct"), (F.col("toxic") == 0).alias("valid")), a, 20_000)
+    sinks.write_score_map(rows.select("image_id", (F.col("lang") == "es").alias("stereochemistry"), F.col("n_chars").alias("nb_atoms")), b, 20_000)
+    scores = readers.read_score_map(t.spark, a, "correct:boolean,valid:boolean")
+    info = readers.read_score_map(t.spark, b, "stereochemistry:boolean,nb_atoms:bigint")
     chosen = metrics.select_for_report(scores, info, rows.where("source = 'src0'").select("image_id"), "image_id")
     return metrics.outliers(chosen).select("image_id", "correct", "nb_atoms")
 
@@ -174,3 +195,18 @@ def stream_summary(t):
     path = new_path(t.spark, "events")
     t.events.select("event_type", "value").repartition(6).write.json(path)
     return summarise_stream(t.spark, path, "event_type string, value double", "event_type", chunk=2)
+
+
+@query("""with a as (select source as benchmark, true as processed, case when n_chars % 3 = 0 then 'xx' else lang end = lang as correct, (doc_id % 10) / 10.0 < 0.4 as sentinel from {documents})
+select benchmark, count(*) as inputs, count(*) as processed, round(count(*) filter (correct) / count(*), 4) as precision, round(case when count(*) filter (not correct) > 0 then count(*) filter (not correct and sentinel) / count(*) filter (not correct) else 0.0 end, 4) as detected_error_rate from a group by 1""")
+def stream_benchmark(t):
+    """Annotation logs that come in two lots, some images in both; the stream stops between them and goes on from its checkpoint."""
+    found = F.when(F.col("n_chars") % 3 == 0, "xx").otherwise(F.col("lang"))
+    none = F.array().cast("array<string>")
+    rows = t.documents.select("doc_id", found.alias("smiles"), none.alias("abbreviations"), none.alias("abbreviations_ocr"), ((F.col("doc_id") % 10) / 10).alias("conf"), F.col("doc_id").cast("string").alias("filename"))
+    truth = t.documents.select(F.col("doc_id").cast("string").alias("filename"), F.col("source").alias("benchmark"), F.col("lang").alias("smi"), F.lit(0.4).alias("conf_least"))
+    folder, out, log = (new_path(t.spark, f"annotations-{x}") for x in ("in", "out", "log"))
+    for lot in ("doc_id % 2 = 0", "doc_id % 2 = 1 or doc_id % 7 = 0"):
+        sinks.write_annotations(rows.where(lot).drop("doc_id").repartition(3), folder)
+        stream_benchmarks(t.spark, folder, truth, out, log, chunk=2)
+    return benchmarks_so_far(t.spark, out)

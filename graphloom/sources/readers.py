@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stem
+from .documents import entries, sections
 
-COCO_SCHEMA = (
-    "info struct<description:string>, licenses array<struct<id:int,name:string,url:string>>,"
-    "images array<struct<width:int,height:int,image_filename:string,molfile_filename:string,smiles:string,id:int,license:int,date_captured:string>>,"
-    "annotations array<struct<image_id:int,keypoints array<int>,iscrowd:int>>"
-).replace("keypoints array", "keypoints:array")
+IMAGE_SCHEMA = "width int, height int, image_filename string, molfile_filename string, smiles string, id int, license int, date_captured string"
+NOTE_SCHEMA = "image_id int, keypoints array<int>, iscrowd int"
+COCO_SCHEMA = f"images array<struct<{IMAGE_SCHEMA}>>, annotations array<struct<{NOTE_SCHEMA}>>"
 ANNOTATION_SCHEMA = "smi string, abbreviations array<string>, abbreviations_ocr array<string>, conf double, `file-info` struct<filename:string,image_nbr:int>, annotator struct<version:string,program:string>"
 STRUCTURE_CLASS = "chemistry_molecular_structure"
 
@@ -36,12 +35,18 @@ def pair_images_labels(images: DataFrame, labels: DataFrame) -> tuple[DataFrame,
 
 
 def read_coco(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(image_id, image_filename, molfile_filename, smiles, keypoints) of COCO files: images joined with their annotations, file by file. lines: a
-    file has a document on each line, instead of one document."""
-    docs = spark.read.schema(COCO_SCHEMA).option("multiLine", str(not lines).lower()).json(path).withColumn("__file", F.input_file_name())
-    images = docs.select("__file", F.inline("images")).select("__file", F.col("id").alias("image_id"), "image_filename", "molfile_filename", "smiles")
-    notes = docs.select("__file", F.inline("annotations")).select("__file", "image_id", "keypoints")
-    return images.join(notes, ["__file", "image_id"]).drop("__file")
+    """(image_id, image_filename, molfile_filename, smiles, keypoints) of COCO files: images joined with their annotations, document by document.
+
+    A file is one document, of any size, that is read in pieces by several tasks; with lines it has a document on each line."""
+    if lines:
+        docs = spark.read.schema(COCO_SCHEMA).json(path).select(F.concat(F.col("_metadata.file_path"), F.monotonically_increasing_id().cast("string")).alias("file"), "images", "annotations")
+        images, notes = docs.select("file", F.inline("images")), docs.select("file", F.inline("annotations"))
+    else:
+        objects = sections(spark, path, ["info", "licenses", "images", "annotations"])
+        of = lambda name, schema: objects.where(F.col("section") == name).select("file", F.from_json("object", schema).alias("v")).select("file", "v.*")
+        images, notes = of("images", IMAGE_SCHEMA), of("annotations", NOTE_SCHEMA)
+    images = images.select("file", F.col("id").alias("image_id"), "image_filename", "molfile_filename", "smiles")
+    return images.join(notes.select("file", "image_id", "keypoints"), ["file", "image_id"]).drop("file")
 
 
 def read_hub_parquet(rows: DataFrame) -> DataFrame:
@@ -77,8 +82,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_score_map(spark: SparkSession, path: str, fields: str, lines: bool = False) -> DataFrame:
-    """(image_id, fields) of JSON maps from image to a struct, one for each file, or for each line."""
-    return spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", f"map<string,struct<{fields}>>")).alias("image_id", "v")).select("image_id", "v.*")
+    """(image_id, fields) of JSON maps from image to a flat object: one of any size for each file, which is read in pieces, or one for each line."""
+    if not lines:
+        return entries(spark, path).select(F.col("key").alias("image_id"), F.from_json("object", f"struct<{fields}>").alias("v")).select("image_id", "v.*")
+    return spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,struct<{fields}>>")).alias("image_id", "v")).select("image_id", "v.*")
 
 
 def docling_pictures(docs: DataFrame) -> DataFrame:

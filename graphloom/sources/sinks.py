@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
+from ..operators.small import small
+from .documents import DOCUMENT_BYTES, write_documents
 
 
-def write_manifest(images: DataFrame, path: str, most: int = 10_000) -> None:
-    images.select("path").orderBy("path").limit(most).write.json(path)
+def write_manifest(images: DataFrame, path: str, most: int | None = None) -> None:
+    """The paths in order; only the first `most` of them, where that is given."""
+    paths = images.select("path").orderBy("path")
+    (paths if most is None else paths.limit(most)).write.json(path)
 
 
 def annotation_rows(rows: DataFrame, version: str, program: str) -> DataFrame:
@@ -24,15 +28,15 @@ def write_annotations(rows: DataFrame, path: str, version: str = "1.0", program:
     annotation_rows(rows, version, program).write.mode("append").json(path)
 
 
-def write_coco(images: DataFrame, keypoints: DataFrame, path: str, shards: int = 1) -> None:
-    """images (id, image_filename, molfile_filename, smiles, width, height) and keypoints (image_id, keypoints flat) as COCO documents, one for
-    each of `shards` buckets of the id; images without keypoints, and keypoints without an image, are left out."""
-    rows = images.join(keypoints.withColumnRenamed("image_id", "id"), "id").withColumn("__shard", F.pmod("id", F.lit(shards)))
+def write_coco(images: DataFrame, keypoints: DataFrame, path: str, document_bytes: int = DOCUMENT_BYTES) -> None:
+    """images (id, image_filename, molfile_filename, smiles, width, height) and keypoints (image_id, keypoints flat) as COCO documents of about
+    document_bytes; images without keypoints, and keypoints without an image, are left out."""
+    rows = images.join(keypoints.withColumnRenamed("image_id", "id"), "id")
     image = F.struct("width", "height", "image_filename", "molfile_filename", "smiles", F.col("id").cast("int").alias("id"), F.lit(1).alias("license"), F.lit("").alias("date_captured"))
     note = F.struct(F.col("id").cast("int").alias("image_id"), F.col("keypoints").cast("array<int>").alias("keypoints"), F.lit(0).alias("iscrowd"))
-    licence = F.array(F.struct(F.lit(1).alias("id"), F.lit("").alias("name"), F.lit("").alias("url")))
-    docs = rows.groupBy("__shard").agg(F.collect_list(image).alias("images"), F.collect_list(note).alias("annotations"))
-    docs.select(F.struct(F.lit("keypoints").alias("description")).alias("info"), licence.alias("licenses"), "images", "annotations").write.json(path)
+    part = lambda k, x: F.struct(F.lit(k).alias("part"), F.to_json(x).alias("text"))
+    head = '{"info": {"description": "keypoints"}, "licenses": [{"id": 1, "name": "", "url": ""}], "images": ['
+    write_documents(rows.select("id", F.inline(F.array(part(0, image), part(1, note)))), [head, '], "annotations": [', "]}"], path, document_bytes)
 
 
 def write_split_lists(rows: DataFrame, path: str) -> None:
@@ -49,18 +53,23 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.partitionBy("benchmark").json(path)
 
 
-def write_score_map(scores: DataFrame, path: str, shards: int = 1) -> None:
-    """scores (image_id, ...) as JSON maps from image to a struct, one for each bucket of the image."""
-    entry = F.struct("image_id", F.struct(*[c for c in scores.columns if c != "image_id"]))
-    maps = scores.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(shards)).alias("__shard")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    maps.select("value").write.text(path)
+def write_score_map(scores: DataFrame, path: str, document_bytes: int = DOCUMENT_BYTES) -> None:
+    """scores (image_id, ...) as JSON maps from image to an object, of about document_bytes each."""
+    entry = F.concat(_quoted("image_id"), F.lit(": "), F.to_json(F.struct(*[c for c in scores.columns if c != "image_id"]), {"ignoreNullFields": "false"}))
+    write_documents(scores.select(F.col("image_id").alias("id"), F.lit(0).alias("part"), entry.alias("text")), ["{", "}"], path, document_bytes)
+
+
+def _quoted(column: str) -> Column:
+    """A text as JSON has it: the one element of an array, without the brackets."""
+    array = F.to_json(F.array(F.col(column).cast("string")))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
 def write_dictionary_json(dictionary: DataFrame, path: str) -> None:
-    """(label, population, smiles array) as one JSON map, most populous first. A dictionary is small."""
-    entry = F.struct("population", "label", F.struct("population", "smiles").alias("v"))
-    rows = F.reverse(F.array_sort(F.collect_list(entry)))
-    dictionary.agg(F.to_json(F.map_from_entries(F.transform(rows, lambda r: F.struct(r.label, r.v)))).alias("value")).write.text(path)
+    """(label, population, smiles array) as one JSON map, most populous first. A dictionary's size is checked."""
+    entry = F.concat(_quoted("label"), F.lit(": "), F.to_json(F.struct("population", "smiles")))
+    order = F.struct((-F.col("population")).alias("p"), F.col("label").alias("l"))
+    write_documents(small(dictionary).select(order.alias("id"), F.lit(0).alias("part"), entry.alias("text")), ["{", "}"], path, 1 << 62)
 
 
 def bond_size_rows(sizes: DataFrame) -> DataFrame:
