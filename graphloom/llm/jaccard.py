@@ -228,13 +228,8 @@ def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, Data
     return rows, sets, links.unionByName(verified(more, sets, texts, like))
 
 
-def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the least doc_id that links reach, a document's own where it has none.
-
-    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A null text, or one without words, has the empty set and links with nothing. Each
-    row is a document of its own: rows that repeat a doc_id have each their own text's set and group. An empty table gives no rows. Tokens are
-    64-bit hashes: within a pair of sets, two different shingles are taken for one with a probability of about |a| |b| / 2^64."""
-    rows, sets, links = similar(docs, like)
+def group_names(rows: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, from what similar() returns."""
     groups = saved(components(links), "components").withColumnRenamed("node", "id")
     named = sets.join(groups, "id", "left").select("sig", "first", "copies", F.coalesce("component", "id").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("sets"))
@@ -245,6 +240,15 @@ def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
+def similar_groups(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the least doc_id that links reach, a document's own where it has none.
+
+    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. A null text, or one without words, has the empty set and links with nothing. Each
+    row is a document of its own: rows that repeat a doc_id have each their own text's set and group. An empty table gives no rows. Tokens are
+    64-bit hashes: within a pair of sets, two different shingles are taken for one with a probability of about |a| |b| / 2^64."""
+    return group_names(*similar(docs, like))
+
+
 def keep_one_of_each(docs: DataFrame, like: Likeness = Likeness(5, 80, 100)) -> DataFrame:
     """The rows of docs, with all their columns, that have the least doc_id of their group. Rows without an id stay. Where an id repeats, its rows
     stay as long as one of them does: which one went couldn't be told by the id."""

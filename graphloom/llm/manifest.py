@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.places import ranked
 from .common import forget, look_up, remainder, saved, ship
-from .ranks import ranked
 
 FANOUT = 3
 #: Levels of a bucket: 3^6 = 729 digests, 23 kB, is the longest list.

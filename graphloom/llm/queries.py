@@ -77,6 +77,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefixtrie import prefix_trie
 
@@ -94,6 +100,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact, jaccard, substring, suffix
+    from . import exact, jaccard, minhash, substring, suffix
 
-    return {"op3_exact_dedup": exact.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_suffix_dedup": suffix.ORACLE_SQL}
+    return {"op11_minhash": minhash.ORACLE_SQL, "op3_exact_dedup": exact.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_suffix_dedup": suffix.ORACLE_SQL}
