@@ -38,10 +38,10 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
         out = saved(by_image(left, _labelled, LABELS), "components")
         forget(left)
         return out
-    done, became, spent = [], [], [left]
+    settled, became, spent = [], [], [left]
     small = lambda rows, large: by_image(rows.join(large, "image_id", "left_anti"), _labelled, LABELS)
     while True:
-        done.append(saved(small(left, large), "components"))
+        settled.append(saved(small(left, large), "components"))  # images that have been small enough since the last round
         here = left.join(large, "image_id", "left_semi")
         forest = saved(_forest(here), "forest")
         both = forest.unionByName(forest.select("image_id", F.col("b").alias("a"), F.col("a").alias("b")))
@@ -51,20 +51,19 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
         to = lambda rows, end: rows.join(leaders.withColumnRenamed("node", end), ["image_id", end]).drop(end).withColumnRenamed("leader", end)
         left = saved(to(to(forest, "a"), "b").where("a != b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
         became.append(leaders)
-        spent += [forest, left, leaders, done[-1]]
+        spent += [forest, left, leaders, settled[-1]]
         large = large_images(left, most)
         if large.isEmpty():
             break
     last = saved(small(left, large), "components")
-    for leaders in reversed(became):
-        known = last.select("image_id", F.col("node").alias("leader"), "component")
+    for turn in range(len(became) - 1, -1, -1):
+        leaders, known = became[turn], last.select("image_id", F.col("node").alias("leader"), "component")
         last = leaders.join(known, ["image_id", "leader"], "left").select("image_id", "node", F.coalesce("component", "leader").alias("component"))
-        last = saved(last, "contracted")
+        last = saved(last.unionByName(settled[turn]) if turn else last, "contracted")
         spent.append(last)
     least = last.groupBy("image_id", "component").agg(F.min("node").alias("least"))
     named = last.join(least, ["image_id", "component"]).select("image_id", "node", F.col("least").alias("component"))
-    for part in done:
-        named = named.unionByName(part)
+    named = named.unionByName(settled[0])
     # nodes of large images that are linked with themselves alone have no place in a forest
     loops = spent[0].where("a = b").select("image_id", F.col("a").alias("node")).distinct().join(named, ["image_id", "node"], "left_anti")
     out = saved(named.unionByName(loops.withColumn("component", F.col("node"))), "components")

@@ -115,8 +115,10 @@ def unobstructed(edges: DataFrame, kp: DataFrame) -> DataFrame:
     return edges.join(hit, ["image_id", "b", "e"], "left_anti")
 
 
-def propose_edges(kp: DataFrame, factor: float = 1.75, k: int = 6, ink: DataFrame | None = None) -> DataFrame:
-    """Nearest lower neighbours that are no longer than factor bond sizes, not obstructed and, where ink is given, drawn over."""
+def propose_edges(kp: DataFrame, factor: float = 1.75, k: int = 6, ink: DataFrame | None = None, restricted: bool = True) -> DataFrame:
+    """Nearest lower neighbours; unless not restricted, those that are no longer than factor bond sizes, not obstructed and, where ink is given, drawn over."""
+    if not restricted:
+        return nearest_lower(kp, k).join(bond_size(kp), "image_id")
     size = bond_size(kp)
     near = nearest_lower(kp, k).join(size, "image_id").where(F.col("dist") <= factor * F.col("bond_size"))
     clear = unobstructed(near, kp)

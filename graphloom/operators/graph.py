@@ -188,7 +188,7 @@ def expand_superatoms(nodes: DataFrame, edges: DataFrame, frag_nodes: DataFrame,
     at = ends.join(r, ["image_id", "idx"]).withColumn("attach", F.row_number().over(Window.partitionBy("image_id", "idx").orderBy("edge_id")) - 1)
     have = at.groupBy("image_id", "idx", "text").agg(F.count("*").alias("have"))
     want = frag_nodes.groupBy("text").agg(F.count("attach").alias("want"), F.count("*").alias("size"))
-    fit = have.join(F.broadcast(want), "text").where("have = want")
+    fit = have.join(small(want, MOST_FRAGMENT_ROWS), "text").where("have = want")
     last = nodes.groupBy("image_id").agg(F.max("idx").alias("last"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("image_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = fit.withColumn("before", before).join(last, "image_id").select("image_id", F.col("idx").alias("old"), "text", (F.col("last") + 1 + F.col("before")).alias("base"))

@@ -74,7 +74,8 @@ def label_to_node(labels: DataFrame, atoms: DataFrame, dictionary: DataFrame) ->
 
 
 def rank_dictionary(dictionary: DataFrame) -> DataFrame:
-    return dictionary.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("population"))))
+    """dictionary with rank by population; one task ranks a dictionary, whose size is checked."""
+    return small(dictionary).withColumn("rank", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("population"))))
 
 
 def atom_population(atoms: DataFrame, drop: list[str] | None = None) -> DataFrame:

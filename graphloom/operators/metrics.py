@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import clipped_matches, lcs_length
+from .small import small
 
 
+#: Labels of a confusion matrix: its size is their square.
+MOST_LABELS = 1000
+
 # -- classes ---------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -26,8 +30,8 @@ def class_weights(population: DataFrame, share: float = 0.2) -> DataFrame:
 
 
 def confusion_matrix(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gt, pred, n) over all pairs of labels (label), a short list, zeros kept."""
-    grid = labels.select(F.col("label").alias("gt")).join(F.broadcast(labels.select(F.col("label").alias("pred"))), how="cross")
+    """(gt, pred, n) over all pairs of labels (label), of which there are MOST_LABELS at most, zeros kept."""
+    grid = labels.select(F.col("label").alias("gt")).join(small(labels.select(F.col("label").alias("pred")), MOST_LABELS), how="cross")
     return grid.join(rows.groupBy("gt", "pred").agg(F.count("*").alias("n")), ["gt", "pred"], "left").na.fill(0, ["n"])
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components as loops
-from ..operators import geometry, graph
+from ..operators import geometry, graph, labels, metrics
 from ..operators.geometry import nodes_in_boxes
+from ..scratch import new_path
+from ..sources import readers, sinks
 from .point_queries import INKED, LOWER, NEAR, PROPOSED, SIZE
 from .registry import Registry
 
@@ -144,11 +146,19 @@ _TYPES = "['SINGLE', 'SINGLE', 'DOUBLE', 'TRIPLE', 'SINGLE', 'None']"
 @query(f"""with a as (select image_id, row_number() over (partition by image_id order by idx) - 1 as new, idx from {{graph}} where idx % 4 != 0)
 select g.image_id, g.idx as edge_id, x.new as b, y.new as e, {_TYPES}[g.q % 6 + 1] as class from {{graph}} g join a x on x.image_id = g.image_id and x.idx = g.idx - 1 join a y on y.image_id = g.image_id and y.idx = g.idx + 1 where g.idx % 4 = 0""")
 def graph_build(t):
+    return _built(t)[1].select("image_id", "edge_id", F.col("b").cast("long").alias("b"), F.col("e").cast("long").alias("e"), "class")
+
+
+@query("""select image_id, row_number() over (partition by image_id order by idx) - 1 as idx, case when flag = 'R' then 'R' when q % 3 != 1 then flag || ',' || (q % 3 - 1) else flag end as class from {graph} where idx % 4 != 0""")
+def graph_build_nodes(t):
+    return _built(t)[0].select("image_id", F.col("idx").cast("long").alias("idx"), "class")
+
+
+def _built(t):
     codes = F.array(*[F.lit(x) for x in ("-", "up", "=", "#", "\\", "wavy")])
     bond = F.col("idx") % 4 == 0
     rows = t.graph.select("image_id", F.col("idx").alias("id"), F.when(bond, F.element_at(codes, F.col("q") % 6 + 1)).when(F.col("flag") == "R", "pseudoatom").otherwise(F.col("flag")).alias("element"), (F.col("q") % 3 - 1).cast("double").alias("charge"), F.when(bond, F.array(F.col("idx") - 1, F.col("idx") + 1)).alias("connecting_nodes"))
-    edges = graph.graph_from_annotation(rows)[1]
-    return edges.select("image_id", "edge_id", F.col("b").cast("long").alias("b"), F.col("e").cast("long").alias("e"), "class")
+    return graph.graph_from_annotation(rows)
 
 
 @query("""select image_id, idx, case when flag = 'R' then 'R' when q % 3 - 1 != 0 then flag || ',' || (q % 3 - 1) else flag end as class from {graph}""")
@@ -198,8 +208,20 @@ def _fragments(t):
 last as (select image_id, max(idx) as last from n group by 1)
 select image_id, case when b = 1 and image_id in (from fit) then last + 1 else b end as b, e, class from edges join last using (image_id) union all select image_id, last + 1, last + 2, 'DOUBLE' from fit join last using (image_id)""")
 def expand_superatoms(t):
+    return _expanded(t)[1]
+
+
+@query(f"""with {EDGES}, fit as (select image_id, flag from {{graph}} n where idx = 1 and exists (select 1 from edges e where e.image_id = n.image_id and e.b = 1)),
+size as (select image_id, max(idx) as n from {{graph}} group by 1)
+select image_id, cast(idx as bigint) as idx, case when idx = 1 then 'R' else 'C' end as class from {{graph}} where not (idx = 1 and image_id in (select image_id from fit))
+union all select image_id, n + 1, flag from fit join size using (image_id) union all select image_id, n + 2, flag || '2' from fit join size using (image_id)""")
+def expanded_nodes(t):
+    return _expanded(t)[0]
+
+
+def _expanded(t):
     nodes = t.graph.select("image_id", "idx", F.when(F.col("idx") == 1, "R").otherwise("C").alias("class"), F.when(F.col("idx") == 1, F.col("flag")).alias("text"))
-    return graph.expand_superatoms(nodes, _edges(t), *_fragments(t))[1]
+    return graph.expand_superatoms(nodes, _edges(t), *_fragments(t))
 
 
 @query(f"""with {EDGES}, size as (select image_id, max(idx) as n from {{graph}} group by 1), closed as (select image_id from size join (select image_id, count(*) as m from edges group by 1) using (image_id) where n >= 3 and m = n - 1),
@@ -257,23 +279,64 @@ def molecule_status(t):
     return graph.molecule_status(nodes, _edges(t), boxes, (frag_nodes, frag_edges))
 
 
-@query(f"""with recursive {LOWER}, {SIZE}, {NEAR}, {PROPOSED}, {INKED},
+GRAPHED = f"""{LOWER}, {SIZE}, {NEAR}, {PROPOSED}, {INKED},
 drawn as (select image_id, b, e from side s where exists (select 1 from {{ink}} i where i.image_id = s.image_id and i.x >= cx - floor(side / 2) and i.x < cx + side - floor(side / 2) and i.y >= cy - floor(side / 2) and i.y < cy + side - floor(side / 2))),
 kept as (select image_id, idx, x, y, ((idx * 7 + x) % 5 + 5) % 5 = 1 as r, row_number() over (partition by image_id order by idx) - 1 as node from {{kp}} where ((idx * 7 + x) % 5 + 5) % 5 != 0),
 bond as (select d.image_id, p.node as b, q.node as e from drawn d join kept p on p.image_id = d.image_id and p.idx = d.b join kept q on q.image_id = d.image_id and q.idx = d.e where (d.b + d.e) % 4 != 0),
-taken as (select k.image_id, node, min(box_id) as box_id from kept k join {{boxes}} x on x.image_id = k.image_id and k.x between x0 and x1 and k.y between y0 and y1 where r group by 1, 2),
+taken as (select k.image_id, node, min(box_id) as box_id from kept k join {{boxes}} x on x.image_id = k.image_id and k.x between x0 and x1 and k.y between y0 and y1 where r group by 1, 2)"""
+
+
+def _graphed(t):
+    """Keypoints to predicted graphs: candidate edges with ink, predicted classes, empty ones dropped."""
+    kp = geometry.cap_keypoints(t.kp)
+    nodes, edges = graph.graph_from_keypoints(kp, geometry.propose_edges(kp, ink=t.ink))
+    kind = F.pmod(F.col("idx") * 7 + F.col("x"), F.lit(5))
+    nodes = nodes.withColumn("class", F.when(kind == 0, "None").when(kind == 1, "R").otherwise("C"))
+    edges = edges.withColumn("class", F.when((F.col("b") + F.col("e")) % 4 == 0, "None").otherwise("SINGLE"))
+    return graph.apply_predictions(nodes, edges)
+
+
+def _count(df, name):
+    return df.groupBy("image_id").agg(F.count("*").alias(name))
+
+
+@query(f"""with recursive {GRAPHED},
 ways as (select image_id, b, e from bond union all select image_id, e, b from bond),
 reach as (select image_id, node, node as seen from kept union select reach.image_id, node, e from reach join ways on ways.image_id = reach.image_id and b = seen)
 select n.image_id, atoms, coalesce(bonds, 0) as bonds, coalesce(labelled, 0) as labelled, fragments from (select image_id, count(*) as atoms from kept group by 1) n
 left join (select image_id, count(*) as bonds from bond group by 1) using (image_id) left join (select image_id, count(distinct box_id) as labelled from taken group by 1) using (image_id)
 left join (select image_id, count(distinct least_seen) as fragments from (select image_id, node, min(seen) as least_seen from reach group by 1, 2) group by 1) using (image_id)""")
 def annotate(t):
-    """From keypoints to a summary of each image's graph: candidate edges with ink, predicted classes, empty ones dropped, labels on nodes, fragments."""
-    nodes, edges = graph.graph_from_keypoints(t.kp, geometry.propose_edges(t.kp, ink=t.ink))
-    kind = F.pmod(F.col("idx") * 7 + F.col("x"), F.lit(5))
-    nodes = nodes.withColumn("class", F.when(kind == 0, "None").when(kind == 1, "R").otherwise("C"))
-    edges = edges.withColumn("class", F.when((F.col("b") + F.col("e")) % 4 == 0, "None").otherwise("SINGLE"))
-    nodes, edges = graph.apply_predictions(nodes, edges)
-    count = lambda df, name: df.groupBy("image_id").agg(F.count("*").alias(name))
-    out = count(nodes, "atoms").join(count(edges, "bonds"), "image_id", "left").join(count(graph.labels_on_nodes(nodes, t.boxes), "labelled"), "image_id", "left")
+    """From keypoints to a summary of each image's graph, with labels on nodes and fragments."""
+    nodes, edges = _graphed(t)
+    out = _count(nodes, "atoms").join(_count(edges, "bonds"), "image_id", "left").join(_count(graph.labels_on_nodes(nodes, t.boxes), "labelled"), "image_id", "left")
     return out.join(loops.fragment_counts(nodes, edges), "image_id", "left").na.fill(0, ["bonds", "labelled"])
+
+
+#: What is read in a box: a brand, in half of the boxes with a letter in place of a digit.
+READ = "'Brand#' || cast(box_id % 5 + 1 as string) || case when box_id % 2 = 0 then cast(box_id % 3 + 1 as string) else 'l' end"
+
+
+@query(f"""with {GRAPHED}, held as (select image_id, box_id, min(node) as node from taken group by 1, 2), seen as (select image_id, node, {READ} as text from held),
+fixed as (select s.text, coalesce(any_value(x.entry), first(d.entry order by levenshtein(s.text, d.entry), d.population desc, d.position)) as entry from (select distinct text from seen) s cross join {{dictionary}} d left join {{dictionary}} x on x.entry = s.text group by 1),
+label as (select image_id, list(s.text order by node) as ocr, list(entry order by node) as found, count(*) as n from seen s join fixed using (text) group by 1),
+atom as (select image_id, count(*) as atoms from kept group by 1), bonded as (select image_id, count(*) as bonds from bond group by 1)
+select image_id as filename, 'A' || atoms || 'B' || coalesce(bonds, 0) as smi, round(1 - coalesce(n, 0) / atoms, 3) as conf, coalesce(found, []) as abbreviations, coalesce(ocr, []) as abbreviations_ocr, round(coalesce(bond_size, 100), 2) as bond_size
+from atom left join bonded using (image_id) left join label using (image_id) left join size using (image_id)""")
+def annotate_log(t):
+    """The whole chain: graphs, bond sizes to their file, texts of boxes on nodes, spelling, and the annotation log, all read back. A toolkit would write the
+    molecule; here its numbers of atoms and bonds stand for it."""
+    nodes, edges = _graphed(t)
+    sizes, log = new_path(t.spark, "bond-sizes"), new_path(t.spark, "annotations")
+    sinks.write_bond_sizes(geometry.bond_size(geometry.cap_keypoints(t.kp)), sizes)
+    placed = graph.labels_on_nodes(nodes, t.boxes)
+    read = placed.select("image_id", "idx", F.expr(READ).alias("text"))
+    fixed = labels.correct_spelling(read, t.dictionary.select("entry", "population", "position"), weighted=False)
+    texts = fixed.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "corrected"))).alias("x"))
+    rows = _count(nodes, "atoms").join(_count(edges, "bonds"), "image_id", "left").join(texts, "image_id", "left").na.fill(0, ["bonds"])
+    none = F.array().cast("array<string>")
+    found = [F.coalesce(F.col(f"x.{c}"), none).alias(name) for c, name in (("corrected", "abbreviations"), ("text", "abbreviations_ocr"))]
+    smiles, conf = metrics.confidence_override(F.concat(F.lit("A"), "atoms", F.lit("B"), "bonds"), F.round(1 - F.coalesce(F.size("x"), F.lit(0)) / F.col("atoms"), 3))
+    sinks.write_annotations(rows.select(smiles.alias("smiles"), conf.alias("conf"), F.col("image_id").alias("filename"), *found), log)
+    back = readers.read_predictions(t.spark, log).select(F.col("`file-info`.filename").alias("filename"), "smi", "conf", "abbreviations", "abbreviations_ocr")
+    return back.join(t.spark.read.schema("name string, bond_size double").json(sizes).withColumnRenamed("name", "filename"), "filename")

@@ -45,24 +45,24 @@ when regexp_matches(word, '^[0-9]+$') and regexp_matches(word, '[1-9]') and scor
 
 
 #: Every word of every document as a text found in a drawing; its score by where it stands.
-WORDS = "words as (select doc_id, at, word, (at % 10) / 10.0 as score from (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as at from {documents}))"
-FLAGGED = f"{WORDS}, flagged as (select doc_id, at, {CAPTION} as flag from (select *, length(word) as n, length(regexp_replace(word, '[^CcNHOohn]', '', 'g')) as kept, length(word) - length(replace(word, ',', '')) as commas from words))"
+WORDS = "words as (select doc_id, spot, word, (spot % 10) / 10.0 as score from (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as spot from {documents}))"
+FLAGGED = f"{WORDS}, flagged as (select doc_id, spot, {CAPTION} as flag from (select *, length(word) as n, length(regexp_replace(word, '[^CcNHOohn]', '', 'g')) as kept, length(word) - length(replace(word, ',', '')) as commas from words))"
 
 
 def _words(t):
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
-    return rows.withColumn("score", (F.col("at") % 10) / 10)
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("spot", "word"))
+    return rows.withColumn("score", (F.col("spot") % 10) / 10)
 
 
-@query(f"with {FLAGGED} select doc_id, flag, count(*) as words, sum(at) as places from flagged where flag is not null group by 1, 2")
+@query(f"with {FLAGGED} select doc_id, flag, count(*) as words, sum(spot) as places from flagged where flag is not null group by 1, 2")
 def caption_flags(t):
-    flags = _words(t).select("doc_id", "at", text.caption_flag(F.col("word"), F.col("score")).alias("flag")).where("flag is not null")
-    return flags.groupBy("doc_id", "flag").agg(F.count("*").alias("words"), F.sum("at").alias("places"))
+    flags = _words(t).select("doc_id", "spot", text.caption_flag(F.col("word"), F.col("score")).alias("flag")).where("flag is not null")
+    return flags.groupBy("doc_id", "flag").agg(F.count("*").alias("words"), F.sum("spot").alias("places"))
 
 
-@query(f"with {FLAGGED} select doc_id, bool_or(flag is not null) as filter_masks, coalesce(list_sort(list(at) filter (flag = 'remove')), []) as removed from flagged group by 1")
+@query(f"with {FLAGGED} select doc_id, bool_or(flag is not null) as filter_masks, coalesce(list_sort(list(spot) filter (flag = 'remove')), []) as removed from flagged group by 1")
 def caption_decision(t):
-    return text.caption_decision(_words(t), "doc_id", "at").select("doc_id", "filter_masks", F.col("removed").cast("array<long>").alias("removed"))
+    return text.caption_decision(_words(t), "doc_id", "spot").select("doc_id", "filter_masks", F.col("removed").cast("array<long>").alias("removed"))
 
 
 PARTS = "['C', 'S', 'F2', 'O2', 'Oz', 'N', 'Fz']"
@@ -82,12 +82,12 @@ _TOKEN = text.SMILES_TOKEN
 
 
 #: A string like SMILES for every word: an atom of its first two characters between carbons, chiral where it stands at every fifth place.
-@query(f"""with w as (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as at from {{documents}}),
-s as (select doc_id, 'CC[' || upper(left(word, 1)) || lower(substring(word, 2, 1)) || case when at % 5 = 0 then '@H' else '' end || ']Br' as s from w where regexp_matches(word, '^[A-Za-z]{{2}}'))
-select doc_id, count(*) as strings, count(*) filter (contains(s, '@')) as stereo, count(*) filter (list_has_any(list_transform(regexp_extract_all(s, '{_TOKEN}', 1), lambda x: regexp_replace(x, '[\\[\\]H@]', '', 'g')), {_ATOMS})) as exotic from s group by 1""".replace("{2}", "{{2}}").replace("{{2}}", "{2}"))
+@query(f"""with w as (select doc_id, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as spot from {{documents}}),
+s as (select doc_id, 'CC[' || upper(left(word, 1)) || lower(substring(word, 2, 1)) || case when spot % 5 = 0 then '@H' else '' end || ']Br' as s from w where regexp_matches(word, '^[A-Za-z][A-Za-z]'))
+select doc_id, count(*) as strings, count(*) filter (contains(s, '@')) as stereo, count(*) filter (list_has_any(list_transform(regexp_extract_all(s, '{_TOKEN}', 1), lambda x: regexp_replace(x, '[\\[\\]H@]', '', 'g')), {_ATOMS})) as exotic from s group by 1""")
 def smiles_flags(t):
-    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word")).where(F.col("word").rlike("^[A-Za-z]{2}"))
-    chiral = F.when(F.col("at") % 5 == 0, "@H").otherwise("")
+    words = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("spot", "word")).where(F.col("word").rlike("^[A-Za-z][A-Za-z]"))
+    chiral = F.when(F.col("spot") % 5 == 0, "@H").otherwise("")
     s = F.concat(F.lit("CC["), F.upper(F.left("word", F.lit(1))), F.lower(F.substring("word", 2, 1)), chiral, F.lit("]Br"))
     one = lambda c: F.count(F.when(c, 1))
     return words.select("doc_id", s.alias("s")).groupBy("doc_id").agg(F.count("*").alias("strings"), one(text.has_stereo(F.col("s"))).alias("stereo"), one(text.has_exotic_atom(F.col("s"))).alias("exotic"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..scratch import new_path
+from ..sources import readers, sinks
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -225,3 +227,24 @@ def evaluate(t):
     bad = metrics.outliers(rows.where("valid").withColumnRenamed("exact", "correct")).groupBy("lang").agg(F.count("*").alias("outliers"))
     report = rows.groupBy("lang").agg(F.count("*").alias("molecules"), F.count_if(F.col("exact")).alias("exact"), F.round(F.avg("bleu"), 4).alias("bleu"))
     return report.join(bad.withColumnRenamed("lang", "__lang"), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang").na.fill(0, ["outliers"])
+
+
+@query("""with r as (select cast(doc_id as varchar) as image_id, lang as benchmark, coalesce(b.text = d.text, false) as correct, n_chars as nb_atoms, contains(d.text, '@') as stereochemistry, l.quality = 1 as valid
+from {documents} d join {labels} l using (doc_id) left join {benchmark} b on b.item_id = doc_id % 40)
+select benchmark, count(*) as molecules, count(*) filter (correct) as correct, count(*) filter (not correct) as outliers, sum(nb_atoms) as atoms from r where nb_atoms < 1500 and not stereochemistry and valid group by 1""")
+def evaluate_files(t):
+    """The whole chain: predictions to their file, scores and information of each molecule to maps, all read back, chosen for the report, and summed up."""
+    rows = t.documents.join(t.labels, "doc_id").withColumn("image_id", F.col("doc_id").cast("string"))
+    predicted, scored, informed = (new_path(t.spark, x) for x in ("predictions", "scores", "information"))
+    guess = rows.join(t.benchmark.select(F.col("item_id").alias("item"), F.col("text").alias("guess")), F.col("doc_id") % 40 == F.col("item"), "left")
+    sinks.write_prediction_csv(guess.select(F.concat(F.lit("images/"), "image_id", F.lit(".png")).alias("path"), F.hex("guess").alias("smiles")), predicted)
+    back = t.spark.read.schema("image_filename string, smiles string").option("header", "true").csv(predicted)
+    pairs = rows.select("image_id", F.hex("text").alias("gt"), (F.col("quality") == 1).alias("valid"), F.col("lang").alias("benchmark")).join(back.select(F.regexp_replace("image_filename", r"\.png$", "").alias("image_id"), F.col("smiles").alias("pred")), "image_id", "left")
+    sinks.write_score_map(metrics.exact_match(pairs).select("image_id", F.col("exact").alias("correct"), "valid", "benchmark"), scored, 50_000)
+    sinks.write_score_map(rows.select("image_id", F.contains("text", F.lit("@")).alias("stereochemistry"), F.col("n_chars").alias("nb_atoms")), informed, 50_000)
+    scores = readers.read_score_map(t.spark, scored, "correct:boolean,valid:boolean,benchmark:string")
+    info = readers.read_score_map(t.spark, informed, "stereochemistry:boolean,nb_atoms:bigint")
+    chosen = metrics.select_for_report(scores, info, rows.select("image_id").where("false"), "image_id")
+    wrong = metrics.outliers(chosen).groupBy("benchmark").agg(F.count("*").alias("outliers"))
+    report = chosen.groupBy("benchmark").agg(F.count("*").alias("molecules"), F.count_if(F.col("correct")).alias("correct"), F.sum("nb_atoms").alias("atoms"))
+    return report.join(wrong.withColumnRenamed("benchmark", "__b"), F.col("benchmark").eqNullSafe(F.col("__b")), "left").drop("__b").na.fill(0, ["outliers"])
