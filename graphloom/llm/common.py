@@ -30,6 +30,13 @@ def remainder(doc_id: str | Column, n: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % F.lit(n)
 
 
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for the crc32 of a whole number as text, bit by bit."""
+    x = f"cast({column} as varchar)"
+    bits = f"flatten(list_transform(range(1, length({x}) + 1), lambda i: list_transform(range(0, 8), lambda k: (ord(substring({x}, i, 1)) >> k) & 1)))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

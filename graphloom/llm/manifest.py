@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.places import ranked
-from .common import forget, look_up, remainder, saved, ship
+from .common import crc32_sql, forget, look_up, remainder, saved, ship
 
 FANOUT = 3
 #: Levels of a bucket: 3^6 = 729 digests, 23 kB, is the longest list.
@@ -174,3 +174,33 @@ def manifest(docs: DataFrame, tampered: tuple[Column, Column] | None = None) ->
 def tamper_check(docs: DataFrame) -> DataFrame:
     """The manifest of docs against rows of which every other one, by the crc32 of its id, has lost its line ends."""
     return manifest(docs, (remainder("doc_id", 2) == 0, F.translate("text", "\n", "")))
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"case when {c} is null then '-' else strlen(cast({c} as varchar)) || ':' || cast({c} as varchar) end" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLE_SQL = f"""
+with recursive d as (select row_number() over () as id, *, {_leaf_sql('text')} as leaf, case when {crc32_sql('doc_id')} % 2 = 0 then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql('text')} end as now from documents),
+r as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by source) as n, dense_rank() over (order by source nulls first) - 1 as tree from d),
+up as (
+  select tree, 0 as level, place, n, leaf as digest from r
+  union all select tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by place)) from up where n > 1 group by tree, level, n, place // 3
+), tops as (
+  select 0 as level, tree as place, count(*) over () as n, digest from up where n = 1
+  union all select level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by place)) from tops where n > 1 group by level, n, place // 3
+), nodes as (select tree, level, place, n, digest from up union all select -1, level, place, n, digest from tops),
+height as (select tree, max(level) as height from up group by 1),
+ways as (
+  select id, r.tree, level, place // cast(pow(3, level) as bigint) as spot, level as step from r join (select distinct tree, level from nodes where n > 1 and tree >= 0) l on l.tree = r.tree
+  union all select id, -1, level, r.tree // cast(pow(3, level) as bigint), height + level from r join height h on h.tree = r.tree, (select distinct level from nodes where n > 1 and tree = -1)
+), steps as (
+  select id, step, coalesce(string_agg(digest, '' order by place) filter (place < spot), '') as left_of, coalesce(string_agg(digest, '' order by place) filter (place > spot), '') as right_of
+  from ways w join nodes k on k.tree = w.tree and k.level = w.level and k.place // 3 = w.spot // 3 group by 1, 2
+), folded as (
+  select id, 0 as step, now as digest from r
+  union all select f.id, f.step + 1, sha256(left_of || digest || right_of) from folded f join steps s on s.id = f.id and s.step = f.step
+), proof as (select id, string_agg(left_of || right_of, '' order by step) as proof, max(step) + 1 as step from steps group by 1)
+select doc_id, leaf, k.digest as subroot, (select digest from tops where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256, f.digest as folded_root, f.digest = (select digest from tops where n = 1) as verified
+from r join up k on k.tree = r.tree and k.n = 1 left join proof p on p.id = r.id join folded f on f.id = r.id and f.step = coalesce(p.step, 0)
+"""

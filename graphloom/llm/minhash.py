@@ -7,11 +7,14 @@ shift is an addition that wraps around.
 1. Equal sets are one set from here on, named by a 128-bit signature.
 2. BANDS bands of WIDTH coordinates are hashed; sets that have a band in common lie in one bucket. At a similarity of 0.8 two sets miss each other
    in all of 48 bands of 5 with a probability of (1 - 0.8^5)^48 = 5e-9, and less above.
-3. Only groups are asked for, so a bucket need not be compared pair by pair. In each bucket one set is the hub, with which the others are compared; the
-   hub is done then. Sets that are in one group by now, through whatever bucket, need no comparison. Buckets that still hold sets of different groups go
-   on with more hubs, until none does.
-4. A pair is compared first by its coordinates, of which 8 bits are kept: those that agree in fewer than LEAST of them are 6 standard deviations
-   below the threshold. Whole sets are fetched and counted for the others."""
+3. Only groups are asked for, so a bucket need not be compared pair by pair. In each bucket one set is the hub, with which the others are compared. Sets that
+   are in one group by now, through whatever bucket, need no comparison.
+4. Sets of buckets that still hold several groups are told apart by their rarest tokens. If all tokens are put in one order, the rare ones first, and
+   two sets link, the tokens that stand before their first common one are no more than |A| + |B| less twice the least overlap: (|A| + |B|) / 9 at
+   0.8. So one of the two has that token among its first n / 8, the other among its first n / 4. Near misses around a text of their own, each with
+   changes of its own, have these changes there, and never meet.
+5. A pair is compared first by its coordinates, of which 8 bits are kept: those that agree in fewer than least_agreeing() of them are 6 standard
+   deviations below the threshold. Whole sets are fetched and counted for the others."""
 
 from __future__ import annotations
 
@@ -22,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import forget, ids_and_texts, look_up, saved, text_blocks
 from .components import components
-from .jaccard import Likeness, _lists, _names, fetch_sets, group_names, signature, with_both
+from .jaccard import Likeness, _lists, _names, fetch_sets, frequent_tokens, group_names, signature, with_both
 from .windows import mix
 
 BANDS, WIDTH = 48, 5
 COORDINATES = BANDS * WIDTH
-#: Tokens that are handled at once, and by how much more hubs each round of step 3 has.
-CHUNK, MORE_HUBS = 1024, 16
+#: Tokens that are handled at once.
+CHUNK = 1024
 SIGMA = np.uint64(0x632BE59BD9B4E019)
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
@@ -105,6 +108,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likenes
     return links
 
 
+def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
+    """(id, n, group, pos, token): the first tokens of the sets wanted (id, n, sig, first, group), those that are frequent in a sample
+    behind all others."""
+    hot = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, like))
+
+    def head(s: np.ndarray) -> np.ndarray:
+        token, place = hot.value
+        rank = np.zeros(len(s), np.int64)
+        if len(token) and len(s):
+            at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+            rank = np.where(token[at] == s, place[at], 0)
+        return s[np.argsort(rank, kind="stable")][: len(s) * (like.den - like.num) // like.num + 1]
+
+    def emit(batches):
+        for batch in text_blocks(batches, limit=1_500_000):
+            sets = like.sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), _lists([head(s) for s in sets])], ["sig", "head"])
+
+    found = texts.join(wanted.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(emit, "sig binary, head array<long>").dropDuplicates(["sig"])
+    return found.join(wanted, "sig").select("id", "n", "group", F.posexplode("head").alias("pos", "token"))
+
+
 def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sets, links) as jaccard.similar has them: links join all sets that link, directly or through others."""
     texts = ids_and_texts(docs)
@@ -116,29 +141,30 @@ def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, Data
     forget(found)
 
     entries = sets.select(F.explode("bands").alias("key"), "id", "n")
-    draw = F.xxhash64("id", F.lit(11))
-    hubs = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(draw.alias("draw"), "id", "n")).alias("hub")).where("size > 1")
+    hubs = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id").alias("draw"), "id", "n")).alias("hub")).where("size > 1")
     hubs = saved(hubs.select("key", "size", F.col("hub.id").alias("b"), F.col("hub.n").alias("m")), "hubs")
-    alive = saved(look_up(entries, "key", hubs, "size", how="inner").where("id != b"), "alive")
-    asked = saved(alive.where(like.sizes_fit(F.col("n"), F.col("m"))).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), "pairs")
+    others = saved(look_up(entries, "key", hubs, "size", how="inner").where("id != b"), "others")
+    pair = [F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")]
+    asked = saved(others.where(like.sizes_fit(F.col("n"), F.col("m"))).select(*pair).distinct(), "pairs")
     links = confirmed(asked, sets, texts, like)
-    alive, old = alive.where("size > 2").select("key", "id", "n"), [hubs, alive]
-    part = (draw.bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("part")  # of a bucket's sets, those below h / size are about h
-    most = MORE_HUBS
-    while True:
-        groups = components(links).withColumnRenamed("node", "id")
-        there = alive.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("group"))
-        mixed = there.groupBy("key").agg(F.count("*").alias("size"), F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("key", "size")
-        here = saved(there.join(mixed, "key").select("key", "id", "n", "group", (part * F.col("size") < most).alias("hub")), "mixed")
-        forget(*old)
-        if not here.limit(1).count():
-            return rows, sets, links
-        hub = here.where("hub").select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"))
-        fit = like.sizes_fit(F.col("n"), F.col("m")) & (F.col("group") != F.col("other")) & (~F.col("hub") | (F.col("id") < F.col("b")))
-        pairs = here.join(hub, "key").where(fit).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        pairs = saved(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
-        links, asked = links.unionByName(confirmed(pairs, sets, texts, like)), asked.unionByName(pairs)
-        alive, old, most = here.where("not hub"), [here], most * MORE_HUBS
+
+    groups = components(links).withColumnRenamed("node", "id")
+    there = others.where("size > 2").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("group"))
+    mixed = there.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("key")
+    open_sets = there.join(mixed, "key", "left_semi").select("id", "group").distinct()
+    wanted = saved(sets.select("id", "n", "sig", "first").join(open_sets, "id"), "open")
+    tokens = saved(rarest(texts, wanted, like), "rarest")
+    several = tokens.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
+    shared = saved(tokens.join(several, "token"), "shared")
+    n, m, p, q = (F.col(c) for c in ("n", "m", "pos", "q"))
+    short = shared.where(2 * like.num * p <= (like.den - like.num) * n).select("token", F.col("id").alias("a"), "n", "pos", "group")
+    long = shared.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("group").alias("other"))
+    fit = like.sizes_fit(n, m) & (p <= q) & ((like.den + like.num) * (p + q) <= (like.den - like.num) * (n + m))
+    met = short.join(long, "token").where((F.col("group") != F.col("other")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = saved(met.join(asked, ["a", "b"], "left_anti"), "pairs")
+    forget(hubs, others, tokens, shared)
+    links = links.unionByName(confirmed(more, sets, texts, like))
+    return rows, sets, links
 
 
 def near_duplicates(docs: DataFrame, like: Likeness = Likeness(4, 80, 100)) -> DataFrame:

@@ -128,28 +128,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, dims: int = 48
     return Space.fit(counts, got["quality"].to_numpy().astype(np.float64), dims)
 
 
-def score(docs: DataFrame, space: Space, neighbours: int = 15) -> DataFrame:
-    """(doc_id, score) of every row with an id; an empty or null text is scored by its size alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(space)  # sample x dims floats
+def _scored(rows: DataFrame, space: Space, neighbours: int, columns: str) -> DataFrame:
+    """rows (doc_id, text, ...) with score in place of text; columns is the schema of all others."""
+    shared = rows.sparkSession.sparkContext.broadcast(space)  # sample x dims floats
 
     def vote(batches):
         model = shared.value
-        for batch in text_blocks(batches, limit=2_000_000):
+        for batch in text_blocks(batches, limit=1_000_000):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             got = np.concatenate([model.vote(terms(texts[a : a + 256]), neighbours) for a in range(0, len(texts), 256)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.clip(0, 1))], ["doc_id", "score"])
+            yield batch.drop_columns(["text"]).append_column("score", pa.array(got.clip(0, 1)))
+
+    return rows.mapInArrow(vote, f"{columns}, score double")
 
-    return ids_and_texts(docs).mapInArrow(vote, "doc_id long, score double")
+
+def score(docs: DataFrame, space: Space, neighbours: int = 15) -> DataFrame:
+    """(doc_id, score) of every row with an id; an empty or null text is scored by its size alone."""
+    return _scored(ids_and_texts(docs), space, neighbours, "doc_id long")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = 6000) -> DataFrame:
     """(doc_id, held_out, score, predicted): learns from labels outside the held-out fold (crc32 of doc_id as text, modulo folds) and scores
-    every document. predicted is 1 from a score of 0.5 on."""
+    every document. predicted is 1 from a score of 0.5 on. A null text counts as empty; rows that repeat a doc_id have each a row of their own; an empty
+    table gives no rows."""
     space = train(docs, labels.where(remainder("doc_id", folds) != held_out), sample)
     return score(docs, space).select("doc_id", (remainder("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 6000) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold. Rows without an id stay."""
-    bad = score(docs, train(docs, labels, sample)).where(F.col("score") < threshold).select(F.col("doc_id").alias("__id"))
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 6000, neighbours: int = 15) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold. Rows without an id stay. A null text counts as empty; rows that repeat a
+    doc_id are judged each by its own text; an empty table stays empty."""
+    digest = lambda text: F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    rows = ids_and_texts(docs).select("doc_id", "text", digest(F.col("text")).alias("sha"))
+    bad = _scored(rows, train(docs, labels, sample), neighbours, "doc_id long, sha string").where(F.col("score") < threshold).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"))
+    return docs.join(bad, (F.col("doc_id").cast("long") == F.col("__id")) & (digest(docs["text"]) == F.col("__sha")), "left_anti")

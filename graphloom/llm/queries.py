@@ -100,6 +100,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact, jaccard, minhash, substring, suffix
+    from . import exact, jaccard, manifest, minhash, prefixtrie, substring, suffix
 
-    return {"op11_minhash": minhash.ORACLE_SQL, "op3_exact_dedup": exact.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_suffix_dedup": suffix.ORACLE_SQL}
+    return {
+        "op3_exact_dedup": exact.ORACLE_SQL, "op4_jaccard_join": jaccard.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op9_suffix_dedup": suffix.ORACLE_SQL,
+        "op11_minhash": minhash.ORACLE_SQL, "op12_prefix_trie": prefixtrie.ORACLE_SQL, "op13_merkle": manifest.ORACLE_SQL,
+    }

@@ -67,9 +67,8 @@ def near_texts(seed, families, size):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize(("like", "hubs"), [(Likeness(4, 80, 100), 4), (Likeness(1, 90, 100), 64)])
-def test_op11_loses_no_link(spark, like, hubs, monkeypatch):
-    monkeypatch.setattr(minhash, "MORE_HUBS", hubs)
+@pytest.mark.parametrize("like", [Likeness(4, 80, 100), Likeness(1, 90, 100)])
+def test_op11_loses_no_link(spark, like):
     table = near_texts(like.words, 8, 12)
     docs = clashing(spark.createDataFrame(table, "doc_id long, text string"))
     got = [tuple(r) for r in minhash.near_duplicates(docs, like).select("doc_id", "n_shingles", "component_id", "kept").collect()]
@@ -87,6 +86,26 @@ def test_op11_repeated_ids_empty_tables_and_long_texts(spark):
     assert minhash.near_duplicates(docs.where("text = ''")).count() == 1
 
 
+def test_op11_tells_near_misses_apart_without_pairs(spark, monkeypatch):
+    """Copies of a text that isn't there, each with changes of its own: all meet in buckets, hardly any is a candidate."""
+    rng = random.Random(8)
+    middle = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(400):
+        words = list(middle)
+        for j, spot in enumerate(rng.sample(range(60), 3)):
+            words[spot] = f"own{k}-{j}"
+        texts.append((k, " ".join(words)))
+    texts += [(1000 + k, t.replace("w", "W", 1) + " tail") for k, t in texts[:20]]
+    asked = []
+    plain = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *rest: asked.append(pairs.count()) or plain(pairs, *rest))
+    like = Likeness(4, 80, 100)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), like).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == groups_by_brute_force(texts, like) and len({r[2] for r in got}) < 420
+    assert sum(asked) < 20_000 and asked[1] < 2_000  # of 88 000 pairs
+
+
 def test_coordinates_by_definition():
     tokens = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 3000, dtype=np.uint64)
 

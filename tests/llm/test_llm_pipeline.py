@@ -19,6 +19,10 @@ def test_stages_with_repeated_ids(spark):
     for i, t in exact:
         last[(t or "").lower()] = max(i, last.get((t or "").lower(), 0))
     assert kept(pipeline.exact_dedup(spark, table(exact), FOLDER)) == sorted((i, t or "", len(t or "")) for i, t in exact if last[(t or "").lower()] == i)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id")
+    good, bad = (docs.where(f"quality = {k} and n_chars > 300").orderBy("n_chars").first().text for k in (1, 0))
+    marked = [(900_001, good), (900_001, bad), (900_002, bad), (900_002, bad), (900_003, good), (900_003, good), (900_004, None)]
+    assert [r for r in kept(pipeline.good_quality(spark, table(marked), FOLDER)) if r[1]] == sorted((i, t, len(t)) for i, t in marked if t == good)
     own = lambda k: " ".join(f"{k}w{j}" for j in range(60))
     passage = own("p")[:120]
     texts = [(1, passage + own("a")), (2, passage + own("b")), (2, own("c")), (3, own("d")), (3, own("e")), (4, None)]
