@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import ship
+from ..scratch import saved, ship
 
 #: Rows of one block, about; and of one image that a task works on alone: images with more go by joins.
 BLOCK_ROWS, IMAGE_ROWS = 1_000_000, 2_000_000
@@ -21,6 +21,15 @@ def large_images(rows: DataFrame, most: int | None = None) -> DataFrame:
     return rows.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") > (IMAGE_ROWS if most is None else most)).select("image_id")
 
 
+def written(rows: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows as a written table, its large images or None). Images are looked at only where the whole table has more rows than one image may have."""
+    table = saved(rows, name)
+    if table.count() <= (IMAGE_ROWS if most is None else most):
+        return table, None
+    large = large_images(table, most)
+    return table, None if large.isEmpty() else large
+
+
 def by_image(rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str, block: int = BLOCK_ROWS) -> DataFrame:
     """What work makes of blocks of whole images. rows have image_id first and come by image; work gets about `block` rows, or one image."""
     ship(rows.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import forget, saved
-from .blocks import by_image, image_numbers, large_images, least_linked, numbers
+from .blocks import by_image, image_numbers, least_linked, numbers, written
 from .geometry import overlapping_boxes
 
 LABELS = "image_id string, node long, component long"
@@ -32,9 +32,8 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
     thinned task by task to a forest of the links there, then contracted: every node joins the neighbour, or itself, that a hash ranks first. That
     takes several nodes to one, so images soon are small enough; what each node became is looked up at the end."""
     columns = links.select(F.col("image_id").cast("string").alias("image_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    left = saved(columns, "links")
-    large = large_images(left, most)
-    if large.isEmpty():
+    left, large = written(columns, "links", most)
+    if large is None:
         out = saved(by_image(left, _labelled, LABELS), "components")
         forget(left)
         return out
@@ -49,13 +48,12 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
         first = both.groupBy("image_id", F.col("a").alias("node")).agg(F.min(ranked("b")).alias("x"))
         leaders = saved(first.select("image_id", "node", F.least("x", ranked("node"))["n"].alias("leader")), "leaders")
         to = lambda rows, end: rows.join(leaders.withColumnRenamed("node", end), ["image_id", end]).drop(end).withColumnRenamed("leader", end)
-        left = saved(to(to(forest, "a"), "b").where("a != b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        left, large = written(to(to(forest, "a"), "b").where("a != b").select("image_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", most)
         became.append(leaders)
         spent += [forest, left, leaders, settled[-1]]
-        large = large_images(left, most)
-        if large.isEmpty():
+        if large is None:
             break
-    last = saved(small(left, large), "components")
+    last = saved(by_image(left, _labelled, LABELS), "components")
     for turn in range(len(became) - 1, -1, -1):
         leaders, known = became[turn], last.select("image_id", F.col("node").alias("leader"), "component")
         last = leaders.join(known, ["image_id", "leader"], "left").select("image_id", "node", F.coalesce("component", "leader").alias("component"))
@@ -151,10 +149,9 @@ def merge_boxes(boxes: DataFrame, margin: int = 30, most: int | None = None) ->
     """(image_id, box_id, x0, y0, x1, y1): overlapping boxes replaced by the box around them, again and again until none overlap; box_id is the
     least of those merged. An image of up to `most` boxes is swept in one task; larger ones go by grid squares and components."""
     kind = boxes.schema["x0"].dataType
-    now = saved(boxes.select("image_id", F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in SIDES]), "boxes")
-    large = large_images(now, most)
-    small = by_image(now.join(large, "image_id", "left_anti") if not large.isEmpty() else now, lambda table: _merged(table, margin), BOXES)
-    out = small if large.isEmpty() else small.unionByName(_merged_by_rounds(now.join(large, "image_id", "left_semi"), margin))
+    now, large = written(boxes.select("image_id", F.col("box_id").cast("long").alias("box_id"), *[F.col(c).cast("double").alias(c) for c in SIDES]), "boxes", most)
+    swept = lambda rows: by_image(rows, lambda table: _merged(table, margin), BOXES)
+    out = swept(now) if large is None else swept(now.join(large, "image_id", "left_anti")).unionByName(_merged_by_rounds(now.join(large, "image_id", "left_semi"), margin))
     return out.select("image_id", "box_id", *[F.col(c).cast(kind).alias(c) for c in SIDES])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import forget, saved
-from .blocks import by_image, image_numbers, large_images, least_linked, numbers
+from .blocks import by_image, image_numbers, least_linked, numbers, written
 
 
 def binarise(cells: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -130,9 +130,8 @@ def _maxima(cells: DataFrame, n: int, most: int | None = None) -> DataFrame:
     more than `most` cells go by joins."""
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("image_id", "y", "x", "v", "cell"))
-    rows = saved(cells.select("image_id", "y", "x", "v", "cell", "open"), "cells")
-    large = large_images(rows, most)
-    if large.isEmpty():
+    rows, large = written(cells.select("image_id", "y", "x", "v", "cell", "open"), "cells", most)
+    if large is None:
         out = saved(by_image(rows, lambda table: _block_maxima(table, n), schema), "maxima")
         forget(rows)
         return out
