@@ -264,3 +264,22 @@ def test_op13_untampered_rows_and_texts_of_some_megabytes(spark):
     df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.verified for r in manifest.manifest(df).collect()} == {True}
     assert sorted((tuple(r) for r in manifest.tamper_check(df).select(*MANIFEST).collect()), key=str) == manifest_by_brute_force(table)
+
+
+# -- SQL -------------------------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op11_minhash", "op12_prefix_trie", "op13_merkle"])
+def test_sql_gives_the_query_s_rows(spark, name):
+    import duckdb
+    from graphloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    found = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    df = queries.queries()[name](spark, folder)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=str) == sorted(found.fetchall(), key=str)
