@@ -7,8 +7,9 @@ shift is an addition that wraps around.
 1. Equal sets are one set from here on, named by a 128-bit signature.
 2. BANDS bands of WIDTH coordinates are hashed; sets that have a band in common lie in one bucket. At a similarity of 0.8 two sets miss each other
    in all of 48 bands of 5 with a probability of (1 - 0.8^5)^48 = 5e-9, and less above.
-3. Only groups are asked for, so a bucket need not be compared pair by pair. In each bucket one set is the hub, with which the others are compared. Sets that
-   are in one group by now, through whatever bucket, need no comparison.
+3. Only groups are asked for, so a bucket need not be compared pair by pair. In each bucket the set with the fewest rare tokens is the hub, of a
+   family of near copies the one with the fewest changes. The others are compared with it. Sets that are in one group by now, through whatever bucket, need no
+   comparison.
 4. Sets of buckets that still hold several groups are told apart by their rarest tokens. If all tokens are put in one order, the rare ones first, and
    two sets link, the tokens that stand before their first common one are no more than |A| + |B| less twice the least overlap: (|A| + |B|) / 9 at
    0.8. So one of the two has that token among its first n / 8, the other among its first n / 4. Near misses around a text of their own, each with
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +73,13 @@ def bands_of(least: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(texts: DataFrame, like: Likeness) -> DataFrame:
-    """(doc, n, sig, bands, coords): size and name of each text's set, its band numbers, and 8 bits of each coordinate; empty sets have no bands."""
+def signatures(texts: DataFrame, like: Likeness, hot: Broadcast) -> DataFrame:
+    """(doc, n, rare, sig, bands, coords): size of each text's set, number of its tokens that aren't among the frequent ones, name, band numbers, and 8 bits of
+    each coordinate; empty sets have no bands."""
+
+    def rare(s: np.ndarray) -> int:
+        token = hot.value[0]
+        return len(s) - int(np.count_nonzero(token[np.minimum(np.searchsorted(token, s), len(token) - 1)] == s)) if len(token) else len(s)
 
     def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
@@ -80,9 +87,10 @@ def signatures(texts: DataFrame, like: Likeness) -> DataFrame:
             found = [coordinates(s) if len(s) else SHIFTS[:0] for s in sets]
             bands = _lists([bands_of(x) if len(x) else np.zeros(0, np.uint64) for x in found])
             coords = pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), bands, coords], ["doc", "n", "sig", "bands", "coords"])
+            counts = [pa.array([f(s) for s in sets], pa.int32()) for f in (len, rare)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([signature(s) for s in sets], pa.binary()), bands, coords], ["doc", "n", "rare", "sig", "bands", "coords"])
 
-    return texts.mapInArrow(emit, "doc long, n int, sig binary, bands array<long>, coords binary")
+    return texts.mapInArrow(emit, "doc long, n int, rare int, sig binary, bands array<long>, coords binary")
 
 
 def close(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -108,10 +116,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likenes
     return links
 
 
-def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
+def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness, hot: Broadcast) -> DataFrame:
     """(id, n, group, pos, token): the first tokens of the sets wanted (id, n, sig, first, group), those that are frequent in a sample
     behind all others."""
-    hot = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, like))
 
     def head(s: np.ndarray) -> np.ndarray:
         token, place = hot.value
@@ -133,15 +140,16 @@ def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
 def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sets, links) as jaccard.similar has them: links join all sets that link, directly or through others."""
     texts = ids_and_texts(docs)
-    found = saved(signatures(texts, like), "signatures")
+    hot = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, like))
+    found = saved(signatures(texts, like, hot), "signatures")
     rows = saved(found.select("doc", "n", "sig"), "rows")
-    one = [F.first(c).alias(c) for c in ("n", "bands", "coords")]
+    one = [F.first(c).alias(c) for c in ("n", "rare", "bands", "coords")]
     # copies are counted before the shuffle
     sets = saved(found.where("n > 0").groupBy("sig").agg(F.min("doc").alias("first"), F.count("*").alias("copies"), *one).withColumn("id", F.monotonically_increasing_id()), "distinct")
     forget(found)
 
-    entries = sets.select(F.explode("bands").alias("key"), "id", "n")
-    hubs = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id").alias("draw"), "id", "n")).alias("hub")).where("size > 1")
+    entries = sets.select(F.explode("bands").alias("key"), "id", "n", "rare")
+    hubs = entries.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", F.xxhash64("id").alias("draw"), "id", "n")).alias("hub")).where("size > 1")
     hubs = saved(hubs.select("key", "size", F.col("hub.id").alias("b"), F.col("hub.n").alias("m")), "hubs")
     others = saved(look_up(entries, "key", hubs, "size", how="inner").where("id != b"), "others")
     pair = [F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")]
@@ -153,7 +161,7 @@ def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, Data
     mixed = there.groupBy("key").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("key")
     open_sets = there.join(mixed, "key", "left_semi").select("id", "group").distinct()
     wanted = saved(sets.select("id", "n", "sig", "first").join(open_sets, "id"), "open")
-    tokens = saved(rarest(texts, wanted, like), "rarest")
+    tokens = saved(rarest(texts, wanted, like, hot), "rarest")
     several = tokens.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
     shared = saved(tokens.join(several, "token"), "shared")
     n, m, p, q = (F.col(c) for c in ("n", "m", "pos", "q"))
