@@ -182,13 +182,17 @@ def expand_superatoms(nodes: DataFrame, edges: DataFrame, frag_nodes: DataFrame,
     nodes (image_id, idx, class, text), edges (image_id, edge_id, b, e, class), frag_nodes (text, pos, symbol, attach): attach is the ordinal of the
     attachment at that atom, null elsewhere; frag_edges (text, p, q, class). A node's edges, by edge_id, meet the fragment's attachments
     by ordinal; where their numbers differ the node stays. The fragments' size is checked. New ids follow the old; the replaced node goes; nothing is renumbered."""
-    parts, bonds = small(frag_nodes, MOST_FRAGMENT_ROWS), small(frag_edges, MOST_FRAGMENT_ROWS)
+    return _expanded(nodes, edges, small(frag_nodes, MOST_FRAGMENT_ROWS), small(frag_edges, MOST_FRAGMENT_ROWS))
+
+
+def _expanded(nodes: DataFrame, edges: DataFrame, parts: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """expand_superatoms with fragments whose size is known to be small."""
     ends = edges.select("image_id", "edge_id", "b", "e", F.inline(F.array(F.struct(F.col("b").alias("idx"), F.lit("b").alias("end")), F.struct(F.col("e").alias("idx"), F.lit("e").alias("end")))))
     r = nodes.where("class = 'R' and text is not null").select("image_id", "idx", "text")
     at = ends.join(r, ["image_id", "idx"]).withColumn("attach", F.row_number().over(Window.partitionBy("image_id", "idx").orderBy("edge_id")) - 1)
     have = at.groupBy("image_id", "idx", "text").agg(F.count("*").alias("have"))
-    want = frag_nodes.groupBy("text").agg(F.count("attach").alias("want"), F.count("*").alias("size"))
-    fit = have.join(small(want, MOST_FRAGMENT_ROWS), "text").where("have = want")
+    want = parts.groupBy("text").agg(F.count("attach").alias("want"), F.count("*").alias("size"))
+    fit = have.join(F.broadcast(want), "text").where("have = want")
     last = nodes.groupBy("image_id").agg(F.max("idx").alias("last"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("image_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = fit.withColumn("before", before).join(last, "image_id").select("image_id", F.col("idx").alias("old"), "text", (F.col("last") + 1 + F.col("before")).alias("base"))
@@ -305,7 +309,7 @@ def _fragments(nodes: DataFrame, edges: DataFrame, labels: tuple[DataFrame, Data
     graphs = [("0", nodes, edges)]
     if labels is not None:
         with_r = needed.where("needed").select("image_id")
-        graphs.append(("1", *expand_superatoms(*(d.join(with_r, "image_id", "left_semi") for d in (nodes, edges)), *labels)))
+        graphs.append(("1", *_expanded(*(d.join(with_r, "image_id", "left_semi") for d in (nodes, edges)), *labels)))
     named = lambda d, kind, *ids: d.select(F.concat(F.lit(kind), "image_id").alias("image_id"), *[F.col(c).cast("long").alias(c) for c in ids])
     n, e = named(nodes, "0", "idx"), named(edges, "0", "b", "e")
     for kind, more_nodes, more_edges in graphs[1:]:
@@ -325,12 +329,13 @@ def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels
     from .geometry import nodes_in_boxes
 
     nodes, edges = saved(nodes, "nodes"), saved(edges, "edges")
+    labels = tuple(small(d, MOST_FRAGMENT_ROWS) for d in labels) if labels is not None else None
     one = _fragments(nodes, edges, labels)
     done = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
     open_images = one.where("solved != 1").select("image_id")
     n, e = (d.join(open_images, "image_id", "left_semi") for d in (nodes, edges))
     texts = boxes.select("image_id", "box_id", "text") if labels is not None and "text" in boxes.columns and "text" in nodes.columns else None
-    named = texts.join(F.broadcast(small(labels[0], MOST_FRAGMENT_ROWS).select("text").distinct()), "text", "left_semi") if texts is not None else None
+    named = texts.join(F.broadcast(labels[0].select("text").distinct()), "text", "left_semi") if texts is not None else None
     merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, nodes_in_boxes(n, boxes), named, texts))
     two = _fragments(merged_nodes, merged_edges, labels)
     done = done.unionByName(two.where("solved = 1 or raw = 1").select("image_id", F.when(F.col("solved") == 1, "merged").otherwise("unresolved").alias("status")))
