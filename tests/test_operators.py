@@ -196,7 +196,7 @@ def test_text_metrics_against_brute_force(spark):
     for _ in range(60):
         a, b = ("".join(rng.choice("abcé ") for _ in range(rng.randint(0, 30))) for _ in range(2))
         grams = lambda t, n: Counter(t[i : i + n] for i in range(len(t) - n + 1))
-        assert gram_matches(a, b, 4) == [(grams(a, n) & grams(b, n)).total() for n in (1, 2, 3, 4)]
+        assert gram_matches([a], [b], 4)[0].tolist() == [(grams(a, n) & grams(b, n)).total() for n in (1, 2, 3, 4)]
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         cost = [[j for j in range(len(b) + 1)] if not i else [i] + [0] * len(b) for i in range(len(a) + 1)]
         for i, x in enumerate(a):
