@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import forget, saved
+from ..scratch import remove, saved
 from .blocks import by_image, image_numbers, least_linked, numbers, written
 from .geometry import overlapping_boxes
 
@@ -35,7 +35,7 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
     left, large = written(columns, "links", most)
     if large is None:
         out = saved(by_image(left, _labelled, LABELS), "components")
-        forget(left)
+        remove(left)
         return out
     settled, became, spent = [], [], [left]
     small = lambda rows, large: by_image(rows.join(large, "image_id", "left_anti"), _labelled, LABELS)
@@ -65,7 +65,7 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
     # nodes of large images that are linked with themselves alone have no place in a forest
     loops = spent[0].where("a = b").select("image_id", F.col("a").alias("node")).distinct().join(named, ["image_id", "node"], "left_anti")
     out = saved(named.unionByName(loops.withColumn("component", F.col("node"))), "components")
-    forget(*spent)
+    remove(*spent)
     return out
 
 
@@ -164,4 +164,4 @@ def _merged_by_rounds(now: DataFrame, margin: int) -> DataFrame:
         named = now.join(found.withColumnRenamed("node", "box_id"), ["image_id", "box_id"], "left")
         sides = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
         now = saved(named.groupBy("image_id", F.coalesce("component", "box_id").alias("box_id")).agg(*sides), "boxes")
-        forget(pairs, found)
+        remove(pairs, found)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import forget, saved
+from ..scratch import remove, saved
 
 #: Side of the grid squares by which points and boxes meet.
 SQUARE = 64
@@ -76,9 +76,9 @@ def nearest_lower(kp: DataFrame, k: int = 6, most: int = MOST_PAIRED) -> DataFra
         judged = saved(open_ends.join(far, ["image_id", "b"], "left").withColumn("settled", near).drop("far", "found"), "judged")
         out = out.unionByName(saved(found.join(judged.where("settled").select("image_id", "b"), ["image_id", "b"], "left_semi"), "nearest"))
         rest = saved(judged.where("not settled").drop("settled").withColumn("side", F.col("side") * 2), "open")
-        forget(open_ends, judged)
+        remove(open_ends, judged)
         open_ends = rest
-    forget(open_ends)
+    remove(open_ends)
     return out
 
 

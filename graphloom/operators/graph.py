@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import forget, saved, ship
+from ..scratch import remove, saved, ship
 from .geometry import distance, points_in_boxes
 from .small import small
 
@@ -333,10 +333,11 @@ def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels
     one = _fragments(nodes, edges, labels)
     done = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
     open_images = one.where("solved != 1").select("image_id")
-    n, e = (d.join(open_images, "image_id", "left_semi") for d in (nodes, edges))
+    n, e = (saved(d.join(open_images, "image_id", "left_semi"), "open") for d in (nodes, edges))
+    held = saved(nodes_in_boxes(n, boxes), "held")
     texts = boxes.select("image_id", "box_id", "text") if labels is not None and "text" in boxes.columns and "text" in nodes.columns else None
     named = texts.join(F.broadcast(labels[0].select("text").distinct()), "text", "left_semi") if texts is not None else None
-    merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, nodes_in_boxes(n, boxes), named, texts))
+    merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, held, named, texts))
     two = _fragments(merged_nodes, merged_edges, labels)
     done = done.unionByName(two.where("solved = 1 or raw = 1").select("image_id", F.when(F.col("solved") == 1, "merged").otherwise("unresolved").alias("status")))
     open_images = two.where("solved != 1 and raw != 1").select("image_id")
@@ -344,5 +345,5 @@ def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels
     three = _fragments(*pruned, labels)
     done = done.unionByName(three.where("solved = 1 or raw = 1").select("image_id", F.lit("pruned").alias("status")))
     out = saved(one.select("image_id").join(done, "image_id", "left").select("image_id", F.coalesce("status", F.lit("sentinel")).alias("status")), "status")
-    forget(nodes, edges, merged_nodes, merged_edges, *pruned, one, two, three)
+    remove(nodes, edges, n, e, held, merged_nodes, merged_edges, *pruned, one, two, three)
     return out

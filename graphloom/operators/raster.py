@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import forget, saved
+from ..scratch import remove, saved
 from .blocks import by_image, image_numbers, least_linked, numbers, written
 
 
@@ -133,7 +133,7 @@ def _maxima(cells: DataFrame, n: int, most: int | None = None) -> DataFrame:
     rows, large = written(cells.select("image_id", "y", "x", "v", "cell", "open"), "cells", most)
     if large is None:
         out = saved(by_image(rows, lambda table: _block_maxima(table, n), schema), "maxima")
-        forget(rows)
+        remove(rows)
         return out
     return by_image(rows.join(large, "image_id", "left_anti"), lambda table: _block_maxima(table, n), schema).unionByName(_joined_maxima(rows.join(large, "image_id", "left_semi"), n))
 
