@@ -13,7 +13,8 @@ shift is an addition that wraps around.
 4. Sets of buckets that still hold several groups are told apart by their rarest tokens. If all tokens are put in one order, the rare ones first, and
    two sets link, the tokens that stand before their first common one are no more than |A| + |B| less twice the least overlap: (|A| + |B|) / 9 at
    0.8. So one of the two has that token among its first n / 8, the other among its first n / 4. Near misses around a text of their own, each with
-   changes of its own, have these changes there, and never meet.
+   many changes of its own, have these changes there, and never meet. For those with few changes, numbers of tokens of 128 kinds are compared where they
+   meet: the differences add up to no more than what one has and the other lacks.
 5. A pair is compared first by its coordinates, of which 8 bits are kept: those that agree in fewer than least_agreeing() of them are 6 standard
    deviations below the threshold. Whole sets are fetched and counted for the others."""
 
@@ -34,6 +35,8 @@ BANDS, WIDTH = 48, 5
 COORDINATES = BANDS * WIDTH
 #: Tokens that are handled at once.
 CHUNK = 1024
+#: Kinds of tokens that are counted for step 4, by their remainder.
+KINDS = 128
 SIGMA = np.uint64(0x632BE59BD9B4E019)
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
@@ -117,8 +120,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likenes
 
 
 def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness, hot: Broadcast) -> DataFrame:
-    """(id, n, group, pos, token): the first tokens of the sets wanted (id, n, sig, first, group), those that are frequent in a sample
-    behind all others."""
+    """(id, n, group, kinds, pos, token): the first tokens of the sets wanted (id, n, sig, first, group), those that are frequent in a sample
+    behind all others; kinds counts the set's tokens by their remainders."""
 
     def head(s: np.ndarray) -> np.ndarray:
         token, place = hot.value
@@ -128,13 +131,17 @@ def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness, hot: Broadcast)
             rank = np.where(token[at] == s, place[at], 0)
         return s[np.argsort(rank, kind="stable")][: len(s) * (like.den - like.num) // like.num + 1]
 
+    def kinds(s: np.ndarray) -> list[int]:
+        return np.minimum(np.bincount((s % np.uint64(KINDS)).astype(np.int64), minlength=KINDS), 127).tolist()
+
     def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
             sets = like.sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), _lists([head(s) for s in sets])], ["sig", "head"])
+            columns = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([kinds(s) for s in sets], pa.list_(pa.int8())), _lists([head(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "kinds", "head"])
 
-    found = texts.join(wanted.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(emit, "sig binary, head array<long>").dropDuplicates(["sig"])
-    return found.join(wanted, "sig").select("id", "n", "group", F.posexplode("head").alias("pos", "token"))
+    found = texts.join(wanted.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(emit, "sig binary, kinds array<byte>, head array<long>").dropDuplicates(["sig"])
+    return found.join(wanted, "sig").select("id", "n", "group", "kinds", F.posexplode("head").alias("pos", "token"))
 
 
 def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -165,9 +172,12 @@ def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, Data
     several = tokens.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
     shared = saved(tokens.join(several, "token"), "shared")
     n, m, p, q = (F.col(c) for c in ("n", "m", "pos", "q"))
-    short = shared.where(2 * like.num * p <= (like.den - like.num) * n).select("token", F.col("id").alias("a"), "n", "pos", "group")
-    long = shared.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("group").alias("other"))
-    fit = like.sizes_fit(n, m) & (p <= q) & ((like.den + like.num) * (p + q) <= (like.den - like.num) * (n + m))
+    short = shared.where(2 * like.num * p <= (like.den - like.num) * n).select("token", F.col("id").alias("a"), "n", "pos", "group", "kinds")
+    long = shared.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("group").alias("other"), F.col("kinds").alias("others"))
+    # two bounds of the tokens that one has and the other lacks: those before the common one, and by how much counts of any kind differ
+    differ = F.aggregate(F.zip_with("kinds", "others", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
+    few = lambda tokens: (like.den + like.num) * tokens <= (like.den - like.num) * (n + m)
+    fit = like.sizes_fit(n, m) & (p <= q) & few(p + q) & few(differ)
     met = short.join(long, "token").where((F.col("group") != F.col("other")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = saved(met.join(asked, ["a", "b"], "left_anti"), "pairs")
     forget(hubs, others, tokens, shared)
