@@ -14,7 +14,8 @@ shift is an addition that wraps around.
    two sets link, the tokens that stand before their first common one are no more than |A| + |B| less twice the least overlap: (|A| + |B|) / 9 at
    0.8. So one of the two has that token among its first n / 8, the other among its first n / 4. Near misses around a text of their own, each with
    many changes of its own, have these changes there, and never meet. For those with few changes, numbers of tokens of 128 kinds are compared where they
-   meet: the differences add up to no more than what one has and the other lacks.
+   meet: the differences add up to no more than what one has and the other lacks. The sets at a token travel as blocks of BLOCK at most; tasks compare
+   a block with a block, as arrays.
 5. A pair is compared first by its coordinates, of which 8 bits are kept: those that agree in fewer than least_agreeing() of them are 6 standard
    deviations below the threshold. Whole sets are fetched and counted for the others."""
 
@@ -37,6 +38,8 @@ COORDINATES = BANDS * WIDTH
 CHUNK = 1024
 #: Kinds of tokens that are counted for step 4, by their remainder.
 KINDS = 128
+#: Sets of a token that are one row, in the mean; pairs of them that are compared at once.
+BLOCK, PAIRS = 256, 8192
 SIGMA = np.uint64(0x632BE59BD9B4E019)
 SHIFTS = np.arange(COORDINATES, dtype=np.uint32)
 
@@ -121,7 +124,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likenes
 
 def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness, hot: Broadcast) -> DataFrame:
     """(id, n, group, kinds, pos, token): the first tokens of the sets wanted (id, n, sig, first, group), those that are frequent in a sample
-    behind all others; kinds counts the set's tokens by their remainders."""
+    behind all others; kinds counts the set's tokens by their remainders, a byte each."""
 
     def head(s: np.ndarray) -> np.ndarray:
         token, place = hot.value
@@ -131,19 +134,72 @@ def rarest(texts: DataFrame, wanted: DataFrame, like: Likeness, hot: Broadcast)
             rank = np.where(token[at] == s, place[at], 0)
         return s[np.argsort(rank, kind="stable")][: len(s) * (like.den - like.num) // like.num + 1]
 
-    def kinds(s: np.ndarray) -> list[int]:
-        return np.minimum(np.bincount((s % np.uint64(KINDS)).astype(np.int64), minlength=KINDS), 127).tolist()
+    def kinds(s: np.ndarray) -> bytes:
+        return np.minimum(np.bincount((s % np.uint64(KINDS)).astype(np.int64), minlength=KINDS), 255).astype(np.uint8).tobytes()
 
     def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
             sets = like.sets(batch.column(1))
-            columns = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([kinds(s) for s in sets], pa.list_(pa.int8())), _lists([head(s) for s in sets])]
+            columns = [pa.array([signature(s) for s in sets], pa.binary()), pa.array([kinds(s) for s in sets], pa.binary()), _lists([head(s) for s in sets])]
             yield pa.RecordBatch.from_arrays(columns, ["sig", "kinds", "head"])
 
-    found = texts.join(wanted.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(emit, "sig binary, kinds array<byte>, head array<long>").dropDuplicates(["sig"])
+    found = texts.join(wanted.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi").mapInArrow(emit, "sig binary, kinds binary, head array<long>").dropDuplicates(["sig"])
     return found.join(wanted, "sig").select("id", "n", "group", "kinds", F.posexplode("head").alias("pos", "token"))
 
 
+def blocks_of(tokens: DataFrame) -> DataFrame:
+    """(token, parts, part, block): rows (id, n, group, kinds, pos, token) of the tokens that sets of several groups have, in blocks of about BLOCK rows."""
+    several = tokens.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h"), F.count("*").alias("size")).where("g != h")
+    rows = tokens.join(several.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "token")
+    return rows.groupBy("token", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("id", "n", "group", "kinds", "pos")).alias("block"))
+
+
+def meetings(blocks: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b), a < b: the sets of different groups that meet at a token early enough to link, as far as two bounds of the tokens that one has and the other
+    lacks tell: those before the common one, and by how much counts of any kind differ. A pair may come once for each token."""
+    most, of = like.den - like.num, like.den + like.num
+
+    def arrays(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+        flat = column.flatten()
+        bounds = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+        numbers = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "n", "group", "pos")]
+        return bounds, [*numbers, np.frombuffer(b"".join(flat.field("kinds").to_pylist()), np.uint8).reshape(-1, KINDS)]
+
+    def meet(x: list[np.ndarray], y: list[np.ndarray]):
+        early = np.flatnonzero(2 * like.num * x[3] <= most * x[1])
+        (a, n, g, p), (b, m, h, q) = ([v[early, None] for v in x[:4]], y[:4])
+        fit = (g != h) & (p <= q) & (of * (p + q) <= most * (n + m)) & (like.den * np.minimum(n, m) >= like.num * np.maximum(n, m))
+        left, right = np.nonzero(fit)
+        left = early[left]
+        for k in range(0, len(left), PAIRS):
+            i, j = left[k : k + PAIRS], right[k : k + PAIRS]
+            differ = np.abs(x[4][i].astype(np.int16) - y[4][j]).sum(axis=1, dtype=np.int64)
+            near = of * differ <= most * (x[1][i] + y[1][j])
+            yield x[0][i[near]], y[0][j[near]]
+
+    def emit(batches):
+        for batch in batches:
+            (at, x), (to, y) = arrays(batch.column(0)), arrays(batch.column(1))
+            found, held = [], 0
+            for r in range(batch.num_rows):
+                one = [v[at[r] : at[r + 1]] for v in x]
+                other = [v[to[r] : to[r + 1]] for v in y] if to[r] < to[r + 1] else one
+                for a, b in meet(one, other):
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                    held += len(a)
+                if found and (held > 1_000_000 or r == batch.num_rows - 1):
+                    pair = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+                    found, held = [], 0
+
+    # a token's only block meets itself; of several each meets each, in as many rows
+    alone = blocks.where("parts = 1").select(F.col("block").alias("x"), F.slice("block", 1, 0).alias("y"))
+    many = blocks.where("parts > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ones = many.select("token", F.col("part").alias("i"), F.col("with").alias("j"), F.col("block").alias("x"))
+    others = many.select("token", F.col("with").alias("i"), F.col("part").alias("j"), F.col("block").alias("y"))
+    return alone.unionByName(ones.join(others, ["token", "i", "j"]).select("x", "y")).mapInArrow(emit, "a long, b long")
+
+
 def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sets, links) as jaccard.similar has them: links join all sets that link, directly or through others."""
     texts = ids_and_texts(docs)
@@ -169,18 +225,10 @@ def similar_by_minhash(docs: DataFrame, like: Likeness) -> tuple[DataFrame, Data
     open_sets = there.join(mixed, "key", "left_semi").select("id", "group").distinct()
     wanted = saved(sets.select("id", "n", "sig", "first").join(open_sets, "id"), "open")
     tokens = saved(rarest(texts, wanted, like, hot), "rarest")
-    several = tokens.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
-    shared = saved(tokens.join(several, "token"), "shared")
-    n, m, p, q = (F.col(c) for c in ("n", "m", "pos", "q"))
-    short = shared.where(2 * like.num * p <= (like.den - like.num) * n).select("token", F.col("id").alias("a"), "n", "pos", "group", "kinds")
-    long = shared.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("group").alias("other"), F.col("kinds").alias("others"))
-    # two bounds of the tokens that one has and the other lacks: those before the common one, and by how much counts of any kind differ
-    differ = F.aggregate(F.zip_with("kinds", "others", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda total, x: total + x)
-    few = lambda tokens: (like.den + like.num) * tokens <= (like.den - like.num) * (n + m)
-    fit = like.sizes_fit(n, m) & (p <= q) & few(p + q) & few(differ)
-    met = short.join(long, "token").where((F.col("group") != F.col("other")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = saved(blocks_of(tokens), "blocks")
+    met = meetings(blocks, like).distinct()
     more = saved(met.join(asked, ["a", "b"], "left_anti"), "pairs")
-    forget(hubs, others, tokens, shared)
+    forget(hubs, others, tokens, blocks)
     links = links.unionByName(confirmed(more, sets, texts, like))
     return rows, sets, links
 

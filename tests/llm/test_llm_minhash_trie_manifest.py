@@ -106,6 +106,43 @@ def test_op11_tells_near_misses_apart_without_pairs(spark, monkeypatch):
     assert sum(asked) < 20_000 and asked[1] < 2_000  # of 88 000 pairs
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_op11_meetings_in_blocks(spark, block, monkeypatch):
+    """Pairs at their tokens by definition, however the sets of a token are cut into blocks; frequent tokens come as blocks, not as pairs of rows."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "PAIRS", 5)
+    rng, like, rows, sets = random.Random(6), Likeness(4, 80, 100), [], {}
+    for k in range(40):
+        own = [x for x in range(200, 260) if rng.random() < 0.92] + [1000 * k + j + 1000 for j in range(rng.randint(0, 9))]
+        sets[k] = (own, k % 5 if k < 25 else 100 + k)
+        kinds = np.bincount(np.array(own) % minhash.KINDS, minlength=minhash.KINDS).astype(np.uint8).tobytes()
+        rows += [(k, len(own), sets[k][1], bytearray(kinds), j, x) for j, x in enumerate(sorted(own, key=lambda x: (x < 1000, x))[: len(own) // 4 + 1])]
+    heads, want = {(r[0], r[5]): r[4] for r in rows}, set()
+    for (a, token), p in heads.items():
+        for b in sets:
+            (x, g), (y, h), q = sets[a], sets[b], heads.get((b, token))
+            if q is None or g == h or not (8 * p <= len(x) and p <= q and 9 * (p + q) <= len(x) + len(y) and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y))):
+                continue
+            count = lambda s: np.bincount(np.array(s) % minhash.KINDS, minlength=minhash.KINDS)
+            if 9 * np.abs(count(x) - count(y)).sum() <= len(x) + len(y):
+                want.add((min(a, b), max(a, b)))
+    df = spark.createDataFrame(rows, "id long, n int, group long, kinds binary, pos int, token long")
+    blocks = minhash.blocks_of(df)
+    assert max(len(r.block) for r in blocks.collect()) <= 40 and sum(len(r.block) for r in blocks.collect()) <= len(rows)
+    got = [tuple(r) for r in minhash.meetings(blocks, like).distinct().collect()]
+    assert sorted(got) == sorted(want) and 50 < len(want) < 780
+    linked = {(a, b) for a in sets for b in sets if a < b and sets[a][1] != sets[b][1] and like.den * len(set(sets[a][0]) & set(sets[b][0])) >= like.num * len(set(sets[a][0]) | set(sets[b][0]))}
+    assert linked and linked <= want
+
+
+@pytest.mark.parametrize("block", [4])
+def test_op11_loses_no_link_in_small_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    table = near_texts(21, 3, 40)
+    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()]
+    assert sorted(got) == groups_by_brute_force(table, Likeness(4, 80, 100))
+
+
 def test_coordinates_by_definition():
     tokens = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 3000, dtype=np.uint64)
 
