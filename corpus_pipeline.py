@@ -14,8 +14,8 @@ from graphloom.llm.queries import tokenizer_file
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier, taught by all labels, rejects."""
-    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+    """Drops the documents that the quality classifier, taught by all labels and their texts in the table of documents, rejects."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"), known=read(spark, sf_dir, "documents"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
