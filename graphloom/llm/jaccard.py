@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, ids_and_texts, look_up, saved, text_blocks
+from .common import forget, ids_and_texts, lean, look_up, saved, text_blocks
 from .components import components
 from .windows import Sums, mix, parts, words_of
 
@@ -96,7 +96,7 @@ def frequent_tokens(texts: DataFrame, like: Likeness) -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "n"])
 
     least = max(FEWEST, int(sample.count() * HOT_SHARE))
-    found = sample.mapInArrow(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = sample.mapInArrow(lean(tokens), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = found.toArrow()
     token, count = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     place = np.empty(len(token), np.int64)
@@ -134,7 +134,7 @@ def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
             sets = like.sets(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), _lists([first(s) for s in sets])], ["doc", "n", "sig", "head"])
 
-    return texts.mapInArrow(emit, "doc long, n int, sig binary, head array<long>")
+    return texts.mapInArrow(lean(emit), "doc long, n int, sig binary, head array<long>")
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
@@ -146,7 +146,7 @@ def fetch_sets(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in sets], pa.binary()), _lists(sets)], ["sig", "tokens"])
 
     found = texts.join(wanted.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return saved(found.mapInArrow(emit, "sig binary, tokens array<long>").join(wanted, "sig").dropDuplicates(["sig"]).select("id", "tokens"), "sets")
+    return saved(found.mapInArrow(lean(emit), "sig binary, tokens array<long>").join(wanted, "sig").dropDuplicates(["sig"]).select("id", "tokens"), "sets")
 
 
 def with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:

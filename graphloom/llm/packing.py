@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, saved, shuffle_parts, text_blocks
+from .common import ids_and_texts, lean, saved, shuffle_parts, text_blocks
 from .words import tokenizers_coder
 
 #: What a cut inside a document costs, in padded ids: at a sentence's end, elsewhere.
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, buf
         if pending or len(rest):
             yield flush(np.concatenate([rest, *pending]), np.concatenate([rest_docs, *tables]), True)
 
-    pieces = saved(ordered.mapInArrow(windows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, in_shard long, offset long"), "pieces")
+    pieces = saved(ordered.mapInArrow(lean(windows, tokens=True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard int, in_shard long, offset long"), "pieces")
     totals = {r[0]: r[1] for r in pieces.groupBy("shard").agg(F.max("in_shard") + 1).collect()}  # as many as tasks
     before, n = [], 0
     for shard in range(max(totals, default=-1) + 1):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, remainder, text_blocks
+from .common import ids_and_texts, lean, remainder, text_blocks
 
 #: Classes of characters: lower case, upper case, digit, space, line end, other letter, other; then each ASCII sign by itself.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, dims: int = 48
             got = terms([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g.astype(np.float32).tobytes() for g in got], pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = rows.mapInArrow(count, "doc_id long, quality int, terms binary").toArrow().sort_by([("doc_id", "ascending")])
+    got = rows.mapInArrow(lean(count), "doc_id long, quality int, terms binary").toArrow().sort_by([("doc_id", "ascending")])
     counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
     return Space.fit(counts, got["quality"].to_numpy().astype(np.float64), dims)
 
@@ -139,7 +139,7 @@ def _scored(rows: DataFrame, space: Space, neighbours: int, columns: str) -> Dat
             got = np.concatenate([model.vote(terms(texts[a : a + 256]), neighbours) for a in range(0, len(texts), 256)])
             yield batch.drop_columns(["text"]).append_column("score", pa.array(got.clip(0, 1)))
 
-    return rows.mapInArrow(vote, f"{columns}, score double")
+    return rows.mapInArrow(lean(vote), f"{columns}, score double")
 
 
 def score(docs: DataFrame, space: Space, neighbours: int = 15) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, look_up, saved, shuffle_parts, text_blocks
+from .common import ids_and_texts, lean, look_up, saved, shuffle_parts, text_blocks
 from .windows import BYTE_VALUES, Sums, parts, runs, text_bytes, words_of
 
 #: Anchors with more different runs than this are compared by blocks, cores with more different blocks by windows.
@@ -152,7 +152,7 @@ def hot_anchors(texts: DataFrame, kind: Kind) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1].view(np.int64))], ["anchor"])
 
     least = max(16, int(sample.count() * HOT_SHARE))
-    found = sample.mapInArrow(anchors, "anchor long").groupBy("anchor").count().where(F.col("count") > least).select("anchor").collect()
+    found = sample.mapInArrow(lean(anchors), "anchor long").groupBy("anchor").count().where(F.col("count") > least).select("anchor").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
@@ -316,16 +316,16 @@ def repeated_windows(texts: DataFrame, kind: Kind, compare: Callable[[DataFrame]
     """(doc, at, n): runs of windows of each document that also start earlier: in a document with a smaller id, or (kind.within) before in the
     same one. texts: with_bases(). compare: (key, doc, at, n, off, data) -> (doc, at, n), for rows that share the seed that key names."""
     hot = hot_anchors(texts, kind)
-    cut = texts.mapInArrow(_run_rows(kind, hot), RUN)
-    found = saved(cut.repartition(shuffle_parts(texts.sparkSession), "key").sortWithinPartitions("key", "content", "doc", "at").mapInArrow(_settle(kind), WANT), "runs")
+    cut = texts.mapInArrow(lean(_run_rows(kind, hot)), RUN)
+    found = saved(cut.repartition(shuffle_parts(texts.sparkSession), "key").sortWithinPartitions("key", "content", "doc", "at").mapInArrow(lean(_settle(kind)), WANT), "runs")
     wants = found.where(f"how != {GONE}").groupBy("doc").agg(F.collect_set(F.struct("at", "n", "off", "how", "anchor")).alias("wants"))
-    fetched = saved(texts.join(wants, F.col("doc_id") == F.col("doc")).select("doc", "text", "base", "wants").mapInArrow(_fetch(kind), FETCHED), "fetched")
+    fetched = saved(texts.join(wants, F.col("doc_id") == F.col("doc")).select("doc", "text", "base", "wants").mapInArrow(lean(_fetch(kind)), FETCHED), "fetched")
 
     blocks = saved(_matched(fetched.where(f"how = {BY_BLOCK}").drop("how"), kind, "firsts"), "blocks")
     firsts = blocks.where("not later")
     cores = saved(firsts.groupBy("core").agg(F.count("*").alias("copies")).where("copies > 1"), "cores")
     near = saved(look_up(firsts, "core", cores, "copies", how="inner"), "near")
-    windows = near.where(f"copies > {MANY}").select("doc", "at", "n", "data").mapInArrow(_windows(kind), "key long, doc long, at long")
+    windows = near.where(f"copies > {MANY}").select("doc", "at", "n", "data").mapInArrow(lean(_windows(kind)), "key long, doc long, at long")
     gone = found.where(f"how = {GONE}").select("doc", "at", "n").unionByName(blocks.where("later").select("doc", "at", "n"))
     gone = gone.unionByName(_matched(saved(windows, "windows"), kind, "firsts").where("later").select("doc", "at", F.lit(1).alias("n")))
     seeded = fetched.where(f"how = {COMPARE}").select("key", "doc", "at", "n", "off", "data").unionByName(near.where(f"copies <= {MANY}").select(F.col("core").alias("key"), "doc", "at", "n", "off", "data"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import shuffle_parts
+from .common import lean, shuffle_parts
 from .repeats import Kind, covered, repeated_windows, with_bases, with_removals
 from .windows import text_bytes
 
@@ -149,7 +149,7 @@ def compare_runs(length: int):
             if data:
                 yield done(len(data))
 
-        return rows.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "doc", "at").mapInArrow(work, "doc long, at long, n int")
+        return rows.repartition(shuffle_parts(rows.sparkSession), "key").sortWithinPartitions("key", "doc", "at").mapInArrow(lean(work), "doc long, at long, n int")
 
     return of
 
@@ -180,7 +180,7 @@ def cut_bytes(docs: DataFrame, length: int, finish, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[k] for o in out], t) for k, t in fields[1:]]], ["doc_id", *names])
 
     texts = with_bases(docs)
-    return with_removals(texts, repeats(texts, length)).mapInArrow(cut, schema)
+    return with_removals(texts, repeats(texts, length)).mapInArrow(lean(cut), schema)
 
 
 def byte_digests(docs: DataFrame, length: int = 100) -> DataFrame:

@@ -94,3 +94,24 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     pieces = pipeline.STAGES[-1][1](spark, docs, FOLDER)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert pipeline.run(spark, FOLDER).count() == pieces.count()
+
+
+def test_workers_drop_tokenizers_of_other_stages(spark):
+    """Spark keeps its worker processes; what packing left there isn't carried through the next stages."""
+    import os
+
+    import pyarrow as pa
+    from graphloom.llm import words
+
+    def probe(batches):
+        held = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), pa.array([len(words._coders)]), pa.array([held])], ["pid", "coders", "held"])
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(8)
+    pipeline.packed(spark, docs, FOLDER).collect()
+    probed = lambda: docs.select("doc_id").mapInArrow(probe, "pid long, coders long, held long").collect()
+    packers = {r.pid for r in probed() if r.coders}
+    assert packers
+    for _ in range(3):
+        pipeline.good_quality(spark, docs, FOLDER).collect()
+    assert not [r.pid for r in probed() if r.coders and r.pid in packers]
