@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, lean, remainder, text_blocks
+from .common import give_back, ids_and_texts, lean, remainder, text_blocks
 
 #: Classes of characters: lower case, upper case, digit, space, line end, other letter, other; then each ASCII sign by itself.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -123,7 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, dims: int = 48
             got = terms([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g.astype(np.float32).tobytes() for g in got], pa.binary())], ["doc_id", "quality", "terms"])
 
-    got = rows.mapInArrow(lean(count), "doc_id long, quality int, terms binary").toArrow().sort_by([("doc_id", "ascending")])
+    try:
+        return _learnt(rows.mapInArrow(lean(count), "doc_id long, quality int, terms binary").toArrow(), dims)
+    finally:
+        give_back()  # the driver, too, goes on to other stages
+
+
+def _learnt(got: pa.Table, dims: int) -> Space:
+    got = got.sort_by([("doc_id", "ascending")])
     counts = np.frombuffer(b"".join(got["terms"].to_pylist()), np.float32).reshape(-1, TERMS)
     return Space.fit(counts, got["quality"].to_numpy().astype(np.float64), dims)
 

@@ -115,3 +115,45 @@ def test_workers_drop_tokenizers_of_other_stages(spark):
     for _ in range(3):
         pipeline.good_quality(spark, docs, FOLDER).collect()
     assert not [r.pid for r in probed() if r.coders and r.pid in packers]
+
+
+def jobs_of(spark, work):
+    """Jobs that Spark runs for work()."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+def test_steps_leave_little_to_the_driver(spark, monkeypatch):
+    """Finished tables go without a job, a lookup without frequent keys asks once, and what teaching took is given back."""
+    import os
+
+    from graphloom.llm import common, quality
+
+    table = common.saved(spark.range(50), "gone")
+    path = common.shared_dir(spark).removeprefix("file://")
+    here = lambda: [x for x in os.listdir(path) if x.startswith("gone-")]
+    assert len(here()) == 1
+    assert jobs_of(spark, lambda: common.forget(table))[0] == 0
+    assert not here()
+
+    rows = spark.range(3000).selectExpr("id % 700 as k", "id")
+    weights = rows.groupBy("k").count()
+    once, _ = jobs_of(spark, lambda: weights.agg({"count": "sum"}).first())
+    asked, joined = jobs_of(spark, lambda: common.look_up(rows, "k", weights, "count"))
+    assert asked == once and joined.count() == 3000
+    frequent = spark.range(3000).selectExpr("case when id < 2000 then -1 else id end as k", "id")
+    assert common.look_up(frequent, "k", frequent.groupBy("k").count(), "count").where("k = -1 and count = 2000").count() == 2000
+    assert common.look_up(rows.limit(0), "k", weights.limit(0), "count").count() == 0
+
+    given = []
+    monkeypatch.setattr(quality, "give_back", lambda: given.append(1), raising=False)
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    quality.train(docs, labels, 50)
+    assert given == [1]
