@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,7 +78,7 @@ class PieceCoder:
         lists = pc.split_pattern(cut, CUT)
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        entries = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        entries = self.entries(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy(zero_copy_only=False)]
         ids, cuts = self.gather(entries, offsets - offsets[0])
         if not whole.any():
             return ids, cuts
@@ -106,6 +108,7 @@ def tokenizers_coder(path: str, lower: bool) -> PieceCoder:
     model directly; every other piece goes through the whole tokenizer. lower: the tokenizer lower-cases and drops white space."""
     if (path, lower) not in _coders:
         import os
+        import re
         import unicodedata
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,24 +118,31 @@ def tokenizers_coder(path: str, lower: bool) -> PieceCoder:
         tokenizer.encode_special_tokens = True
         model, letters = tokenizer.model, byte_letters()
 
-        def word(piece: str) -> list[int] | None:
-            bare = piece[1:] if piece[:1] == " " else piece
-            if not bare.isalpha() or max(bare) >= "\u0250":
-                return None
+        plain = re.compile(f" ?[{''.join(c for c in map(chr, range(0x250)) if c.isalpha())}]+").fullmatch
+        del letters[ord(CUT)]  # it keeps the words apart
+
+        def words(pieces: list[str]) -> list[str]:
+            """Plain pieces as the model has them, all at once; as many strings as pieces."""
+            text = CUT.join(pieces)
             if lower:
-                piece = unicodedata.normalize("NFC", bare).lower()
-                if not piece.isalpha():  # a capital may lower to a letter and a mark
-                    return None
-            return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+                text = unicodedata.normalize("NFC", text.replace(" ", "")).lower()
+            return text.encode().decode("latin-1").translate(letters).split(CUT)
 
         def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            got = [word(p) for p in pieces]
+            got: list = [None] * len(pieces)
+            own = [i for i, p in enumerate(pieces) if plain(p)]
+            if lower:  # a capital may lower to a letter and a mark
+                own = [i for i in own if pieces[i].isascii() or pieces[i].lower().lstrip().isalpha()]
+            tokenize = model.tokenize
+            for i, w in zip(own, words([pieces[i] for i in own]) if own else (), strict=True):
+                got[i] = [t.id for t in tokenize(w)]
             other = [i for i, g in enumerate(got) if g is None]
             for n in range(0, len(other), 256):
                 some = other[n : n + 256]
                 for i, x in zip(some, tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
                     got[i] = x.ids
-            return np.fromiter((x for y in got for x in y), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+            lengths = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
 
         _coders[(path, lower)] = PieceCoder(encode)
     return _coders[(path, lower)]

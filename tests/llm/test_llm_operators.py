@@ -95,6 +95,37 @@ def test_pieces_give_the_library_s_ids(texts, name, lower):
         assert ids[cuts[k] : cuts[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("name", "lower"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_plain_pieces_go_to_the_model_at_once(name, lower):
+    """The library's ids for pieces of all letters below U+0250 and their marks, and no Python call for each plain piece."""
+    import sys
+
+    import tokenizers
+
+    path, rng = public_tokenizers.path(name), random.Random(4)
+    coder, library = words.tokenizers_coder(path, lower), tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    odd = ["", " ", "  a", "a ", "\x1f", "a\x1fb", "İ", " İa", "I\u0307", "e\u0301", " ΑΣ", "ŉ", "ª", "a1", ".\nWas", "</w>", "ǅ", *letters, *(" " + c for c in letters)]
+    odd += [" " * rng.randint(0, 1) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    rng.shuffle(odd)
+    ids, lengths = coder.encode(odd)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
+    assert [len(x) for x in coder.encode([])] == [0, 0]
+    plain, calls = [" " + "".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)], 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        coder.encode(plain)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(plain) / 10
+
+
 def test_forgotten_pieces_are_encoded_again():
     coder = words.PieceCoder(lambda ps: (np.array([len(p) for p in ps], np.int32), np.ones(len(ps), np.int64)), limit=4)
     for k in range(20):
