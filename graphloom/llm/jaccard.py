@@ -33,6 +33,8 @@ from .windows import Sums, mix, parts, words_of
 #: Tokens in at least this share of a sample of documents (1 of SAMPLE, FEWEST at least) come after all others, by frequency. There are fewer of
 #: them than the mean number of tokens divided by the share. They decide the order only, so any sample gives right results.
 HOT_SHARE, SAMPLE, FEWEST = 1 / 2000, 32, 4
+#: Words of the filter that keeps unwanted rows out of shuffles, at most.
+SCREEN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -84,6 +86,13 @@ class Likeness:
         """Sizes that may link lie in the same band or in neighbouring ones."""
         return F.floor(F.log(n.cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
 
+    def bands(self, n: Column, p: Column) -> Column:
+        """The bands of all sizes m of sets that link with one of n tokens, if its first token in common is at place p: of the n - p that are left
+        there are needs(n, m) in common, so the later the token, the smaller is the largest m."""
+        low = F.ceil(F.lit(self.num) * n / float(self.den) - 1e-9)
+        high = F.floor(F.lit(self.num + self.den) * (n - p) / float(self.num) - n + 1e-9)
+        return F.sequence(self.band(low), self.band(F.greatest(low, high)))
+
 
 def frequent_tokens(texts: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """(tokens ascending, place of each in the order by frequency) of the tokens that are frequent in a sample."""
@@ -154,6 +163,18 @@ def with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
 
 
+def screened(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows whose key may be among wanted (key), before the join that decides: rows that are not wanted stay out of its shuffle, but for a few in a hundred.
+
+    A Bloom filter of one 64-bit word and four of its bits for each key, as rows that are broadcast: a word for eight keys, SCREEN words at most. With more
+    keys than these can tell apart more rows pass, and none is lost."""
+    words = max(1, min(wanted.count() // 8, SCREEN))
+    word = F.expr(f"pmod(xxhash64({key}), {words}L)")
+    mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(xxhash64({key}, 1), {6 * k}) & 63 as int))" for k in range(4)))
+    filled = wanted.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+    return rows.join(F.broadcast(filled), (word == F.col("__word")) & (F.col("__bits").bitwiseAND(mask) == mask), "left_semi")
+
+
 def _names(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
@@ -161,12 +182,13 @@ def _names(pairs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b, n, m) that link: those whose heads have enough in common are compared by their whole sets."""
     both = F.size(F.array_intersect("x", "y"))
-    heads = sets.join(_names(pairs), "id", "left_semi").select("id", F.col("head").alias("tokens"))
+    heads = screened(sets, "id", _names(pairs)).join(_names(pairs), "id", "left_semi").select("id", F.col("head").alias("tokens"))
     close = saved(with_both(pairs, heads).where(both >= like.more(F.least("n", "m"))).select("a", "b"), "close")
-    whole = fetch_sets(texts, sets.join(_names(close), "id", "left_semi").select("id", "sig", F.col("first").alias("doc")), like)
+    wanted = saved(screened(sets, "id", _names(close)).join(_names(close), "id", "left_semi").select("id", "sig", F.col("first").alias("doc")), "wanted")
+    whole = fetch_sets(screened(texts, "doc_id", wanted.select(F.col("doc").alias("doc_id"))), wanted, like)
     found = with_both(close, whole).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("both"))
     links = saved(found.where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "links")
-    forget(close, whole)
+    forget(close, wanted, whole)
     return links
 
 
@@ -208,11 +230,14 @@ def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, Data
     groups = saved(components(links), "groups")
     there = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", "pos", "band", F.coalesce("component", "id").alias("group"), F.col("component").isNotNull().alias("many"))
     mixed = there.groupBy("token").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("token")
-    there = saved(there.join(mixed, "token", "left_semi"), "mixed")
-    stats = there.groupBy("token", "band", "group", "many").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - p).alias("rest"))
-    sizes = there.groupBy("token", "group").agg(F.count("*").alias("own"))
-    asked = there.join(sizes, ["token", "group"]).select("token", F.col("id").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    may = asked.join(stats.join(sizes.withColumnRenamed("own", "size"), ["token", "group"]), ["token", "band"])
+    met = saved(there.join(mixed, "token", "left_semi"), "mixed")
+    forget(shared)
+    there = saved(met.join(met.groupBy("token", "group").agg(F.count("*").alias("own")), ["token", "group"]), "sized")
+    forget(met)
+    # a group's own is the same wherever it is at a token
+    stats = there.groupBy("token", "band", "group", "many").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - p).alias("rest"), F.first("own").alias("size"))
+    asked = there.select("token", F.col("id").alias("a"), "n", "pos", F.col("group").alias("mine"), "own", F.explode(like.bands(n, p)).alias("band"))
+    may = asked.join(stats, ["token", "band"])
     # of two groups at a token the one with fewer members there asks
     may = may.where((F.col("group") != F.col("mine")) & ((F.col("size") > F.col("own")) | ((F.col("size") == F.col("own")) & (F.col("group") > F.col("mine")))))
     fits = (like.den * F.col("most") >= like.num * n) & (like.num * F.col("least") <= like.den * n) & (F.least(n - p, F.col("rest")) >= like.needs(n, F.col("least")))
@@ -224,7 +249,7 @@ def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, Data
     second = asks.join(answers, ["token", "group"]).where(fit).select("a", "b", "n", "m").distinct()
     second = second.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     more = saved(second, "second")
-    forget(shared, there, questions)
+    forget(there, questions)
     return rows, sets, links.unionByName(verified(more, sets, texts, like))
 
 

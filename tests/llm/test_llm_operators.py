@@ -393,6 +393,57 @@ def test_op4_chains_of_groups(spark):
     assert rows(jaccard.similar_groups(frame(spark, made), like), "n_shingles", "component_id") == brute_components(made, 1, 90, 100)
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_op4_verifies_without_shuffling_all_texts(spark):
+    rng = random.Random(5)
+    made = [(k, " ".join(f"{rng.getrandbits(32):x}" for _ in range(500))) for k in range(300)]
+    made += [(1000 + k, made[k][1] + " more") for k in range(3)]
+    like = jaccard.Likeness(3, 90, 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large to be broadcast
+    try:
+        _, sets, _ = jaccard.similar(frame(spark, made), like)
+        names = {r.first: (r.id, r.n) for r in sets.collect()}
+        pairs = spark.createDataFrame([(*names[a], *names[b]) for a, b in [(0, 1000), (1001, 1), (2, 1002), (3, 4)]], "a long, n int, b long, m int").select("a", "b", "n", "m")
+        seen = shuffled_bytes(spark)
+        links = jaccard.verified(pairs, sets, jaccard.ids_and_texts(frame(spark, made)), like)
+        assert {(r.a, r.b) for r in links.collect()} == {(names[a][0], names[b][0]) for a, b in [(0, 1000), (1001, 1), (2, 1002)]}
+        moved = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in seen)
+        assert 0 < moved < sum(len(t) for _, t in made) // 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_op4_screen_keeps_all_that_is_wanted(spark, monkeypatch):
+    every = spark.range(-3000, 3000)
+    wanted = every.where("id % 6 = 0")
+    for most in (jaccard.SCREEN, 1):  # with one word for all keys nothing is told apart, and nothing lost
+        monkeypatch.setattr(jaccard, "SCREEN", most)
+        got = {r.id for r in jaccard.screened(every, "id", wanted).collect()}
+        assert got >= {r.id for r in wanted.collect()}
+        assert len(got) < 1500 if most > 1 else len(got) == 6000
+    assert jaccard.screened(every, "id", every.where("id > 5000")).count() == 0
+
+
+@pytest.mark.parametrize("like", [(3, 90, 100), (5, 80, 100), (1, 50, 100), (2, 100, 101)])
+def test_op4_bands_hold_all_sizes_that_fit(spark, like):
+    like = jaccard.Likeness(*like)
+    n, p, m = (F.col(c) for c in ("n", "p", "m"))
+    first = spark.range(1, 91).select(F.col("id").cast("int").alias("n")).withColumn("p", F.explode(F.sequence(F.lit(0), n - F.ceil(F.lit(like.num) * n / float(like.den) - 1e-9).cast("int"))))
+    pairs = first.crossJoin(spark.range(1, 185).select(F.col("id").cast("int").alias("m")))
+    fit = like.sizes_fit(n, m) & (F.least(n - p, m) >= like.needs(n, m))
+    assert pairs.where(fit & ~F.array_contains(like.bands(n, p), like.band(m))).count() == 0
+    assert first.where((F.size(like.bands(n, p)) > 3) | (F.size(like.bands(n, p)) < 1)).count() == 0
+    if like.den - like.num > 5:
+        assert first.agg(F.avg(F.size(like.bands(n, p)))).first()[0] < 2.6
+
+
 def every_anchor_is_hot(monkeypatch):
     from graphloom.llm import repeats as ground
 
