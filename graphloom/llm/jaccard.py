@@ -12,6 +12,9 @@ other's first n - ceil(t n) + 1 tokens; rare tokens come first, so that few docu
    query and group, and a group with too few has no member that links with the query. A group of one document is its own union.
 4. Only groups that pass are opened: the query is compared with the members that it shares a prefix token with.
 
+Unrelated sets that share a prefix token by chance grow with the square of the input, so pairs first meet by a few words of parity bits: the bits that
+differ are no more than the tokens that only one of the sets has. Only pairs that may link by these have their heads fetched.
+
 A head is the prefix and n / 10 tokens more. Sets that link have heads with n / 10 tokens in common, n of the smaller (with fewer, the first
 common token of the rest would come too late for t n in all), so heads decide almost every candidate; whole sets are fetched for the others."""
 
@@ -33,6 +36,8 @@ from .windows import Sums, mix, parts, words_of
 #: Tokens in at least this share of a sample of documents (1 of SAMPLE, FEWEST at least) come after all others, by frequency. There are fewer of
 #: them than the mean number of tokens divided by the share. They decide the order only, so any sample gives right results.
 HOT_SHARE, SAMPLE, FEWEST = 1 / 2000, 32, 4
+#: Tokens for each word of parity bits: of unrelated sets half of the bits differ, many more than linked ones may have.
+PER_WORD = 100
 #: Words of the filter that keeps unwanted rows out of shuffles, at most.
 SCREEN = 1 << 20
 
@@ -118,13 +123,29 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.array([mix(tokens).sum(dtype=np.uint64), mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes()
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the tokens' hashes: whether an odd number of tokens has it. The number of words is a power of two."""
+    size = 64 << max(0, math.ceil(math.log2(max(1, len(tokens)) / PER_WORD)))
+    odd = np.bincount((mix(tokens ^ np.uint64(0x3C6EF372FE94F82A)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits in which the parities x and y differ: at most the number of tokens that only one of the sets has. A longer one is folded to the length
+    of the other; 0 where it is more than twice as long."""
+    short = F.least(F.size(x), F.size(y))
+    folded = lambda v: F.when(F.size(v) > short, F.zip_with(F.slice(v, F.lit(1), short), F.slice(v, short + 1, short), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(v))
+    bits = F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    return F.when(F.greatest(F.size(x), F.size(y)) <= 2 * short, bits).otherwise(0)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
-    """(doc, n, sig, head): size and signature of each text's set, and its first tokens in order."""
+    """(doc, n, sig, bits, head): size, signature and parity bits of each text's set, and its first tokens in order."""
     hot = texts.sparkSession.sparkContext.broadcast(frequent_tokens(texts, like))
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -141,9 +162,9 @@ def prefixes(texts: DataFrame, like: Likeness) -> DataFrame:
     def emit(batches):
         for batch in text_blocks(batches, limit=1_500_000):
             sets = like.sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), _lists([first(s) for s in sets])], ["doc", "n", "sig", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), _lists([parity(s) for s in sets]), _lists([first(s) for s in sets])], ["doc", "n", "sig", "bits", "head"])
 
-    return texts.mapInArrow(lean(emit), "doc long, n int, sig binary, head array<long>")
+    return texts.mapInArrow(lean(emit), "doc long, n int, sig binary, bits array<long>, head array<long>")
 
 
 def fetch_sets(texts: DataFrame, wanted: DataFrame, like: Likeness) -> DataFrame:
@@ -180,15 +201,17 @@ def _names(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b, n, m) that link: those whose heads have enough in common are compared by their whole sets."""
+    """The pairs (a, b, n, m) that link: those that may by their parity bits, and whose heads have enough in common, are compared by their whole sets."""
     both = F.size(F.array_intersect("x", "y"))
+    n, m = F.col("n"), F.col("m")
+    pairs = saved(with_both(pairs, sets.select("id", F.col("bits").alias("tokens"))).where(differing("x", "y") <= n + m - 2 * like.needs(n, m)).select("a", "b", "n", "m"), "near")
     heads = screened(sets, "id", _names(pairs)).join(_names(pairs), "id", "left_semi").select("id", F.col("head").alias("tokens"))
     close = saved(with_both(pairs, heads).where(both >= like.more(F.least("n", "m"))).select("a", "b"), "close")
     wanted = saved(screened(sets, "id", _names(close)).join(_names(close), "id", "left_semi").select("id", "sig", F.col("first").alias("doc")), "wanted")
     whole = fetch_sets(screened(texts, "doc_id", wanted.select(F.col("doc").alias("doc_id"))), wanted, like)
     found = with_both(close, whole).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("both"))
     links = saved(found.where(like.den * F.col("both") >= like.num * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b"), "links")
-    forget(close, wanted, whole)
+    forget(pairs, close, wanted, whole)
     return links
 
 
@@ -204,13 +227,13 @@ def qualifying(questions: DataFrame, members: DataFrame, sets: DataFrame, like:
 
 
 def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, sets, links): (doc, n, sig) of every row; (id, sig, n, first, copies, head) of every set that isn't empty, where first is the least
+    """(rows, sets, links): (doc, n, sig) of every row; (id, sig, n, first, copies, bits, head) of every set that isn't empty, where first is the least
     doc_id that has it and id a number that is given when the table is written; links (a, b) between sets that join all sets that link, directly or through others."""
     texts = ids_and_texts(docs)
     found = saved(prefixes(texts, like), "prefixes")
     rows = saved(found.select("doc", "n", "sig"), "rows")
     # copies are counted before the shuffle
-    sets = saved(found.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    sets = saved(found.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc").alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("head").alias("head")).withColumn("id", F.monotonically_increasing_id()), "distinct")
     forget(found)
 
     prefix = F.slice("head", 1, F.col("n") - F.ceil(F.lit(like.num) * F.col("n") / float(like.den) - 1e-9).cast("int") + 1)
@@ -243,12 +266,14 @@ def similar(docs: DataFrame, like: Likeness) -> tuple[DataFrame, DataFrame, Data
     fits = (like.den * F.col("most") >= like.num * n) & (like.num * F.col("least") <= like.den * n) & (F.least(n - p, F.col("rest")) >= like.needs(n, F.col("least")))
     questions = saved(may.where(fits).groupBy("a", "group", "many").agg(F.first("n").alias("n"), F.min("least").alias("least")), "questions")
     members = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
-    opened = saved(questions.where("not many").select("a", "group").unionByName(qualifying(questions.where("many"), members, sets, like)), "opened")
+    opened = saved(qualifying(questions.where("many"), members, sets, like), "opened")
     asks = there.join(opened.withColumnRenamed("a", "id").withColumnRenamed("group", "other"), "id").select("token", F.col("id").alias("a"), "n", "pos", F.col("other").alias("group"))
     answers = there.select("token", "group", F.col("id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    second = asks.join(answers, ["token", "group"]).where(fit).select("a", "b", "n", "m").distinct()
-    second = second.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = saved(second, "second")
+    # a group of one is named by its set, which is all that there is to open
+    alone = questions.where("not many").select("a", F.col("group").alias("b"), "n", F.col("least").alias("m"))
+    second = asks.join(answers, ["token", "group"]).where(fit).select("a", "b", "n", "m").unionByName(alone).distinct()
+    tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = saved(second.join(tried, ["a", "b"], "left_anti"), "second")
     forget(there, questions)
     return rows, sets, links.unionByName(verified(more, sets, texts, like))
 

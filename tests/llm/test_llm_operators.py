@@ -420,6 +420,42 @@ def test_op4_verifies_without_shuffling_all_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_op4_parity_bits_bound_the_difference(spark):
+    rng = np.random.default_rng(8)
+    made = []
+    for n in (1, 5, 90, 100, 101, 190, 230, 400, 800, 3000):
+        one = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for m in {n, n * 9 // 10, n // 2}:
+            for same in {0, m // 2, m * 9 // 10, m}:
+                two = np.concatenate([one[:same], rng.integers(0, 1 << 63, m - same, dtype=np.uint64)])
+                made.append((n, m, n + m - 2 * same, *(jaccard.parity(s).view(np.int64).tolist() for s in (one, two))))
+    table = spark.createDataFrame(made, "n int, m int, apart int, x array<long>, y array<long>")
+    got = table.select("*", jaccard.differing("x", "y").alias("d"), jaccard.differing("y", "x").alias("e")).collect()
+    assert all(r.d == r.e <= r.apart for r in got)
+    # sets of one size that have nothing in common are told apart
+    assert all(r.d > r.n + r.m - 2 * -(-80 * (r.n + r.m) // 180) for r in got if r.n == r.m >= 400 and r.apart == r.n + r.m)
+
+
+def test_op4_pairs_by_chance_meet_without_their_heads(spark):
+    rng = random.Random(9)
+    made = [(k, " ".join(f"{rng.getrandbits(32):x}" for _ in range(500))) for k in range(60)]
+    made.append((60, made[0][1] + " more"))
+    like = jaccard.Likeness(5, 80, 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, sets, _ = jaccard.similar(frame(spark, made), like)
+        one, two = (sets.select(F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "n"), ("b", "m")))
+        pairs = jaccard.saved(one.join(two, F.col("a") < F.col("b")), "pairs")
+        seen = shuffled_bytes(spark)
+        links = jaccard.verified(pairs, sets, jaccard.ids_and_texts(frame(spark, made)), like)
+        assert pairs.count() == 1830 and links.count() == 1
+        moved = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in seen)
+        assert 0 < moved < 1830 * 8 * 150 // 4  # of heads of 150 tokens for each pair
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_op4_screen_keeps_all_that_is_wanted(spark, monkeypatch):
     every = spark.range(-3000, 3000)
     wanted = every.where("id % 6 = 0")
