@@ -91,11 +91,37 @@ def _forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(thin, "image_id string, a long, b long").distinct()
 
 
-def fragment_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(image_id, fragments): connected components of each image's nodes (image_id, idx), lone nodes included."""
-    found = components(edges.select("image_id", F.col("b").alias("a"), F.col("e").alias("b")))
-    named = nodes.select("image_id", F.col("idx").alias("node")).join(found, ["image_id", "node"], "left")
-    return named.groupBy("image_id").agg(F.countDistinct(F.coalesce("component", "node")).alias("fragments"))
+def _counted(table: pa.Table) -> pa.Table:
+    """(image_id, fragments) of the rows (image_id, a, b, node) of some images: 0 for a link, 1 for a node, which is linked with itself, 2 for a
+    node without a number, which is none."""
+    image, names = image_numbers(table)
+    a, b, node = numbers(table, "a", "b", "node")
+    value, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    key, place = np.unique(np.concatenate([image, image]) * len(value) + code, return_inverse=True)
+    least = least_linked(len(key), place[: len(a)], place[len(a) :])
+    parts = np.unique(least[place[: len(a)][node == 1]])
+    found = np.bincount(key[parts] // len(value), minlength=len(names))
+    there = np.unique(image[node > 0])
+    return pa.table({"image_id": names.take(pa.array(there)), "fragments": found[there]}, pa.schema([("image_id", pa.string()), ("fragments", pa.int64())]))
+
+
+def fragment_counts(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(image_id, fragments): connected components of each image's nodes (image_id, idx), lone nodes included. Images of up to `most` rows are
+    counted in one task each, many a block; larger ones by components()."""
+    kind = nodes.schema["image_id"].dataType
+    row = lambda d, a, b, node: d.select(F.col("image_id").cast("string").alias("image_id"), a.cast("long").alias("a"), b.cast("long").alias("b"), node.cast("int").alias("node"))
+    here, idx = nodes.where("image_id is not null"), F.coalesce("idx", F.lit(0))
+    links = edges.where("image_id is not null and b is not null and e is not null")
+    rows, large = written(row(here, idx, idx, F.when(F.col("idx").isNull(), 2).otherwise(1)).unionByName(row(links, F.col("b"), F.col("e"), F.lit(0))), "rows", most)
+    out = by_image(rows if large is None else rows.join(large, "image_id", "left_anti"), _counted, "image_id string, fragments long")
+    if large is not None:
+        left = rows.join(large, "image_id", "left_semi")
+        named = left.where("node > 0").select("image_id", F.when(F.col("node") == 1, F.col("a")).alias("node")).join(components(left.where("node = 0").select("image_id", "a", "b"), most), ["image_id", "node"], "left")
+        out = out.unionByName(named.groupBy("image_id").agg(F.countDistinct(F.coalesce("component", "node")).alias("fragments")))
+    nameless = nodes.where("image_id is null").groupBy("image_id").agg(F.countDistinct("idx").alias("fragments"))
+    out = saved(out.withColumn("image_id", F.col("image_id").cast(kind)).unionByName(nameless), "fragments")
+    remove(rows)
+    return out
 
 
 SIDES = ("x0", "y0", "x1", "y1")

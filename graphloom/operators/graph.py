@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import remove, saved, ship
+from ..scratch import forget, saved, ship
 from .geometry import distance, points_in_boxes
 from .small import small
 
@@ -16,6 +16,14 @@ from .small import small
 EMPTY_CLASSES = ["None", "Decoy"]
 #: Most atoms, and most bonds, that the fragments of a dictionary may have together: they go to every task.
 MOST_FRAGMENT_ROWS = 1_000_000
+#: Writes a table that a long plan goes on from, or leaves it as it is.
+Cut = Callable[[DataFrame, str], DataFrame]
+
+
+def _uncut(table: DataFrame, name: str) -> DataFrame:
+    return table
+
+
 #: Symbols of drawn bonds, by bond type.
 BOND_SYMBOLS = {"-": "SINGLE", "up": "SINGLE", "down": "SINGLE", "/": "SINGLE", "\\": "SINGLE", "=": "DOUBLE", "either": "DOUBLE", "#": "TRIPLE"}
 
@@ -51,9 +59,9 @@ def degree(edges: DataFrame) -> DataFrame:
     return both_directions(edges).groupBy("image_id", F.col("b").alias("idx")).agg(F.count("*").alias("degree"))
 
 
-def compact_ids(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def compact_ids(nodes: DataFrame, edges: DataFrame, cut: Cut = _uncut) -> tuple[DataFrame, DataFrame]:
     """Both tables with node ids renumbered from 0 without gaps, in the old order; edges whose node is missing go."""
-    new = nodes.withColumn("new", F.row_number().over(Window.partitionBy("image_id").orderBy("idx")) - 1)
+    new = cut(nodes.withColumn("new", F.row_number().over(Window.partitionBy("image_id").orderBy("idx")) - 1), "numbered")
     name = new.select("image_id", F.col("idx").alias("old"), "new")
     out = edges
     for end in ("b", "e"):
@@ -72,17 +80,17 @@ def isolated_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(both_directions(edges).select("image_id", F.col("b").alias("idx")).distinct(), ["image_id", "idx"], "left_anti")
 
 
-def remove_isolated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return compact_ids(nodes.join(isolated_nodes(nodes, edges).select("image_id", "idx"), ["image_id", "idx"], "left_anti"), edges)
+def remove_isolated(nodes: DataFrame, edges: DataFrame, cut: Cut = _uncut) -> tuple[DataFrame, DataFrame]:
+    return compact_ids(nodes.join(isolated_nodes(nodes, edges).select("image_id", "idx"), ["image_id", "idx"], "left_anti"), edges, cut)
 
 
-def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: DataFrame | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: DataFrame | None = None, texts: DataFrame | None = None, cut: Cut = _uncut) -> tuple[DataFrame, DataFrame]:
     """The nodes of each box (held: image_id, box_id, idx) become the first of them: R if the box's text is in the dictionary (named: image_id,
     box_id of such boxes), else the class that all have, else R. Where nodes have a text, that of a merged node is its box's (texts: image_id, box_id,
     text). Edges follow; loops and repeats in either direction go; ids are renumbered. A node in two boxes belongs to the first."""
     one = held.groupBy("image_id", "idx").agg(F.min("box_id").alias("box_id"))
     heads = one.groupBy("image_id", "box_id").agg(F.min("idx").alias("into"))
-    into = one.join(heads, ["image_id", "box_id"]).select("image_id", "idx", "into")
+    into = cut(one.join(heads, ["image_id", "box_id"]).select("image_id", "idx", "into"), "into")
     if named is not None:
         heads = heads.join(named.select("image_id", "box_id", F.lit(True).alias("named")).distinct(), ["image_id", "box_id"], "left")
     else:
@@ -95,12 +103,12 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, held: DataFrame, named: Data
     same = same.join(known, ["image_id", "idx"], "left").select("image_id", "idx", F.when(F.col("named"), "R").otherwise(F.col("merged")).alias("merged"))
     gone = into.where("idx != into").select("image_id", "idx")
     left = nodes.join(gone, ["image_id", "idx"], "left_anti").join(same, ["image_id", "idx"], "left").withColumn("class", F.coalesce("merged", "class")).select(*nodes.columns)
-    moved = edges
+    left, moved = cut(left, "left"), edges
     for end in ("b", "e"):
         moved = moved.join(into.select("image_id", F.col("idx").alias(end), F.col("into").alias("__to")), ["image_id", end], "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
     first = Window.partitionBy("image_id", F.least("b", "e"), F.greatest("b", "e")).orderBy("edge_id")
     moved = moved.where("b != e").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*edges.columns)
-    return compact_ids(left, moved)
+    return compact_ids(left, cut(moved, "moved"), cut)
 
 
 def graph_from_keypoints(kp: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,21 +193,21 @@ def expand_superatoms(nodes: DataFrame, edges: DataFrame, frag_nodes: DataFrame,
     return _expanded(nodes, edges, small(frag_nodes, MOST_FRAGMENT_ROWS), small(frag_edges, MOST_FRAGMENT_ROWS))
 
 
-def _expanded(nodes: DataFrame, edges: DataFrame, parts: DataFrame, bonds: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _expanded(nodes: DataFrame, edges: DataFrame, parts: DataFrame, bonds: DataFrame, cut: Cut = _uncut) -> tuple[DataFrame, DataFrame]:
     """expand_superatoms with fragments whose size is known to be small."""
     ends = edges.select("image_id", "edge_id", "b", "e", F.inline(F.array(F.struct(F.col("b").alias("idx"), F.lit("b").alias("end")), F.struct(F.col("e").alias("idx"), F.lit("e").alias("end")))))
     r = nodes.where("class = 'R' and text is not null").select("image_id", "idx", "text")
-    at = ends.join(r, ["image_id", "idx"]).withColumn("attach", F.row_number().over(Window.partitionBy("image_id", "idx").orderBy("edge_id")) - 1)
+    at = cut(ends.join(r, ["image_id", "idx"]).withColumn("attach", F.row_number().over(Window.partitionBy("image_id", "idx").orderBy("edge_id")) - 1), "ends")
     have = at.groupBy("image_id", "idx", "text").agg(F.count("*").alias("have"))
     want = parts.groupBy("text").agg(F.count("attach").alias("want"), F.count("*").alias("size"))
     fit = have.join(F.broadcast(want), "text").where("have = want")
     last = nodes.groupBy("image_id").agg(F.max("idx").alias("last"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("image_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = fit.withColumn("before", before).join(last, "image_id").select("image_id", F.col("idx").alias("old"), "text", (F.col("last") + 1 + F.col("before")).alias("base"))
+    base = cut(fit.withColumn("before", before).join(last, "image_id").select("image_id", F.col("idx").alias("old"), "text", (F.col("last") + 1 + F.col("before")).alias("base")), "base")
     grown = base.join(parts, "text").select("image_id", "old", (F.col("base") + F.col("pos")).alias("idx"), F.col("symbol").alias("class"), "attach")
     kept = nodes.join(base.select("image_id", F.col("old").alias("idx")), ["image_id", "idx"], "left_anti").select("image_id", F.col("idx").cast("long").alias("idx"), "class")
     new_nodes = kept.unionByName(grown.select("image_id", F.col("idx").cast("long").alias("idx"), "class"))
-    joint = at.select("image_id", "edge_id", "end", F.col("idx").alias("old"), "attach").join(grown.where("attach is not null").select("image_id", "old", "attach", "idx"), ["image_id", "old", "attach"])
+    joint = cut(at.select("image_id", "edge_id", "end", F.col("idx").alias("old"), "attach").join(grown.where("attach is not null").select("image_id", "old", "attach", "idx"), ["image_id", "old", "attach"]), "joint")
     out = edges
     for end in ("b", "e"):
         out = out.join(joint.where(F.col("end") == end).select("image_id", "edge_id", F.col("idx").alias("__to")), ["image_id", "edge_id"], "left").withColumn(end, F.coalesce("__to", end).cast("long")).drop("__to")
@@ -300,7 +308,7 @@ def ring_profile(images: DataFrame, rings: DataFrame) -> DataFrame:
     return images.select("image_id").join(size, "image_id", "left").select("image_id", F.coalesce("largest", F.lit(0)).cast("long").alias("largest_ring_size"))
 
 
-def _fragments(nodes: DataFrame, edges: DataFrame, labels: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+def _fragments(nodes: DataFrame, edges: DataFrame, labels: tuple[DataFrame, DataFrame] | None, cut: Cut) -> DataFrame:
     """(image_id, raw, solved, needed): connected parts of each image's graph as it is and with its labels expanded (the same where it has no R
     node or nothing to expand it by). Both graphs go through one run, told apart by the first letter of their name."""
     from .components import fragment_counts
@@ -309,14 +317,18 @@ def _fragments(nodes: DataFrame, edges: DataFrame, labels: tuple[DataFrame, Data
     graphs = [("0", nodes, edges)]
     if labels is not None:
         with_r = needed.where("needed").select("image_id")
-        graphs.append(("1", *_expanded(*(d.join(with_r, "image_id", "left_semi") for d in (nodes, edges)), *labels)))
+        more = [cut(d.join(with_r, "image_id", "left_semi"), "with_r") for d in (nodes, edges)]
+        graphs.append(("1", *_expanded(*more, *labels, cut)))
     named = lambda d, kind, *ids: d.select(F.concat(F.lit(kind), "image_id").alias("image_id"), *[F.col(c).cast("long").alias(c) for c in ids])
     n, e = named(nodes, "0", "idx"), named(edges, "0", "b", "e")
     for kind, more_nodes, more_edges in graphs[1:]:
         n, e = n.unionByName(named(more_nodes, kind, "idx")), e.unionByName(named(more_edges, kind, "b", "e"))
     count = lambda kind: F.max(F.when(F.substring("image_id", 1, 1) == kind, F.col("fragments")))
-    both = fragment_counts(n, e).groupBy(F.expr("substring(image_id, 2)").alias("image_id")).agg(count("0").alias("raw"), count("1").alias("solved"))
-    return saved(both.withColumn("solved", F.coalesce("solved", "raw")).join(needed, "image_id"), "fragments")
+    counts = fragment_counts(n, e)
+    both = counts.groupBy(F.expr("substring(image_id, 2)").alias("image_id")).agg(count("0").alias("raw"), count("1").alias("solved"))
+    out = saved(both.withColumn("solved", F.coalesce("solved", "raw")).join(needed, "image_id"), "fragments")
+    forget(counts)
+    return out
 
 
 def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -328,22 +340,37 @@ def molecule_status(nodes: DataFrame, edges: DataFrame, boxes: DataFrame, labels
     an R node stays one node. The nodes in a box become R if its text (boxes may have a column text) names a fragment, and take that text."""
     from .geometry import nodes_in_boxes
 
-    nodes, edges = saved(nodes, "nodes"), saved(edges, "edges")
+    spent: list[DataFrame] = []
+
+    def cut(table: DataFrame, name: str) -> DataFrame:
+        spent.append(saved(table, name))
+        return spent[-1]
+
+    def counted(*graph: DataFrame) -> DataFrame:
+        """_fragments(), and what it wrote on the way goes, from the driver's memory too."""
+        begun = len(spent)
+        out = _fragments(*graph, labels, cut)
+        forget(*spent[begun:])
+        del spent[begun:]
+        spent.append(out)
+        return out
+
+    nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")
     labels = tuple(small(d, MOST_FRAGMENT_ROWS) for d in labels) if labels is not None else None
-    one = _fragments(nodes, edges, labels)
+    one = counted(nodes, edges)
     done = one.where("solved = 1").select("image_id", F.when(F.col("needed"), "resolved").otherwise("as_is").alias("status"))
     open_images = one.where("solved != 1").select("image_id")
-    n, e = (saved(d.join(open_images, "image_id", "left_semi"), "open") for d in (nodes, edges))
-    held = saved(nodes_in_boxes(n, boxes), "held")
+    n, e = (cut(d.join(open_images, "image_id", "left_semi"), "open") for d in (nodes, edges))
+    held = cut(nodes_in_boxes(n, boxes), "held")
     texts = boxes.select("image_id", "box_id", "text") if labels is not None and "text" in boxes.columns and "text" in nodes.columns else None
     named = texts.join(F.broadcast(labels[0].select("text").distinct()), "text", "left_semi") if texts is not None else None
-    merged_nodes, merged_edges = (saved(d, "merged") for d in merge_nodes(n, e, held, named, texts))
-    two = _fragments(merged_nodes, merged_edges, labels)
+    merged = tuple(cut(d, "merged") for d in merge_nodes(n, e, held, named, texts, cut))
+    two = counted(*merged)
     done = done.unionByName(two.where("solved = 1 or raw = 1").select("image_id", F.when(F.col("solved") == 1, "merged").otherwise("unresolved").alias("status")))
     open_images = two.where("solved != 1 and raw != 1").select("image_id")
-    pruned = tuple(saved(d, "pruned") for d in remove_isolated(*(d.join(open_images, "image_id", "left_semi") for d in (merged_nodes, merged_edges))))
-    three = _fragments(*pruned, labels)
+    pruned = tuple(cut(d, "pruned") for d in remove_isolated(*(d.join(open_images, "image_id", "left_semi") for d in merged), cut))
+    three = counted(*pruned)
     done = done.unionByName(three.where("solved = 1 or raw = 1").select("image_id", F.lit("pruned").alias("status")))
     out = saved(one.select("image_id").join(done, "image_id", "left").select("image_id", F.coalesce("status", F.lit("sentinel")).alias("status")), "status")
-    remove(nodes, edges, n, e, held, merged_nodes, merged_edges, *pruned, one, two, three)
+    forget(*spent)
     return out

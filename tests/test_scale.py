@@ -180,6 +180,44 @@ def test_blocks_hold_whole_images(spark):
     assert {r.image_id: r.n for r in got} == Counter(i for i, _ in rows) and len(got) == 7
 
 
+@pytest.mark.parametrize("most", [0, 6, None])
+def test_fragments_by_blocks_and_by_contraction(spark, most):
+    rng = random.Random(12)
+    nodes, edges, want = [], [], {}
+    for k in range(8):
+        here = set(rng.sample(range(9), rng.randint(1, 8)))
+        links = [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randint(0, 6))]  # some to nodes that are not there
+        part = {v: v for v in range(9)}
+        for b, e in links:
+            part = {v: part[b] if p == part[e] else p for v, p in part.items()}
+        nodes += [(f"i{k}", v) for v in here]
+        edges += [(f"i{k}", b, e) for b, e in links]
+        want[f"i{k}"] = len({part[v] for v in here})
+    nodes += [("nothing", None), (None, 1), (None, 2)]
+    edges += [("no nodes", 1, 2)]
+    frames = spark.createDataFrame(nodes, "image_id string, idx int"), spark.createDataFrame(edges, "image_id string, b int, e int")
+    got = components.fragment_counts(*frames, most=most).collect()
+    assert len(got) == 10 and {r.image_id: r.fragments for r in got} == want | {"nothing": 0, None: 2}
+
+
+def test_status_goes_by_short_plans(spark, monkeypatch):
+    joins = []
+
+    def written(table, name):
+        joins.append(table._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return saved(table, name)
+
+    for module in (graph, components, blocks):
+        monkeypatch.setattr(module, "saved", written)
+    nodes = spark.createDataFrame([("a", k, 100 * k, 0, "R" if k == 1 else "C", "one") for k in range(4)], "image_id string, idx int, x int, y int, class string, text string")
+    edges = spark.createDataFrame([("a", 0, 0, 1, "SINGLE"), ("a", 10, 2, 3, "SINGLE")], "image_id string, edge_id int, b int, e int, class string")
+    boxes = spark.createDataFrame([("a", 0, 90, -5, 210, 5, "one")], "image_id string, box_id int, x0 int, y0 int, x1 int, y1 int, text string")
+    frags = spark.createDataFrame([("one", 0, "N", 0)], "text string, pos int, symbol string, attach int")
+    got = graph.molecule_status(nodes, edges, boxes, (frags, spark.createDataFrame([], "text string, p int, q int, class string")))
+    assert [tuple(r) for r in got.collect()] == [("a", "merged")]
+    assert max(joins) <= 16
+
+
 def test_status_takes_texts_of_boxes(spark):
     # two parts until the two middle nodes, of different classes, are merged; what that node is called decides how it is expanded
     nodes = [(f"{kind}", k, 100 * k, 0, "C" if k % 2 else "O", None) for kind in ("split", "one", "unheard") for k in range(4)]
