@@ -436,24 +436,24 @@ def test_op4_parity_bits_bound_the_difference(spark):
     assert all(r.d > r.n + r.m - 2 * -(-80 * (r.n + r.m) // 180) for r in got if r.n == r.m >= 400 and r.apart == r.n + r.m)
 
 
-def test_op4_pairs_by_chance_meet_without_their_heads(spark):
+def test_op4_pairs_by_chance_meet_without_their_heads(spark, monkeypatch):
     rng = random.Random(9)
     made = [(k, " ".join(f"{rng.getrandbits(32):x}" for _ in range(500))) for k in range(60)]
     made.append((60, made[0][1] + " more"))
     like = jaccard.Likeness(5, 80, 100)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        _, sets, _ = jaccard.similar(frame(spark, made), like)
-        one, two = (sets.select(F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "n"), ("b", "m")))
-        pairs = jaccard.saved(one.join(two, F.col("a") < F.col("b")), "pairs")
-        seen = shuffled_bytes(spark)
-        links = jaccard.verified(pairs, sets, jaccard.ids_and_texts(frame(spark, made)), like)
-        assert pairs.count() == 1830 and links.count() == 1
-        moved = sum(n for stage, n in shuffled_bytes(spark).items() if stage not in seen)
-        assert 0 < moved < 1830 * 8 * 150 // 4  # of heads of 150 tokens for each pair
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    _, sets, _ = jaccard.similar(frame(spark, made), like)
+    one, two = (sets.select(F.col("id").alias(i), F.col("n").alias(n)) for i, n in (("a", "n"), ("b", "m")))
+    pairs = jaccard.saved(one.join(two, F.col("a") < F.col("b")), "pairs")
+    met = []
+
+    def with_both(pairs, sets, join=jaccard.with_both):
+        met.append((pairs.count(), sets.agg(F.max(F.size("tokens"))).first()[0]))
+        return join(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "with_both", with_both)
+    links = jaccard.verified(pairs, sets, jaccard.ids_and_texts(frame(spark, made)), like)
+    assert links.count() == 1 and max(n for n, _ in met) == 1830
+    assert max(n for n, size in met if size > 64) < 60  # pairs that lists of tokens are fetched for
 
 
 def test_op4_screen_keeps_all_that_is_wanted(spark, monkeypatch):
